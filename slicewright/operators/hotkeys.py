@@ -1,0 +1,15 @@
+"""Finding keys that hold a large part of all rows, in one pass and bounded memory."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def hot_keys(df: DataFrame, column: str, support: float = 0.01) -> list:
+    """Values of ``column`` that may hold at least ``support`` of the rows: at most ``1 / support`` of them.
+
+    The sketch keeps ``1 / support`` counters, so what reaches the driver has a fixed bound; it may
+    name a few values too many, never one too few. Nulls are left out.
+    """
+    found = df.select(column).where(df[column].isNotNull()).stat.freqItems([column], support).collect()
+    return [x for x in (found[0][0] or []) if x is not None] if found else []
