@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slicewright.plans import datawork
+from slicewright.plans import datawork, scalars
 
-MODULES = [datawork]
+MODULES = [scalars, datawork]
 
 
 def queries() -> dict:
