@@ -4,7 +4,7 @@ Records that share a patient or a case, directly or through others, form a compo
 one split. Components come from a frontier breadth-first search: the adjacency lists are kept as a table keyed
 by node; every node that is the hash minimum of its neighbourhood is a seed, and all seeds expand at once,
 each node keeping the least seed that reaches it first; seeds that met are the edges of a small graph of
-labels, which is merged in turn (in one task once it is below ``SMALL_GRAPH`` edges, else by the same search).
+labels, which is merged in turn: in one task if it has at most ``SMALL_GRAPH`` edges, else by the same search.
 
 Ids are compared without surrounding spaces and ignoring case; null ids relate nothing; patient and case ids
 are different name spaces. Repeated rows count as often as they come in weights and change nothing else.
@@ -57,14 +57,19 @@ def components(edges: DataFrame, small_graph: int = SMALL_GRAPH) -> DataFrame:
     share_package(edges.sparkSession)
     pairs = edges.where("a <> b").select("a", "b")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return _components(materialize(both, "adjacency"), small_graph)
+    return _search(materialize(both, "adjacency"), small_graph)
 
 
-def _components(adjacency: DataFrame, small_graph: int) -> DataFrame:
-    spark = adjacency.sparkSession
-    if adjacency.limit(2 * small_graph + 1).count() <= 2 * small_graph:
-        once = adjacency.where("a < b").repartition(1)
+def _merge_labels(labels: DataFrame, small_graph: int) -> DataFrame:
+    """Components of the graph of seeds that met, given as pairs in both directions."""
+    if labels.count() <= 2 * small_graph:
+        once = labels.where("a < b").repartition(1)
         return materialize(once.mapInPandas(_merge, "node string, component string"), "merged")
+    return _search(labels, small_graph)
+
+
+def _search(adjacency: DataFrame, small_graph: int) -> DataFrame:
+    spark = adjacency.sparkSession
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
     least = adjacency.groupBy("a").agg(F.min(rank("b")).alias("m"))
     seeds = least.where(rank("a") < F.col("m")).select(F.col("a").alias("node"), F.col("a").alias("label"))
@@ -85,7 +90,7 @@ def _components(adjacency: DataFrame, small_graph: int) -> DataFrame:
     met = adjacency.where("a < b").join(la, "a").join(lb, "b").where("la <> lb")
     small = met.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     small = materialize(small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b"))), "labels")
-    merged = _components(small, small_graph)
+    merged = _merge_labels(small, small_graph)
     named = labels.join(merged.select(F.col("node").alias("label"), "component"), "label", "left")
     out = materialize(named.select("node", F.coalesce("component", "label").alias("component")), "components")
     discard(spark, [adjacency, small, merged, frontier, *hops])
