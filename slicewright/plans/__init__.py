@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slicewright.plans import datawork, scalars
+from slicewright.plans import datawork, masks, scalars
 
-MODULES = [scalars, datawork]
+MODULES = [masks, scalars, datawork]
 
 
 def queries() -> dict:
