@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slicewright.plans import datawork, masks, scalars
+from slicewright.plans import catalogue, datawork, masks, scalars
 
-MODULES = [masks, scalars, datawork]
+MODULES = [masks, scalars, catalogue, datawork]
 
 
 def queries() -> dict:

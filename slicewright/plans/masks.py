@@ -296,8 +296,8 @@ def surface_distance(spark, d):
 
 
 def interpolated(spark, d):
-    """Slices between rasters marked every third vector of a label."""
-    e = _emb(spark, d).where("vec_id % 3 = 0").select("label", c("vec_id").cast("int").alias("z"), M.threshold(c("embedding")).alias("values"))
+    """Slices between the rasters of a label, which are taken to lie three slices apart for each vector id."""
+    e = _emb(spark, d).select("label", (c("vec_id") * 3).cast("int").alias("z"), M.threshold(c("embedding")).alias("values"))
     return morphology.interpolate_labels(e, "label", "z", "values", SIDE, SIDE).select("label", "z", M.dense_area(c("values")).alias("area"))
 
 
