@@ -2,7 +2,8 @@
 
 Input: one row per raw line with file_id, dataset_name, fold, file_seq and payload (one JSON object).
 
-* ``profile_fields``: per file and top-level field the set of value kinds and a bottom-k value sketch;
+* ``profile_fields``: per file and top-level field the set of value kinds, and min-hash sketches of its values
+  and of their shapes;
 * ``field_changes``: added, removed and changed type between consecutive files of a series;
 * ``match_renames``: bipartite matching of the removed and added fields of a pair of files, by name
   similarity, kinds and value sketches;
@@ -19,14 +20,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_SIZE = 16
+#: Buckets of the sketches: each keeps the least hash that falls into it.
+VALUE_BUCKETS, SHAPE_BUCKETS = 16, 8
+#: What a JSON value can be.
+KINDS = ("array", "array of numbers", "array of strings", "boolean", "number", "object", "string")
 #: Files in one slot of a series; the windows over files hold at most this many.
 SLOT_FILES = 1024
 
 
-def value_kind(value: Column) -> Column:
-    """string, number, boolean, object, array of numbers, array of strings or array (empty or mixed); null for JSON null."""
-    t = F.schema_of_variant(value)
+def kind_of(t: Column) -> Column:
+    """One of KINDS from a variant's schema; ``array`` for empty or mixed ones; null for JSON null."""
     number = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))"
     return (
         F.when(t == "VOID", F.lit(None).cast("string"))
@@ -42,24 +45,35 @@ def value_kind(value: Column) -> Column:
 
 def parse_lines(raw: DataFrame) -> DataFrame:
     """raw with ``fields``: map of the top-level fields as variants; null for lines that are no JSON object."""
-    v = F.try_parse_json("payload")
-    whole = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
-    return raw.withColumn("fields", whole.cast("map<string,variant>"))
+    return raw.withColumn("fields", F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>"))
+
+
+def cells(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, field_name, kind and value (JSON text) of every field of every valid line."""
+    out = parse_lines(lines).select(*keep, F.explode("fields").alias("field_name", "v"))
+    out = out.select(*keep, "field_name", F.schema_of_variant("v").alias("t"), F.to_json("v").alias("value"))
+    return out.select(*keep, "field_name", kind_of(F.col("t")).alias("kind"), "value")
+
+
+def _least(h: Column, buckets: int) -> Column:
+    return F.array(*(F.min(F.when(F.pmod(h, F.lit(buckets)) == b, h)) for b in range(buckets)))
 
 
 def profile_fields(raw: DataFrame) -> DataFrame:
-    """file_id, field_name, kinds (sorted), n_lines, n_values, sketch (the least hashes of its values)."""
-    fields = parse_lines(raw).select("file_id", F.explode("fields").alias("field_name", "value"))
-    kinds = fields.select("file_id", "field_name", value_kind(F.col("value")).alias("kind"), F.to_json("value").alias("text"))
-    # first per distinct value, so that a hot file is folded before the shuffle and counts stay small
-    values = kinds.groupBy("file_id", "field_name", "kind", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = values.withColumn("r", F.row_number().over(Window.partitionBy("file_id", "field_name", "kind").orderBy("h")))
-    least = F.when((F.col("r") <= SKETCH_SIZE) & F.col("kind").isNotNull(), F.col("h"))
-    return ranked.groupBy("file_id", "field_name").agg(
-        F.sort_array(F.collect_set("kind")).alias("kinds"),
-        F.sum("n").alias("n_lines"),
-        F.sum(F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)).alias("n_values"),
-        F.slice(F.sort_array(F.collect_set(least)), 1, SKETCH_SIZE).alias("sketch"),
+    """file_id, field_name, kinds (sorted), n_lines, n_values, sketch and shapes.
+
+    A sketch keeps the least hash in each of a fixed number of buckets, so a group of any size is folded before
+    the shuffle. The shape of a value has its digits and letters levelled, so that alike ids agree.
+    """
+    rows = cells(raw, ["file_id"])
+    shape = F.regexp_replace(F.regexp_replace("value", "[0-9]+", "9"), "[A-Za-z]+", "a")
+    rows = rows.select("file_id", "field_name", "kind", F.when(F.col("kind").isNotNull(), F.xxhash64("value")).alias("h"), F.when(F.col("kind").isNotNull(), F.xxhash64(shape)).alias("s"))
+    return rows.groupBy("file_id", "field_name").agg(
+        F.array_compact(F.array(*(F.max(F.when(F.col("kind") == k, k)) for k in KINDS))).alias("kinds"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count("kind").alias("n_values"),
+        _least(F.col("h"), VALUE_BUCKETS).alias("sketch"),
+        _least(F.col("s"), SHAPE_BUCKETS).alias("shapes"),
     )
 
 
@@ -83,8 +97,9 @@ def file_pairs(raw: DataFrame) -> DataFrame:
 def field_changes(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """file_id, field_name, change_kind (added, removed, type), with kinds and sketches before and after."""
     pairs = pairs.where(F.col("prev_id").isNotNull())
-    new = pairs.select("file_id").join(profiles, "file_id").select("file_id", "field_name", F.col("kinds").alias("new_kinds"), F.col("sketch").alias("new_sketch"))
-    old = pairs.join(profiles.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "field_name", F.col("kinds").alias("old_kinds"), F.col("sketch").alias("old_sketch"))
+    side = lambda p: [F.col("kinds").alias(f"{p}_kinds"), F.col("sketch").alias(f"{p}_sketch"), F.col("shapes").alias(f"{p}_shapes")]
+    new = pairs.select("file_id").join(profiles, "file_id").select("file_id", "field_name", *side("new"))
+    old = pairs.join(profiles.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "field_name", *side("old"))
     both = new.join(old, ["file_id", "field_name"], "full")
     differs = (F.size("new_kinds") > 0) & (F.size("old_kinds") > 0) & (F.col("new_kinds") != F.col("old_kinds"))
     kind = F.when(F.col("old_kinds").isNull(), "added").when(F.col("new_kinds").isNull(), "removed").when(differs, "type")
@@ -98,6 +113,12 @@ def _name_likeness(a: str, b: str) -> float:
     return 0.5 * len(wa & wb) / max(1, min(len(wa), len(wb))) + 0.5 * len(ga & gb) / max(1, len(ga | gb))
 
 
+def _alike(a, b) -> float:
+    """Estimated overlap of the values behind two sketches."""
+    pairs = [(x, y) for x, y in zip(a, b) if x or y]  # 0: an empty bucket
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+
 def best_assignment(gain: list[list[float]]) -> list[tuple[int, int]]:
     """The matching of rows to columns with the largest total gain (shortest augmenting paths, O(n^2 m))."""
     if not gain or not gain[0]:
@@ -144,10 +165,8 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     for g in gone.itertuples():
         line = []
         for c in come.itertuples():
-            a, b = set(g.old_sketch), set(c.new_sketch)
-            values = len(a & b) / max(1, len(a | b))
             kinds = float(bool(set(g.old_kinds) & set(c.new_kinds)))
-            line.append(0.4 * _name_likeness(g.field_name, c.field_name) + 0.3 * kinds + 0.3 * values)
+            line.append(0.25 * _name_likeness(g.field_name, c.field_name) + 0.25 * kinds + 0.25 * _alike(g.old_sketch, c.new_sketch) + 0.25 * _alike(g.old_shapes, c.new_shapes))
         gain.append(line)
     for i, j in best_assignment(gain):
         rows.append((pdf.file_id.iloc[0], gone.field_name.iloc[i], come.field_name.iloc[j], gain[i][j]))
@@ -158,49 +177,52 @@ def match_renames(changes: DataFrame, least_score: float = 0.45) -> DataFrame:
     """file_id, old_name, new_name, score: the best one-to-one matching of removed with added fields of each file."""
     side = changes.where(F.col("change_kind").isin("added", "removed"))
     both = side.groupBy("file_id").agg(F.count_distinct("change_kind").alias("n")).where("n = 2").select("file_id")
-    rows = side.join(both, "file_id", "left_semi").select("file_id", "field_name", "change_kind", F.coalesce("old_kinds", F.array().cast("array<string>")).alias("old_kinds"), F.coalesce("new_kinds", F.array().cast("array<string>")).alias("new_kinds"), F.coalesce("old_sketch", F.array().cast("array<bigint>")).alias("old_sketch"), F.coalesce("new_sketch", F.array().cast("array<bigint>")).alias("new_sketch"))
+    lists = [F.transform(F.coalesce(n, F.array().cast("array<bigint>")), lambda x: F.coalesce(x, F.lit(0))).alias(n) for n in ("old_sketch", "new_sketch", "old_shapes", "new_shapes")]
+    kinds = [F.coalesce(n, F.array().cast("array<string>")).alias(n) for n in ("old_kinds", "new_kinds")]
+    rows = side.join(both, "file_id", "left_semi").select("file_id", "field_name", "change_kind", *kinds, *lists)
     out = rows.groupBy("file_id").applyInPandas(_match, "file_id long, old_name string, new_name string, score double")
     return out.where(F.col("score") >= least_score)
 
 
-def canonical_names(renames: DataFrame, profiles: DataFrame, least_files: int = 2) -> DataFrame:
-    """old_name, new_name, n_files: the renames seen often, each field going to its most frequent partner.
+def canonical_names(renames: DataFrame, profiles: DataFrame, schema: list[str] = (), least_files: int = 2) -> DataFrame:
+    """field_name, canonical, n_files, score: the renames seen in at least ``least_files`` files, each name going to its most frequent partner.
 
-    A field that lives on beside its partner in one file is no rename of it: pairs found together in any
-    file are left out. The result has at most one row per pair of field names.
+    Names of ``schema`` stay what they are; other names go to a partner of the schema, else to the more frequent
+    of the two. The result has at most one row per field name.
     """
-    pair = F.when(F.col("old_name") < F.col("new_name"), F.struct(F.col("old_name").alias("a"), F.col("new_name").alias("b"))).otherwise(F.struct(F.col("new_name").alias("a"), F.col("old_name").alias("b")))
-    seen = renames.groupBy(pair.alias("p")).agg(F.count(F.lit(1)).alias("n_files"), F.avg("score").alias("score")).where(F.col("n_files") >= least_files)
+    back = renames.select("file_id", F.col("new_name").alias("old_name"), F.col("old_name").alias("new_name"), "score")
+    seen = renames.select(back.columns).unionByName(back).groupBy("old_name", "new_name").agg(F.count_distinct("file_id").alias("n_files"), F.avg("score").alias("score")).where(F.col("n_files") >= least_files)
     names = profiles.groupBy("field_name").agg(F.count(F.lit(1)).alias("n"))
-    together = profiles.select("file_id", F.col("field_name").alias("a")).join(profiles.select("file_id", F.col("field_name").alias("b")), "file_id").where("a < b").select("a", "b").distinct()
-    kept = seen.select("p.a", "p.b", "n_files", "score").join(together, ["a", "b"], "left_anti")
-    na, nb = names.select(F.col("field_name").alias("a"), F.col("n").alias("na")), names.select(F.col("field_name").alias("b"), F.col("n").alias("nb"))
-    sized = kept.join(na, "a").join(nb, "b")
-    goes = F.col("na") >= F.col("nb")
-    directed = sized.select(F.when(goes, F.col("b")).otherwise(F.col("a")).alias("field_name"), F.when(goes, F.col("a")).otherwise(F.col("b")).alias("canonical"), "n_files", "score")
-    best = Window.partitionBy("field_name").orderBy(F.desc("n_files"), F.desc("score"), "canonical")
-    return directed.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    sized = seen.join(names.select(F.col("field_name").alias("old_name"), F.col("n").alias("n_old")), "old_name").join(names.select(F.col("field_name").alias("new_name"), F.col("n").alias("n_new")), "new_name")
+    known = F.array(*(F.lit(x) for x in schema)).cast("array<string>")
+    target = F.array_contains(known, F.col("new_name"))
+    rarer = (F.col("n_old") < F.col("n_new")) | ((F.col("n_old") == F.col("n_new")) & (F.col("old_name") > F.col("new_name")))
+    good = sized.where(~F.array_contains(known, F.col("old_name")) & (target | rarer))
+    best = Window.partitionBy("old_name").orderBy(F.when(target, 0).otherwise(1), F.desc("n_files"), F.desc("score"), "new_name")
+    return good.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("old_name").alias("field_name"), F.col("new_name").alias("canonical"), "n_files", "score")
 
 
 def unify(raw: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """One row per distinct valid line in long form: file_id, line_no, field_name (canonical), source_name, kind, value (JSON text).
+    """One row per field of each distinct valid line: file_id, line_no, field_name (canonical), source_name, kind, value (JSON text).
 
     A repeated line of a file counts once, with its least line_no. The long form stays stable whatever
     fields come; ``wide`` makes columns of the names asked for.
     """
     lines = raw.groupBy("file_id", "payload").agg(F.min("line_no").alias("line_no"))
-    cells = parse_lines(lines).select("file_id", "line_no", F.explode("fields").alias("source_name", "v"))
-    cells = cells.select("file_id", "line_no", "source_name", value_kind(F.col("v")).alias("kind"), F.to_json("v").alias("value"))
+    found = cells(lines, ["file_id", "line_no"]).withColumnRenamed("field_name", "source_name")
     if names is None:
-        return cells.withColumn("field_name", F.col("source_name"))
-    cells = cells.join(names.select(F.col("field_name").alias("source_name"), "canonical"), "source_name", "left")
-    return cells.select("file_id", "line_no", F.coalesce("canonical", "source_name").alias("field_name"), "source_name", "kind", "value")
-
-
-def wide(cells: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per line with a text column for each of ``fields``; of two source fields of one name the first by name with a value stays."""
-    pick = [F.min_by("value", "source_name").alias("x")]
-    grouped = cells.where(F.col("kind").isNotNull() & F.col("field_name").isin(fields)).groupBy("file_id", "line_no", "field_name").agg(*pick)
-    rows = cells.select("file_id", "line_no").distinct()
-    flat = grouped.groupBy("file_id", "line_no").pivot("field_name", fields).agg(F.first("x"))
-    return rows.join(flat, ["file_id", "line_no"], "left")
+        return found.withColumn("field_name", F.col("source_name"))
+    found = found.join(names.select(F.col("field_name").alias("source_name"), "canonical"), "source_name", "left")
+    return found.select("file_id", "line_no", F.coalesce("canonical", "source_name").alias("field_name"), "source_name", "kind", "value")
+
+
+def wide(found: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per line with a text column for each of ``fields``: strings as they are, all else as JSON text.
+
+    Of several source fields of one name that with the field's own name is taken first, then the first by name.
+    """
+    plain = F.when(F.col("kind") == "string", F.get_json_object(F.concat(F.lit('{"x":'), "value", F.lit("}")), "$.x")).otherwise(F.col("value"))
+    own = F.struct((F.col("source_name") != F.col("field_name")).alias("other"), F.col("source_name").alias("name"))
+    rows = found.where(F.col("kind").isNotNull()).withColumn("plain", plain).withColumn("own", own)
+    pick = [F.min_by(F.when(F.col("field_name") == f, F.col("plain")), F.when(F.col("field_name") == f, F.col("own"))).alias(f) for f in fields]
+    return rows.groupBy("file_id", "line_no").agg(*pick)

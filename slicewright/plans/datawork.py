@@ -90,7 +90,7 @@ def p6_manifest(spark: SparkSession, d: str) -> DataFrame:
     """The raw lines as one consistent manifest, renamed fields under their canonical name."""
     share_package(spark)
     raw, profiles, changes = _p6(spark, d)
-    names = materialize(drift.canonical_names(drift.match_renames(materialize(changes, "changes")), profiles), "names")
+    names = materialize(drift.canonical_names(drift.match_renames(materialize(changes, "changes")), profiles, MANIFEST_FIELDS), "names")
     return drift.wide(drift.unify(raw, names), MANIFEST_FIELDS)
 
 
