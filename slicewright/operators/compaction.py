@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewright.session import new_table_path
+from slicewright.session import materialize, new_table_path
 
 DEFAULT_TARGET = 134_217_728
 
@@ -59,6 +59,7 @@ def filing_plan(files: DataFrame, slices: DataFrame, min_small_files: int = 2, t
     ``files``: file_id, file_path, case_id, slice_name, mask_hw, counts, size_bytes; ``slices``:
     slice_name, case_id. A file is filed under the case of its slice, whatever its own case_id says, so
     copies of one record meet in one partition; a name no slice has is filed under ``unfiled``.
+    The plan is written to the shared folder, so digests are computed once.
     Returns (plan, picked): plan has file_id, name, part, size, digest; picked has part, n_files, n_small, bytes.
     A null size counts as small.
     """
@@ -69,7 +70,7 @@ def filing_plan(files: DataFrame, slices: DataFrame, min_small_files: int = 2, t
         mask_digest("counts", "mask_hw").alias("digest"),
     )
     filed = slices.where(F.col("slice_name").isNotNull()).groupBy(F.trim("slice_name").alias("name")).agg(F.min(F.trim("case_id")).alias("part"))
-    plan = named.join(filed, "name", "left").withColumn("part", F.coalesce("part", F.lit("unfiled")))
+    plan = materialize(named.join(filed, "name", "left").withColumn("part", F.coalesce("part", F.lit("unfiled"))), "filing")
     small = F.col("size").isNull() | (F.col("size") < target_bytes)
     stats = plan.groupBy("part").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(small).alias("n_small"), F.sum("size").alias("bytes"))
     return plan, stats.where(F.col("n_small") >= min_small_files)
@@ -82,10 +83,12 @@ def held_twice(plan: DataFrame, picked: DataFrame) -> DataFrame:
     name or mask are no copies of anything.
     """
     keyed = plan.where(F.col("name").isNotNull() & F.col("digest").isNotNull()).select("name", "digest", "part", "file_id")
-    a = keyed.select("name", "digest", "part", F.col("file_id").alias("file_id_a"))
-    b = keyed.select("name", "digest", F.col("file_id").alias("file_id_b"))
-    pairs = a.join(b, ["name", "digest"]).where("file_id_a < file_id_b")
-    return pairs.join(picked.select("part"), "part", "left_semi").select("file_id_a", "file_id_b")
+    # both sides read the same columns, so the digests are computed and shuffled once
+    a, b = keyed.alias("a"), keyed.alias("b")
+    same = (F.col("a.name") == F.col("b.name")) & (F.col("a.digest") == F.col("b.digest")) & (F.col("a.part") == F.col("b.part"))
+    pairs = a.join(b, same & (F.col("a.file_id") < F.col("b.file_id"))).select(F.col("a.part").alias("part"), F.col("a.file_id").alias("file_id_a"), F.col("b.file_id").alias("file_id_b"))
+    # written, so that the filter by partition comes after the join instead of shuffling every file by its partition
+    return materialize(pairs, "pairs").join(picked.select("part"), "part", "left_semi").select("file_id_a", "file_id_b")
 
 
 def _fs(spark: SparkSession, path: str):
