@@ -157,13 +157,13 @@ def compact_table(
     stage = new_table_path(spark, "compaction")
     kind = spark.read.parquet(path).schema
     rows = spark.read.parquet(path).withColumn("_part", F.col(partition).cast("string"))
-    rows = rows.join(picked.select(F.col("part").alias("_part"), "n_target_files"), "_part")
+    rows = rows.join(picked.select(F.col("part").alias("_part"), F.col("n_target_files").alias("_files")), "_part")
     whole = F.lit(True)
     for c in key:
         whole = whole & F.col(c).isNotNull()
     names = kind.fieldNames()
     ident = F.when(whole, F.xxhash64(*key)).otherwise(F.xxhash64(*order))
-    rows = rows.withColumn("_file", F.pmod(ident, F.col("n_target_files")).cast("int"))
+    rows = rows.withColumn("_file", F.pmod(ident, F.col("_files")).cast("int"))
     single = rows.where(whole).groupBy(*key, partition, "_file").agg(F.min(F.struct(*order, *(c for c in names if c not in {*order, *key, partition}))).alias("_r"))
     picks = [F.col(c) if c in key or c == partition else F.col(f"_r.{c}").alias(c) for c in names]
     kept = single.select(*picks, "_file").unionByName(rows.where(~whole).select(*names, "_file"))
