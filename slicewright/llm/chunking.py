@@ -119,5 +119,5 @@ def split_oversized(
                 at += len(sizes)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    pair = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    pair = docs.select(F.col(id_col), F.col(text_col).alias("_slicewright_text"))
     return pair.mapInArrow(run, f"{id_col} {kind}, piece_no int, token_start int, token_end int, n_tokens int, shared_tokens int, cut string, text string")

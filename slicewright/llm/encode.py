@@ -219,7 +219,7 @@ def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), lists], names=[id_col, "ids"])
                 at += len(sizes)
 
-    pair = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    pair = docs.select(F.col(id_col), F.col(text_col).alias("_slicewright_text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return pair.mapInArrow(run, f"{id_col} {kind}, ids array<int>")
 
@@ -237,4 +237,4 @@ def with_token_counts(docs: DataFrame, text_col: str = "text", name: str = "n_to
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), counts], names=[*rest, name])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]
-    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col).alias("_text")).mapInArrow(run, ", ".join([*kinds, f"`{name}` bigint"]))
+    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col).alias("_slicewright_text")).mapInArrow(run, ", ".join([*kinds, f"`{name}` bigint"]))

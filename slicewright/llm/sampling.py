@@ -26,10 +26,11 @@ def weight_rises(rows: DataFrame, series: list[str], ident: str, round_col: str,
     Repeated observations of a round are folded to their greatest weight first, so a window holds as many rows
     as an identifier has rounds. Null identifiers and null rounds are left out; a null weight counts as 0.
     """
-    folded = rows.where(F.col(ident).isNotNull() & F.col(round_col).isNotNull()).groupBy(*series, ident, round_col).agg(F.max(F.coalesce(weight, F.lit(0.0))).alias("w"))
+    folded = rows.where(F.col(ident).isNotNull() & F.col(round_col).isNotNull()).groupBy(*series, ident, round_col).agg(F.max(F.coalesce(weight, F.lit(0.0))).alias("_weight"))
     order = Window.partitionBy(*series, ident).orderBy(round_col)
-    before = F.max("w").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return folded.withColumn("b", before).where("b is null or w > b").select(*series, ident, round_col, F.col("w").alias("max_weight"))
+    before = F.max("_weight").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rises = folded.withColumn("_before", before).where("_before is null or _weight > _before")
+    return rises.select(*series, ident, round_col, F.col("_weight").alias("max_weight"))
 
 
 def selected_from(state: DataFrame, series: list[str], ident: str, round_col: str, seed: Column, rate: float) -> DataFrame:

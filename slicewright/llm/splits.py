@@ -105,8 +105,8 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def related_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``_node``, table of node and component of the linked nodes)."""
-    noded = _nodes(rows)
+    """(slice_name, patient_id, case_id, split where there is one, and ``_node`` of each row; node and component of the linked nodes)."""
+    noded = _nodes(rows.select(*(x for x in ("slice_name", "patient_id", "case_id", "split") if x in rows.columns)))
     edges = noded.where("_p is not null and _c is not null").select(F.col("_p").alias("a"), F.col("_c").alias("b"))
     return noded, components(edges)
 

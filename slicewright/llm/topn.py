@@ -31,16 +31,17 @@ def top_n(items: DataFrame, group: str, score: str, ties: list[str], n: int, lo:
     """The first ``n`` rows of each group by score ascending, then by ``ties`` ascending, with ``rank``.
 
     Rows with a null group or a null or NaN score are left out; null tie keys come first; rows equal in all
-    of these are ranked in any order among themselves. A group with fewer than n rows gives all of them.
+    of these are ranked in any order among themselves; a column ``rank`` of the items is replaced. A group with fewer than n rows gives all of them.
     """
-    kept = items.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).withColumn("_bin", score_bin(F.col(score), lo, hi))
-    counts = kept.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("k"))
-    upto = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = counts.withColumn("upto", F.sum("k").over(upto)).groupBy(group).agg(F.sum("k").alias("all"), F.min(F.when(F.col("upto") >= n, F.col("_bin"))).alias("_cut"))
-    cuts = sized.where((F.col("all") > SMALL_GROUP) & F.col("_cut").isNotNull()).select(group, "_cut")
-    near = kept.join(cuts, group, "left").where(F.col("_cut").isNull() | (F.col("_bin") <= F.col("_cut"))).drop("_cut", "_bin")
+    kept = items.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).withColumn("_top_bin", score_bin(F.col(score), lo, hi))
+    counts = kept.groupBy(F.col(group).alias("_top_group"), "_top_bin").agg(F.count(F.lit(1)).alias("k"))
+    upto = Window.partitionBy("_top_group").orderBy("_top_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = counts.withColumn("upto", F.sum("k").over(upto)).groupBy("_top_group").agg(F.sum("k").alias("all"), F.min(F.when(F.col("upto") >= n, F.col("_top_bin"))).alias("_top_cut"))
+    cuts = sized.where((F.col("all") > SMALL_GROUP) & F.col("_top_cut").isNotNull()).select("_top_group", "_top_cut")
+    near = kept.join(cuts, kept[group] == cuts["_top_group"], "left").where(F.col("_top_cut").isNull() | (F.col("_top_bin") <= F.col("_top_cut")))
     order = Window.partitionBy(group).orderBy(score, *ties)
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    ranked = near.drop("_top_group", "_top_cut", "_top_bin").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= n)
 
 
 def hardest_images(pool: DataFrame, n: int = 3) -> DataFrame:
