@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLAIMED: set[str] = set()
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -49,8 +50,15 @@ def _remove_local(path: str) -> None:
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
-    """An unused path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/slicewright/{label}-{uuid.uuid4().hex}"
+    """An unused path for an intermediate table in the shared folder; it goes when the application ends."""
+    base = f"{shared_dir(spark)}/slicewright/{spark.sparkContext.applicationId}"
+    if base not in _CLAIMED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _CLAIMED.add(base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
