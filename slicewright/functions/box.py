@@ -11,7 +11,8 @@ def _at(box: Column, i: int) -> Column:
 
 
 def _within(v: Column, top: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(top - 1.0, v))
+    # greatest and least pass over nulls: a null stays one only if asked for
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(top - 1.0, v)))
 
 
 def make_box(x1, y1, x2, y2) -> Column:

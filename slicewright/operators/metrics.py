@@ -43,11 +43,11 @@ def worst_fraction_mean(df: DataFrame, key: list[str], value: str, fraction: flo
 
     Equal values are folded to counts before they are ranked, so a hot key holds its distinct values only.
     """
-    good = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*key, value).agg(F.count(F.lit(1)).alias("k"))
+    good = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_k"))
     order = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = good.withColumn("upto", F.sum("k").over(order)).withColumn("n", F.sum("k").over(Window.partitionBy(*key)))
-    take = F.greatest(F.lit(0), F.least(F.col("k"), F.ceil(F.col("n") * fraction) - (F.col("upto") - F.col("k"))))
-    return run.withColumn("t", take).groupBy(*key).agg((F.sum(F.col(value) * F.col("t")) / F.sum("t")).alias("worst"))
+    run = good.withColumn("_upto", F.sum("_k").over(order)).withColumn("_n", F.sum("_k").over(Window.partitionBy(*key)))
+    take = F.greatest(F.lit(0), F.least(F.col("_k"), F.ceil(F.col("_n") * fraction) - (F.col("_upto") - F.col("_k"))))
+    return run.withColumn("_t", take).groupBy(*key).agg((F.sum(F.col(value) * F.col("_t")) / F.sum("_t")).alias("worst"))
 
 
 def gain(before: Column, after: Column) -> Column:
