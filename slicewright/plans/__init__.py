@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slicewright.plans import catalogue, datawork, masks, scalars
+from slicewright.plans import catalogue, datawork, masks, scalars, supervise
 
-MODULES = [masks, scalars, catalogue, datawork]
+MODULES = [masks, scalars, catalogue, supervise, datawork]
 
 
 def queries() -> dict:

@@ -78,29 +78,30 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boxes_to_teacher(spark: SparkSession, d: str) -> DataFrame:
-    df = _boxes(spark, d)
-    return df.select("slice_name", "k", "cc", *_flat(c("nb"), "n"), *_flat(box.native_to_teacher(c("nb"), c("g")), "t")).distinct()
+    df = _boxes(spark, d).withColumn("t", box.native_to_teacher(c("nb"), c("g")))
+    return df.select("slice_name", "k", "cc", *_flat(c("nb"), "n"), *_flat(c("t"), "t")).distinct()
 
 
 def boxes_to_native(spark: SparkSession, d: str) -> DataFrame:
-    df = _boxes(spark, d).where("tb is not null")
-    return df.select("slice_name", "k", "cc", *_flat(c("tb"), "t"), *_flat(box.teacher_to_native(c("tb"), c("g.orig_h"), c("g.orig_w"), c("g.target_h"), c("g.target_w")), "n")).distinct()
+    df = _boxes(spark, d).where("tb is not null").withColumn("back", box.teacher_to_native(c("tb"), c("g.orig_h"), c("g.orig_w"), c("g.target_h"), c("g.target_w")))
+    return df.select("slice_name", "k", "cc", *_flat(c("tb"), "t"), *_flat(c("back"), "n")).distinct()
 
 
 def box_clip(spark: SparkSession, d: str) -> DataFrame:
     """Boxes clipped into half the image, and the same as x, y, width, height, widened, and on a 1024 square."""
     h, w = F.floor(c("g.orig_h") / 2), F.floor(c("g.orig_w") / 2)
-    b = box.clip_box(c("nb"), w, h)
-    df = _boxes(spark, d)
+    # a column of its own, so that the functions of the box don't each carry its expression
+    df = _boxes(spark, d).withColumn("b", box.clip_box(c("nb"), w, h))
+    b = c("b")
     return df.select("slice_name", "k", "cc", *_flat(c("nb"), "n"), *_flat(b, "c"), *_flat(box.xyxy_to_xywh(b), "s"), *_flat(box.slack_box(b, 5, w, h), "k"), *_flat(box.to_side(b, c("g.orig_w"), c("g.orig_h")), "u")).distinct()
 
 
 def box_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of each instance's native box, moved forth and back, with itself; and whether it is near a crop's edge."""
-    df = _boxes(spark, d).where("tb is not null")
-    back = box.teacher_to_native(c("tb"), c("g.orig_h"), c("g.orig_w"), c("g.target_h"), c("g.target_w"))
+    df = _boxes(spark, d).where("tb is not null").withColumn("back", box.teacher_to_native(c("tb"), c("g.orig_h"), c("g.orig_w"), c("g.target_h"), c("g.target_w")))
+    df = df.withColumn("moved", box.uncrop_box(c("nb"), F.array(F.lit(10.0), F.lit(20.0))))
     crop = F.array(F.lit(100.0), F.lit(100.0), F.lit(300.0), F.lit(300.0))
-    return df.select("slice_name", "k", "cc", *_flat(c("nb"), "n"), F.round(box.box_iou(c("nb"), back), 4).alias("iou"), box.near_crop_edge(box.uncrop_box(c("nb"), F.array(F.lit(10.0), F.lit(20.0))), crop, c("g.orig_h"), c("g.orig_w")).alias("edge")).distinct()
+    return df.select("slice_name", "k", "cc", *_flat(c("nb"), "n"), F.round(box.box_iou(c("nb"), c("back")), 4).alias("iou"), box.near_crop_edge(c("moved"), crop, c("g.orig_h"), c("g.orig_w")).alias("edge")).distinct()
 
 
 def canvas(spark: SparkSession, d: str) -> DataFrame:

@@ -84,3 +84,31 @@ def test_scalar_stats(spark):
     df = spark.createDataFrame([('{"a": 1, "b": "x", "c": [1], "d": {"e": 1}, "f": null, "g": true}',), ("broken",), (None,)], "j string")
     got = [r[0] for r in df.select(progress.scalar_stats("j")).collect()]
     assert got == [{"a": "1", "b": "x", "g": "true"}, None, None]
+
+
+def test_hybrid_supervision(spark):
+    from slicewright.operators.supervision import check_hybrid
+
+    px = lambda rows: spark.createDataFrame(rows, "k string, y int, x int, value int")
+    truth = px([("f", 0, 0, 1), ("f", 0, 1, 2), ("g", 0, 0, 1)])
+    labels = px([("f", 0, 0, 1), ("f", 1, 1, 255), ("g", 0, 0, 1), ("b", 0, 0, 255), ("b", 5, 5, 1)])
+    union = spark.createDataFrame([("b", 0, 0)], "k string, y int, x int")
+    full = spark.createDataFrame([("f",), ("g",)], "k string")
+    got = {(r.k, r.problem): r.n for r in check_hybrid(labels, truth, union, full, "k").collect()}
+    assert got == {("f", "full differs from truth"): 2, ("f", "full with ignore"): 1, ("b", "outside of prompts"): 1}
+
+
+def test_run_pairs(spark):
+    from slicewright.operators.supervision import run_pairs
+
+    df = spark.createDataFrame([("3 2  10 1",), ("",), (None,), ("7",), ("1 2 3",)], "s string")
+    got = [r[0] and [tuple(p) for p in r[0]] for r in df.select(run_pairs(F.col("s"))).collect()]
+    assert got == [[(3, 2), (10, 1)], [], None, [], [(1, 2)]]
+
+
+def test_points_are_inside(spark):
+    from slicewright.operators.supervision import inner_point
+
+    df = spark.createDataFrame([("a", y, x) for y, x in ((0, 0), (5, 5), (9, 1))] + [("b", 2, 2)], "k string, y int, x int")
+    got = inner_point(df, ["k"], 1)
+    assert got.join(df, ["k", "y", "x"]).count() == 2 == got.count()
