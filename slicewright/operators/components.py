@@ -20,77 +20,109 @@ from slicewright.session import share_package
 FIELDS = "component int, area bigint, x1 int, y1 int, x2 int, y2 int, cx double, cy double, border_pixels bigint, has_origin boolean, mask_h int, mask_w int"
 
 
-def segments(counts: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Columns, first and last rows of the vertical foreground segments, in column order."""
-    ends = np.minimum(np.cumsum(counts), h * w)
-    places, times = np.unique(ends, return_counts=True)
-    flips = places[(times % 2 == 1) & (places < h * w)]
-    if len(flips) % 2:
-        flips = np.append(flips, h * w)
-    start, last = flips[0::2], flips[1::2] - 1
-    if not len(start):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    first_col, last_col = start // h, last // h
-    n = last_col - first_col + 1
-    run = np.repeat(np.arange(len(start)), n)
-    col = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first_col[run]
-    top = np.where(col == first_col[run], start[run] % h, 0)
-    low = np.where(col == last_col[run], last[run] % h, h - 1)
-    return col, top, low
+def segments(counts: np.ndarray, size: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Mask, column, first and last row of the vertical foreground segments of many masks, in this order.
 
+    ``counts``: the run lengths of all masks one after the other, ``size``: how many each has.
+    """
+    mask = np.repeat(np.arange(len(size)), size)
+    run = np.concatenate([[0], np.cumsum(counts)])
+    first = np.cumsum(size) - size
+    end = run[1:] - run[first][mask]
+    total = h.astype(np.int64) * w
+    # where the value flips: ends inside the image that an odd number of runs share
+    new = np.ones(len(end), bool)
+    new[1:] = (mask[1:] != mask[:-1]) | (end[1:] != end[:-1])
+    at = np.flatnonzero(new)
+    odd = np.diff(np.append(at, len(end))) % 2 == 1
+    at = at[odd]
+    at = at[end[at] < total[mask[at]]]
+    who, flip = mask[at], end[at]
+    open_end = np.flatnonzero(np.bincount(who, minlength=len(size)) % 2 == 1)  # the last run reaches the end
+    who, flip = np.concatenate([who, open_end]), np.concatenate([flip, total[open_end]])
+    order = np.lexsort((flip, who))
+    who, flip = who[order], flip[order]
+    who, start, last = who[0::2], flip[0::2], flip[1::2] - 1
+    hh = h[who].astype(np.int64)
+    first_col, last_col = start // hh, last // hh
+    n = last_col - first_col + 1
+    k = np.repeat(np.arange(len(start)), n)
+    col = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first_col[k]
+    top = np.where(col == first_col[k], start[k] % hh[k], 0)
+    low = np.where(col == last_col[k], last[k] % hh[k], hh[k] - 1)
+    return who[k], col, top, low
 
-def label_segments(col: np.ndarray, top: np.ndarray, low: np.ndarray, connectivity: int) -> np.ndarray:
-    """A component number for each segment; components are numbered in raster order of their first pixel."""
-    parent = list(range(len(col)))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def join_segments(who: np.ndarray, col: np.ndarray, top: np.ndarray, low: np.ndarray, connectivity: int) -> np.ndarray:
+    """The least segment number of each segment's component.
 
+    The segments of the column before that touch one are consecutive, so binary searches give all pairs; the least
+    numbers then spread along them, doubling their reach in each step.
+    """
+    n = len(col)
+    label = np.arange(n)
+    if n == 0:
+        return label
     reach = 1 if connectivity == 8 else 0
-    cols, tops, lows = col.tolist(), top.tolist(), low.tolist()
-    left = 0
-    for i in range(len(cols)):
-        while left < i and cols[left] < cols[i] - 1:
-            left += 1
-        j = left
-        while j < i and cols[j] == cols[i] - 1:
-            if tops[j] > lows[i] + reach:
+    span, wide = int(low.max()) + 3, int(col.max()) + 2
+    base = (who.astype(np.int64) * wide + col) * span
+    before = base - span
+    a = np.searchsorted(base + low, before + np.maximum(top - reach, 0))
+    b = np.searchsorted(base + top, before + np.minimum(low + reach, span - 1), "right")
+    a, b = np.where(col > 0, a, 0), np.where(col > 0, b, 0)
+    k = np.maximum(b - a, 0)
+    i = np.repeat(np.arange(n), k)
+    j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + a[i]
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        old = label.copy()
+        for x in (i, j, old[i], old[j]):  # also the roots they had, so that whole trees are hooked
+            np.minimum.at(label, x, least)
+        while True:
+            up = label[label]
+            if (up == label).all():
                 break
-            if lows[j] >= tops[i] - reach:
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            j += 1
-    roots = np.array([root(i) for i in range(len(cols))])
-    _, inverse = np.unique(roots, return_inverse=True)
-    k = inverse.max() + 1
-    highest = np.full(k, np.iinfo(np.int64).max)
-    np.minimum.at(highest, inverse, top * (col.max() + 1) + col)
-    number = np.empty(k, np.int64)
-    number[np.argsort(highest)] = np.arange(1, k + 1)
-    return number[inverse]
+            label = up
+        if (label == old).all():
+            break
+    return label
+
+
+def batch_components(counts: np.ndarray, size: np.ndarray, h: np.ndarray, w: np.ndarray, connectivity: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(mask of each component, the columns of FIELDS): components in raster order of their first pixel."""
+    who, col, top, low = segments(counts, size, h, w)
+    label = join_segments(who, col, top, low, connectivity)
+    roots, k = np.unique(label, return_inverse=True)
+    m = len(roots)
+    owner = who[roots]
+    hh, ww = h[owner].astype(np.int64), w[owner].astype(np.int64)
+    length = low - top + 1
+    on_side = (col == 0) | (col == w[who] - 1)
+    border = np.where(on_side, length, (top == 0).astype(np.int64) + ((low == h[who] - 1) & ((h[who] > 1) | (top > 0))))
+
+    def least(v: np.ndarray) -> np.ndarray:
+        out = np.full(m, np.iinfo(np.int64).max)
+        np.minimum.at(out, k, v)
+        return out
+
+    total = lambda v: np.bincount(k, v, m)
+    area = total(length)
+    x1, y1, x2, y2 = least(col), least(top), -least(-col), -least(-low)
+    first = least(top * w[who].astype(np.int64) + col)
+    order = np.lexsort((first, owner))
+    owner = owner[order]
+    at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if m else np.zeros(0, np.int64)
+    number = np.arange(m) - np.repeat(at, np.diff(np.append(at, m))) + 1
+    cx, cy = total(col * length) / np.maximum(area, 1), total((top + low) * length) / 2 / np.maximum(area, 1)
+    origin = total(((col == 0) & (top == 0)).astype(float)) > 0
+    rest = [area.astype(np.int64), x1, y1, x2, y2, cx, cy, total(border).astype(np.int64), origin, hh, ww]
+    return owner, [number, *(v[order] for v in rest)]
 
 
 def component_rows(counts: np.ndarray, h: int, w: int, connectivity: int) -> list[tuple]:
-    col, top, low = segments(counts, h, w)
-    if not len(col):
-        return []
-    number = label_segments(col, top, low, connectivity)
-    size = low - top + 1
-    on_side = (col == 0) | (col == w - 1)
-    border = np.where(on_side, size, (top == 0).astype(np.int64) + ((low == h - 1) & ((h > 1) | (top > 0))))
-    out = []
-    for k in range(1, number.max() + 1):
-        m = number == k
-        area = int(size[m].sum())
-        cy = float(((top[m] + low[m]) * size[m]).sum() / 2 / area)
-        cx = float((col[m] * size[m]).sum() / area)
-        out.append((k, area, int(col[m].min()), int(top[m].min()), int(col[m].max()), int(low[m].max()), cx, cy, int(border[m].sum()), bool(((col[m] == 0) & (top[m] == 0)).any()), h, w))
-    return out
+    """The components of one mask as tuples in the order of FIELDS."""
+    _, columns = batch_components(np.asarray(counts), np.array([len(counts)]), np.array([h]), np.array([w]), connectivity)
+    return list(zip(*(c.tolist() for c in columns)))
 
 
 def mask_components(masks: DataFrame, key: str, hw: str = "mask_hw", counts: str = "counts", connectivity: int = 8) -> DataFrame:
@@ -107,19 +139,15 @@ def mask_components(masks: DataFrame, key: str, hw: str = "mask_hw", counts: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, rows = [], []
-            sizes = batch.column(1).to_pylist()
-            lists = batch.column(2)
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, size in enumerate(sizes):
-                if size is None or len(size) != 2 or None in size or not lists[i].is_valid:
-                    continue
-                got = component_rows(flat[offsets[i] : offsets[i + 1]], size[0], size[1], connectivity)
-                owner.extend([i] * len(got))
-                rows.extend(got)
-            columns = list(zip(*rows)) if rows else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(list(v), t) for v, t in zip(columns, types))], names=names)
+            sizes, lists = batch.column(1).to_pylist(), batch.column(2)
+            good = [i for i, hw in enumerate(sizes) if hw is not None and len(hw) == 2 and None not in hw and lists[i].is_valid]
+            picked = lists.take(pa.array(good, pa.int64()))
+            flat = picked.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.diff(picked.offsets.to_numpy())
+            h, w = (np.array([sizes[i][k] for i in good], np.int64) for k in (0, 1))
+            owner, columns = batch_components(flat, size, h, w, connectivity)
+            rows = np.asarray(good, np.int64)[owner] if len(owner) else owner
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, t) for v, t in zip(columns, types))], names=names)
 
     kind = masks.schema[key].dataType.simpleString()
     return masks.select(key, F.col(hw).alias("_hw"), F.col(counts).alias("_counts")).mapInArrow(run, f"`{key}` {kind}, {FIELDS}")
