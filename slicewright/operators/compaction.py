@@ -167,8 +167,11 @@ def compact_table(
     single = rows.where(whole).groupBy(*key, partition, "_file").agg(F.min(F.struct(*order, *(c for c in names if c not in {*order, *key, partition}))).alias("_r"))
     picks = [F.col(c) if c in key or c == partition else F.col(f"_r.{c}").alias(c) for c in names]
     kept = single.select(*picks, "_file").unionByName(rows.where(~whole).select(*names, "_file"))
-    # one task per target file: the hot partition is spread over as many tasks as it has files
-    kept.repartition(partition, "_file").write.partitionBy(partition).parquet(stage)
+    # rows go by target file, so the hot partition is spread over as many tasks as it has files; where two of its
+    # files meet in a task, the limit of rows keeps them apart
+    widest = picked.agg(F.max(F.col("bytes_before") / F.greatest(F.col("rows_before"), F.lit(1)))).collect()[0][0]
+    most_rows = max(1, int(1.25 * target_bytes / widest)) if widest else 0
+    kept.repartition(partition, "_file").write.option("maxRecordsPerFile", most_rows).partitionBy(partition).parquet(stage)
     stage_kind = kept.schema
 
     def counted(df: DataFrame) -> DataFrame:
@@ -190,6 +193,7 @@ def compact_table(
         raise CompactionConflict(f"a partition changed after snapshot v{version}")
     # the column order of the table puts the partition last; the staged file number keeps one task per target file
     staged = spark.read.schema(stage_kind).parquet(stage)
-    staged.repartition(partition, "_file").drop("_file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    swap = staged.repartition(partition, "_file").drop("_file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    swap.option("maxRecordsPerFile", most_rows).partitionBy(partition).parquet(path)
     spark.catalog.refreshByPath(path)
     return log.select("part", "files_before", "bytes_before", "rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("copies_dropped"), "n_target_files", F.lit(version).alias("version"))
