@@ -105,8 +105,8 @@ def _judge(refs: DataFrame, targets: DataFrame) -> DataFrame:
         by = ["key"]
     running = Window.partitionBy(*by).orderBy("t", "pri").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     judged = events.select("*", *(F.sum(c).over(running).alias(f"n_{c}") for c in COUNTS[:3]), F.sum("d_rows").over(Window.partitionBy(*by)).alias("n_rows")).where("pri = 1")
-    if hot:  # the carry has at most 1 / support keys with a row a month each
-        judged = judged.join(F.broadcast(carry), by, "left")
+    if hot:
+        judged = judged.join(carry, by, "left")
         for c in COUNTS[:3]:
             judged = judged.withColumn(f"n_{c}", F.col(f"n_{c}") + F.coalesce(f"c_{c}", F.lit(0)))
         judged = judged.withColumn("n_rows", F.coalesce("c_rows", "n_rows"))
