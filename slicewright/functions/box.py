@@ -44,10 +44,17 @@ def native_to_teacher(box: Column, transform: Column) -> Column:
     return clip_box(map_box(box, transform), transform["target_w"], transform["target_h"])
 
 
-def teacher_to_native(box: Column, native_h: Column, native_w: Column, teacher_h: Column, teacher_w: Column) -> Column:
-    """A teacher box by the ratio of the sizes alone, clipped to the native image."""
-    rx, ry = native_w / teacher_w, native_h / teacher_h
-    return clip_box(make_box(_at(box, 0) * rx, _at(box, 1) * ry, _at(box, 2) * rx, _at(box, 3) * ry), native_w, native_h)
+def geometry_sizes(native_hw: Column, inverse: Column, teacher_hw: Column) -> Column:
+    """(orig_h, orig_w, new_h, new_w): the native size, and the size of the image on the teacher canvas: the crop of the way back, else the canvas, else 1024."""
+    new = lambda crop, i: F.coalesce(inverse[crop], F.get(teacher_hw, F.lit(i)), F.lit(1024))
+    return F.struct(F.get(native_hw, F.lit(0)).alias("orig_h"), F.get(native_hw, F.lit(1)).alias("orig_w"), new("crop_h", 0).alias("new_h"), new("crop_w", 1).alias("new_w"))
+
+
+def teacher_to_native(box: Column, sizes: Column) -> Column:
+    """A teacher box by the ratio of native to resized image alone, whatever the offset, clipped to the native image."""
+    h, w = sizes["orig_h"], sizes["orig_w"]
+    rx, ry = w / F.greatest(sizes["new_w"], F.lit(1)), h / F.greatest(sizes["new_h"], F.lit(1))
+    return clip_box(make_box(_at(box, 0) * rx, _at(box, 1) * ry, _at(box, 2) * rx, _at(box, 3) * ry), w, h)
 
 
 def canvas_geometry(h: Column, w: Column, target_h: Column, target_w: Column) -> Column:
@@ -78,17 +85,22 @@ def geometry_mismatch(a: Column, b: Column, fields: tuple[str, ...] = PAIR_FIELD
     return F.filter(F.array(*(F.when(~a[f].eqNullSafe(b[f]), f) for f in fields)), lambda x: x.isNotNull())
 
 
-def resolve_spacing(zyx: Column, xyz: Column, legacy: Column, geometry_xyz: Column) -> Column:
-    """(value in z, y, x order, source): zyx, else xyz reversed, else the legacy field reversed, else the geometry's; three positive numbers or nothing."""
+def resolve_spacing(manifest: dict[str, Column], geometry: dict[str, Column] | None = None) -> Column:
+    """(value in z, y, x order, source): of the manifest zyx, else xyz reversed, else the legacy field reversed; then the same of the geometry.
 
-    def usable(c: Column) -> Column:
-        return F.when((F.size(c) == 3) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (v > 0)), c)
+    ``manifest`` and ``geometry`` give the columns by spacing_zyx, spacing_xyz and spacing, as far as there are any.
+    The first three numbers count; they must be finite and above zero.
+    """
 
-    def told(c: Column, source: str, turn: bool) -> Column:
-        good = usable(c)
-        return F.when(good.isNotNull(), F.struct((F.reverse(good) if turn else good).alias("zyx"), F.lit(source).alias("source")))
+    def told(side: str, name: str, c: Column) -> Column:
+        first = F.slice(c, 1, 3)
+        good = F.when((F.size(c) >= 3) & F.forall(first, lambda v: v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf"))), first)
+        value = good if name == "spacing_zyx" else F.reverse(good)
+        source = f"{side}.{'spacing_legacy_xyz' if name == 'spacing' else name}"
+        return F.when(good.isNotNull(), F.struct(value.alias("zyx"), F.lit(source).alias("source")))
 
-    return F.coalesce(told(zyx, "spacing_zyx", False), told(xyz, "spacing_xyz", True), told(legacy, "spacing", True), told(geometry_xyz, "geometry_xyz", True))
+    sides = (("manifest", manifest), ("geometry", geometry or {}))
+    return F.coalesce(*(told(side, n, cols[n]) for side, cols in sides for n in ("spacing_zyx", "spacing_xyz", "spacing") if n in cols))
 
 
 def longest_side_shape(h: Column, w: Column, side: int) -> Column:
@@ -129,6 +141,14 @@ def box_area(box: Column) -> Column:
     return F.greatest(F.lit(0.0), _at(box, 2) - _at(box, 0) + 1) * F.greatest(F.lit(0.0), _at(box, 3) - _at(box, 1) + 1)
 
 
+def box_iou_open(a: Column, b: Column) -> Column:
+    """Overlap over union of two boxes taken as areas between their corners (half-open); 0 where there is no union."""
+    side = lambda p, q, i: F.greatest(F.lit(0.0), F.least(_at(p, i + 2), _at(q, i + 2)) - F.greatest(_at(p, i), _at(q, i)))
+    inter = side(a, b, 0) * side(a, b, 1)
+    area = lambda p: (_at(p, 2) - _at(p, 0)) * (_at(p, 3) - _at(p, 1))
+    return F.coalesce(F.try_divide(inter, area(a) + area(b) - inter), F.lit(0.0))
+
+
 def box_iou(a: Column, b: Column) -> Column:
     """Overlap of two inclusive boxes over their union; 0 where there is no union."""
     iw = F.greatest(F.lit(0.0), F.least(_at(a, 2), _at(b, 2)) - F.greatest(_at(a, 0), _at(b, 0)) + 1)

@@ -28,10 +28,10 @@ def percent(current: Column, total: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """MM:SS, or HH:MM:SS from an hour on; null for null."""
-    s = F.greatest(F.lit(0), F.floor(seconds)).cast("bigint")
+    """MM:SS, or HH:MM:SS from an hour on; empty for null."""
+    s = F.greatest(F.lit(0), F.floor(seconds)).cast("bigint")  # 0 for null, which is told apart below
     h, m, r = F.floor(s / 3600).cast("bigint"), F.floor(s / 60).cast("bigint") % 60, s % 60
-    return F.when(s >= 3600, F.format_string("%02d:%02d:%02d", h, m, r)).when(s.isNotNull(), F.format_string("%02d:%02d", m, r))
+    return F.when(seconds.isNull(), "").when(s >= 3600, F.format_string("%02d:%02d:%02d", h, m, r)).otherwise(F.format_string("%02d:%02d", m, r))
 
 
 def clock_millis(seconds: Column) -> Column:

@@ -33,23 +33,28 @@ def copy_suffix(path: Column) -> Column:
 
 def sanitize_id(s: Column) -> Column:
     """Trimmed, slashes and runs of white space as one underscore each."""
-    return F.regexp_replace(F.regexp_replace(F.trim(s), r"[/\\]", "_"), r"\s+", "_")
+    return F.regexp_replace(F.regexp_replace(_strip(s), r"[/\\]", "_"), r"\s+", "_")
 
 
 def class_from_suffix(case_id: Column) -> Column:
-    """healthy, dr or glaucoma from the endings _h, _dr and _g, else null."""
-    s = F.lower(case_id)
-    return F.when(s.endswith("_h"), "healthy").when(s.endswith("_dr"), "dr").when(s.endswith("_g"), "glaucoma")
+    """h, dr or g from the endings _h, _dr and _g, else null."""
+    return F.when(case_id.endswith("_h"), "h").when(case_id.endswith("_dr"), "dr").when(case_id.endswith("_g"), "g")
+
+
+def _strip(s: Column) -> Column:
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
 def safe_tag(s: Column) -> Column:
-    """Everything but letters, digits, underscore and hyphen as underscore."""
-    return F.regexp_replace(s, r"[^\p{L}\p{N}_-]", "_")
+    """A tag as the end of a name: an underscore, then all but letters, digits, underscore and hyphen as underscore; empty for blank and null."""
+    t = _strip(F.coalesce(s, F.lit("")))
+    return F.when(t == "", "").otherwise(F.concat(F.lit("_"), F.regexp_replace(t, r"[^\p{L}\p{N}_-]", "_")))
 
 
 def safe_file_name(s: Column) -> Column:
-    """Like :func:`safe_tag`, but dots stay and an empty or null name becomes ``unknown``."""
-    return F.coalesce(F.nullif(F.regexp_replace(s, r"[^\p{L}\p{N}_.-]", "_"), F.lit("")), F.lit("unknown"))
+    """All but letters, digits, underscore, hyphen and dot as underscore; ``unknown`` for blank and null."""
+    t = F.coalesce(F.nullif(_strip(s), F.lit("")), F.lit("unknown"))
+    return F.regexp_replace(t, r"[^\p{L}\p{N}_.-]", "_")
 
 
 def parse_list(s: Column) -> Column:

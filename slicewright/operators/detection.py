@@ -22,12 +22,12 @@ def overlapping_pairs(boxes: DataFrame, image: str, key: str, threshold: float,
     pairs = a.join(b, [image, "gx", "gy"])
     first = (F.col("gx") == F.greatest("a_x0", "b_x0")) & (F.col("gy") == F.greatest("a_y0", "b_y0"))
     before = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
-    close = B.box_iou(F.col("a_box"), F.col("b_box")) > threshold
+    close = B.box_iou_open(F.col("a_box"), F.col("b_box")) > threshold
     return pairs.where(first & before & close).select(image, F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"))
 
 
 def non_maximum_suppression(boxes: DataFrame, image: str, key: str, threshold: float = 0.7, cell: float = 128.0) -> DataFrame:
-    """The boxes greedy suppression keeps: in descending score (then key), each unless it overlaps a kept one by more than ``threshold``.
+    """The boxes greedy suppression keeps: in descending score (then key), each unless it overlaps a kept one by more than ``threshold`` (half-open boxes).
 
     ``boxes``: image, key (unique in an image), box, score; null boxes or scores are left out. Greedy order is
     reached by rounds: a box all of whose better overlapping ones are decided is decided too, so no image
@@ -100,12 +100,15 @@ def start_slice(boxes: DataFrame, series: list[str], z: str, box: str) -> DataFr
 def best_component(instances: DataFrame, components: DataFrame, image: str, key: list[str]) -> DataFrame:
     """key, component, how: the component of each instance: by its number, else by the largest overlap with its box (the first of equals), else the only one.
 
-    ``instances``: image, key, component_id, box; ``components``: image, component, x1, y1, x2, y2. An instance
-    without any match has null. Components are matched within their image only.
+    ``instances``: image, key, component_id, box; ``components``: image, component, x1, y1, x2, y2. Boxes count as
+    the whole pixels they touch. A box takes the best component even if none overlaps it; without a box only a
+    single component is taken. An instance without any match has null. Components are matched within their image only.
     """
     c = components.select(image, "component", F.array(*(F.col(x).cast("double") for x in ("x1", "y1", "x2", "y2"))).alias("cbox"), F.count(F.lit(1)).over(Window.partitionBy(image)).alias("n"))
-    j = instances.join(c, image, "left").withColumn("exact", F.col("component_id") == F.col("component")).withColumn("iou", B.box_iou(F.col("box"), F.col("cbox")))
-    rank = F.when(F.col("exact"), 0).when(F.col("iou") > 0, 1).when(F.col("n") == 1, 2).otherwise(3)
+    corner = lambda i: (F.floor if i < 2 else F.ceil)(F.get("box", F.lit(i))).cast("double")
+    whole = instances.withColumn("_box", F.when(F.col("box").isNotNull(), F.array(*(corner(i) for i in range(4)))))
+    j = whole.join(c, image, "left").withColumn("exact", F.col("component_id") == F.col("component")).withColumn("iou", F.when(F.col("box").isNotNull(), B.box_iou(F.col("_box"), F.col("cbox"))))
+    rank = F.when(F.col("component").isNull(), 3).when(F.col("exact"), 0).when(F.col("box").isNotNull(), 1).when(F.col("n") == 1, 2).otherwise(3)
     order = Window.partitionBy(image, *key).orderBy("_rank", F.desc("iou"), "component")
     top = j.withColumn("_rank", rank).withColumn("_r", F.row_number().over(order)).where("_r = 1")
     how = F.when(F.col("_rank") == 0, "exact").when(F.col("_rank") == 1, "overlap").when(F.col("_rank") == 2, "single")

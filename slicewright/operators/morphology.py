@@ -132,21 +132,24 @@ def surface(m: np.ndarray) -> np.ndarray:
     return m & ~inner
 
 
-def distance_to(m: np.ndarray, spacing: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
-    """The exact Euclidean distance of every pixel to the nearest of the mask; infinite if it is empty.
+def distance_to(m: np.ndarray, spacing: tuple[float, ...] | None = None) -> np.ndarray:
+    """The exact Euclidean distance of every pixel or voxel to the nearest of the mask; infinite if it is empty.
 
-    First along the columns, then the least over all sideways shifts: memory stays that of a few images.
+    First along the first axis, then the least over all shifts along each other: memory stays that of a few images.
     """
-    h, w = m.shape
-    rows = np.arange(h, dtype=float)[:, None]
+    spacing = spacing or (1.0,) * m.ndim
+    rows = np.arange(m.shape[0], dtype=float).reshape(-1, *(1,) * (m.ndim - 1))
     above = np.maximum.accumulate(np.where(m, rows, -np.inf), axis=0)
     below = np.minimum.accumulate(np.where(m, rows, np.inf)[::-1], axis=0)[::-1]
-    g = (np.minimum(rows - above, below - rows) * spacing[0]) ** 2
-    best = g.copy()
-    for dx in range(1, w):
-        cost = (dx * spacing[1]) ** 2
-        np.minimum(best[:, dx:], g[:, :-dx] + cost, out=best[:, dx:])
-        np.minimum(best[:, :-dx], g[:, dx:] + cost, out=best[:, :-dx])
+    best = (np.minimum(rows - above, below - rows) * spacing[0]) ** 2
+    for axis in range(1, m.ndim):
+        g = np.moveaxis(best, axis, -1)
+        out = g.copy()
+        for dx in range(1, g.shape[-1]):
+            cost = (dx * spacing[axis]) ** 2
+            np.minimum(out[..., dx:], g[..., :-dx] + cost, out=out[..., dx:])
+            np.minimum(out[..., :-dx], g[..., dx:] + cost, out=out[..., :-dx])
+        best = np.moveaxis(out, -1, axis)
     return np.sqrt(best)
 
 
@@ -169,6 +172,35 @@ def distance_table(df: DataFrame, key: str, a: str, b: str, h: int, w: int, spac
     return map_dense(df.select(key, a, b), one, [key], f"{key} {kind}, side string, pos int, distance double")
 
 
+def corner_codes(volume: np.ndarray) -> np.ndarray:
+    """The code of every 2 x 2 x 2 cell of a volume, one more along each axis: the sum of its voxels' weights."""
+    from slicewright.operators.raster import CORNER_WEIGHTS
+
+    p = np.pad(volume.astype(np.int16), 1)
+    d, h, w = (n + 1 for n in volume.shape)
+    return sum(k * p[dz : dz + d, dy : dy + h, dx : dx + w] for (dz, dy, dx), k in CORNER_WEIGHTS.items())
+
+
+def volume_distance_table(df: DataFrame, key: str, a: str, b: str, shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """key, side (a or b), code, distance of each surface cell of two dense volumes (flat, by z, y, x).
+
+    A cell is surface if its code is neither 0 nor 255; its area depends on its code and the spacing, and is
+    joined by the caller who has a table of areas.
+    """
+
+    def one(r) -> list[tuple]:
+        codes = [corner_codes(np.asarray(getattr(r, n)).reshape(shape) > 0) for n in (a, b)]
+        faces = [(c != 0) & (c != 255) for c in codes]
+        out = []
+        for side, own, other, code in (("a", faces[0], faces[1], codes[0]), ("b", faces[1], faces[0], codes[1])):
+            far = distance_to(other, spacing)[own]
+            out += [(side, int(c), float(x)) for c, x in zip(code[own], far)]
+        return out
+
+    kind = df.schema[key].dataType.simpleString()
+    return map_dense(df.select(key, a, b), one, [key], f"{key} {kind}, side string, code int, distance double")
+
+
 def interpolate_labels(df: DataFrame, case: str, z: str, values: str, h: int, w: int) -> DataFrame:
     """case, z, values for the slices between two labelled ones: where the blend of their signed distances is inside.
 

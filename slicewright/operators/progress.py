@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from slicewright.session import share_package
 
-TERMINAL = ("finished", "failed")
+#: The states that end a stage.
+TERMINAL = ("success", "failed", "skipped")
 
 
 def latest_state(log: DataFrame, key: list[str], ts: str, status: str, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
-    """key, started_at, last_update_at, status (of the last update; of equals the greatest), finished_at (the first terminal update), n_updates."""
+    """key, started_at, last_update_at, status (of the last update; of equals the greatest), finished_at (the last terminal update), n_updates."""
     return log.groupBy(*key).agg(
         F.min(ts).alias("started_at"), F.max(ts).alias("last_update_at"), F.max(F.struct(ts, status))[status].alias("status"),
-        F.min(F.when(F.col(status).isin(*terminal), F.col(ts))).alias("finished_at"), F.count(F.lit(1)).alias("n_updates"),
+        F.max(F.when(F.col(status).isin(*terminal), F.col(ts))).alias("finished_at"), F.count(F.lit(1)).alias("n_updates"),
     )
 
 
@@ -28,10 +29,10 @@ def merged_stats(log: DataFrame, key: list[str], ts: str, stats: str) -> DataFra
 
 
 def scalar_stats(json: str) -> Column:
-    """The scalar fields of a JSON object as a map of text; nested ones, nulls and broken objects are left out."""
+    """The scalar fields of a JSON object as a map of text, nulls included; nested ones and broken objects are left out."""
     v = F.try_parse_json(json).cast("map<string,variant>")
     kind = lambda x: F.schema_of_variant(x)
-    kept = F.map_filter(v, lambda k, x: ~kind(x).startswith("OBJECT") & ~kind(x).startswith("ARRAY") & (kind(x) != "VOID"))
+    kept = F.map_filter(v, lambda k, x: ~kind(x).startswith("OBJECT") & ~kind(x).startswith("ARRAY"))
     return F.transform_values(kept, lambda k, x: x.cast("string"))
 
 

@@ -65,26 +65,39 @@ def to_dense(df: DataFrame, key: str, hw: str = "mask_hw", counts: str = "counts
     return df.where(F.col(hw).isNotNull() & F.col(counts).isNotNull()).select(key, hw, counts).mapInArrow(run, f"{key} {kind}, h int, w int, values array<tinyint>")
 
 
-def resample(df: DataFrame, key: str, new_h: Column, new_w: Column, canvas_h: Column, canvas_w: Column, hw: str = "mask_hw", counts: str = "counts") -> DataFrame:
-    """key, mask_hw, counts of run-length masks resized by nearest neighbour (floor of target x source / size) and padded to a canvas."""
+def resample(
+    df: DataFrame, key: str, new_h: Column, new_w: Column, canvas_h: Column, canvas_w: Column,
+    offset_y: Column | None = None, offset_x: Column | None = None, crop: tuple[Column, Column, Column, Column] | None = None, hw: str = "mask_hw", counts: str = "counts",
+) -> DataFrame:
+    """key, mask_hw, counts of run-length masks cropped (y, x, h, w), resized by nearest neighbour, and laid on a canvas at an offset.
+
+    Nearest is the floor of target x source / size, in integers. What lies beyond the canvas is cut off. From
+    native to a canvas: resize and lay; back: crop and resize to the native size.
+    """
     share_package(df.sparkSession)
+    zero = F.lit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, sizes = [], []
-            for hw_, runs, nh, nw, ch, cw in zip(*(b.column(i).to_pylist() for i in range(1, 7))):
-                h, w = hw_
-                m = decode_runs(np.asarray(runs, np.int64), h, w)
+            for hw_, runs, nh, nw, ch, cw, oy, ox, *part in zip(*(b.column(i).to_pylist() for i in range(1, b.num_columns))):
+                m = decode_runs(np.asarray(runs, np.int64), *hw_)
+                if part:
+                    m = m[part[0] : part[0] + part[2], part[1] : part[1] + part[3]]
+                h, w = m.shape
                 y, x = np.arange(nh) * h // nh, np.arange(nw) * w // nw
                 canvas = np.zeros((ch, cw), bool)
-                canvas[:nh, :nw] = m[np.ix_(y, x)]
+                y0, x0, y1, x1 = max(0, oy), max(0, ox), min(ch, oy + nh), min(cw, ox + nw)
+                if h and w and y1 > y0 and x1 > x0:
+                    canvas[y0:y1, x0:x1] = m[np.ix_(y, x)][y0 - oy : y1 - oy, x0 - ox : x1 - ox]
                 out.append(encode_runs(canvas))
                 sizes.append(np.array([ch, cw]))
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(sizes, pa.int32()), _lists(out, pa.int32())], names=[key, "mask_hw", "counts"])
 
     kind = df.schema[key].dataType.simpleString()
     good = df.where(F.col(hw).isNotNull() & F.col(counts).isNotNull())
-    picked = good.select(key, F.col(hw).alias("_hw"), F.col(counts).alias("_c"), new_h.alias("_nh"), new_w.alias("_nw"), canvas_h.alias("_ch"), canvas_w.alias("_cw")).dropna()
+    numbers = [new_h, new_w, canvas_h, canvas_w, zero if offset_y is None else offset_y, zero if offset_x is None else offset_x, *(crop or ())]
+    picked = good.select(key, F.col(hw).alias("_hw"), F.col(counts).alias("_c"), *(n.cast("int").alias(f"_n{i}") for i, n in enumerate(numbers))).dropna()
     return picked.mapInArrow(run, f"{key} {kind}, mask_hw array<int>, counts array<int>")
 
 

@@ -265,9 +265,9 @@ def gap_closure(spark, d):
 
 def progress_state(spark, d):
     e = table(spark, d, "events")
-    status = F.when(c("event_type") == "purchase", "finished").when(c("event_type") == "error", "failed").otherwise("running")
+    status = F.when(c("event_type") == "purchase", "success").when(c("event_type") == "error", "failed").otherwise("running")
     st = progress.latest_state(e.withColumn("status", status), ["user_id"], "ts", "status")
-    return st.withColumn("elapsed", F.round(clock.elapsed_seconds(c("started_at"), F.coalesce("finished_at", "last_update_at")), 3))
+    return st.withColumn("elapsed", F.round(clock.elapsed_seconds(c("started_at"), c("last_update_at")), 3))
 
 
 def progress_stats(spark, d):
@@ -348,11 +348,11 @@ SELECT c AS "case", round(macro + 1e-7::DOUBLE, 5) AS macro, round(least + 1e-7:
     "weighted_percentile": "WITH f AS (SELECT l_suppkey, l_extendedprice, sum(l_quantity) AS w FROM lineitem GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) / sum(w) OVER (PARTITION BY l_suppkey) AS s FROM f) SELECT l_suppkey, min(l_extendedprice) FILTER (WHERE s >= 0.95::DOUBLE) AS l_extendedprice FROM r GROUP BY l_suppkey",
     "gap_closure": """WITH s AS (SELECT DISTINCT * FROM score_box_pool WHERE image_macro_iou IS NOT NULL AND NOT isnan(image_macro_iou)), p AS (SELECT dataset, round, sum(round(image_macro_iou * 1000000)::BIGINT)::DOUBLE / count(*) / 1e6::DOUBLE AS m FROM s GROUP BY ALL),
 f AS (SELECT dataset, arg_min(m, round) AS base, arg_max(m, round) AS ours, max(m) AS best FROM p GROUP BY dataset) SELECT dataset, round(ours - base, 5) AS gain, round((ours - base) / nullif(best - base, 0), 4) AS closed FROM f""",
-    "progress_state": """WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'finished' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events),
-s AS (SELECT user_id, min(ts) AS started_at, max(ts) AS last_update_at, arg_max(status, (ts, status)) AS status, min(ts) FILTER (WHERE status IN ('finished', 'failed')) AS finished_at, count(*) AS n_updates FROM e GROUP BY user_id)
-SELECT *, round(greatest(0, epoch_us(coalesce(finished_at, last_update_at)) - epoch_us(started_at)) / 1e6::DOUBLE, 3) AS elapsed FROM s""",
+    "progress_state": """WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events),
+s AS (SELECT user_id, min(ts) AS started_at, max(ts) AS last_update_at, arg_max(status, (ts, status)) AS status, max(ts) FILTER (WHERE status IN ('success', 'failed', 'skipped')) AS finished_at, count(*) AS n_updates FROM e GROUP BY user_id)
+SELECT *, round(greatest(0, epoch_us(last_update_at) - epoch_us(started_at)) / 1e6::DOUBLE, 3) AS elapsed FROM s""",
     "progress_stats": """WITH f AS (SELECT user_id, event_id, unnest(json_keys(props)) AS name, props FROM events), v AS (SELECT user_id, event_id, name, json_extract_string(props, '$."' || name || '"') AS value, json_type(json_extract(props, '$."' || name || '"')) AS t FROM f)
-SELECT user_id, name, arg_max(value, event_id) AS value FROM v WHERE t NOT IN ('OBJECT', 'ARRAY', 'NULL') GROUP BY user_id, name""",
+SELECT user_id, name, arg_max(value, event_id) AS value FROM v WHERE t NOT IN ('OBJECT', 'ARRAY') GROUP BY user_id, name""",
     "moving_mean": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) + 1e-7::DOUBLE, 4) AS moving_mean FROM events",
 }
 ORACLES = {f"cat_{k}": v for k, v in ORACLES.items()}

@@ -295,6 +295,18 @@ def surface_distance(spark, d):
     return a.join(b, "vec_id").join(h, "vec_id").select("vec_id", _r(c("mean_ab"), 5).alias("mean_ab"), _r(c("mean_ba"), 5).alias("mean_ba"), _r(c("overlap_a"), 5).alias("overlap_a"), _r(c("overlap_b"), 5).alias("overlap_b"), _r(c("surface_dice"), 5).alias("surface_dice"), _r(c("hausdorff"), 5).alias("hausdorff"))
 
 
+def volume_distance(spark, d):
+    """Distances between the surfaces of volumes, each of eight rasters, and the next one, by 2 x 2 x 2 cells."""
+    e = _emb(spark, d).select(F.floor(c("vec_id") / 8).alias("vol"), c("vec_id"), M.threshold(c("embedding")).alias("m"))
+    v = e.groupBy("vol").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "m"))), lambda x: x["m"])).alias("v"))  # eight rasters a volume
+    v = v.where(F.size("v") == 8 * SIDE * SIDE)
+    pairs = v.join(v.select((c("vol") - 1).alias("vol"), c("v").alias("w")), "vol")
+    s = morphology.volume_distance_table(pairs, "vol", "v", "w", (8, SIDE, SIDE), (2.0, 1.0, 1.5))
+    one = F.lit(1.0)
+    a = metrics.weighted_mean_distance(s, ["vol"], one).join(metrics.surface_overlap(s, ["vol"], 1.0, one), "vol").join(metrics.robust_hausdorff(s, ["vol"], 95.0, one), "vol")
+    return a.select("vol", *(_r(c(n), 4).alias(n) for n in ("mean_ab", "mean_ba", "surface_dice", "hausdorff")))
+
+
 def interpolated(spark, d):
     """Slices between the rasters of a label, which are taken to lie three slices apart for each vector id."""
     e = _emb(spark, d).select("label", (c("vec_id") * 3).cast("int").alias("z"), M.threshold(c("embedding")).alias("values"))
@@ -311,7 +323,7 @@ def nms(spark, d):
 NAMES = (
     overlaps, soft_dice, dense_boxes, stability, quality, rle_encode, rle_roundtrip, rle_measures, rotated, resized, resized_rle, box_pixels, box_cover, percentile_clip, minmax, tile_grid, crop_grid,
     point_grids, batch_numbers, neighbour_codes, components, component_summary, component_top8, component_largest, component_area_filter, component_tiny, component_artefacts, raster_components,
-    small_regions, same_class, resolved, resolver_stats, rebuilt, best_of_three, proposals, reweighted, overwritten, surface_distance, interpolated, nms,
+    small_regions, same_class, resolved, resolver_stats, rebuilt, best_of_three, proposals, reweighted, overwritten, surface_distance, volume_distance, interpolated, nms,
 )
 QUERIES = {"hard_case_ranking": hard_case_ranking} | {f"mask_{f.__name__}": f for f in NAMES}
 
@@ -433,6 +445,13 @@ hh AS (SELECT vec_id, max(d) AS d FROM (SELECT vec_id, side, min(dist) FILTER (W
 SELECT vec_id, round(avg(dist) FILTER (WHERE side = 'a') + {_N}, 5) AS mean_ab, round(avg(dist) FILTER (WHERE side = 'b') + {_N}, 5) AS mean_ba,
   round(avg((dist <= 1)::INTEGER::DOUBLE) FILTER (WHERE side = 'a') + {_N}, 5) AS overlap_a, round(avg((dist <= 1)::INTEGER::DOUBLE) FILTER (WHERE side = 'b') + {_N}, 5) AS overlap_b,
   round(avg((dist <= 1)::INTEGER::DOUBLE) + {_N}, 5) AS surface_dice, round(any_value(d) + {_N}, 5) AS hausdorff FROM ab JOIN hh USING (vec_id) GROUP BY vec_id""",
+    "volume_distance": f"""WITH {_PX}, full8 AS (SELECT vec_id // 8 AS vol FROM embeddings GROUP BY 1 HAVING count(*) = 8), vox AS (SELECT vec_id // 8 AS vol, vec_id % 8 AS z, pos // 8 AS y, pos % 8 AS x FROM px WHERE v > 0 AND vec_id // 8 IN (SELECT vol FROM full8)),
+k AS (SELECT unnest(range(8)) AS b), cells AS (SELECT vol, z - (b // 4) AS z, y - (b // 2 % 2) AS y, x - (b % 2) AS x, sum(128 >> b) AS code FROM vox, k GROUP BY ALL), sf AS (SELECT * FROM cells WHERE code <> 255),
+pr AS (SELECT vol FROM full8 WHERE vol + 1 IN (SELECT vol FROM full8)),
+ab AS (SELECT pr.vol, 'a' AS side, p.z, p.y, p.x, sqrt(min(4.0::DOUBLE * (p.z - q.z) ** 2 + (p.y - q.y) ** 2 + 2.25::DOUBLE * (p.x - q.x) ** 2)) AS d FROM pr JOIN sf p ON p.vol = pr.vol JOIN sf q ON q.vol = pr.vol + 1 GROUP BY ALL
+  UNION ALL SELECT pr.vol, 'b', p.z, p.y, p.x, sqrt(min(4.0::DOUBLE * (p.z - q.z) ** 2 + (p.y - q.y) ** 2 + 2.25::DOUBLE * (p.x - q.x) ** 2)) FROM pr JOIN sf p ON p.vol = pr.vol + 1 JOIN sf q ON q.vol = pr.vol GROUP BY ALL),
+h AS (SELECT vol, side, d, row_number() OVER (PARTITION BY vol, side ORDER BY d) AS r, count(*) OVER (PARTITION BY vol, side) AS n FROM ab), hh AS (SELECT vol, max(d) AS hd FROM (SELECT vol, side, min(d) FILTER (WHERE r::DOUBLE / n >= 0.95::DOUBLE) AS d FROM h GROUP BY ALL) GROUP BY vol)
+SELECT vol, round(avg(d) FILTER (WHERE side = 'a') + {_N}, 4) AS mean_ab, round(avg(d) FILTER (WHERE side = 'b') + {_N}, 4) AS mean_ba, round(avg((d <= 1)::INTEGER::DOUBLE) + {_N}, 4) AS surface_dice, round(any_value(hd) + {_N}, 4) AS hausdorff FROM ab JOIN hh USING (vol) GROUP BY vol""",
 }
 ORACLES = {f"mask_{k}": v for k, v in ORACLES.items()}
 ORACLES["hard_case_ranking"] = f"""WITH {_PAIR}, s AS (SELECT label, round(CASE WHEN a + b - i = 0 THEN 0.0::DOUBLE ELSE i::DOUBLE / (a + b - i) END * 1000000)::BIGINT AS u, b = 0 AS e FROM o),

@@ -73,17 +73,21 @@ def _flat(b, prefix: str) -> list:
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     """Instance boxes beside the transform of their slice (its first writing)."""
     p = table(spark, d, "prompts_train").select("slice_name", F.posexplode("instances").alias("k", "i")).select("slice_name", "k", c("i.bbox_native").alias("nb"), c("i.bbox_teacher").alias("tb"), c("i.component_id").alias("cc")).where("nb is not null").distinct()
-    g = table(spark, d, "geometry_meta").where("native_to_teacher is not null").groupBy("slice_name").agg(F.min(F.struct("written_at", "native_to_teacher.orig_h", "native_to_teacher.orig_w", "native_to_teacher.target_h", "native_to_teacher.target_w", "native_to_teacher.scale_x", "native_to_teacher.scale_y", "native_to_teacher.offset_x", "native_to_teacher.offset_y")).alias("g"))
+    g = table(spark, d, "geometry_meta").where("native_to_teacher is not null").groupBy("slice_name").agg(F.min(F.struct("written_at", F.col("native_hw")[0].alias("nh"), F.col("native_hw")[1].alias("nw"), F.col("teacher_to_native.crop_h").alias("crop_h"), F.col("teacher_to_native.crop_w").alias("crop_w"), "native_to_teacher.orig_h", "native_to_teacher.orig_w", "native_to_teacher.target_h", "native_to_teacher.target_w", "native_to_teacher.scale_x", "native_to_teacher.scale_y", "native_to_teacher.offset_x", "native_to_teacher.offset_y")).alias("g"))
     return p.join(g, "slice_name")
 
 
+def _sizes():
+    return box.geometry_sizes(F.array("g.nh", "g.nw"), F.col("g"), F.array("g.target_h", "g.target_w"))
+
+
 def boxes_to_teacher(spark: SparkSession, d: str) -> DataFrame:
     df = _boxes(spark, d).withColumn("t", box.native_to_teacher(c("nb"), c("g")))
     return df.select("slice_name", "k", "cc", *_flat(c("nb"), "n"), *_flat(c("t"), "t")).distinct()
 
 
 def boxes_to_native(spark: SparkSession, d: str) -> DataFrame:
-    df = _boxes(spark, d).where("tb is not null").withColumn("back", box.teacher_to_native(c("tb"), c("g.orig_h"), c("g.orig_w"), c("g.target_h"), c("g.target_w")))
+    df = _boxes(spark, d).where("tb is not null").withColumn("back", box.teacher_to_native(c("tb"), _sizes()))
     return df.select("slice_name", "k", "cc", *_flat(c("tb"), "t"), *_flat(c("back"), "n")).distinct()
 
 
@@ -98,7 +102,7 @@ def box_clip(spark: SparkSession, d: str) -> DataFrame:
 
 def box_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of each instance's native box, moved forth and back, with itself; and whether it is near a crop's edge."""
-    df = _boxes(spark, d).where("tb is not null").withColumn("back", box.teacher_to_native(c("tb"), c("g.orig_h"), c("g.orig_w"), c("g.target_h"), c("g.target_w")))
+    df = _boxes(spark, d).where("tb is not null").withColumn("back", box.teacher_to_native(c("tb"), _sizes()))
     df = df.withColumn("moved", box.uncrop_box(c("nb"), F.array(F.lit(10.0), F.lit(20.0))))
     crop = F.array(F.lit(100.0), F.lit(100.0), F.lit(300.0), F.lit(300.0))
     return df.select("slice_name", "k", "cc", *_flat(c("nb"), "n"), F.round(box.box_iou(c("nb"), c("back")), 4).alias("iou"), box.near_crop_edge(c("moved"), crop, c("g.orig_h"), c("g.orig_w")).alias("edge")).distinct()
@@ -117,8 +121,7 @@ def canvas(spark: SparkSession, d: str) -> DataFrame:
 def spacing(spark: SparkSession, d: str) -> DataFrame:
     """Spacing in z, y, x order with its source."""
     m = table(spark, d, "manifest").where("slice_name is not null").select("slice_name", "ingested_at", "spacing", "spacing_xyz", "spacing_zyx").distinct()
-    none = F.lit(None).cast("array<double>")
-    r = box.resolve_spacing(c("spacing_zyx"), c("spacing_xyz"), c("spacing"), none)
+    r = box.resolve_spacing({n: c(n) for n in ("spacing_zyx", "spacing_xyz", "spacing")})
     return m.select("slice_name", "ingested_at", F.array_join(F.transform(r["zyx"], lambda v: F.round(v, 4).cast("string")), ",").alias("zyx"), r["source"].alias("source")).distinct()
 
 
@@ -134,9 +137,9 @@ _BASE = r"regexp_extract(file_path, '([^/\\]*)$', 1)"
 _SQL_BOXES = """
 p0 AS (SELECT slice_name, unnest(instances) AS i, generate_subscripts(instances, 1) - 1 AS k FROM prompts_train),
 p AS (SELECT DISTINCT slice_name, k::INTEGER AS k, i.bbox_native AS nb, i.bbox_teacher AS tb, i.component_id AS cc FROM p0 WHERE i.bbox_native IS NOT NULL),
-g1 AS (SELECT slice_name, written_at, native_to_teacher AS t FROM geometry_meta WHERE native_to_teacher IS NOT NULL),
-g AS (SELECT slice_name, t FROM (SELECT *, row_number() OVER (PARTITION BY slice_name ORDER BY written_at, t.orig_h, t.orig_w, t.target_h, t.target_w, t.scale_x, t.scale_y) AS r FROM g1) WHERE r = 1),
-b AS (SELECT p.*, g.t FROM p JOIN g USING (slice_name))
+g1 AS (SELECT slice_name, written_at, native_to_teacher AS t, native_hw[1] AS nh, native_hw[2] AS nw, teacher_to_native.crop_h AS ch, teacher_to_native.crop_w AS cw FROM geometry_meta WHERE native_to_teacher IS NOT NULL),
+g AS (SELECT slice_name, t, nh, nw, coalesce(ch, t.target_h, 1024) AS ch, coalesce(cw, t.target_w, 1024) AS cw FROM (SELECT *, row_number() OVER (PARTITION BY slice_name ORDER BY written_at, nh NULLS FIRST, nw NULLS FIRST, ch NULLS FIRST, cw NULLS FIRST, t.orig_h, t.orig_w, t.target_h, t.target_w, t.scale_x, t.scale_y) AS r FROM g1) WHERE r = 1),
+b AS (SELECT p.*, g.* EXCLUDE (slice_name) FROM p JOIN g USING (slice_name))
 """
 
 
@@ -152,7 +155,7 @@ def _rounded(prefix: str, *cols: str) -> str:
 
 _N = _rounded("n", "nb[1]", "nb[2]", "nb[3]", "nb[4]")
 _T = _rounded("t", "tb[1]", "tb[2]", "tb[3]", "tb[4]")
-_BACK = _clip_sql("tb[1] * (t.orig_w::DOUBLE / t.target_w)", "tb[2] * (t.orig_h::DOUBLE / t.target_h)", "tb[3] * (t.orig_w::DOUBLE / t.target_w)", "tb[4] * (t.orig_h::DOUBLE / t.target_h)", "t.orig_w::DOUBLE", "t.orig_h::DOUBLE")
+_BACK = _clip_sql("tb[1] * (nw::DOUBLE / greatest(cw, 1))", "tb[2] * (nh::DOUBLE / greatest(ch, 1))", "tb[3] * (nw::DOUBLE / greatest(cw, 1))", "tb[4] * (nh::DOUBLE / greatest(ch, 1))", "nw::DOUBLE", "nh::DOUBLE")
 _AREA = "greatest(0.0, {0}[3] - {0}[1] + 1) * greatest(0.0, {0}[4] - {0}[2] + 1)"
 
 ORACLES = {
@@ -161,14 +164,14 @@ ORACLES = {
   CASE WHEN {_BASE} LIKE '%.nii.gz' THEN '.nii.gz' WHEN {_BASE} LIKE '%.npy.h5' THEN '.h5' ELSE lower(regexp_extract({_BASE}, '.([.][^.]+)$', 1)) END AS suffix,
   regexp_replace(replace(replace(trim(file_path), '/', '_'), '\', '_'), '\s+', '_', 'g') AS sane,
   lower(replace(replace(trim(case_id), '-', '_'), ' ', '_')) AS normed,
-  regexp_replace({_BASE}, '[^\p{{L}}\p{{N}}_-]', '_', 'g') AS tag,
-  coalesce(nullif(regexp_replace(slice_name, '[^\p{{L}}\p{{N}}_.-]', '_', 'g'), ''), 'unknown') AS safe FROM gts WHERE file_path IS NOT NULL""",
+  CASE WHEN trim({_BASE}) = '' THEN '' ELSE '_' || regexp_replace(trim({_BASE}), '[^\p{{L}}\p{{N}}_-]', '_', 'g') END AS tag,
+  regexp_replace(coalesce(nullif(trim(slice_name), ''), 'unknown'), '[^\p{{L}}\p{{N}}_.-]', '_', 'g') AS safe FROM gts WHERE file_path IS NOT NULL""",
     "sample_names": "SELECT s || '__' || c || CASE WHEN slice_idx IS NULL THEN '' ELSE '__z' || CASE WHEN slice_idx > 999 THEN slice_idx::VARCHAR ELSE lpad(slice_idx::VARCHAR, 3, '0') END END || '.npy' AS name, slice_idx FROM (SELECT DISTINCT lower(trim(split)) AS s, trim(case_id) AS c, slice_idx FROM manifest WHERE split IS NOT NULL AND case_id IS NOT NULL)",
     "pair_ids": r"""SELECT DISTINCT regexp_replace(slice_name, '[.][^.]+$', '') || '__i' || lpad(k::VARCHAR, 3, '0') || '_c' || i.component_id::VARCHAR AS pair_id, i.label_id AS label_id
 FROM (SELECT slice_name, unnest(instances) AS i, generate_subscripts(instances, 1) - 1 AS k FROM prompts_train)""",
     "key_parts": r"""SELECT slice_name, nullif(regexp_extract(slice_name, '_(\d{8})', 1), '') AS case_no, nullif(regexp_extract(slice_name, '__z(\d+)', 1), '')::INTEGER AS z,
-  CASE WHEN s LIKE '%\_h' ESCAPE '\' THEN 'healthy' WHEN s LIKE '%\_dr' ESCAPE '\' THEN 'dr' WHEN s LIKE '%\_g' ESCAPE '\' THEN 'glaucoma' END AS kind
-FROM (SELECT DISTINCT slice_name, lower(regexp_replace(slice_name, '[.][^.]+$', '')) AS s FROM manifest WHERE slice_name IS NOT NULL)""",
+  CASE WHEN s LIKE '%\_h' ESCAPE '\' THEN 'h' WHEN s LIKE '%\_dr' ESCAPE '\' THEN 'dr' WHEN s LIKE '%\_g' ESCAPE '\' THEN 'g' END AS kind
+FROM (SELECT DISTINCT slice_name, regexp_replace(slice_name, '[.][^.]+$', '') AS s FROM manifest WHERE slice_name IS NOT NULL)""",
     "comma_lists": """SELECT p_partkey, p_name || '|' || p_type AS items, replace(replace(replace(replace(replace('<b class=''x''>' || p_name || '&"</b>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html FROM part""",
     "times": """WITH e AS (SELECT *, greatest(0::BIGINT, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-02')) AS us FROM events),
 s AS (SELECT *, us // 1000000 AS s, round(us / 1e6, 3) AS secs, floor(round(us / 1e6, 3) * 1000)::BIGINT AS ms FROM e)
@@ -204,11 +207,11 @@ SELECT DISTINCT slice_name, nh AS new_h, nw AS new_w, t.target_w - nw AS pad_rig
     CASE WHEN t.pad_bottom IS DISTINCT FROM t.target_h - nh THEN 'pad_bottom' END, CASE WHEN t.offset_x IS DISTINCT FROM 0 THEN 'offset_x' END, CASE WHEN t.offset_y IS DISTINCT FROM 0 THEN 'offset_y' END) AS wrong FROM n""",
 }
 _SPACING = """
-r AS (SELECT DISTINCT slice_name, ingested_at, CASE WHEN zyx THEN spacing_zyx WHEN xyz THEN list_reverse(spacing_xyz) WHEN leg THEN list_reverse(spacing) END AS v,
-  CASE WHEN zyx THEN 'spacing_zyx' WHEN xyz THEN 'spacing_xyz' WHEN leg THEN 'spacing' END AS source FROM (SELECT *,
-  coalesce(len(spacing_zyx) = 3 AND len(list_filter(spacing_zyx, lambda x: x IS NOT NULL AND NOT isnan(x) AND x > 0)) = 3, false) AS zyx,
-  coalesce(len(spacing_xyz) = 3 AND len(list_filter(spacing_xyz, lambda x: x IS NOT NULL AND NOT isnan(x) AND x > 0)) = 3, false) AS xyz,
-  coalesce(len(spacing) = 3 AND len(list_filter(spacing, lambda x: x IS NOT NULL AND NOT isnan(x) AND x > 0)) = 3, false) AS leg FROM manifest WHERE slice_name IS NOT NULL)),
+r AS (SELECT DISTINCT slice_name, ingested_at, CASE WHEN zyx THEN spacing_zyx[1:3] WHEN xyz THEN list_reverse(spacing_xyz[1:3]) WHEN leg THEN list_reverse(spacing[1:3]) END AS v,
+  CASE WHEN zyx THEN 'manifest.spacing_zyx' WHEN xyz THEN 'manifest.spacing_xyz' WHEN leg THEN 'manifest.spacing_legacy_xyz' END AS source FROM (SELECT *,
+  coalesce(len(spacing_zyx) >= 3 AND len(list_filter(spacing_zyx[1:3], lambda x: x IS NOT NULL AND isfinite(x) AND x > 0)) = 3, false) AS zyx,
+  coalesce(len(spacing_xyz) >= 3 AND len(list_filter(spacing_xyz[1:3], lambda x: x IS NOT NULL AND isfinite(x) AND x > 0)) = 3, false) AS xyz,
+  coalesce(len(spacing) >= 3 AND len(list_filter(spacing[1:3], lambda x: x IS NOT NULL AND isfinite(x) AND x > 0)) = 3, false) AS leg FROM manifest WHERE slice_name IS NOT NULL)),
 out AS (SELECT DISTINCT slice_name, ingested_at, array_to_string(list_transform(v, lambda x: round(x, 4)::VARCHAR), ',') AS zyx, source FROM r)
 """
 ORACLES |= {

@@ -92,14 +92,14 @@ _IN = """
 pf AS (SELECT slice_name, instances FROM (SELECT *, row_number() OVER (PARTITION BY slice_name ORDER BY written_at, len(instances) NULLS FIRST, a NULLS FIRST, t NULLS FIRST, b NULLS FIRST) AS r FROM
   (SELECT *, list_sum(list_transform(instances, lambda x: coalesce(x.area_native, 0))) AS a, array_to_string(list_transform(instances, lambda x: x.component_id), ',') AS t,
    array_to_string(list_transform(instances, lambda x: coalesce(array_to_string(x.bbox_native, ','), 'none')), ';') AS b FROM prompts_train)) WHERE r = 1),
-inst AS (SELECT slice_name, unnest(instances) AS i, generate_subscripts(instances, 1) - 1 AS k FROM pf),
+inst AS (SELECT slice_name, i, k, [floor(i.bbox_native[1]), floor(i.bbox_native[2]), ceil(i.bbox_native[3]), ceil(i.bbox_native[4])] AS wb FROM (SELECT slice_name, unnest(instances) AS i, generate_subscripts(instances, 1) - 1 AS k FROM pf)),
 firsts AS (SELECT slice_name, min(file_id) AS file_id FROM gts WHERE slice_name IS NOT NULL GROUP BY 1),
 sc AS (SELECT f.slice_name, component, [x1, y1, x2, y2] AS b, count(*) OVER (PARTITION BY f.slice_name) AS n FROM comp JOIN firsts f USING (file_id)),
-j AS (SELECT inst.slice_name, k, i.component_id AS cid, i.bbox_native AS a, component, b, n,
-  greatest(0.0, least(i.bbox_native[3], b[3]) - greatest(i.bbox_native[1], b[1]) + 1) * greatest(0.0, least(i.bbox_native[4], b[4]) - greatest(i.bbox_native[2], b[2]) + 1) AS inter FROM inst LEFT JOIN sc USING (slice_name)),
-o AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE coalesce(inter / nullif(greatest(0.0, a[3] - a[1] + 1) * greatest(0.0, a[4] - a[2] + 1) + (b[3] - b[1] + 1) * (b[4] - b[2] + 1) - inter, 0), 0.0) END AS iou FROM j),
-k2 AS (SELECT *, CASE WHEN cid = component THEN 0 WHEN iou > 0 THEN 1 WHEN n = 1 THEN 2 ELSE 3 END AS rk FROM o),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slice_name, k ORDER BY rk, iou DESC, component) AS r FROM k2) WHERE r = 1)
+j AS (SELECT inst.slice_name, k, i.component_id AS cid, CASE WHEN i.bbox_native IS NOT NULL THEN wb END AS a, component, b, n,
+  greatest(0.0, least(wb[3], b[3]) - greatest(wb[1], b[1]) + 1) * greatest(0.0, least(wb[4], b[4]) - greatest(wb[2], b[2]) + 1) AS inter FROM inst LEFT JOIN sc USING (slice_name)),
+o AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE coalesce(inter / nullif(greatest(0.0, a[3] - a[1] + 1) * greatest(0.0, a[4] - a[2] + 1) + (b[3] - b[1] + 1) * (b[4] - b[2] + 1) - inter, 0), 0.0) END AS iou FROM j),
+k2 AS (SELECT *, CASE WHEN component IS NULL THEN 3 WHEN cid = component THEN 0 WHEN a IS NOT NULL THEN 1 WHEN n = 1 THEN 2 ELSE 3 END AS rk FROM o),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slice_name, k ORDER BY rk, iou DESC NULLS LAST, component) AS r FROM k2) WHERE r = 1)
 """
 _AT = f"{masks._EV}, pxl AS (SELECT slice, pos // 8 AS y, pos % 8 AS x, value FROM res)"
 

@@ -83,7 +83,7 @@ def test_throttle_is_greedy(spark):
 def test_scalar_stats(spark):
     df = spark.createDataFrame([('{"a": 1, "b": "x", "c": [1], "d": {"e": 1}, "f": null, "g": true}',), ("broken",), (None,)], "j string")
     got = [r[0] for r in df.select(progress.scalar_stats("j")).collect()]
-    assert got == [{"a": "1", "b": "x", "g": "true"}, None, None]
+    assert got == [{"a": "1", "b": "x", "f": None, "g": "true"}, None, None]
 
 
 def test_hybrid_supervision(spark):
