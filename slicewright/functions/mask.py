@@ -21,6 +21,28 @@ def threshold(values: Column, at: float = 0.0) -> Column:
     return F.transform(values, lambda v: F.when(v > at, 1).otherwise(0))
 
 
+#: Data sets whose masks are grey and split at 128; all others are foreground above 0.
+GREY_MASKS = ("tn3k", "tg3k", "kvasirseg")
+
+
+def binarize(values: Column, dataset: Column) -> Column:
+    """A mask of 0 and 1 by the rule of its data set: from 128 on for grey masks, else above 0."""
+    grey = F.lower(F.translate(F.trim(dataset), "- ", "__")).isin(*GREY_MASKS)
+    return F.transform(values, lambda v: F.when(v >= F.when(grey, 128).otherwise(1), 1).otherwise(0))
+
+
+def mask_audit(values: Column, head: int = 12) -> Column:
+    """What a raw mask holds: pixels above 0, from 128 on, equal to 255; how many different values, the least and the greatest of them."""
+    zero = F.lit(0).cast("bigint")
+    n = lambda test: F.aggregate(values, zero, lambda s, v: s + F.when(test(v), 1).otherwise(0))
+    distinct = F.array_sort(F.array_distinct(values))
+    tail = F.slice(distinct, F.greatest(F.lit(1), F.size(distinct) - head + 1), F.lit(head))
+    return F.struct(
+        n(lambda v: v > 0).alias("above_0"), n(lambda v: v >= 128).alias("from_128"), n(lambda v: v == 255).alias("equal_255"),
+        F.size(distinct).alias("n_values"), F.slice(distinct, 1, head).alias("head"), tail.alias("tail"),
+    )
+
+
 def dense_area(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, v: s + F.when(v > 0, 1).otherwise(0))
 

@@ -135,6 +135,20 @@ def percentile_bounds(df: DataFrame, key: list[str], value: str, low: float, hig
     return df.where(F.col(value) > 0).groupBy(*key).agg(F.percentile(value, F.lit(low / 100.0)).alias("lo"), F.percentile(value, F.lit(high / 100.0)).alias("hi"))
 
 
+def percentile_scale(df: DataFrame, key: list[str], value: str, low: float, high: float, name: str = "scaled") -> DataFrame:
+    """``df`` with the value clipped to its key's percentiles over positive values and scaled to [0, 1]; what isn't positive is 0, as is a key without range."""
+    j = df.join(percentile_bounds(df, key, value, low, high), key, "left")
+    v = F.greatest(F.col("lo"), F.least(F.col("hi"), F.col(value)))
+    scaled = F.when(F.col(value) > 0, F.coalesce(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))).otherwise(F.lit(0.0))
+    return j.withColumn(name, scaled).drop("lo", "hi")
+
+
+def window_min_max(df: DataFrame, key: list[str], value: str, low: float, high: float, name: str = "scaled") -> DataFrame:
+    """``df`` with the value clipped to an intensity window, then scaled to 0 to 255 by the least and greatest that occur in its key."""
+    clipped = df.withColumn("_v", F.greatest(F.lit(low), F.least(F.lit(high), F.col(value))))
+    return clipped.withColumn(name, min_max("_v", key) * 255.0).drop("_v")
+
+
 def min_max(value: str, key: list[str]) -> Column:
     """The value scaled to [0, 1] within its key; 0 where all are equal."""
     w = Window.partitionBy(*key)

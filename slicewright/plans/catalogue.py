@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewright.functions import clock, text
+from slicewright.functions import clock, number, text
 from slicewright.operators import catalog, detection, metrics, progress, scoring
 from slicewright.operators.catalog import plain
 from slicewright.session import table
@@ -57,6 +57,25 @@ def legacy_boxes(spark, d):
     return i.select("slice_name", "k", F.round(F.coalesce("i.bbox_teacher", "i.bbox")[0], 3).alias("x1"), F.when(c("i.bbox_teacher").isNotNull(), "bbox_teacher").when(c("i.bbox").isNotNull(), "bbox").otherwise("none").alias("origin"))
 
 
+def label_map(spark, d):
+    """Per data set the number of instances of each label, as a map in text."""
+    i = table(spark, d, "prompts_train").select("dataset_name", F.explode("instances.label_id").alias("l")).where("l is not null")
+    n = i.groupBy("dataset_name", "l").agg(F.count(F.lit(1)).alias("n"))
+    m = F.sort_array(F.collect_list(F.struct("l", "n")))  # a row a label
+    return n.groupBy("dataset_name").agg(F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["l"], x["n"])), " ").alias("labels"))
+
+
+def first_round(spark, d):
+    """The images annotated first: of the foreground images of each data set a quota by hash."""
+    p = table(spark, d, "prompts_train").where("size(instances) > 0 and case_id is not null").select("dataset_name", "case_id").distinct()
+    n = p.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("n"))
+    first = catalog.take_per_group(p, "case_id", "dataset_name", 5, SEED)  # five is the most a quota can be
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("dataset_name").orderBy(catalog.unit_order(SEED, c("case_id")), "case_id"))
+    return first.withColumn("place", place).join(n, "dataset_name").where(c("place") <= number.quota_2d(c("n"))).select("dataset_name", "case_id", "place")
+
+
 def foreground_slices(spark, d):
     """Live slices with at least one instance."""
     p = table(spark, d, "prompts_train").where(F.size("instances") > 0)
@@ -286,7 +305,7 @@ def throttled(spark, d):
 
 
 NAMES = (
-    duplicate_keys, sample_keys, counters, label_counts, prompt_stats, legacy_boxes, foreground_slices, missing_extra, three_way_join, stem_join, aux_left_join, prefix_join, split_lists, case_slices, dataset_names,
+    duplicate_keys, sample_keys, counters, label_counts, prompt_stats, label_map, first_round, legacy_boxes, foreground_slices, missing_extra, three_way_join, stem_join, aux_left_join, prefix_join, split_lists, case_slices, dataset_names,
     leakage, running_duplicates, last_size, partition_check, set_operations, cumulative_full, fixed_split, stratified_split, per_group, slice_index, incremental, contract, nearest_prompt, prompt_gaps, start_slices,
     round_summary, hard_ranking, image_scores, case_scores, worst_fifth, weighted_percentile, gap_closure, progress_state, progress_stats, moving_mean, throttled,
 )
@@ -304,6 +323,8 @@ ORACLES = {
     "counters": f"WITH {_LIVE} SELECT dataset_name, count(*) AS n, count(*) FILTER (WHERE sp = 'train') AS n_train, count(*) FILTER (WHERE sp = 'test') AS n_test, count(*) FILTER (WHERE has_fg) AS n_fg, count(*) FILTER (WHERE NOT has_fg) AS n_empty FROM live GROUP BY 1",
     "label_counts": "SELECT label_id, count(DISTINCT slice_name) AS n_slices, count(DISTINCT case_id) AS n_cases FROM (SELECT slice_name, case_id, unnest(instances).label_id AS label_id FROM prompts_train) GROUP BY 1",
     "prompt_stats": "SELECT dataset_name, count(*) AS n, count(*) FILTER (WHERE coalesce(len(instances), 0) = 0) AS n_empty, sum(coalesce(len(instances), 0))::BIGINT AS n_instances, max(coalesce(len(instances), 0))::INTEGER AS most, sum(CASE WHEN instances IS NOT NULL THEN coalesce(list_sum(list_transform(instances, lambda x: coalesce(x.area_native, 0))), 0) END)::BIGINT AS area FROM prompts_train GROUP BY 1",
+    "label_map": "WITH n AS (SELECT dataset_name, l, count(*) AS n FROM (SELECT dataset_name, unnest(instances).label_id AS l FROM prompts_train) WHERE l IS NOT NULL GROUP BY ALL) SELECT dataset_name, string_agg(l || ':' || n, ' ' ORDER BY l) AS labels FROM n GROUP BY dataset_name",
+    "first_round": f"WITH p AS (SELECT DISTINCT dataset_name, case_id FROM prompts_train WHERE len(instances) > 0 AND case_id IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY {_H}, case_id)::INTEGER AS place, count(*) OVER (PARTITION BY dataset_name) AS n FROM p) SELECT dataset_name, case_id, place FROM r WHERE place <= least(greatest(1, ceil(n / 100.0)), 5, n)",
     "legacy_boxes": "SELECT slice_name, k::INTEGER AS k, round(coalesce(i.bbox_teacher, i.bbox)[1], 3) AS x1, CASE WHEN i.bbox_teacher IS NOT NULL THEN 'bbox_teacher' WHEN i.bbox IS NOT NULL THEN 'bbox' ELSE 'none' END AS origin FROM (SELECT slice_name, unnest(instances) AS i, generate_subscripts(instances, 1) - 1 AS k FROM prompts_train)",
     "foreground_slices": f"WITH {_LIVE} SELECT DISTINCT slice_name, dataset_name FROM live WHERE slice_name IN (SELECT slice_name FROM prompts_train WHERE len(instances) > 0)",
     "missing_extra": f"WITH {_LIVE}, g AS (SELECT DISTINCT slice_name FROM geometry_meta) SELECT DISTINCT slice_name, 'missing' AS side FROM live WHERE slice_name NOT IN (SELECT slice_name FROM g) UNION ALL SELECT slice_name, 'extra' FROM g WHERE slice_name NOT IN (SELECT slice_name FROM live)",

@@ -130,6 +130,22 @@ def percentile_clip(spark, d):
     return j.groupBy("label").agg(F.round(F.first("lo"), 6).alias("lo"), F.round(F.first("hi"), 6).alias("hi"), F.count_if((c("v") > 0) & (c("v") < c("lo"))).alias("below"), F.count_if(c("v") > c("hi")).alias("above"))
 
 
+def audit(spark, d):
+    """Rasters as grey masks of 0 to 255: what they hold, and their area by both rules."""
+    grey = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v.cast("double") * 1000))).cast("int"))
+    e = _emb(spark, d).select("vec_id", grey.alias("g")).withColumn("a", M.mask_audit(c("g")))
+    area = lambda ds: M.dense_area(M.binarize(c("g"), F.lit(ds)))
+    return e.select("vec_id", "a.above_0", "a.from_128", "a.equal_255", "a.n_values", F.array_join("a.head", ",").alias("head"), F.array_join("a.tail", ",").alias("tail"), area("TN3K").alias("grey_area"), area("drive").alias("plain_area"))
+
+
+def intensity(spark, d):
+    """Values by label: clipped to percentiles and scaled, and through a window; per label what comes out."""
+    px = _emb(spark, d).select("vec_id", "label", F.explode("embedding").alias("f")).select("vec_id", "label", c("f").cast("double").alias("v"))
+    both = raster.window_min_max(raster.percentile_scale(px, ["label"], "v", 0.5, 99.5, "p"), ["label"], "v", -0.2, 0.2, "w")
+    milli = lambda n: F.sum(F.floor(c(n) * 1000 + NUDGE).cast("bigint"))
+    return both.groupBy("label").agg(milli("p").alias("p"), milli("w").alias("w"), F.count_if(c("p") == 1.0).alias("top"))
+
+
 def minmax(spark, d):
     """A table's values scaled to [0, 1] by group, and windowed intensities."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
@@ -321,7 +337,7 @@ def nms(spark, d):
 
 
 NAMES = (
-    overlaps, soft_dice, dense_boxes, stability, quality, rle_encode, rle_roundtrip, rle_measures, rotated, resized, resized_rle, box_pixels, box_cover, percentile_clip, minmax, tile_grid, crop_grid,
+    overlaps, soft_dice, dense_boxes, stability, quality, rle_encode, rle_roundtrip, rle_measures, rotated, resized, resized_rle, box_pixels, box_cover, percentile_clip, audit, intensity, minmax, tile_grid, crop_grid,
     point_grids, batch_numbers, neighbour_codes, components, component_summary, component_top8, component_largest, component_area_filter, component_tiny, component_artefacts, raster_components,
     small_regions, same_class, resolved, resolver_stats, rebuilt, best_of_three, proposals, reweighted, overwritten, surface_distance, volume_distance, interpolated, nms,
 )
@@ -392,6 +408,13 @@ SELECT vec_id, count(*) FILTER (WHERE v > 0) AS inclusive, any_value((x2 - x1 +
 SELECT slice, cls, count(*) AS n, sum(k)::BIGINT AS sum_pos FROM (SELECT DISTINCT slice, cls, k FROM b JOIN t ON k % 8 BETWEEN x1 AND x2 AND k // 8 BETWEEN y1 AND y2) GROUP BY slice, cls""",
     "percentile_clip": f"""WITH {_PX}, b AS (SELECT label, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM px WHERE v > 0 GROUP BY label)
 SELECT label, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, count(*) FILTER (WHERE v > 0 AND v < lo) AS below, count(*) FILTER (WHERE v > hi) AS above FROM px JOIN b USING (label) GROUP BY label""",
+    "audit": f"""WITH {_PX}, g AS (SELECT vec_id, least(255, greatest(0, floor(v * 1000)))::INTEGER AS g FROM px)
+SELECT vec_id, count(*) FILTER (WHERE g > 0) AS above_0, count(*) FILTER (WHERE g >= 128) AS from_128, count(*) FILTER (WHERE g = 255) AS equal_255, count(DISTINCT g)::INTEGER AS n_values,
+  array_to_string(list_sort(list(DISTINCT g))[1:12], ',') AS head, array_to_string(list_sort(list(DISTINCT g))[-12:], ',') AS tail, count(*) FILTER (WHERE g >= 128) AS grey_area, count(*) FILTER (WHERE g > 0) AS plain_area FROM g GROUP BY vec_id""",
+    "intensity": f"""WITH {_PX}, b AS (SELECT label, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM px WHERE v > 0 GROUP BY label),
+s AS (SELECT label, CASE WHEN v > 0 THEN (greatest(lo, least(hi, v)) - lo) / (hi - lo) ELSE 0.0::DOUBLE END AS p, greatest(-0.2::DOUBLE, least(0.2::DOUBLE, v)) AS c FROM px JOIN b USING (label)),
+t AS (SELECT *, (c - min(c) OVER (PARTITION BY label)) / (max(c) OVER (PARTITION BY label) - min(c) OVER (PARTITION BY label)) * 255.0::DOUBLE AS w FROM s)
+SELECT label, sum(floor(p * 1000 + {_N})::BIGINT)::BIGINT AS p, sum(floor(w * 1000 + {_N})::BIGINT)::BIGINT AS w, count(*) FILTER (WHERE p = 1) AS top FROM t GROUP BY label""",
     "minmax": """SELECT p_partkey, round(coalesce((p_retailprice - min(p_retailprice) OVER w) / nullif(max(p_retailprice) OVER w - min(p_retailprice) OVER w, 0), 0.0), 6) AS scaled,
   round((greatest(950.0::DOUBLE, least(1500.0::DOUBLE, p_retailprice)) - 950.0::DOUBLE) / 550.0::DOUBLE, 6) AS windowed FROM part WINDOW w AS (PARTITION BY p_brand)""",
     "tile_grid": """WITH g AS (SELECT DISTINCT slice_name, (native_hw[1] + 255) // 256 AS r, (native_hw[2] + 255) // 256 AS c FROM geometry_meta WHERE native_hw IS NOT NULL)

@@ -108,6 +108,16 @@ def box_overlap(spark: SparkSession, d: str) -> DataFrame:
     return df.select("slice_name", "k", "cc", *_flat(c("nb"), "n"), F.round(box.box_iou(c("nb"), c("back")), 4).alias("iou"), box.near_crop_edge(c("moved"), crop, c("g.orig_h"), c("g.orig_w")).alias("edge")).distinct()
 
 
+def points(spark: SparkSession, d: str) -> DataFrame:
+    """Centres of instances clipped into 400 x 300 and moved to an image whose longest side is 1024."""
+    p = table(spark, d, "prompts_train").select("slice_name", F.posexplode("instances").alias("k", "i")).select("slice_name", "k", F.array("i.centroid_native").alias("p")).where("p[0] is not null").distinct()
+    clipped = p.withColumn("q", box.clip_points(c("p"), F.lit(400), F.lit(300)))
+    shape = box.longest_side_shape(F.lit(300), F.lit(400), 1024)
+    moved = clipped.withColumn("m", box.scale_points(c("q"), F.lit(300), F.lit(400), shape["new_h"], shape["new_w"]))
+    r = lambda n, i: F.round(c(n)[0][i] + NUDGE, 4)
+    return moved.select("slice_name", "k", r("p", 0).alias("px"), r("q", 0).alias("qx"), r("q", 1).alias("qy"), r("m", 0).alias("mx"), r("m", 1).alias("my")).distinct()
+
+
 def canvas(spark: SparkSession, d: str) -> DataFrame:
     """Canvas geometry from sizes alone, with its inverse, against what was written."""
     df = table(spark, d, "geometry_meta").where("native_to_teacher is not null").select("slice_name", "native_to_teacher").distinct()
@@ -129,7 +139,7 @@ def spacing_sources(spark: SparkSession, d: str) -> DataFrame:
     return spacing(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (names, sample_names, pair_ids, key_parts, comma_lists, times, probabilities, budgets, boxes_to_teacher, boxes_to_native, box_clip, box_overlap, canvas, spacing, spacing_sources)}
+QUERIES = {f.__name__: f for f in (names, sample_names, pair_ids, key_parts, comma_lists, times, probabilities, budgets, boxes_to_teacher, boxes_to_native, box_clip, box_overlap, points, canvas, spacing, spacing_sources)}
 QUERIES = {f"fn_{k}": f for k, f in QUERIES.items()}
 
 _BASE = r"regexp_extract(file_path, '([^/\\]*)$', 1)"
@@ -198,6 +208,9 @@ FROM b, LATERAL {_clip_sql("nb[1]", "nb[2]", "nb[3]", "nb[4]", "(t.orig_w // 2):
 o AS (SELECT *, greatest(0.0, least(nb[3], v[3]) - greatest(nb[1], v[1]) + 1) * greatest(0.0, least(nb[4], v[4]) - greatest(nb[2], v[2]) + 1) AS inter, {_AREA.format("nb")} AS an, {_AREA.format("v")} AS av FROM m)
 SELECT DISTINCT slice_name, k, cc, {_N}, round(coalesce(inter / nullif(an + av - inter, 0), 0.0)::DOUBLE, 4) AS iou,
   (abs(nb[1] + 10 - 100) <= 20 AND abs(nb[1] + 10) > 20) OR (abs(nb[2] + 20 - 100) <= 20 AND abs(nb[2] + 20) > 20) OR (abs(nb[3] + 10 - 300) <= 20 AND abs(nb[3] + 10 - t.orig_w) > 20) OR (abs(nb[4] + 20 - 300) <= 20 AND abs(nb[4] + 20 - t.orig_h) > 20) AS edge FROM o""",
+    "points": f"""WITH p0 AS (SELECT slice_name, unnest(instances) AS i, generate_subscripts(instances, 1) - 1 AS k FROM prompts_train), p AS (SELECT slice_name, k::INTEGER AS k, i.centroid_native[1] AS x, i.centroid_native[2] AS y FROM p0 WHERE i.centroid_native IS NOT NULL),
+q AS (SELECT *, greatest(0.0::DOUBLE, least(399.0::DOUBLE, x)) AS qx, greatest(0.0::DOUBLE, least(299.0::DOUBLE, y)) AS qy FROM p)
+SELECT DISTINCT slice_name, k, round(x + {NUDGE}::DOUBLE, 4) AS px, round(qx + {NUDGE}::DOUBLE, 4) AS qx, round(qy + {NUDGE}::DOUBLE, 4) AS qy, round(qx * (1024::DOUBLE / 400) + {NUDGE}::DOUBLE, 4) AS mx, round(qy * (768::DOUBLE / 300) + {NUDGE}::DOUBLE, 4) AS my FROM q""",
     "canvas": """WITH g AS (SELECT DISTINCT slice_name, native_to_teacher AS t FROM geometry_meta WHERE native_to_teacher IS NOT NULL),
 s AS (SELECT *, least(t.target_h::DOUBLE / greatest(t.orig_h, 1), t.target_w::DOUBLE / greatest(t.orig_w, 1)) AS sc FROM g),
 n AS (SELECT *, greatest(round_even(t.orig_h * sc, 0)::INTEGER, 1) AS nh, greatest(round_even(t.orig_w * sc, 0)::INTEGER, 1) AS nw FROM s)
