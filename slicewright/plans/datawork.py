@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from slicewright.operators import compaction, drift, orphans
 from slicewright.session import config_value, materialize, new_table_path, share_package, table
 
-COMPACTION_PARTS = 64
-
 
 def _filing(spark: SparkSession, d: str):
     target = int(config_value(spark, d, "storage.target_file_bytes", str(compaction.DEFAULT_TARGET)))
@@ -26,14 +24,19 @@ def p2_partitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_compaction(spark: SparkSession, d: str) -> DataFrame:
-    """Lays the mask files out as a table of many small files, compacts it, and returns the log of the rewrite."""
+    """Lays the mask files out as a table of many small files, compacts it, and returns the log of the rewrite.
+
+    The table has as many partitions by case as its records fill files of the target size.
+    """
     target = int(config_value(spark, d, "storage.target_file_bytes", str(compaction.DEFAULT_TARGET)))
     plan, _ = compaction.filing_plan(table(spark, d, "gts"), table(spark, d, "manifest"))
     body = table(spark, d, "gts").select("file_id", "file_path", "mask_hw", "counts", "size_bytes", "written_at")
     laid = body.join(plan.select("file_id", "name", "part", "digest"), "file_id")
-    bucket = F.pmod(F.xxhash64("part"), F.lit(COMPACTION_PARTS)).cast("int")
+    stored = body.agg(F.sum(4 * F.size("counts") + F.length("file_path") + 64)).collect()[0][0] or 0
+    parts = max(1, round(stored / target))
+    bucket = F.pmod(F.xxhash64("part"), F.lit(parts)).cast("int")
     path = new_table_path(spark, "gts-small-files")
-    laid.withColumn("bucket", bucket).repartition(16).write.partitionBy("bucket").parquet(path)
+    laid.withColumn("bucket", bucket).repartition(max(16, 4 * parts)).write.partitionBy("bucket").parquet(path)
     return compaction.compact_table(spark, path, "bucket", ["name", "digest"], ["file_id"], target_bytes=target)
 
 
