@@ -37,7 +37,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 0, budget: int | None
     goal = targets_of(targets).where("repeats >= 1")
     docs = materialize(sized.where("n_tokens > 0").select("doc_id", "source", "n_tokens").join(goal, "source"), "sized")
     totals = docs.groupBy("source", "share", "repeats").agg(F.sum("n_tokens").alias("total"))
-    ends, weight = totals.agg(F.min(F.col("repeats") * F.col("total") / F.col("share")), F.sum("share")).collect()[0]
+    ends = totals.agg(F.min(F.col("repeats") * F.col("total") / F.col("share"))).collect()[0][0]
     shuffled = hash_running_sum(docs, ["source"], F.xxhash64(F.lit(seed), "doc_id"), ["doc_id", "n_tokens"], "n_tokens", "run").join(totals.select("source", "total"), "source")
     copies = shuffled.select("doc_id", "source", "n_tokens", "share", "run", "total", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("copy_no"))
     served = copies.select("doc_id", "source", "copy_no", "n_tokens", ((F.col("copy_no") * F.col("total") + F.col("run")) / F.col("share")).alias("finish"))
