@@ -39,16 +39,19 @@ def mask_digest(counts: str, mask_hw: str) -> Column:
 
     A mask is fixed by the pixel offsets at which the value flips. The digest is the XOR over all run
     ends of a hash of the offset, so a run of length zero, which flips twice at one offset, cancels out,
-    and any two encodings of the same pixels agree. Offsets at or beyond the last pixel don't count.
+    and any two encodings of the same pixels agree. Offsets at or beyond the last pixel don't count, nor does the
+    end of a last run of zeros: pixels that the runs leave out are zero.
     Null when counts or mask_hw is null. One linear pass, in the JVM.
     """
+    end = f"s.p + coalesce(c, 0) < {mask_hw}[0] * {mask_hw}[1] and (s.i % 2 = 1 or s.i < size({counts}) - 1)"
     return F.expr(
         f"""aggregate({counts},
-              named_struct('p', 0L, 'a', 0L, 'b', 0L),
+              named_struct('p', 0L, 'i', 0, 'a', 0L, 'b', 0L),
               (s, c) -> named_struct(
                 'p', s.p + coalesce(c, 0),
-                'a', s.a ^ if(s.p + coalesce(c, 0) < {mask_hw}[0] * {mask_hw}[1], xxhash64(s.p + coalesce(c, 0)), 0L),
-                'b', s.b ^ if(s.p + coalesce(c, 0) < {mask_hw}[0] * {mask_hw}[1], xxhash64(s.p + coalesce(c, 0), 'mask'), 0L)),
+                'i', s.i + 1,
+                'a', s.a ^ if({end}, xxhash64(s.p + coalesce(c, 0)), 0L),
+                'b', s.b ^ if({end}, xxhash64(s.p + coalesce(c, 0), 'mask'), 0L)),
               s -> if({mask_hw} is null, null, named_struct('h', {mask_hw}[0], 'w', {mask_hw}[1], 'a', s.a, 'b', s.b)))"""
     )
 

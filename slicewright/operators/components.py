@@ -30,6 +30,10 @@ def segments(counts: np.ndarray, size: np.ndarray, h: np.ndarray, w: np.ndarray)
     first = np.cumsum(size) - size
     end = run[1:] - run[first][mask]
     total = h.astype(np.int64) * w
+    # pixels that the runs leave out are zero, so the end of a last run of zeros is no flip
+    place = np.arange(len(end)) - first[mask]
+    flips = (place % 2 == 1) | (place < size[mask] - 1)
+    mask, end = mask[flips], end[flips]
     # where the value flips: ends inside the image that an odd number of runs share
     new = np.ones(len(end), bool)
     new[1:] = (mask[1:] != mask[:-1]) | (end[1:] != end[:-1])

@@ -192,3 +192,22 @@ def test_volume_codes():
     v[:] = True
     codes = morphology.corner_codes(v)
     assert codes.shape == (4, 4, 4) and (codes == 255).sum() == 8 and codes[0, 0, 0] == 1 and codes[-1, -1, -1] == 128
+
+
+def test_runs_that_leave_pixels_out():
+    for counts in ([5], [5, 3], [2, 0, 3], [0, 4, 1], [], [0], [12], [3, 99]):
+        m = raster.decode_runs(np.array(counts, np.int64), 3, 4)
+        assert sum(r[1] for r in C.component_rows(np.array(counts, np.int64), 3, 4, 8)) == m.sum()
+
+
+@settings(max_examples=8, deadline=None)
+@given(masks, st.randoms())
+def test_overlap_measures(spark, m, rng):
+    other = [int(rng.random() < 0.5) for _ in range(m.size)]
+    df = spark.createDataFrame([(m.astype(int).ravel().tolist(), other)], "a array<int>, b array<int>")
+    o, back = M.overlap(F.col("a"), F.col("b")), M.overlap(F.col("b"), F.col("a"))
+    r = df.select(M.iou_of(o).alias("i"), M.iou_of(back).alias("j"), M.dice_of(o).alias("d")).first()
+    if np.isnan(r.i):
+        assert np.isnan(r.j) and np.isnan(r.d) and not m.any() and not any(other)
+    else:
+        assert r.i == r.j and 0 <= r.i <= 1 and r.d == pytest.approx(2 * r.i / (1 + r.i))
