@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from slicewright.llm.encode import DEFAULT_VOCABULARY, batched, encoder
 
 KINDS = ("paragraph", "sentence", "line", "word")
+# signs of several bytes are alternatives: in a class of a bytes pattern, each of their bytes would count alone
 _PATTERNS = {
     "paragraph": re.compile(rb"\n[ \t\r]*\n\s*"),
-    "sentence": re.compile("(?:[.!?…][\"'”’)\\]]*(?=\\s)|[。！？])".encode()),
+    "sentence": re.compile("(?:[.!?]|…)(?:[\"')\\]]|”|’)*(?=\\s)|。|！|？".encode()),
     "line": re.compile(rb"\n"),
     "word": re.compile(rb"[^ \t\r\n](?=[ \t\r\n])"),
 }

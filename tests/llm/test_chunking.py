@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 
 from slicewright.llm import chunking as C
@@ -60,3 +62,14 @@ def test_short_and_empty(spark):
     assert C.split_oversized(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         C.split_oversized(df, 50, 30)
+
+
+def test_sentence_ends_are_whole_signs(spark):
+    text = "Wir prüfen die Größe. „Größe?” Ja…” Nein!) из р с т 检查没有。再来！好？検査を "
+    raw = text.encode()
+    at, _ = C.boundaries(raw, np.arange(len(raw) + 1), 0)
+    want = [len(text[: m.end()].encode()) for m in re.finditer("[.!?…][\"'”’)\\]]*(?=\\s)|[。！？]", text)]
+    assert at["sentence"].tolist() == want and len(want) == 7
+    docs = ["Wir müssen die Größe der Bögen überprüfen und für später fünf grüne Hügel ausfüllen\n" * 40, "检查第455层没有发现异常情况继续检查其他图像\n" * 60]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    assert {r.cut for r in C.split_oversized(df, 64, 8).collect()} == {"line", "end"}
