@@ -206,7 +206,7 @@ def unify(raw: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """One row per field of each distinct valid line: file_id, line_no, field_name (canonical), source_name, kind, value (JSON text).
 
     A repeated line of a file counts once, with its least line_no. The long form stays stable whatever
-    fields come; ``wide`` makes columns of the names asked for.
+    fields come; ``wide`` makes columns of the names asked for and a map of the rest.
     """
     lines = raw.groupBy("file_id", "payload").agg(F.min("line_no").alias("line_no"))
     found = cells(lines, ["file_id", "line_no"]).withColumnRenamed("field_name", "source_name")
@@ -217,12 +217,22 @@ def unify(raw: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
 
 def wide(found: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per line with a text column for each of ``fields``: strings as they are, all else as JSON text.
+    """One row per line with a text column for each of ``fields``, and ``other_fields``, a map of all its other values.
 
-    Of several source fields of one name that with the field's own name is taken first, then the first by name.
+    Strings come as they are, all else as JSON text. Of several source fields of one name that with the field's
+    own name is taken first, then the first by name; the others stay under their source name, so every value of
+    the line is in exactly one place. JSON null values are in none.
     """
     plain = F.when(F.col("kind") == "string", F.get_json_object(F.concat(F.lit('{"x":'), "value", F.lit("}")), "$.x")).otherwise(F.col("value"))
-    own = F.struct((F.col("source_name") != F.col("field_name")).alias("other"), F.col("source_name").alias("name"))
-    rows = found.where(F.col("kind").isNotNull()).withColumn("plain", plain).withColumn("own", own)
-    pick = [F.min_by(F.when(F.col("field_name") == f, F.col("plain")), F.when(F.col("field_name") == f, F.col("own"))).alias(f) for f in fields]
-    return rows.groupBy("file_id", "line_no").agg(*pick)
+    entry = F.struct(F.col("field_name").alias("name"), (F.col("source_name") != F.col("field_name")).alias("other"), F.col("source_name").alias("source"), plain.alias("plain"))
+    lines = found.where(F.col("kind").isNotNull()).groupBy("file_id", "line_no").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+
+    def placed(x: Column, i: Column) -> Column:
+        first = ~F.get("e", i - 1)["name"].eqNullSafe(x["name"])
+        # a name that another field of the line was given stays its own: no two fields of a line share a key
+        free = ~F.exists("e", lambda y: (y["source"] == x["name"]) & (y["source"] != x["source"]))
+        return F.struct(F.when(first & free, x["name"]).otherwise(x["source"]).alias("key"), x["plain"].alias("value"))
+
+    lines = lines.select("file_id", "line_no", F.map_from_entries(F.transform("e", placed)).alias("m"))
+    known = F.array(*(F.lit(f) for f in fields)).cast("array<string>")
+    return lines.select("file_id", "line_no", *(F.try_element_at("m", F.lit(f)).alias(f) for f in fields), F.map_filter("m", lambda k, v: ~F.array_contains(known, k)).alias("other_fields"))

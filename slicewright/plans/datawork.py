@@ -90,7 +90,7 @@ MANIFEST_FIELDS = ["slice_name", "dataset_name", "case_id", "patient_id", "split
 
 
 def p6_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """The raw lines as one consistent manifest, renamed fields under their canonical name."""
+    """The raw lines as one consistent manifest, renamed fields under their canonical name; ``other_fields`` holds all that have no column."""
     share_package(spark)
     raw, profiles, changes = _p6(spark, d)
     names = materialize(drift.canonical_names(drift.match_renames(materialize(changes, "changes")), profiles, MANIFEST_FIELDS), "names")

@@ -74,3 +74,18 @@ def test_renames_and_unified_table(spark):
     assert out.count() == 21  # the repeated line counts once
     assert out.where("patient_id is null or n is null").count() == 0
     assert {r.patient_id for r in out.where("file_id = 3").collect()} == {f"PV-3{i}" for i in range(5)}
+
+
+def test_every_value_has_a_place(spark):
+    files = {1: ("a", 1, [{"a": "A", "b": 1, "c": [2], "d": None, "e": "E"}, {"b": 3, "c": 4}, {"c": 5}]), 2: ("a", 2, [{"t": 6, "s": 7, "b": 8}, {"t": 9, "s": 10}, {"t": 11}])}
+    renames = [("b", "a"), ("c", "a"), ("s", "b"), ("t", "s")]
+    names = spark.createDataFrame(renames, "field_name string, canonical string")
+    got = {(r.file_id, r.line_no): (r.a, r.other_fields) for r in D.wide(D.unify(raw(spark, files), names), ["a"]).collect()}
+    assert got == {
+        (1, 0): ("A", {"b": "1", "c": "[2]", "e": "E"}),
+        (1, 1): ("3", {"c": "4"}),
+        (1, 2): ("5", {}),
+        (2, 0): ("8", {"s": "7", "t": "6"}),
+        (2, 1): (None, {"b": "10", "t": "9"}),
+        (2, 2): (None, {"s": "11"}),
+    }
