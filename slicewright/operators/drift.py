@@ -188,7 +188,8 @@ def canonical_names(renames: DataFrame, profiles: DataFrame, schema: list[str] =
     """field_name, canonical, n_files, score: the renames seen in at least ``least_files`` files, each name going to its most frequent partner.
 
     Names of ``schema`` stay what they are; other names go to a partner of the schema, else to the more frequent
-    of the two. The result has at most one row per field name.
+    of the two. The result has at most one row per field name. A rename of fewer files is taken for chance: its field
+    stays under its own name, which ``wide`` keeps in ``other_fields``.
     """
     back = renames.select("file_id", F.col("new_name").alias("old_name"), F.col("old_name").alias("new_name"), "score")
     seen = renames.select(back.columns).unionByName(back).groupBy("old_name", "new_name").agg(F.count_distinct("file_id").alias("n_files"), F.avg("score").alias("score")).where(F.col("n_files") >= least_files)

@@ -89,3 +89,15 @@ def test_every_value_has_a_place(spark):
         (2, 1): (None, {"b": "10", "t": "9"}),
         (2, 2): (None, {"s": "11"}),
     }
+
+
+def test_one_off_rename_loses_no_value(spark):
+    files = {1: ("a", 1, [{"patient_id": f"PV-{i}"} for i in range(5)]), 2: ("a", 2, [{"subject": f"PV-{i}"} for i in range(5)])}
+    df = raw(spark, files)
+    prof = D.profile_fields(df)
+    ren = D.match_renames(D.field_changes(prof, D.file_pairs(df)))
+    assert ren.count() == 1
+    names = D.canonical_names(ren, prof, ["patient_id"])
+    assert names.count() == 0
+    got = D.wide(D.unify(df, names), ["patient_id"]).where("file_id = 2").collect()
+    assert sorted(r.other_fields["subject"] for r in got) == [f"PV-{i}" for i in range(5)]
