@@ -4,7 +4,7 @@ A table is a folder of Hive-style partitions. ``compact_table``
 
 1. takes a snapshot: the list of data files with their sizes, written under the next version number;
    the version folder is created exclusively, so two writers can't hold the same version;
-2. picks the partitions with too many small files, or with records held twice;
+2. picks the partitions with too many small files, and with ``pick_copies`` those with records held twice;
 3. rewrites only these into a staging folder, near the target size, each record once;
 4. checks the staged records against the snapshot, lists the files again, and stops with
    ``CompactionConflict`` if a picked partition has changed since;
@@ -79,8 +79,8 @@ def filing_plan(files: DataFrame, slices: DataFrame, min_small_files: int = 2, t
     return plan, stats.where(F.col("n_small") >= min_small_files)
 
 
-def held_twice(plan: DataFrame, picked: DataFrame) -> DataFrame:
-    """Pairs ``file_id_a < file_id_b`` of files in picked partitions that hold the same record with the same mask.
+def held_twice(plan: DataFrame, picked: DataFrame | None = None) -> DataFrame:
+    """Pairs ``file_id_a < file_id_b`` of files that hold the same record with the same mask; with ``picked`` only those in its partitions.
 
     One row per pair is asked for, so a record written k times gives k (k - 1) / 2 rows. Files without a
     name or mask are no copies of anything.
@@ -90,8 +90,10 @@ def held_twice(plan: DataFrame, picked: DataFrame) -> DataFrame:
     a, b = keyed.alias("a"), keyed.alias("b")
     same = (F.col("a.name") == F.col("b.name")) & (F.col("a.digest") == F.col("b.digest")) & (F.col("a.part") == F.col("b.part"))
     pairs = a.join(b, same & (F.col("a.file_id") < F.col("b.file_id"))).select(F.col("a.part").alias("part"), F.col("a.file_id").alias("file_id_a"), F.col("b.file_id").alias("file_id_b"))
-    # written, so that the filter by partition comes after the join instead of shuffling every file by its partition
-    return materialize(pairs, "pairs").join(picked.select("part"), "part", "left_semi").select("file_id_a", "file_id_b")
+    if picked is not None:
+        # written, so that the filter by partition comes after the join instead of shuffling every file by its partition
+        pairs = materialize(pairs, "pairs").join(picked.select("part"), "part", "left_semi")
+    return pairs.select("file_id_a", "file_id_b")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -139,31 +141,34 @@ def compact_table(
     target_bytes: int = DEFAULT_TARGET,
     min_small_files: int = 2,
     before_commit=None,
+    pick_copies: bool = False,
 ) -> DataFrame:
     """Compact the partitions of ``path`` that have at least ``min_small_files`` files under half the target.
 
     ``key``: columns that make two rows the same record; of those the first by ``order`` stays. Rows with
     a null in ``key`` are never taken for copies. Returns the log: part, files_before, bytes_before,
     rows_before, rows_after, copies_dropped, n_target_files, version. A table without such a partition is left as it is.
+    ``pick_copies``: also partitions that hold a record twice, whatever the sizes of their files.
     ``before_commit``: called between staging and the conflict check (for tests).
     """
     version, files = take_snapshot(spark, path, partition)
     small = F.col("bytes") < target_bytes // 2
-    picked = (
-        files.groupBy("part")
-        .agg(F.count(F.lit(1)).alias("files_before"), F.count_if(small).alias("n_small"), F.sum("bytes").alias("bytes_before"), F.sum("rows").alias("rows_before"))
-        .where(F.col("n_small") >= min_small_files)
-        .withColumn("n_target_files", F.ceil(F.col("bytes_before") / target_bytes).cast("int"))
-    )
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    per = files.groupBy("part").agg(F.count(F.lit(1)).alias("files_before"), F.count_if(small).alias("n_small"), F.sum("bytes").alias("bytes_before"), F.sum("rows").alias("rows_before"))
+    due = F.col("n_small") >= min_small_files
+    if pick_copies:
+        twice = spark.read.parquet(path).where(whole).groupBy(F.col(partition).cast("string").alias("part"), *key).count().where("count > 1")
+        per = per.join(twice.select("part").distinct().withColumn("twice", F.lit(True)), "part", "left")
+        due = due | F.col("twice").isNotNull()
+    picked = per.where(due).select("part", "files_before", "n_small", "bytes_before", "rows_before", F.ceil(F.col("bytes_before") / target_bytes).cast("int").alias("n_target_files"))
     picked.write.parquet(f"{path}/_snapshots/v{version}/picked")
     picked = spark.read.parquet(f"{path}/_snapshots/v{version}/picked")
     stage = new_table_path(spark, "compaction")
     kind = spark.read.parquet(path).schema
     rows = spark.read.parquet(path).withColumn("_part", F.col(partition).cast("string"))
     rows = rows.join(picked.select(F.col("part").alias("_part"), F.col("n_target_files").alias("_files")), "_part")
-    whole = F.lit(True)
-    for c in key:
-        whole = whole & F.col(c).isNotNull()
     names = kind.fieldNames()
     ident = F.when(whole, F.xxhash64(*key)).otherwise(F.xxhash64(*order))
     rows = rows.withColumn("_file", F.pmod(ident, F.col("_files")).cast("int"))

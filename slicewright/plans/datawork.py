@@ -15,7 +15,8 @@ def _filing(spark: SparkSession, d: str):
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.held_twice(*_filing(spark, d))
+    """The copies of all partitions, also of those that need no rewrite."""
+    return compaction.held_twice(_filing(spark, d)[0])
 
 
 def p2_partitions(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +38,7 @@ def p2_compaction(spark: SparkSession, d: str) -> DataFrame:
     bucket = F.pmod(F.xxhash64("part"), F.lit(parts)).cast("int")
     path = new_table_path(spark, "gts-small-files")
     laid.withColumn("bucket", bucket).repartition(max(16, 4 * parts)).write.partitionBy("bucket").parquet(path)
-    return compaction.compact_table(spark, path, "bucket", ["name", "digest"], ["file_id"], target_bytes=target)
+    return compaction.compact_table(spark, path, "bucket", ["name", "digest"], ["file_id"], target_bytes=target, pick_copies=True)
 
 
 def _p3(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from slicewright.operators import compaction as C
 from slicewright.operators.raster import decode_runs
+from slicewright.plans import datawork
 
 SCHEMA = "file_id bigint, file_path string, case_id string, slice_name string, mask_hw array<int>, counts array<int>, size_bytes bigint"
 
@@ -106,3 +107,21 @@ def test_large_partition_gets_several_files(spark, tmp_path):
     small_table(spark, path)
     log = C.compact_table(spark, path, "bucket", ["name"], ["id"], target_bytes=4000, min_small_files=2)
     assert {r.n_target_files > 1 for r in log.collect()} == {True}
+
+
+def test_copies_of_large_files_are_found(spark, tmp_path):
+    rows = [(1, "a/s1.npy", "c", "s1.npy", [2, 2], [1, 2, 1], 900), (2, "b/s1.npy", "c", "s1.npy", [2, 2], [1, 2, 1], 900)]
+    files(spark, rows).write.parquet(f"file://{tmp_path}/gts.parquet")
+    spark.createDataFrame([("s1.npy", "c")], "slice_name string, case_id string").write.parquet(f"file://{tmp_path}/manifest.parquet")
+    spark.createDataFrame([("storage.target_file_bytes", "100")], "param string, param_text string").write.parquet(f"file://{tmp_path}/default_config.parquet")
+    assert [tuple(r) for r in datawork.p2_found(spark, str(tmp_path)).collect()] == [(1, 2)]
+    assert datawork.p2_partitions(spark, str(tmp_path)).count() == 0
+
+
+def test_copies_alone_make_a_partition_due(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    df = small_table(spark, path)
+    log = {r.part: r for r in C.compact_table(spark, path, "bucket", ["name"], ["id"], pick_copies=True).collect()}
+    assert set(log) == {"0", "1", "2"} and log["2"].files_before == 1 and log["2"].copies_dropped > 0
+    assert {tuple(r) for r in spark.read.parquet(path).select("id", "name", "bucket").collect()} == kept(df)
+    assert C.compact_table(spark, path, "bucket", ["name"], ["id"], pick_copies=True).count() == 0
