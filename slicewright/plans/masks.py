@@ -66,7 +66,10 @@ def stability(spark, d):
 
 
 def quality(spark, d):
-    """Candidates that pass the filters of automatic masks."""
+    """Candidates that pass the filters of automatic masks.
+
+    The model's score is a stand-in made of the id, as in the SQL twin: only ids that end in 6 to 9 pass it.
+    """
     cand = _emb(spark, d).select("vec_id", c("embedding").alias("logits"), ((c("vec_id") % 10) / 10.0).alias("model_score"))
     return detection.quality_filter(cand, 0.5, 0.4).select("vec_id", _r(c("stability")).alias("stability"))
 
