@@ -151,7 +151,10 @@ def last_size(spark, d):
 
 
 def partition_check(spark, d):
-    """Whether the selected and remaining slices of the first runs make up the training slices of their fold: errors by kind."""
+    """Selected slices of the first runs that no training slice of any data set or fold has: errors by kind.
+
+    As in the SQL twin, the remaining slices are what is not selected, so only ``unknown`` can occur.
+    """
     m = _live(spark, d).where(plain("split") == "train").select("slice_name", "dataset_name", "fold").distinct()
     full = table(spark, d, "selection").where("round = 0").select(F.explode("cumulative_full_slice_names").alias("slice_name")).distinct()
     box = m.join(full, "slice_name", "left_anti")
