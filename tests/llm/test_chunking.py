@@ -65,11 +65,40 @@ def test_short_and_empty(spark):
 
 
 def test_sentence_ends_are_whole_signs(spark):
-    text = "Wir prüfen die Größe. „Größe?” Ja…” Nein!) из р с т 检查没有。再来！好？検査を "
+    text = "Wir prüfen die Größe. „Größe?” Ja…” Nein!) из р с т 检查没有。再来！」好？検査を "
     raw = text.encode()
-    at, _ = C.boundaries(raw, np.arange(len(raw) + 1), 0)
-    want = [len(text[: m.end()].encode()) for m in re.finditer("[.!?…][\"'”’)\\]]*(?=\\s)|[。！？]", text)]
+    at, _ = C.boundaries(text, np.arange(len(raw) + 1), 0)
+    want = [len(text[: m.end()].encode()) for m in re.finditer("[.!?…][\"'”’)\\]]*(?=\\s)|[。！？]」?", text)]
     assert at["sentence"].tolist() == want and len(want) == 7
     docs = ["Wir müssen die Größe der Bögen überprüfen und für später fünf grüne Hügel ausfüllen\n" * 40, "检查第455层没有发现异常情况继续检查其他图像\n" * 60]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
     assert {r.cut for r in C.split_oversized(df, 64, 8).collect()} == {"line", "end"}
+
+
+@pytest.mark.parametrize(
+    ("text", "cut"),
+    [
+        ("Die Prüfung der Schädel läuft weiter. Für jede Größe gibt es zwölf Bögen!\n", "sentence"),
+        ("L’élève a relevé les mâchoires “à gauche”. Où sont les côtés gênants ? ", "sentence"),
+        ("第三层没有发现异常。请检查其余图像！", "sentence"),
+        ("この検査では異常は見つからなかった。次の画像を確認してください。", "sentence"),
+        ("ひとつの長い文、まだ続く、さらに続く、", "clause"),
+        ("erste Zeile der Größe\u2028zweite Zeile für später\u2028", "line"),
+        ("erste Zeile der Größe\rzweite Zeile für später\r", "line"),
+        ("ein Absatz der Größe\x85 \x85", "paragraph"),
+        ("Wörter\u00a0ohne\u3000gewöhnliche\u00a0Lücken\u3000", "word"),
+        ("373,7997;642|", "separator"),
+    ],
+)
+def test_languages_and_line_ends(spark, text, cut):
+    df = spark.createDataFrame([(1, text * 60)], "doc_id int, text string")
+    rows = C.split_oversized(df, 128, 0).collect()
+    assert {r.cut for r in rows} == {cut, "end"} and len(rows) > 3
+    last = {"sentence": ".!?。！", "clause": "、", "line": "\u2028\r", "paragraph": "\x85", "word": "renshe", "separator": ",;|"}[cut]
+    assert all(r.text[-1] in last for r in rows if r.cut != "end")
+
+
+def test_no_false_sentence_ends_in_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = C.split_oversized(docs).where("cut = 'sentence'").collect()
+    assert len(rows) > 50 and all(r.text.rstrip("\"'”’»)]」』）")[-1] in ".!?…。！？｡" for r in rows)
