@@ -75,9 +75,28 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, by: list[str], label: str = "buckets") -> DataFrame:
+    """Write ``df`` hash-partitioned and sorted by ``by`` in the shared folder and read it back.
+
+    Joins on ``by`` then take it as it lies, without a shuffle or sort of it. It has as many buckets as the
+    session has shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_table_path(spark, label)
+    name = f"slicewright_{uuid.uuid4().hex}"
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._slicewright_path, out._slicewright_table = path, name
+    return out
+
+
 def discard(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
-    """Delete tables written by :func:`materialize` that nothing will read again."""
+    """Delete tables written by :func:`materialize` or :func:`bucketed` that nothing will read again."""
     for df in frames:
+        name = getattr(df, "_slicewright_table", None)
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = getattr(df, "_slicewright_path", None)
         if path:
             hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
