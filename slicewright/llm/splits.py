@@ -1,10 +1,12 @@
 """Splits that keep related records together.
 
 Records that share a patient or a case, directly or through others, form a component; each component goes to
-one split. Components come from a frontier breadth-first search: the adjacency lists are kept as a table keyed
-by node; every node that is the hash minimum of its neighbourhood is a seed, and all seeds expand at once,
-each node keeping the least seed that reaches it first; seeds that met are the edges of a small graph of
-labels, which is merged in turn: in one task if it has at most ``SMALL_GRAPH`` edges, else by the same search.
+one split. Components come from a frontier breadth-first search: the adjacency lists lie hash-partitioned by
+node, the list of a hub in several parts; every node that precedes all its neighbours is a seed, and all seeds
+expand at once, each node keeping the least seed that reaches it first; seeds that met are the edges of a small
+graph of labels, which is merged in turn: in one task if it has at most ``SMALL_GRAPH`` edges, else by the same
+search. Nodes are ordered by their hash. The least node of a component is a seed in any search, so a component
+is named after it whichever way the labels are merged.
 
 Ids are compared without surrounding spaces and ignoring case; null ids relate nothing; patient and case ids
 are different name spaces. Repeated rows count as often as they come in weights and change nothing else.
@@ -15,15 +17,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewright.operators.catalog import plain
 from slicewright.operators.prefix import hash_running_sum
-from slicewright.session import discard, materialize, share_package
+from slicewright.session import bucketed, discard, materialize, share_package
 
-#: Edges of a graph of labels that one task may merge; checked before it does.
+#: Edges of a graph of labels that one task may merge; checked before it does. More are merged by search, to the same result.
 SMALL_GRAPH = 400_000
+#: Neighbours in one part of an adjacency list; a hub has several parts, which lie apart.
+LIST_PART = 100_000
 #: A component above this part of all rows is placed on its own; there are at most 1 / LARGE_PART of them.
 LARGE_PART = 0.01
 
@@ -45,51 +49,71 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]}, columns=["node", "component"]).astype(str)
 
 
-def components(edges: DataFrame, small_graph: int = SMALL_GRAPH) -> DataFrame:
+def _ranked(c: str) -> Column:
+    """A node with its hash in front: the order of these strings is the order of nodes, the same in every search."""
+    return F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lit(" "), F.col(c))
+
+
+def components(edges: DataFrame, small_graph: int = SMALL_GRAPH, list_part: int = LIST_PART) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``, two string columns; edges with a null and loops are ignored.
 
-    The component is named after one of its nodes. Nodes without an edge to another are not in the result.
+    The component is named after its node with the least hash. Nodes without an edge to another are not in the result.
     """
     share_package(edges.sparkSession)
-    pairs = edges.where("a <> b").select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return _search(materialize(both, "adjacency"), small_graph)
-
-
-def _merge_labels(labels: DataFrame, small_graph: int) -> DataFrame:
-    """Components of the graph of seeds that met, given as pairs in both directions."""
-    if labels.count() <= 2 * small_graph:
-        once = labels.where("a < b").repartition(1)
-        return materialize(once.mapInPandas(_merge, "node string, component string"), "merged")
-    return _search(labels, small_graph)
-
-
-def _search(adjacency: DataFrame, small_graph: int) -> DataFrame:
-    spark = adjacency.sparkSession
-    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
-    least = adjacency.groupBy("a").agg(F.min(rank("b")).alias("m"))
-    seeds = least.where(rank("a") < F.col("m")).select(F.col("a").alias("node"), F.col("a").alias("label"))
-    frontier = materialize(seeds, "frontier")
-    hops = [frontier]
+    pairs = edges.where("a <> b").select(_ranked("a").alias("a"), _ranked("b").alias("b"))
+    found = _search(_both_ways(pairs), small_graph, list_part)
+    return found.select(F.substring("node", 18, 1 << 30).alias("node"), F.substring("component", 18, 1 << 30).alias("component"))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+
+
+def _adjacency(edges: DataFrame, list_part: int) -> tuple[DataFrame, DataFrame]:
+    """(lists, nodes): node, part, other and the parts of other, bucketed by (node, part); node, parts and its least neighbour."""
+    nodes = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.ceil(F.count(F.lit(1)) / list_part).cast("int").alias("parts")), "nodes")
+    lists = edges.join(nodes.select(F.col("node").alias("b"), F.col("parts").alias("other_parts")), "b")
+    hubs = nodes.where("parts > 1").select(F.col("node").alias("a"), "parts")
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))
+    lists = lists.join(hubs, "a", "left").select(F.col("a").alias("node"), part.alias("part"), F.col("b").alias("other"), "other_parts")
+    return bucketed(lists, ["node", "part"], "adjacency"), nodes
+
+
+def _met_lists(labelled: DataFrame, lists: DataFrame) -> DataFrame:
+    """``labelled(node, label, parts)`` met with the adjacency lists of its nodes: the lists stay where they lie."""
+    spread = labelled.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.join(lists, ["node", "part"])
+
+
+def _search(edges: DataFrame, small_graph: int, list_part: int) -> DataFrame:
+    """(node, component) of a graph given by its edges ``a, b`` in both directions."""
+    spark = edges.sparkSession
+    lists, nodes = _adjacency(edges, list_part)
+    seeds = nodes.where("node < least").select("node", F.col("node").alias("label"), "parts")
+    hops = [materialize(seeds, "frontier")]
     while True:
-        reached = hops[0]
-        for h in hops[1:]:
-            reached = reached.unionByName(h)
-        step = frontier.join(adjacency, frontier.node == adjacency.a).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
-        frontier = materialize(step.join(reached, "node", "left_anti"), "frontier")
+        # the neighbours of a hop lie in it, in the one before or in the next: only these two have to be told apart
+        step = _met_lists(hops[-1], lists).select(F.col("other").alias("node"), "label", F.col("other_parts").alias("parts"), F.lit(False).alias("seen"))
+        for h in hops[-2:]:
+            step = step.unionByName(h.withColumn("seen", F.lit(True)))
+        reached = step.groupBy("node").agg(F.min("label").alias("label"), F.max("parts").alias("parts"), F.bool_or("seen").alias("seen"))
+        frontier = materialize(reached.where("not seen").drop("seen"), "frontier")
         if frontier.isEmpty():
             break
         hops.append(frontier)
-    labels = reached
-    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    met = adjacency.where("a < b").join(la, "a").join(lb, "b").where("la <> lb")
-    small = met.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-    small = materialize(small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b"))), "labels")
-    merged = _merge_labels(small, small_graph)
+    labels = hops[0]
+    for h in hops[1:]:
+        labels = labels.unionByName(h)
+    once = _met_lists(labels, lists).where("node < other").select("label", F.col("other").alias("node"))
+    met = once.distinct().join(labels.select("node", F.col("label").alias("other_label")), "node").where("label <> other_label")
+    small = materialize(met.select(F.least("label", "other_label").alias("a"), F.greatest("label", "other_label").alias("b")).distinct(), "labels")
+    if small.count() <= small_graph:
+        merged = materialize(small.repartition(1).mapInPandas(_merge, "node string, component string"), "merged")
+    else:
+        merged = _search(_both_ways(small), small_graph, list_part)
     named = labels.join(merged.select(F.col("node").alias("label"), "component"), "label", "left")
     out = materialize(named.select("node", F.coalesce("component", "label").alias("component")), "components")
-    discard(spark, [adjacency, small, merged, frontier, *hops])
+    discard(spark, [edges, lists, nodes, small, merged, frontier, *hops])
     return out
 
 

@@ -25,16 +25,27 @@ def brute_components(edges):
     return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("small", [0, 10, 10**6])
-def test_components(spark, small):
+def graph(spark):
     rng = random.Random(4)
     edges = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(90)]
     edges += [(f"c{i}", f"c{i + 1}") for i in range(60)] + [("hub", f"h{i}") for i in range(80)] + [("hub", "c30"), ("x", None), ("self", "self")]
-    df = spark.createDataFrame(edges + edges[:9], "a string, b string")
+    return edges, spark.createDataFrame(edges + edges[:9], "a string, b string")
+
+
+@pytest.mark.parametrize(("small", "part"), [(0, 10**6), (10, 7), (10**6, 3)])
+def test_components(spark, small, part):
+    edges, df = graph(spark)
     got = {}
-    for r in S.components(df, small).collect():
+    for r in S.components(df, small, part).collect():
         got.setdefault(r.component, set()).add(r.node)
     assert {frozenset(g) for g in got.values()} == brute_components(edges)
+    assert all(name in members for name, members in got.items())
+
+
+def test_names_do_not_depend_on_the_way_labels_are_merged(spark):
+    _, df = graph(spark)
+    take = lambda *a: {tuple(r) for r in S.components(df, *a).collect()}
+    assert take() == take(0) == take(0, 5) == take(3)
 
 
 def rows():
