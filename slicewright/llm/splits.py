@@ -33,9 +33,9 @@ LARGE_PART = 0.01
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parent: dict[str, str] = {}
+    parent: dict[bytes, bytes] = {}
 
-    def root(x: str) -> str:
+    def root(x: bytes) -> bytes:
         while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
@@ -46,12 +46,12 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]}, columns=["node", "component"]).astype(str)
+    yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]}, columns=["node", "component"])
 
 
 def _ranked(c: str) -> Column:
-    """A node with its hash in front: the order of these strings is the order of nodes, the same in every search."""
-    return F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lit(" "), F.col(c))
+    """A node with its hash in front, as bytes: their order is the order of nodes, the same in every search."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.xxhash64(c)), 16, "0")), F.encode(c, "UTF-8"))
 
 
 def components(edges: DataFrame, small_graph: int = SMALL_GRAPH, list_part: int = LIST_PART) -> DataFrame:
@@ -60,43 +60,36 @@ def components(edges: DataFrame, small_graph: int = SMALL_GRAPH, list_part: int
     The component is named after its node with the least hash. Nodes without an edge to another are not in the result.
     """
     share_package(edges.sparkSession)
-    pairs = edges.where("a <> b").select(_ranked("a").alias("a"), _ranked("b").alias("b"))
-    found = _search(_both_ways(pairs), small_graph, list_part)
-    return found.select(F.substring("node", 18, 1 << 30).alias("node"), F.substring("component", 18, 1 << 30).alias("component"))
+    pairs = edges.where("a <> b").distinct().select(_ranked("a").alias("a"), _ranked("b").alias("b"))
+    found = _search(materialize(pairs, "edges"), small_graph, list_part)
+    plain_text = lambda c: F.decode(F.substring(c, 9, 1 << 30), "UTF-8").alias(c)
+    return found.select(plain_text("node"), plain_text("component"))
 
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+def _spread(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``rows`` with the number of parts of the list of their node."""
+    return rows.join(hubs, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
-def _adjacency(edges: DataFrame, list_part: int) -> tuple[DataFrame, DataFrame]:
-    """(lists, nodes): node, part, other and the parts of other, bucketed by (node, part); node, parts and its least neighbour."""
-    nodes = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.ceil(F.count(F.lit(1)) / list_part).cast("int").alias("parts")), "nodes")
-    lists = edges.join(nodes.select(F.col("node").alias("b"), F.col("parts").alias("other_parts")), "b")
-    hubs = nodes.where("parts > 1").select(F.col("node").alias("a"), "parts")
-    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))
-    lists = lists.join(hubs, "a", "left").select(F.col("a").alias("node"), part.alias("part"), F.col("b").alias("other"), "other_parts")
-    return bucketed(lists, ["node", "part"], "adjacency"), nodes
+def _met_lists(labelled: DataFrame, hubs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``labelled(node, label)`` met with the adjacency lists of its nodes: the lists stay where they lie."""
+    return _spread(labelled, hubs).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(lists, ["node", "part"])
 
 
-def _met_lists(labelled: DataFrame, lists: DataFrame) -> DataFrame:
-    """``labelled(node, label, parts)`` met with the adjacency lists of its nodes: the lists stay where they lie."""
-    spread = labelled.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return spread.join(lists, ["node", "part"])
-
-
-def _search(edges: DataFrame, small_graph: int, list_part: int) -> DataFrame:
-    """(node, component) of a graph given by its edges ``a, b`` in both directions."""
-    spark = edges.sparkSession
-    lists, nodes = _adjacency(edges, list_part)
-    seeds = nodes.where("node < least").select("node", F.col("node").alias("label"), "parts")
-    hops = [materialize(seeds, "frontier")]
+def _search(pairs: DataFrame, small_graph: int, list_part: int) -> DataFrame:
+    """(node, component) of the graph of the edges ``a, b``; an edge may come in both directions."""
+    spark = pairs.sparkSession
+    edges = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    nodes = materialize(edges.groupBy("node").agg(F.min("other").alias("least"), F.ceil(F.count(F.lit(1)) / list_part).cast("int").alias("parts")), "nodes")
+    hubs = materialize(nodes.where("parts > 1").select("node", "parts"), "hubs")
+    lists = bucketed(_spread(edges, hubs).select("node", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), "other"), ["node", "part"], "adjacency")
+    hops = [materialize(nodes.where("node < least").select("node", F.col("node").alias("label")), "frontier")]
     while True:
         # the neighbours of a hop lie in it, in the one before or in the next: only these two have to be told apart
-        step = _met_lists(hops[-1], lists).select(F.col("other").alias("node"), "label", F.col("other_parts").alias("parts"), F.lit(False).alias("seen"))
+        step = _met_lists(hops[-1], hubs, lists).select(F.col("other").alias("node"), "label", F.lit(False).alias("seen"))
         for h in hops[-2:]:
             step = step.unionByName(h.withColumn("seen", F.lit(True)))
-        reached = step.groupBy("node").agg(F.min("label").alias("label"), F.max("parts").alias("parts"), F.bool_or("seen").alias("seen"))
+        reached = step.groupBy("node").agg(F.min("label").alias("label"), F.bool_or("seen").alias("seen"))
         frontier = materialize(reached.where("not seen").drop("seen"), "frontier")
         if frontier.isEmpty():
             break
@@ -104,16 +97,16 @@ def _search(edges: DataFrame, small_graph: int, list_part: int) -> DataFrame:
     labels = hops[0]
     for h in hops[1:]:
         labels = labels.unionByName(h)
-    once = _met_lists(labels, lists).where("node < other").select("label", F.col("other").alias("node"))
-    met = once.distinct().join(labels.select("node", F.col("label").alias("other_label")), "node").where("label <> other_label")
+    once = _met_lists(labels, hubs, lists).where("node < other").select("label", F.col("other").alias("node"))
+    met = once.join(labels.select("node", F.col("label").alias("other_label")), "node").where("label <> other_label")
     small = materialize(met.select(F.least("label", "other_label").alias("a"), F.greatest("label", "other_label").alias("b")).distinct(), "labels")
     if small.count() <= small_graph:
-        merged = materialize(small.repartition(1).mapInPandas(_merge, "node string, component string"), "merged")
+        merged = materialize(small.repartition(1).mapInPandas(_merge, "node binary, component binary"), "merged")
     else:
-        merged = _search(_both_ways(small), small_graph, list_part)
+        merged = _search(small, small_graph, list_part)
     named = labels.join(merged.select(F.col("node").alias("label"), "component"), "label", "left")
     out = materialize(named.select("node", F.coalesce("component", "label").alias("component")), "components")
-    discard(spark, [edges, lists, nodes, small, merged, frontier, *hops])
+    discard(spark, [pairs, nodes, hubs, lists, small, merged, frontier, *hops])
     return out
 
 
