@@ -1,30 +1,44 @@
 """Far too many small files: compact only the partitions that need it, once and safely.
 
-A table is a folder of Hive-style partitions. ``compact_table``
+The table is a versioned one (``sources.versions``). ``compact_table``
 
-1. takes a snapshot: the list of data files with their sizes, written under the next version number;
-   the version folder is created exclusively, so two writers can't hold the same version;
+1. takes a snapshot: the latest version with its data files and their sizes, from the listing alone;
 2. picks the partitions with too many small files, and with ``pick_copies`` those with records held twice;
-3. rewrites only these into a staging folder, near the target size, each record once;
-4. checks the staged records against the snapshot, lists the files again, and stops with
-   ``CompactionConflict`` if a picked partition has changed since;
-5. swaps the partitions in by dynamic partition overwrite.
+3. finds the copies in them: of the records of one key the first stays, and the log of copies names the others;
+4. rewrites only these partitions, near the target size, each record once, by dynamic partition overwrite into
+   a batch of its own, which no reader sees yet;
+5. checks that no record is missing, and commits the batch in place of the old directories. If any version was
+   committed since the snapshot, it stops with ``CompactionConflict`` and the table is as it was.
 
 No list of files or records is collected: listings are DataFrames, only counts reach the driver.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewright.session import materialize, new_table_path
+from slicewright.session import materialize
+from slicewright.sources import versions
+from slicewright.sources.versions import BATCH, FILE, PART
 
 DEFAULT_TARGET = 134_217_728
 
 
 class CompactionConflict(RuntimeError):
-    """A picked partition changed between snapshot and commit."""
+    """The table changed between snapshot and commit, or the rewritten records aren't those of the snapshot."""
+
+
+@dataclass
+class Compaction:
+    """``log``: a row for each rewritten partition; ``copies``: kept, dropped of each record left out; ``version``: the table after it."""
+
+    log: DataFrame
+    copies: DataFrame
+    version: versions.Version
 
 
 def record_name(slice_name: Column, file_path: Column) -> Column:
@@ -56,152 +70,119 @@ def mask_digest(counts: str, mask_hw: str) -> Column:
     )
 
 
-def filing_plan(files: DataFrame, slices: DataFrame, min_small_files: int = 2, target_bytes: int = DEFAULT_TARGET) -> tuple[DataFrame, DataFrame]:
-    """Where each small mask file belongs, and which partitions are to be rewritten.
+def filed_masks(files: DataFrame, slices: DataFrame) -> DataFrame:
+    """``files`` with ``name``, ``part`` and ``digest``: where each small mask file belongs.
 
-    ``files``: file_id, file_path, case_id, slice_name, mask_hw, counts, size_bytes; ``slices``:
-    slice_name, case_id. A file is filed under the case of its slice, whatever its own case_id says, so
-    copies of one record meet in one partition; a name no slice has is filed under ``unfiled``.
-    The plan is written to the shared folder, so digests are computed once.
-    Returns (plan, picked): plan has file_id, name, part, size, digest; picked has part, n_files, n_small, bytes.
-    A null size counts as small.
+    ``files``: file_id, file_path, case_id, slice_name, mask_hw, counts and others; ``slices``: slice_name, case_id. A
+    file is filed under the case of its slice, whatever its own case_id says, so copies of one record meet in one
+    partition; a name no slice has is filed under ``unfiled``. Columns of these names are replaced.
     """
-    named = files.select(
-        "file_id",
-        record_name(F.col("slice_name"), F.col("file_path")).alias("name"),
-        F.col("size_bytes").alias("size"),
-        mask_digest("counts", "mask_hw").alias("digest"),
-    )
+    own = files.drop("name", "part", "digest")
+    named = own.select("*", record_name(F.col("slice_name"), F.col("file_path")).alias("name"), mask_digest("counts", "mask_hw").alias("digest"))
     filed = slices.where(F.col("slice_name").isNotNull()).groupBy(F.trim("slice_name").alias("name")).agg(F.min(F.trim("case_id")).alias("part"))
-    plan = materialize(named.join(filed, "name", "left").withColumn("part", F.coalesce("part", F.lit("unfiled"))), "filing")
-    small = F.col("size").isNull() | (F.col("size") < target_bytes)
-    stats = plan.groupBy("part").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(small).alias("n_small"), F.sum("size").alias("bytes"))
-    return plan, stats.where(F.col("n_small") >= min_small_files)
+    return named.join(filed, "name", "left").withColumn("part", F.coalesce("part", F.lit("unfiled")))
 
 
-def held_twice(plan: DataFrame, picked: DataFrame | None = None) -> DataFrame:
-    """Pairs ``file_id_a < file_id_b`` of files that hold the same record with the same mask; with ``picked`` only those in its partitions.
+def small_file_counts(filed: DataFrame, min_small_files: int = 2, target_bytes: int = DEFAULT_TARGET) -> DataFrame:
+    """part, n_files, n_small, bytes of the cases with at least ``min_small_files`` files under the target; a null size counts as small."""
+    small = F.col("size_bytes").isNull() | (F.col("size_bytes") < target_bytes)
+    stats = filed.groupBy("part").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(small).alias("n_small"), F.sum("size_bytes").alias("bytes"))
+    return stats.where(F.col("n_small") >= min_small_files)
 
-    One row per pair is asked for, so a record written k times gives k (k - 1) / 2 rows. Files without a
-    name or mask are no copies of anything.
+
+def lay_out(filed: DataFrame, path: str, target_bytes: int = DEFAULT_TARGET) -> versions.Version:
+    """Write filed masks as a versioned table of small files, partitioned by ``bucket``, a hash of the case.
+
+    There are as many buckets as the records fill files of the target size: a file a case would leave files as
+    small as they were.
     """
-    keyed = plan.where(F.col("name").isNotNull() & F.col("digest").isNotNull()).select("name", "digest", "part", "file_id")
-    # both sides read the same columns, so the digests are computed and shuffled once
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = (F.col("a.name") == F.col("b.name")) & (F.col("a.digest") == F.col("b.digest")) & (F.col("a.part") == F.col("b.part"))
-    pairs = a.join(b, same & (F.col("a.file_id") < F.col("b.file_id"))).select(F.col("a.part").alias("part"), F.col("a.file_id").alias("file_id_a"), F.col("b.file_id").alias("file_id_b"))
-    if picked is not None:
-        # written, so that the filter by partition comes after the join instead of shuffling every file by its partition
-        pairs = materialize(pairs, "pairs").join(picked.select("part"), "part", "left_semi")
-    return pairs.select("file_id_a", "file_id_b")
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _mkdir_exclusive(spark: SparkSession, path: str) -> bool:
-    """Claim ``path`` by creating a marker that must not exist yet."""
-    fs, p = _fs(spark, path + "/_claimed")
-    try:
-        fs.create(p, False).close()
-        return True
-    except Exception as e:  # the JVM's FileAlreadyExistsException
-        if "AlreadyExists" in str(e):
-            return False
-        raise
-
-
-def list_files(spark: SparkSession, path: str, partition: str) -> DataFrame:
-    """partition, file, bytes, rows of each data file, from the scan's own metadata."""
-    df = spark.read.parquet(path)
-    return df.groupBy(F.col(partition).cast("string").alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-def take_snapshot(spark: SparkSession, path: str, partition: str) -> tuple[int, DataFrame]:
-    """Write the list of files under the next free version; returns the version and the list."""
-    base = f"{path}/_snapshots"
-    fs, p = _fs(spark, base)
-    version = 0
-    if fs.exists(p):
-        version = max([int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if s.getPath().getName()[:1] == "v"], default=-1) + 1
-    while not _mkdir_exclusive(spark, f"{base}/v{version}"):
-        version += 1
-    list_files(spark, path, partition).write.parquet(f"{base}/v{version}/files")
-    return version, spark.read.parquet(f"{base}/v{version}/files")
+    spark = filed.sparkSession
+    stored = filed.agg(F.sum(4 * F.size("counts") + F.length("file_path") + 64)).collect()[0][0] or 0
+    bucket = F.pmod(F.xxhash64("part"), F.lit(max(1, round(stored / target_bytes)))).cast("int")
+    return versions.append(spark, path, filed.withColumn("bucket", bucket), "bucket")
+
+
+def _whole(key: list[str]) -> Column:
+    out = F.lit(True)
+    for c in key:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
+def copies_of(rows: DataFrame, key: list[str], ident: str) -> DataFrame:
+    """PART, kept, dropped: of the rows of a partition with the same key the first by ``ident`` is kept. Keys with a null have no copies.
+
+    Only keys and ids are shuffled, folded to the first id of each key before that; a key with many copies is met by
+    a join, which may be split, and is never gathered.
+    """
+    keyed = rows.where(_whole(key) & F.col(ident).isNotNull()).select(PART, *key, ident)
+    first = keyed.groupBy(PART, *key).agg(F.min(ident).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return keyed.join(first, [PART, *key]).where(F.col(ident) != F.col("kept")).select(PART, "kept", F.col(ident).alias("dropped"))
+
+
+def pairs_of(copies: DataFrame, a: str = "file_id_a", b: str = "file_id_b") -> DataFrame:
+    """Pairs a < b of records that are the same, from the log of copies.
+
+    One row per pair is asked for, so a record written k times gives k (k - 1) / 2 rows.
+    """
+    first = copies.select(F.col("kept").alias(a), F.col("dropped").alias(b))
+    left, right = copies.alias("l"), copies.alias("r")
+    rest = left.join(right, (F.col("l.kept") == F.col("r.kept")) & (F.col("l.dropped") < F.col("r.dropped")))
+    return first.unionByName(rest.select(F.col("l.dropped").alias(a), F.col("r.dropped").alias(b)))
 
 
 def compact_table(
     spark: SparkSession,
     path: str,
-    partition: str,
     key: list[str],
-    order: list[str],
+    ident: str,
     target_bytes: int = DEFAULT_TARGET,
     min_small_files: int = 2,
     before_commit=None,
     pick_copies: bool = False,
-) -> DataFrame:
-    """Compact the partitions of ``path`` that have at least ``min_small_files`` files under half the target.
+) -> Compaction:
+    """Compact the partitions of a versioned table that have at least ``min_small_files`` files under half the target.
 
-    ``key``: columns that make two rows the same record; of those the first by ``order`` stays. Rows with
-    a null in ``key`` are never taken for copies. Returns the log: part, files_before, bytes_before,
-    rows_before, rows_after, copies_dropped, n_target_files, version. A table without such a partition is left as it is.
+    ``key``: columns that make two rows the same record; ``ident``: tells rows apart. Rows with a null in ``key`` or
+    ``ident`` are never taken for copies. The log has part, files_before, bytes_before, rows_before, rows_after,
+    copies_dropped, n_target_files. A table without such a partition is left as it is, under its version.
     ``pick_copies``: also partitions that hold a record twice, whatever the sizes of their files.
-    ``before_commit``: called between staging and the conflict check (for tests).
+    ``before_commit``: called between writing and commit (for tests).
     """
-    version, files = take_snapshot(spark, path, partition)
-    small = F.col("bytes") < target_bytes // 2
-    whole = F.lit(True)
-    for c in key:
-        whole = whole & F.col(c).isNotNull()
-    per = files.groupBy("part").agg(F.count(F.lit(1)).alias("files_before"), F.count_if(small).alias("n_small"), F.sum("bytes").alias("bytes_before"), F.sum("rows").alias("rows_before"))
+    base = versions.latest(spark, path)
+    per = versions.files(spark, path, base).groupBy(PART).agg(F.count(F.lit(1)).alias("files_before"), F.count_if(F.col("bytes") < target_bytes // 2).alias("n_small"), F.sum("bytes").alias("bytes_before"))
     due = F.col("n_small") >= min_small_files
+    table = versions.read(spark, path, base, parts=True)
+    twice = None
     if pick_copies:
-        twice = spark.read.parquet(path).where(whole).groupBy(F.col(partition).cast("string").alias("part"), *key).count().where("count > 1")
-        per = per.join(twice.select("part").distinct().withColumn("twice", F.lit(True)), "part", "left")
+        twice = materialize(copies_of(table, key, ident), "copies")
+        per = per.join(twice.groupBy(PART).agg(F.count(F.lit(1)).alias("twice")), PART, "left")
         due = due | F.col("twice").isNotNull()
-    picked = per.where(due).select("part", "files_before", "n_small", "bytes_before", "rows_before", F.ceil(F.col("bytes_before") / target_bytes).cast("int").alias("n_target_files"))
-    picked.write.parquet(f"{path}/_snapshots/v{version}/picked")
-    picked = spark.read.parquet(f"{path}/_snapshots/v{version}/picked")
-    stage = new_table_path(spark, "compaction")
-    kind = spark.read.parquet(path).schema
-    rows = spark.read.parquet(path).withColumn("_part", F.col(partition).cast("string"))
-    rows = rows.join(picked.select(F.col("part").alias("_part"), F.col("n_target_files").alias("_files")), "_part")
-    names = kind.fieldNames()
-    ident = F.when(whole, F.xxhash64(*key)).otherwise(F.xxhash64(*order))
-    rows = rows.withColumn("_file", F.pmod(ident, F.col("_files")).cast("int"))
-    single = rows.where(whole).groupBy(*key, partition, "_file").agg(F.min(F.struct(*order, *(c for c in names if c not in {*order, *key, partition}))).alias("_r"))
-    picks = [F.col(c) if c in key or c == partition else F.col(f"_r.{c}").alias(c) for c in names]
-    kept = single.select(*picks, "_file").unionByName(rows.where(~whole).select(*names, "_file"))
-    # rows go by target file, so the hot partition is spread over as many tasks as it has files; where two of its
-    # files meet in a task, the limit of rows keeps them apart
-    widest = picked.agg(F.max(F.col("bytes_before") / F.greatest(F.col("rows_before"), F.lit(1)))).collect()[0][0]
-    most_rows = max(1, int(1.25 * target_bytes / widest)) if widest else 0
-    kept.repartition(partition, "_file").write.option("maxRecordsPerFile", most_rows).partitionBy(partition).parquet(stage)
-    stage_kind = kept.schema
-
-    def counted(df: DataFrame) -> DataFrame:
-        return df.groupBy(F.col(partition).cast("string").alias("part")).agg(F.count(F.lit(1)).alias("rows_after"))
-
-    log = picked.join(counted(spark.read.schema(stage_kind).parquet(stage)), "part", "left").withColumn("rows_after", F.coalesce("rows_after", F.lit(0)))
-    distinct = rows.where(whole).select("_part", *key).distinct().groupBy("_part").count()
-    loose = rows.where(~whole).groupBy("_part").count()
-    want = distinct.unionByName(loose).groupBy(F.col("_part").alias("part")).agg(F.sum("count").alias("rows_wanted"))
-    lost = log.join(want, "part", "full").where(~F.col("rows_after").eqNullSafe(F.col("rows_wanted")))
-    if not lost.isEmpty():
-        raise CompactionConflict(f"staged records differ from snapshot v{version}")
-    if before_commit:
-        before_commit()
-    spark.catalog.refreshByPath(path)
-    now = list_files(spark, path, partition).join(picked.select("part"), "part", "left_semi")
-    then = files.join(picked.select("part"), "part", "left_semi")
-    if not now.select("part", "file", "bytes").exceptAll(then.select("part", "file", "bytes")).isEmpty() or not then.select("part", "file", "bytes").exceptAll(now.select("part", "file", "bytes")).isEmpty():
-        raise CompactionConflict(f"a partition changed after snapshot v{version}")
-    # the column order of the table puts the partition last; the staged file number keeps one task per target file
-    staged = spark.read.schema(stage_kind).parquet(stage)
-    swap = staged.repartition(partition, "_file").drop("_file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    swap.option("maxRecordsPerFile", most_rows).partitionBy(partition).parquet(path)
-    spark.catalog.refreshByPath(path)
-    return log.select("part", "files_before", "bytes_before", "rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("copies_dropped"), "n_target_files", F.lit(version).alias("version"))
+    picked = materialize(per.where(due).select(PART, "files_before", "bytes_before", F.ceil(F.col("bytes_before") / target_bytes).cast("int").alias("n_target_files")), "picked")
+    rows = table.join(picked.select(PART, F.col("n_target_files").alias("_files")), PART)
+    # with pick_copies every partition with a copy is picked, so the copies are those found before
+    copies = twice if pick_copies else materialize(copies_of(rows, key, ident), "copies")
+    kept = rows.drop(BATCH).join(copies.select(PART, F.col("dropped").alias(ident)), [PART, ident], "left_anti")
+    # rows go by target file, so a hot partition is spread over as many tasks as it has files
+    kept = kept.withColumn(FILE, F.pmod(F.xxhash64(*key, ident), F.col("_files")).cast("int")).drop("_files").repartition(PART, FILE)
+    token = uuid.uuid4().hex
+    versions.write_batch(kept, path, token)
+    counted = lambda df, n: df.groupBy(PART).agg(F.count(F.lit(1)).alias(n))
+    written = versions.read(spark, path, versions.Version(path, 0, [token], None, base.schema), parts=True)
+    log = picked.join(counted(rows, "rows_before"), PART).join(counted(written, "rows_after"), PART, "left").join(counted(copies, "copies_dropped"), PART, "left").na.fill(0, ["rows_after", "copies_dropped"])
+    log = materialize(log, "log")
+    if not log.where("rows_after + copies_dropped <> rows_before").isEmpty():
+        raise CompactionConflict(f"the rewritten records aren't those of version {base.number}")
+    version = base
+    if not log.isEmpty():
+        old = versions.files(spark, path, base).select(BATCH, PART).distinct().join(picked, PART, "left_semi")
+        dead = old.unionByName(spark.read.parquet(base.dead)) if base.dead else old
+        dead = materialize(dead, "dead", f"{path}/dead/{token}")
+        if before_commit:
+            before_commit()
+        try:
+            version = versions.commit(spark, path, base, [*base.batches, token], dead._slicewright_path, base.schema)
+        except versions.VersionConflict as e:
+            raise CompactionConflict(f"the table changed after version {base.number}") from e
+    out = log.select(F.col(PART).alias("part"), "files_before", "bytes_before", "rows_before", "rows_after", "copies_dropped", "n_target_files")
+    return Compaction(out, copies.select("kept", "dropped"), version)

@@ -7,38 +7,40 @@ from pyspark.sql import functions as F
 
 from slicewright.operators import compaction, drift, orphans
 from slicewright.session import config_value, materialize, new_table_path, share_package, table
+from slicewright.sources import versions
 
 
-def _filing(spark: SparkSession, d: str):
-    target = int(config_value(spark, d, "storage.target_file_bytes", str(compaction.DEFAULT_TARGET)))
-    return compaction.filing_plan(table(spark, d, "gts"), table(spark, d, "manifest"), target_bytes=target)
+def _target(spark: SparkSession, d: str) -> int:
+    return int(config_value(spark, d, "storage.target_file_bytes", str(compaction.DEFAULT_TARGET)))
+
+
+def _compacted(spark: SparkSession, d: str) -> compaction.Compaction:
+    """The mask files, laid out by case as a table of many small files, and compacted."""
+    gts = table(spark, d, "gts").select("file_id", "file_path", "case_id", "slice_name", "mask_hw", "counts", "size_bytes", "written_at")
+    path = new_table_path(spark, "gts-small-files")
+    compaction.lay_out(compaction.filed_masks(gts, table(spark, d, "manifest")), path, _target(spark, d))
+    return compaction.compact_table(spark, path, ["name", "digest"], "file_id", target_bytes=_target(spark, d), pick_copies=True)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The copies of all partitions, also of those that need no rewrite."""
-    return compaction.held_twice(_filing(spark, d)[0])
+    """The copies that compaction drops, each with all others of its record."""
+    return compaction.pairs_of(_compacted(spark, d).copies)
 
 
 def p2_partitions(spark: SparkSession, d: str) -> DataFrame:
-    """The partitions that compaction rewrites, with their small files."""
-    return _filing(spark, d)[1]
+    """The cases with too many small files."""
+    return compaction.small_file_counts(compaction.filed_masks(table(spark, d, "gts"), table(spark, d, "manifest")), target_bytes=_target(spark, d))
 
 
 def p2_compaction(spark: SparkSession, d: str) -> DataFrame:
-    """Lays the mask files out as a table of many small files, compacts it, and returns the log of the rewrite.
-
-    The table has as many partitions by case as its records fill files of the target size.
-    """
-    target = int(config_value(spark, d, "storage.target_file_bytes", str(compaction.DEFAULT_TARGET)))
-    plan, _ = compaction.filing_plan(table(spark, d, "gts"), table(spark, d, "manifest"))
-    body = table(spark, d, "gts").select("file_id", "file_path", "mask_hw", "counts", "size_bytes", "written_at")
-    laid = body.join(plan.select("file_id", "name", "part", "digest"), "file_id")
-    stored = body.agg(F.sum(4 * F.size("counts") + F.length("file_path") + 64)).collect()[0][0] or 0
-    parts = max(1, round(stored / target))
-    bucket = F.pmod(F.xxhash64("part"), F.lit(parts)).cast("int")
-    path = new_table_path(spark, "gts-small-files")
-    laid.withColumn("bucket", bucket).repartition(max(16, 4 * parts)).write.partitionBy("bucket").parquet(path)
-    return compaction.compact_table(spark, path, "bucket", ["name", "digest"], ["file_id"], target_bytes=target, pick_copies=True)
+    """The log of the rewrite: files, bytes and records of each partition before and after."""
+    return _compacted(spark, d).log
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """Per case the records of the compacted table, read back: each record once."""
+    version = _compacted(spark, d).version
+    return versions.read(spark, version.path, version).groupBy("part").agg(F.count(F.lit(1)).alias("n_records"), F.sum("file_id").alias("sum_ids"), F.sum(F.size("counts")).cast("bigint").alias("n_runs"))
 
 
 def _p3(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +104,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_partitions": p2_partitions,
     "p2_compaction": p2_compaction,
+    "p2_records": p2_records,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p6_found": p6_found,
@@ -152,6 +155,9 @@ ORACLES = {
     "p2_partitions": f"""WITH {_FILED}, s AS (SELECT coalesce(part, 'unfiled') AS part, size_bytes FROM named LEFT JOIN filed USING (name))
 SELECT part, count(*)::BIGINT AS n_files, count(*) FILTER (WHERE size_bytes IS NULL OR size_bytes < t)::BIGINT AS n_small, sum(size_bytes)::BIGINT AS bytes
 FROM s, (SELECT param_text::BIGINT AS t FROM default_config WHERE param = 'storage.target_file_bytes') GROUP BY part HAVING n_small >= 2""",
+    "p2_records": f"""WITH {_GTS_KEYED}, filed AS (SELECT trim(slice_name) AS name, min(trim(case_id)) AS part FROM manifest WHERE slice_name IS NOT NULL GROUP BY 1),
+once AS (SELECT min(file_id) AS file_id FROM keyed GROUP BY name, mask_hw, flips UNION ALL SELECT file_id FROM named WHERE counts IS NULL OR mask_hw IS NULL OR name IS NULL)
+SELECT coalesce(part, 'unfiled') AS part, count(*)::BIGINT AS n_records, sum(file_id)::BIGINT AS sum_ids, sum(len(counts))::BIGINT AS n_runs FROM once JOIN named USING (file_id) LEFT JOIN filed USING (name) GROUP BY 1""",
     "p3_found": f"WITH {_P3_SQL} SELECT DISTINCT ref_table, strftime(t, '%Y-%m') AS ref_month, slice_name, ref_state FROM direct",
     "p3_report": f"""WITH {_P3_SQL},
 bad AS (SELECT DISTINCT slice_name AS k, t AS b FROM direct WHERE ref_table = 'geometry_meta'),

@@ -61,14 +61,14 @@ def new_table_path(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, label: str = "step", path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, or at ``path``, and read it back.
 
     It cuts the lineage like a checkpoint, but is columnar and compressed, has known
     sizes, and outlives any executor.
     """
     spark = df.sparkSession
-    path = new_table_path(spark, label)
+    path = path or new_table_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._slicewright_path = path

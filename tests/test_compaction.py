@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from slicewright.operators import compaction as C
 from slicewright.operators.raster import decode_runs
 from slicewright.plans import datawork
+from slicewright.sources import versions
 
 SCHEMA = "file_id bigint, file_path string, case_id string, slice_name string, mask_hw array<int>, counts array<int>, size_bytes bigint"
 
@@ -41,7 +42,7 @@ def files(spark, rows, extra=False):
 
 
 @pytest.mark.parametrize("extra", [False, True])
-def test_found_pairs(spark, extra):
+def test_found_pairs(spark, tmp_path, extra):
     hw, m, same, other = [2, 2], [1, 2, 1], [1, 1, 0, 1, 1], [0, 4]
     rows = [
         (1, "a/s1.npy", "c", "s1.npy", hw, m, 5),
@@ -55,20 +56,27 @@ def test_found_pairs(spark, extra):
         (9, "x/s1.npy", "c", "s1.npy", [4, 1], m, 5),  # other size
     ]
     slices = spark.createDataFrame([("s1.npy", "c"), ("s1.npy", "c"), (None, "d")], "slice_name string, case_id string")
-    pairs = C.held_twice(*C.filing_plan(files(spark, rows, extra), slices)).collect()
-    assert {tuple(r) for r in pairs} == {(1, 2), (1, 3), (2, 3)}
+    filed = C.filed_masks(files(spark, rows, extra), slices)
+    path = f"file://{tmp_path}/t"
+    C.lay_out(filed, path)
+    done = C.compact_table(spark, path, ["name", "digest"], "file_id", pick_copies=True)
+    assert {tuple(r) for r in C.pairs_of(done.copies).collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert {r.file_id for r in versions.read(spark, path).collect()} == {1, 4, 5, 6, 7, 8, 9}
 
 
-def test_empty(spark):
+def test_empty(spark, tmp_path):
     slices = spark.createDataFrame([], "slice_name string, case_id string")
-    assert C.held_twice(*C.filing_plan(files(spark, []), slices)).count() == 0
+    path = f"file://{tmp_path}/t"
+    C.lay_out(C.filed_masks(files(spark, []), slices), path)
+    done = C.compact_table(spark, path, ["name", "digest"], "file_id", pick_copies=True)
+    assert C.pairs_of(done.copies).count() == 0 and done.log.count() == 0 and versions.read(spark, path).count() == 0
 
 
 def small_table(spark, path):
     rows = [(i, f"r{i % 30}" if i % 7 else None, i % 3, 0) for i in range(90)]
     df = spark.createDataFrame(rows, "id int, name string, bucket int, n_target_files int")
-    df.where("bucket < 2").repartition(12).write.partitionBy("bucket").parquet(path)
-    df.where("bucket = 2").coalesce(1).write.mode("append").partitionBy("bucket").parquet(path)
+    versions.append(spark, path, df.where("bucket < 2").repartition(12), "bucket")
+    versions.append(spark, path, df.where("bucket = 2").coalesce(1), "bucket")
     return df
 
 
@@ -78,40 +86,72 @@ def kept(df):
     return {tuple(r) for r in named.unionByName(df.where("name is null").select("id", "name", "bucket")).collect()}
 
 
+def rows_of(spark, path, version=None):
+    return {tuple(r) for r in versions.read(spark, path, version).select("id", "name", "bucket").collect()}
+
+
 def test_table_is_compacted_whole(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     df = small_table(spark, path)
-    log = {r.part: r for r in C.compact_table(spark, path, "bucket", ["name"], ["id"]).collect()}
+    before = versions.latest(spark, path)
+    log = {r.part: r for r in C.compact_table(spark, path, ["name"], "id").log.collect()}
     assert set(log) == {"0", "1"}  # bucket 2 is one file already
     assert all(r.n_target_files == 1 and r.files_before > 1 for r in log.values())
-    got = {tuple(r) for r in spark.read.parquet(path).select("id", "name", "bucket").collect()}
-    assert got == kept(df.where("bucket < 2")) | {tuple(r) for r in df.where("bucket = 2").select("id", "name", "bucket").collect()}
-    now = {r.part: r.n for r in C.list_files(spark, path, "bucket").groupBy("part").agg(F.count("*").alias("n")).collect()}
-    assert now == {"0": 1, "1": 1, "2": 1}
-    again = C.compact_table(spark, path, "bucket", ["name"], ["id"])
-    assert again.count() == 0  # nothing left to do, under the next version
-    assert C.take_snapshot(spark, path, "bucket")[0] == 2
+    want = kept(df.where("bucket < 2")) | {tuple(r) for r in df.where("bucket = 2").select("id", "name", "bucket").collect()}
+    assert rows_of(spark, path) == want and versions.read(spark, path).columns == df.columns
+    assert versions.read(spark, path, before).count() == 90  # who reads the version before still has it
+    listed = lambda: {r[0]: r.n for r in versions.files(spark, path).groupBy(versions.PART).agg(F.count("*").alias("n")).collect()}
+    assert listed() == {"0": 1, "1": 1, "2": 1}
+    again = C.compact_table(spark, path, ["name"], "id")
+    assert again.log.count() == 0 and again.version.number == 2  # nothing left to do
+    assert versions.vacuum(spark, path).number == 3 and rows_of(spark, path) == want and listed() == {"0": 1, "1": 1, "2": 1}
+
+
+def test_append_before_the_commit_is_a_conflict(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    df = small_table(spark, path)
+    late = lambda: versions.append(spark, path, spark.createDataFrame([(999, "late", 0, 0)], df.schema), "bucket")
+    with pytest.raises(C.CompactionConflict):
+        C.compact_table(spark, path, ["name"], "id", before_commit=late)
+    assert versions.read(spark, path).count() == 91  # nothing lost, nothing rewritten
+    C.compact_table(spark, path, ["name"], "id", pick_copies=True)
+    assert (999, "late", 0) in rows_of(spark, path)
 
 
-def test_concurrent_write_is_a_conflict(spark, tmp_path):
+def test_of_two_compactors_one_is_refused(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     df = small_table(spark, path)
-    late = lambda: spark.createDataFrame([(999, "late", 0, 0)], df.schema).write.mode("append").partitionBy("bucket").parquet(path)
     with pytest.raises(C.CompactionConflict):
-        C.compact_table(spark, path, "bucket", ["name"], ["id"], before_commit=late)
-    assert spark.read.parquet(path).count() == 91  # nothing lost, nothing rewritten
+        C.compact_table(spark, path, ["name"], "id", pick_copies=True, before_commit=lambda: C.compact_table(spark, path, ["name"], "id", pick_copies=True))
+    assert rows_of(spark, path) == kept(df)
+
+
+def test_odd_partition_values(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    values = ["a/b:c", "x%41y", "é +1", "", None, "007", "{q}"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values * 2)], "id int, p string")
+    for _ in range(2):
+        versions.append(spark, path, df.repartition(2), "p")
+    done = C.compact_table(spark, path, ["p"], "id")
+    assert {r.part for r in done.log.collect()} == {v or "" for v in values}
+    assert sorted((r.id, r.p) for r in versions.read(spark, path).collect() if r.p is not None) == [(i, v) for i, v in enumerate(values) if v is not None for _ in range(2)]
+    assert versions.read(spark, path).where("p is null").count() == 4
+    versions.vacuum(spark, path)
+    assert versions.read(spark, path).count() == 16 and versions.files(spark, path).select(versions.BATCH).distinct().count() == 1
 
 
 def test_large_partition_gets_several_files(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     small_table(spark, path)
-    log = C.compact_table(spark, path, "bucket", ["name"], ["id"], target_bytes=4000, min_small_files=2)
-    assert {r.n_target_files > 1 for r in log.collect()} == {True}
+    log = C.compact_table(spark, path, ["name"], "id", target_bytes=4000, min_small_files=2).log.collect()
+    assert {r.n_target_files > 1 for r in log} == {True}
+    got = {r[0]: r.n for r in versions.files(spark, path).groupBy(versions.PART).agg(F.count("*").alias("n")).collect()}
+    assert all(1 < got[r.part] <= r.n_target_files for r in log)
 
 
 def test_copies_of_large_files_are_found(spark, tmp_path):
     rows = [(1, "a/s1.npy", "c", "s1.npy", [2, 2], [1, 2, 1], 900), (2, "b/s1.npy", "c", "s1.npy", [2, 2], [1, 2, 1], 900)]
-    files(spark, rows).write.parquet(f"file://{tmp_path}/gts.parquet")
+    files(spark, rows).withColumn("written_at", F.lit(None).cast("timestamp_ntz")).write.parquet(f"file://{tmp_path}/gts.parquet")
     spark.createDataFrame([("s1.npy", "c")], "slice_name string, case_id string").write.parquet(f"file://{tmp_path}/manifest.parquet")
     spark.createDataFrame([("storage.target_file_bytes", "100")], "param string, param_text string").write.parquet(f"file://{tmp_path}/default_config.parquet")
     assert [tuple(r) for r in datawork.p2_found(spark, str(tmp_path)).collect()] == [(1, 2)]
@@ -121,7 +161,7 @@ def test_copies_of_large_files_are_found(spark, tmp_path):
 def test_copies_alone_make_a_partition_due(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     df = small_table(spark, path)
-    log = {r.part: r for r in C.compact_table(spark, path, "bucket", ["name"], ["id"], pick_copies=True).collect()}
+    log = {r.part: r for r in C.compact_table(spark, path, ["name"], "id", pick_copies=True).log.collect()}
     assert set(log) == {"0", "1", "2"} and log["2"].files_before == 1 and log["2"].copies_dropped > 0
-    assert {tuple(r) for r in spark.read.parquet(path).select("id", "name", "bucket").collect()} == kept(df)
-    assert C.compact_table(spark, path, "bucket", ["name"], ["id"], pick_copies=True).count() == 0
+    assert rows_of(spark, path) == kept(df)
+    assert C.compact_table(spark, path, ["name"], "id", pick_copies=True).log.count() == 0
