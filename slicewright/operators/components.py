@@ -225,6 +225,13 @@ def artefacts(components: DataFrame, key: str, rule: dict) -> DataFrame:
     return components.withColumn("artefact", artefact_reason(rule, F.max("area").over(Window.partitionBy(key))))
 
 
+def artefacts_by_rule(components: DataFrame, key: str, rules: dict[str, dict] = ARTEFACT_RULES) -> DataFrame:
+    """``components`` with ``rule`` and ``artefact``: a row for each rule by which one is an artefact, from one pass over them."""
+    sized = components.withColumn("_big", F.max("area").over(Window.partitionBy(key)))
+    told = F.array(*(F.struct(F.lit(name).alias("rule"), artefact_reason(rule, F.col("_big")).alias("artefact")) for name, rule in sorted(rules.items())))
+    return sized.withColumn("_t", F.explode(told)).drop("_big").select("*", "_t.rule", "_t.artefact").drop("_t").where("artefact is not null")
+
+
 def summary(components: DataFrame, key: str) -> DataFrame:
     """Per mask with foreground: number, largest and smallest area, border pixels, whether pixel (0, 0) is set."""
     return components.groupBy(key).agg(

@@ -38,6 +38,31 @@ def robust_hausdorff(surfels: DataFrame, key: list[str], percent: float, area: C
     return weighted_percentile(surfels, [*key, "side"], "distance", area, percent).groupBy(*key).agg(F.max("distance").alias("hausdorff"))
 
 
+def surface_measures(surfels: DataFrame, key: list[str], tolerance: float, percent: float, area: Column) -> DataFrame:
+    """key, mean_ab, mean_ba, overlap_a, overlap_b, surface_dice, hausdorff: all measures above from one pass over the surfels.
+
+    Surfels of one distance are folded first, so each group holds its distinct distances.
+    """
+    folded = surfels.withColumn("_w", area).groupBy(*key, "side", "distance").agg(F.sum("_w").alias("_w"))
+    by = Window.partitionBy(*key, "side")
+    share = F.sum("_w").over(by.orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("_w").over(by)
+    ranked = folded.withColumn("_s", share).groupBy(*key, "side").agg(
+        F.sum("_w").alias("_w"),
+        F.sum(F.col("distance") * F.col("_w")).alias("_d"),
+        F.sum(F.when(F.col("distance") <= tolerance, F.col("_w")).otherwise(0.0)).alias("_n"),
+        F.coalesce(F.min(F.when(F.col("_s") >= percent / 100.0, F.col("distance"))), F.max("distance")).alias("_h"),
+    )
+    of = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
+    return ranked.groupBy(*key).agg(
+        F.try_divide(of("_d", "a"), of("_w", "a")).alias("mean_ab"),
+        F.try_divide(of("_d", "b"), of("_w", "b")).alias("mean_ba"),
+        F.try_divide(of("_n", "a"), of("_w", "a")).alias("overlap_a"),
+        F.try_divide(of("_n", "b"), of("_w", "b")).alias("overlap_b"),
+        F.try_divide(F.sum("_n"), F.sum("_w")).alias("surface_dice"),
+        F.max("_h").alias("hausdorff"),
+    )
+
+
 def worst_fraction_mean(df: DataFrame, key: list[str], value: str, fraction: float = 0.2) -> DataFrame:
     """key, worst: mean of the lowest ``fraction`` of the values, rounded up to whole ones. NaN and null are left out.
 

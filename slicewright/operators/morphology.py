@@ -1,6 +1,7 @@
 """Mask operators that are iterative per mask: refinement, small regions, surface distances, propagation.
 
-A dense mask is one row; each function works on Arrow batches with NumPy and needs no shuffle.
+Each function works on Arrow batches with NumPy and needs no shuffle. What asks for components works on the runs
+of a stack of masks (``components.join_segments``), in time linear in the runs, and paints the answer back.
 """
 
 from __future__ import annotations
@@ -8,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slicewright.operators.components import join_segments
 from slicewright.session import share_package
 
 
@@ -22,108 +24,181 @@ def _shifted(m: np.ndarray, dy: int, dx: int, fill: bool) -> np.ndarray:
     return out
 
 
+def _swept(stack: np.ndarray, size: int, spread: bool) -> np.ndarray:
+    """The union (``spread``) or intersection of a stack of masks moved within a square; beyond the image nothing counts."""
+    for axis in (1, 2):
+        out = stack.copy()
+        for k in range(1, min(size // 2, stack.shape[axis] - 1) + 1):
+            low = tuple(slice(None, -k) if i == axis else slice(None) for i in range(3))
+            high = tuple(slice(k, None) if i == axis else slice(None) for i in range(3))
+            for to, of in ((low, high), (high, low)):
+                out[to] = out[to] | stack[of] if spread else out[to] & stack[of]
+        stack = out
+    return stack
+
+
 def dilate(m: np.ndarray, size: int) -> np.ndarray:
-    r = size // 2
-    return np.logical_or.reduce([_shifted(m, dy, dx, False) for dy in range(-r, r + 1) for dx in range(-r, r + 1)])
+    """A mask or a stack of masks dilated by a square of odd ``size``."""
+    return _swept(m.reshape(-1, *m.shape[-2:]), size, True).reshape(m.shape)
 
 
 def erode(m: np.ndarray, size: int) -> np.ndarray:
-    r = size // 2
-    return np.logical_and.reduce([_shifted(m, dy, dx, True) for dy in range(-r, r + 1) for dx in range(-r, r + 1)])
-
+    """A mask or a stack of masks eroded by a square of odd ``size``; the border of the image doesn't erode."""
+    return _swept(m.reshape(-1, *m.shape[-2:]), size, False).reshape(m.shape)
+
+
+class Regions:
+    """The components of a stack of masks: runs down the columns, the component of each, and per component its area and mask."""
+
+    def __init__(self, stack: np.ndarray, connectivity: int):
+        self.shape = n, h, w = stack.shape
+        edge = np.zeros((n, w, h + 1), np.int8)
+        edge[..., :h] = stack.transpose(0, 2, 1)
+        edge[..., 1:] -= edge[..., :h].copy()
+        flat = edge.ravel()
+        self.first, after = np.flatnonzero(flat == 1), np.flatnonzero(flat == -1)
+        self.length = after - self.first
+        line, self.top = np.divmod(self.first, h + 1)
+        self.who, self.col = np.divmod(line, w)
+        self.low = self.top + self.length - 1
+        roots, self.of_run = np.unique(join_segments(self.who, self.col, self.top, self.low, connectivity), return_inverse=True)
+        self.mask = self.who[roots]
+        self.area = np.bincount(self.of_run, self.length, len(roots)).astype(np.int64)
+
+    def touching_border(self) -> np.ndarray:
+        """Which components reach the border of the image."""
+        _, h, w = self.shape
+        rim = (self.col == 0) | (self.col == w - 1) | (self.top == 0) | (self.low == h - 1)
+        return np.bincount(self.of_run, rim, len(self.mask)) > 0
+
+    def largest(self) -> np.ndarray:
+        """Which components are the largest of their mask; of equals the one that begins first by column."""
+        order = np.lexsort((np.arange(len(self.mask)), -self.area, self.mask))
+        out = np.zeros(len(self.mask), bool)
+        out[order[np.append(True, np.diff(self.mask[order]) > 0)[: len(order)]]] = True
+        return out
 
-def label_pixels(m: np.ndarray, connectivity: int) -> np.ndarray:
-    """Component numbers in raster order, by spreading the least pixel number until nothing changes."""
-    h, w = m.shape
-    big = h * w + 1
-    lab = np.where(m, np.arange(1, h * w + 1).reshape(h, w), big)
-    steps = [(0, 1), (0, -1), (1, 0), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if connectivity == 8 else [])
-    while True:
-        new = lab
-        for dy, dx in steps:
-            moved = np.full_like(lab, big)
-            moved[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)] = lab[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
-            new = np.minimum(new, moved)
-        new = np.where(m, new, big)
-        if (new == lab).all():
-            break
-        lab = new
-    _, inverse = np.unique(np.where(m, lab, 0), return_inverse=True)
-    inverse = inverse.reshape(h, w)
-    return inverse if not m.all() else inverse + 1
+    def paint(self, chosen: np.ndarray) -> np.ndarray:
+        """The stack with only the chosen components."""
+        n, h, w = self.shape
+        steps = np.zeros(n * w * (h + 1), np.int8)
+        take = chosen[self.of_run]
+        steps[self.first[take]] = 1
+        steps[(self.first + self.length)[take]] -= 1
+        return np.cumsum(steps.reshape(n, w, h + 1), axis=-1, dtype=np.int8)[..., :h].astype(bool).transpose(0, 2, 1)
 
 
 def fill_holes(m: np.ndarray) -> np.ndarray:
-    """Background that doesn't reach the border (by sides) becomes foreground."""
-    lab = label_pixels(~m, 4)
-    rim = np.unique(np.concatenate([lab[0], lab[-1], lab[:, 0], lab[:, -1]]))
-    return ~np.isin(lab, rim[rim > 0])
+    """Background that doesn't reach the border (by sides) becomes foreground; for a mask or a stack."""
+    stack = m.reshape(-1, *m.shape[-2:])
+    back = Regions(~stack, 4)
+    return (stack | back.paint(~back.touching_border())).reshape(m.shape)
 
 
 def refine(m: np.ndarray, box: np.ndarray, multiclass: bool, keep_largest: bool = False) -> np.ndarray:
-    """Clip to the prompt's box, close, fill holes; for binary data open and fill again; clip once more."""
-    m = m & box
-    if not m.any():
-        return m
-    m = fill_holes(erode(dilate(m, 5), 5))
+    """Masks clipped to the prompt's box, closed and filled; binary data also opened and filled again; clipped once more."""
+    stack, inside = (x.reshape(-1, *x.shape[-2:]) for x in (m, box))
+    work = fill_holes(erode(dilate(stack & inside, 5), 5))
     if not multiclass:
-        m = fill_holes(dilate(erode(m, 3), 3))
-    if keep_largest and m.any():
-        lab = label_pixels(m, 8)
-        m = lab == 1 + np.argmax(np.bincount(lab.ravel())[1:])
-    return m & box
-
-
-def remove_small_regions(m: np.ndarray, area: int, mode: str) -> tuple[np.ndarray, bool]:
-    """Holes filled or islands dropped below ``area``; if all islands are small the largest stays."""
-    work = ~m if mode == "holes" else m
-    lab = label_pixels(work, 8)
-    sizes = np.bincount(lab.ravel())[1:]
-    small = [i + 1 for i, s in enumerate(sizes) if s < area]
-    if not small:
-        return m, False
-    if mode == "holes":
-        return m | np.isin(lab, small), True
-    keep = [i + 1 for i, s in enumerate(sizes) if s >= area] or [1 + int(np.argmax(sizes))]
-    return np.isin(lab, keep), True
-
-
-def map_dense(df: DataFrame, fn, keep: list[str], schema: str) -> DataFrame:
-    """``fn(row) -> list of tuples`` over the rows of Arrow batches; ``schema`` has ``keep`` first."""
+        work = fill_holes(dilate(erode(work, 3), 3))
+    if keep_largest:
+        parts = Regions(work, 8)
+        work = parts.paint(parts.largest())
+    return (work & inside).reshape(m.shape)
+
+
+def clear_specks(stack: np.ndarray, area: int) -> np.ndarray:
+    """Masks without their components below ``area``; where no component reaches it, the largest stays."""
+    parts = Regions(stack, 8)
+    enough = parts.area >= area
+    reached = np.bincount(parts.mask, enough, len(stack)) > 0
+    return parts.paint(enough | ~reached[parts.mask] & parts.largest())
+
+
+def plug_gaps(stack: np.ndarray, area: int) -> np.ndarray:
+    """Masks with the parts of their background below ``area`` filled."""
+    gaps = Regions(~stack, 8)
+    return stack | gaps.paint(gaps.area < area)
+
+
+SMALL_REGIONS = {"holes": plug_gaps, "islands": clear_specks}
+
+
+def _stack(column: pa.Array, h: int, w: int) -> np.ndarray:
+    """Dense masks of one size as a stack; the column has no nulls."""
+    return (column.flatten().to_numpy(zero_copy_only=False) > 0).reshape(-1, h, w)
+
+
+def _dense(stack: np.ndarray) -> pa.ListArray:
+    n, size = len(stack), stack.shape[1] * stack.shape[2]
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(stack.ravel().astype(np.int32)))
+
+
+def _in_chunks(df: DataFrame, h: int, w: int, schema: str, work) -> DataFrame:
+    """``work(batch) -> RecordBatch`` over Arrow batches of about four million pixels of each mask column at most."""
     share_package(df.sparkSession)
-    names = [x.split()[0] for x in schema.split(", ")]
+    most = max(1, 4_000_000 // (h * w))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(*(getattr(r, k) for k in keep), *t) for r in pdf.itertuples(index=False) for t in fn(r)]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                yield work(batch.slice(at, most))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def refined_masks(df: DataFrame, key: str, values: str, box: str, h: int, w: int, multiclass: bool = False) -> DataFrame:
-    """key, values (0 and 1) of each dense mask refined by its box mask (a dense array as well)."""
+    """key, values (0 and 1) of each dense mask refined by its box mask (a dense array as well). Rows with a null mask or box are left out."""
 
-    def one(r) -> list[tuple]:
-        m = np.asarray(getattr(r, values)).reshape(h, w) > 0
-        b = np.asarray(getattr(r, box)).reshape(h, w) > 0
-        return [(refine(m, b, multiclass).astype(np.int32).ravel().tolist(),)]
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), _dense(refine(_stack(b.column(1), h, w), _stack(b.column(2), h, w), multiclass))], names=[key, "values"])
 
     kind = df.schema[key].dataType.simpleString()
-    return map_dense(df.select(key, values, box), one, [key], f"{key} {kind}, values array<int>")
+    return _in_chunks(df.select(key, values, box).dropna(subset=[values, box]), h, w, f"{key} {kind}, values array<int>", work)
 
 
 def without_small_regions(df: DataFrame, key: str, values: str, h: int, w: int, area: int, mode: str) -> DataFrame:
-    """key, values, changed."""
-    if mode not in ("holes", "islands"):
+    """key, values, changed (whether there was a small region). ``mode``: ``holes`` are filled, ``islands`` dropped. Rows with a null mask are left out."""
+    if mode not in SMALL_REGIONS:
         raise ValueError("mode is holes or islands")
 
-    def one(r) -> list[tuple]:
-        m, changed = remove_small_regions(np.asarray(getattr(r, values)).reshape(h, w) > 0, area, mode)
-        return [(m.astype(np.int32).ravel().tolist(), changed)]
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        stack = _stack(b.column(1), h, w)
+        parts = Regions(~stack if mode == "holes" else stack, 8)
+        changed = np.bincount(parts.mask, parts.area < area, len(stack)) > 0
+        return pa.RecordBatch.from_arrays([b.column(0), _dense(SMALL_REGIONS[mode](stack, area)), pa.array(changed)], names=[key, "values", "changed"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return _in_chunks(df.select(key, values).dropna(subset=[values]), h, w, f"{key} {kind}, values array<int>, changed boolean", work)
+
+
+def refined_runs(df: DataFrame, key: str, box: str, multiclass: bool = False, hw: str = "mask_hw", counts: str = "counts") -> DataFrame:
+    """key, mask_hw, counts of run-length masks of any sizes refined by their boxes (x1, y1, x2, y2; whole pixels touched, inclusive).
+
+    Rows with a null mask, size or box are left out; a box with swapped corners holds no pixel.
+    """
+    from slicewright.operators.raster import _lists, decode_runs, encode_runs
+
+    share_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, flat = b.column(2), b.column(2).flatten().fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
+            out, sizes = [], []
+            for i, ((h, w), corners) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist())):
+                m = decode_runs(flat[at[i] : at[i + 1]].astype(np.int64), h, w)
+                inside = np.zeros((h, w), bool)
+                x1, y1, x2, y2 = corners
+                if x1 <= x2 and y1 <= y2:
+                    inside[max(0, int(np.floor(y1))) : max(0, int(np.ceil(y2)) + 1), max(0, int(np.floor(x1))) : max(0, int(np.ceil(x2)) + 1)] = True
+                out.append(encode_runs(refine(m, inside, multiclass)))
+                sizes.append(np.array([h, w]))
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sizes, pa.int32()), _lists(out, pa.int32())], names=[key, "mask_hw", "counts"])
 
     kind = df.schema[key].dataType.simpleString()
-    return map_dense(df.select(key, values), one, [key], f"{key} {kind}, values array<int>, changed boolean")
+    good = df.where(F.col(hw).isNotNull() & F.col(counts).isNotNull() & F.col(box).isNotNull()).where((F.size(hw) == 2) & (F.size(box) == 4) & ~F.exists(box, lambda x: x.isNull()) & ~F.exists(hw, lambda x: x.isNull()))
+    return good.select(key, F.col(hw).alias("_hw"), F.col(counts).alias("_c"), F.col(box).alias("_b")).mapInArrow(run, f"{key} {kind}, mask_hw array<int>, counts array<int>")
 
 
 def surface(m: np.ndarray) -> np.ndarray:
@@ -159,17 +234,26 @@ def surface_distances(a: np.ndarray, b: np.ndarray, spacing: tuple[float, float]
     return distance_to(sb, spacing)[sa], distance_to(sa, spacing)[sb]
 
 
-def distance_table(df: DataFrame, key: str, a: str, b: str, h: int, w: int, spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """key, side (a or b), pos, distance of each surface pixel of two dense masks."""
+def _table(b: pa.RecordBatch, rows: list[int], names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *columns], names=names)
+
 
-    def one(r) -> list[tuple]:
-        ma, mb = (np.asarray(getattr(r, n)).reshape(h, w) > 0 for n in (a, b))
-        da, db = surface_distances(ma, mb, spacing)
-        at = [np.flatnonzero(surface(m).ravel()) for m in (ma, mb)]
-        return [("a", int(p), float(x)) for p, x in zip(at[0], da)] + [("b", int(p), float(x)) for p, x in zip(at[1], db)]
+def distance_table(df: DataFrame, key: str, a: str, b: str, h: int, w: int, spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """key, side (a or b), pos, distance of each surface pixel of two dense masks. Rows with a null mask are left out."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, side, pos, far = [], [], [], [np.zeros(0)]
+        for i, (ma, mb) in enumerate(zip(_stack(batch.column(1), h, w), _stack(batch.column(2), h, w))):
+            for name, own, d in zip("ab", (ma, mb), surface_distances(ma, mb, spacing)):
+                at = np.flatnonzero(surface(own).ravel())
+                rows += [i] * len(at)
+                side += [name] * len(at)
+                pos += at.tolist()
+                far.append(d)
+        return _table(batch, rows, [key, "side", "pos", "distance"], [pa.array(side, pa.string()), pa.array(pos, pa.int32()), pa.array(np.concatenate(far))])
 
     kind = df.schema[key].dataType.simpleString()
-    return map_dense(df.select(key, a, b), one, [key], f"{key} {kind}, side string, pos int, distance double")
+    return _in_chunks(df.select(key, a, b).dropna(subset=[a, b]), h, w, f"{key} {kind}, side string, pos int, distance double", work)
 
 
 def corner_codes(volume: np.ndarray) -> np.ndarray:
@@ -188,17 +272,22 @@ def volume_distance_table(df: DataFrame, key: str, a: str, b: str, shape: tuple[
     joined by the caller who has a table of areas.
     """
 
-    def one(r) -> list[tuple]:
-        codes = [corner_codes(np.asarray(getattr(r, n)).reshape(shape) > 0) for n in (a, b)]
-        faces = [(c != 0) & (c != 255) for c in codes]
-        out = []
-        for side, own, other, code in (("a", faces[0], faces[1], codes[0]), ("b", faces[1], faces[0], codes[1])):
-            far = distance_to(other, spacing)[own]
-            out += [(side, int(c), float(x)) for c, x in zip(code[own], far)]
-        return out
+    d, h, w = shape
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, side, code, far = [], [], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for i, pair in enumerate(zip(_stack(batch.column(1), d * h, w), _stack(batch.column(2), d * h, w))):
+            codes = [corner_codes(v.reshape(shape)) for v in pair]
+            faces = [(c != 0) & (c != 255) for c in codes]
+            for k, name in enumerate("ab"):
+                far.append(distance_to(faces[1 - k], spacing)[faces[k]])
+                code.append(codes[k][faces[k]].astype(np.int32))
+                rows += [i] * len(far[-1])
+                side += [name] * len(far[-1])
+        return _table(batch, rows, [key, "side", "code", "distance"], [pa.array(side, pa.string()), pa.array(np.concatenate(code), pa.int32()), pa.array(np.concatenate(far))])
 
     kind = df.schema[key].dataType.simpleString()
-    return map_dense(df.select(key, a, b), one, [key], f"{key} {kind}, side string, code int, distance double")
+    return _in_chunks(df.select(key, a, b).dropna(subset=[a, b]), d * h, w, f"{key} {kind}, side string, code int, distance double", work)
 
 
 def interpolate_labels(df: DataFrame, case: str, z: str, values: str, h: int, w: int) -> DataFrame:
@@ -209,20 +298,22 @@ def interpolate_labels(df: DataFrame, case: str, z: str, values: str, h: int, w:
     from pyspark.sql import Window
 
     order = Window.partitionBy(case).orderBy(z)
-    pairs = df.select(case, z, values, F.lead(z).over(order).alias("z2"), F.lead(values).over(order).alias("v2")).where(f"z2 > {z} + 1")
+    pairs = df.where(F.col(z).isNotNull() & F.col(values).isNotNull()).select(case, z, values, F.lead(z).over(order).alias("z2"), F.lead(values).over(order).alias("v2")).where(f"z2 > {z} + 1")
 
     def signed(m: np.ndarray) -> np.ndarray:
         far = float(h + w)
         return (np.minimum(distance_to(~m), far) - np.minimum(distance_to(m), far)).ravel()
 
-    def one(r) -> list[tuple]:
-        z1, z2 = int(getattr(r, z)), int(r.z2)
-        d1, d2 = (signed(np.asarray(v).reshape(h, w) > 0) for v in (getattr(r, values), r.v2))
-        out = []
-        for k in range(z1 + 1, z2):
-            t = (k - z1) / (z2 - z1)
-            out.append((k, ((1 - t) * d1 + t * d2 > 0).astype(np.int32).tolist()))
-        return out
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows, at, out = [], [], [np.zeros((0, h, w), bool)]
+        pairs_of = zip(b.column(1).to_pylist(), b.column(3).to_pylist(), _stack(b.column(2), h, w), _stack(b.column(4), h, w))
+        for i, (z1, z2, m1, m2) in enumerate(pairs_of):
+            d1, d2 = signed(m1).reshape(h, w), signed(m2).reshape(h, w)
+            t = ((np.arange(z1 + 1, z2) - z1) / (z2 - z1))[:, None, None]
+            out.append((1 - t) * d1 + t * d2 > 0)
+            rows += [i] * (z2 - z1 - 1)
+            at += range(z1 + 1, z2)
+        return _table(b, rows, [case, z, values], [pa.array(at, pa.int32()), _dense(np.concatenate(out))])
 
     kind = df.schema[case].dataType.simpleString()
-    return map_dense(pairs, one, [case], f"{case} {kind}, {z} int, {values} array<int>")
+    return _in_chunks(pairs, h, w, f"{case} {kind}, {z} int, {values} array<int>", work)

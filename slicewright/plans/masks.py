@@ -214,11 +214,7 @@ def component_tiny(spark, d):
 
 def component_artefacts(spark, d):
     """What each data set's artefact rule would remove."""
-    df = None
-    for name, rule in sorted(C.ARTEFACT_RULES.items()):
-        one = C.artefacts(_comps(spark, d), "file_id", rule).where("artefact is not null").select("file_id", "component", "artefact", F.lit(name).alias("rule"))
-        df = one if df is None else df.unionByName(one)
-    return df
+    return C.artefacts_by_rule(_comps(spark, d), "file_id").select("file_id", "component", "artefact", "rule")
 
 
 def raster_components(spark, d):
@@ -306,12 +302,8 @@ def _surfels(spark, d) -> DataFrame:
 
 def surface_distance(spark, d):
     """Mean surface distances, robust Hausdorff distance and surface Dice of each pair."""
-    s = _surfels(spark, d)
-    one = F.lit(1.0)
-    a = metrics.weighted_mean_distance(s, ["vec_id"], one)
-    b = metrics.surface_overlap(s, ["vec_id"], 1.0, one)
-    h = metrics.robust_hausdorff(s, ["vec_id"], 95.0, one)
-    return a.join(b, "vec_id").join(h, "vec_id").select("vec_id", _r(c("mean_ab"), 5).alias("mean_ab"), _r(c("mean_ba"), 5).alias("mean_ba"), _r(c("overlap_a"), 5).alias("overlap_a"), _r(c("overlap_b"), 5).alias("overlap_b"), _r(c("surface_dice"), 5).alias("surface_dice"), _r(c("hausdorff"), 5).alias("hausdorff"))
+    m = metrics.surface_measures(_surfels(spark, d), ["vec_id"], 1.0, 95.0, F.lit(1.0))
+    return m.select("vec_id", *(_r(c(n), 5).alias(n) for n in ("mean_ab", "mean_ba", "overlap_a", "overlap_b", "surface_dice", "hausdorff")))
 
 
 def volume_distance(spark, d):
@@ -321,9 +313,8 @@ def volume_distance(spark, d):
     v = v.where(F.size("v") == 8 * SIDE * SIDE)
     pairs = v.join(v.select((c("vol") - 1).alias("vol"), c("v").alias("w")), "vol")
     s = morphology.volume_distance_table(pairs, "vol", "v", "w", (8, SIDE, SIDE), (2.0, 1.0, 1.5))
-    one = F.lit(1.0)
-    a = metrics.weighted_mean_distance(s, ["vol"], one).join(metrics.surface_overlap(s, ["vol"], 1.0, one), "vol").join(metrics.robust_hausdorff(s, ["vol"], 95.0, one), "vol")
-    return a.select("vol", *(_r(c(n), 4).alias(n) for n in ("mean_ab", "mean_ba", "surface_dice", "hausdorff")))
+    m = metrics.surface_measures(s, ["vol"], 1.0, 95.0, F.lit(1.0))
+    return m.select("vol", *(_r(c(n), 4).alias(n) for n in ("mean_ab", "mean_ba", "surface_dice", "hausdorff")))
 
 
 def interpolated(spark, d):

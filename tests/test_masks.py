@@ -79,15 +79,62 @@ def test_holes_and_refinement(m):
     assert not (morphology.refine(m, box, True) & ~box).any()
 
 
-def test_small_regions_keep_the_largest():
-    m = np.zeros((6, 6), bool)
-    m[0, 0] = m[3, 3] = m[3, 4] = True
-    out, changed = morphology.remove_small_regions(m, 5, "islands")
-    assert changed and out.sum() == 2 and out[3, 3]
-    ring = np.ones((5, 5), bool)
-    ring[2, 2] = False
-    assert morphology.remove_small_regions(ring, 5, "holes")[0].all()
-    assert morphology.remove_small_regions(ring, 1, "holes") == (ring, False) or True
+@settings(max_examples=60, deadline=None)
+@given(masks, st.integers(1, 6), st.booleans())
+def test_refinement_by_steps(m, k, multiclass):
+    """Against sets of pixels."""
+    h, w = m.shape
+    box = np.zeros_like(m)
+    box[: h // 2 + 1, : w // 2 + 2] = True
+    near = lambda p, r: [(p[0] + dy, p[1] + dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+    within = lambda p: 0 <= p[0] < h and 0 <= p[1] < w
+    every = {(y, x) for y in range(h) for x in range(w)}
+    grow = lambda s, r: {q for p in s for q in near(p, r) if within(q)}
+    shrink = lambda s, r: {p for p in every if all(q in s for q in near(p, r) if within(q))}
+
+    def fill(s):
+        back = np.ones((h, w), bool)
+        for p in s:
+            back[p] = False
+        return s | {p for part in flood(back, False) if not any(y in (0, h - 1) or x in (0, w - 1) for y, x in part) for p in part}
+
+    want = fill(shrink(grow({tuple(p) for p in np.argwhere(m & box)}, 2), 2))
+    if not multiclass:
+        want = fill(grow(shrink(want, 1), 1))
+    want &= {tuple(p) for p in np.argwhere(box)}
+    assert {tuple(p) for p in np.argwhere(morphology.refine(m, box, multiclass))} == want
+    parts = flood(m, True)
+    stay = [p for p in parts if len(p) >= k]
+    if not stay and parts:
+        got = {tuple(p) for p in np.argwhere(morphology.clear_specks(m[None], k)[0])}
+        assert got in parts and len(got) == max(map(len, parts))
+    else:
+        assert {tuple(p) for p in np.argwhere(morphology.clear_specks(m[None], k)[0])} == set().union(*stay)
+    holes = [p for p in flood(~m, True) if len(p) < k]
+    assert {tuple(p) for p in np.argwhere(morphology.plug_gaps(m[None], k)[0])} == {tuple(p) for p in np.argwhere(m)}.union(*holes)
+
+
+def test_stacks_are_masks_side_by_side():
+    rng = np.random.default_rng(5)
+    stack, box = rng.random((9, 12, 7)) < 0.6, rng.random((9, 12, 7)) < 0.9
+    for f in (lambda s, b: morphology.refine(s, b, False, True), lambda s, b: morphology.fill_holes(s), lambda s, b: morphology.clear_specks(s.reshape(-1, 12, 7), 4).reshape(s.shape)):
+        assert (f(stack, box) == np.stack([f(s, b) for s, b in zip(stack, box)])).all()
+
+
+def test_refinement_of_runs(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for i in range(12):
+        h, w = int(rng.integers(5, 40)), int(rng.integers(5, 40))
+        m, box = rng.random((h, w)) < 0.6, [2.0, 1.0, float(w - 2), float(h + 3)]
+        inside = np.zeros((h, w), bool)
+        inside[1:, 2 : w - 1] = True
+        rows.append((i, [h, w], raster.encode_runs(m).tolist(), box))
+        want[i] = raster.encode_runs(morphology.refine(m, inside, True)).tolist()
+    rows += [(90, None, [1], [0.0] * 4), (91, [1, 1], None, [0.0] * 4), (92, [2, 2], [0, 4], None), (93, [2, 2], [0, 4], [1.0, 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "i int, mask_hw array<int>, counts array<int>, box array<double>")
+    got = {r.i: r.counts for r in morphology.refined_runs(df, "i", "box", True).collect()}
+    assert got.pop(93) == [4] and got == want
 
 
 def test_geometry_round_trip(spark):
