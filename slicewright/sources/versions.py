@@ -17,7 +17,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,10 +82,10 @@ def write_batch(df: DataFrame, path: str, token: str) -> None:
     writer.partitionBy(BATCH, PART, FILE).parquet(f"{path}/data")
 
 
-def append(spark: SparkSession, path: str, df: DataFrame, partition: str) -> Version:
-    """Add rows as a new version, partitioned by a column, which stays a column of the rows as well."""
+def append(spark: SparkSession, path: str, df: DataFrame, partition: str | Column) -> Version:
+    """Add rows as a new version, partitioned by a column, which stays a column of the rows as well, or by an expression."""
     base, token = latest(spark, path), uuid.uuid4().hex
-    write_batch(df.withColumn(PART, F.coalesce(F.col(partition).cast("string"), F.lit(""))).withColumn(FILE, F.lit(0)), path, token)
+    write_batch(df.withColumn(PART, F.coalesce((F.col(partition) if isinstance(partition, str) else partition).cast("string"), F.lit(""))).withColumn(FILE, F.lit(0)), path, token)
     return commit(spark, path, base, [*base.batches, token], base.dead, base.schema or df.schema.json())
 
 
