@@ -109,10 +109,12 @@ SELECT DISTINCT slice_name FROM rows_in JOIN bad USING (component) WHERE slice_n
 WITH runs AS (SELECT run_id, dataset_name, fold, coalesce(seed, (SELECT param_text::INTEGER FROM default_config WHERE param = 'selection.seed')) AS seed, round, cumulative_full_case_ids AS l
   FROM selection WHERE cumulative_full_case_ids IS NOT NULL),
 held AS (SELECT DISTINCT run_id, dataset_name, fold, seed, round, case_id FROM (SELECT *, unnest(l) AS case_id FROM runs) WHERE case_id IS NOT NULL)
-SELECT DISTINCT r.run_id, h.case_id FROM runs r JOIN held h ON h.dataset_name = r.dataset_name AND h.fold = r.fold AND h.seed = r.seed AND h.round <= r.round
+SELECT DISTINCT r.run_id, h.case_id FROM runs r JOIN held h ON h.dataset_name IS NOT DISTINCT FROM r.dataset_name AND h.fold IS NOT DISTINCT FROM r.fold AND h.seed = r.seed AND h.round <= r.round
 WHERE NOT list_contains(r.l, h.case_id)""",
     "p5_sample": f"""
-WITH per AS (SELECT dataset_name, case_id, strftime(ingested_at, '%Y-%m') AS month, count(*) AS n FROM manifest WHERE case_id IS NOT NULL AND ingested_at IS NOT NULL GROUP BY ALL),
+WITH ev AS (SELECT dataset_name, case_id, strftime(ingested_at, '%Y-%m') AS month, 1 AS d FROM manifest WHERE case_id IS NOT NULL AND ingested_at IS NOT NULL
+  UNION ALL SELECT dataset_name, case_id, strftime(greatest(deleted_at, ingested_at), '%Y-%m'), -1 FROM manifest WHERE case_id IS NOT NULL AND ingested_at IS NOT NULL AND deleted_at IS NOT NULL),
+per AS (SELECT dataset_name, case_id, month, sum(d) AS n FROM ev GROUP BY ALL),
 w AS (SELECT dataset_name, case_id, month, least(1.0::DOUBLE, sum(n) OVER (PARTITION BY dataset_name, case_id ORDER BY month)::DOUBLE / 50.0::DOUBLE) AS weight FROM per),
 h AS (SELECT *, ('0x' || substr(md5((SELECT param_text FROM default_config WHERE param = 'selection.seed') || ':' || case_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS hash FROM w)
 SELECT dataset_name, case_id, min(month) AS from_month, hash FROM h WHERE hash < weight * {SAMPLE_RATE}::DOUBLE GROUP BY dataset_name, case_id, hash""",

@@ -4,14 +4,21 @@ Consistent weighted Poisson sampling: an identifier is selected when its hash, a
 below weight x rate. The hash depends on seed and identifier only, so reruns and partitionings agree; and as
 the weight that counts at a round is the maximum of all weights up to it, the inclusion probability never
 falls and what was selected stays.
+
+The maxima are a stored state (``update_state``): a table that only grows, to which each delivery adds the weights
+that rise above what is stored. So nothing is lost when the rows of an old delivery are gone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slicewright.session import materialize
+from slicewright.session import materialize, new_table_path
+from slicewright.sources import versions
+
+#: Parts of the members of a series, by hash: runs and members meet within one.
+BUCKETS = 256
 
 
 def unit_hash(seed: Column, ident: Column) -> Column:
@@ -33,6 +40,30 @@ def weight_rises(rows: DataFrame, series: list[str], ident: str, round_col: str,
     return rises.select(*series, ident, round_col, F.col("_weight").alias("max_weight"))
 
 
+def update_state(spark: SparkSession, path: str, rows: DataFrame, series: list[str], ident: str, round_col: str, weight: str) -> DataFrame:
+    """Add a delivery to the state stored at ``path`` (made if there is none), and return the state.
+
+    Only weights that rise above the stored ones are added, by one commit; of two writers at once one gets a
+    ``VersionConflict``. A late row of an earlier round may add a rise before stored ones, which then add nothing
+    but stay. Nulls as in ``weight_rises``.
+    """
+    names = [*series, ident, round_col]
+    if versions.latest(spark, path).number >= 0:
+        stored = versions.read(spark, path)
+        seen = stored.select(*names, F.col("max_weight").alias(weight))
+        fresh = weight_rises(rows.select(*names, weight).unionByName(seen), series, ident, round_col, weight)
+        # the identifier and round of a rise are never null; series may be, so all are compared null-safe
+        same = F.lit(True)
+        a, b = fresh.alias("a"), stored.alias("b")
+        for n in [*names, "max_weight"]:
+            same = same & F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}"))
+        fresh = a.join(b, same, "left_anti")
+    else:
+        fresh = weight_rises(rows, series, ident, round_col, weight)
+    versions.append(spark, path, fresh.select(*names, "max_weight"), F.lit("0"))
+    return versions.read(spark, path)
+
+
 def selected_from(state: DataFrame, series: list[str], ident: str, round_col: str, seed: Column, rate: float) -> DataFrame:
     """series, ident and ``from_round``, the first round at which the identifier is in the sample, with its hash."""
     hashed = state.withColumn("hash", unit_hash(seed, F.col(ident)))
@@ -48,38 +79,56 @@ def _runs(selection: DataFrame, default_seed: int) -> DataFrame:
 def lost_members(selection: DataFrame, default_seed: int) -> DataFrame:
     """run_id, case_id, distinct: cases a run should hold, as some run of its series held them in the same or a lower round, but doesn't.
 
-    A listed case has weight 1 in its round, so by the sampler's rule, at rate 1, it is in the sample from the
-    first round that lists it; what a run lacks of that sample was lost. Null lists and null elements take no
+    The lists are deliveries to the sampler's state: a listed case has weight 1 in its round, and a run should hold
+    all that the sampler selects up to its round at rate 1. At that weight every hash is below weight x rate, as what
+    was annotated once stays for certain; what decides is the stored maximum. Null lists, rounds and elements take no
     part; rows of one run are taken together. Series compare null dataset_name and fold as equal.
 
     A run lists nothing that its sample lacks, so a run is complete when it lists as many cases as its sample
-    has; only the others, each of which lost something, are met with the members of their series.
+    has; the others are compared by buckets of cases, and only buckets that lack some are met with the members.
     """
-    runs = _runs(selection, default_seed).withColumn("series", F.struct("dataset_name", "fold", "seed"))
-    held = runs.select("run_id", "series", "round", F.explode("cumulative_full_case_ids").alias("case_id")).where("case_id is not null").distinct()
-    state = weight_rises(held.withColumn("weight", F.lit(1.0)), ["series"], "case_id", "round", "weight")
-    members = materialize(selected_from(state, ["series"], "case_id", "round", F.col("series.seed"), 1.0), "members")
-    rounds = runs.select("series", F.col("round").alias("from_round")).distinct().withColumn("new", F.lit(0))
-    starts = members.groupBy("series", "from_round").agg(F.count(F.lit(1)).alias("new")).unionByName(rounds.select("series", "from_round", F.col("new").cast("bigint").alias("new")))
-    upto = Window.partitionBy("series").orderBy("from_round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    due = starts.groupBy("series", "from_round").agg(F.sum("new").alias("new")).select("series", F.col("from_round").alias("round"), F.sum("new").over(upto).alias("due"))
-    sizes = held.groupBy("run_id", "series", "round").agg(F.count(F.lit(1)).alias("n"))
-    every = runs.select("run_id", "series", "round").distinct()
-    short = every.join(sizes, ["run_id", "series", "round"], "left").join(due, ["series", "round"]).where(F.coalesce("n", F.lit(0)) < F.col("due"))
-    missing = short.select("run_id", "series", "round").join(members, "series").where("from_round <= round")
-    return missing.join(held, ["run_id", "series", "round", "case_id"], "left_anti").select("run_id", "case_id").distinct()
-
-
-def growing_case_sample(manifest: DataFrame, seed: int, rate: float, full_weight: int = 50) -> DataFrame:
-    """Cases sampled with a weight that follows their number of slices, as deliveries come in by month.
-
-    At a month the weight is the number of slice deliveries so far over ``full_weight``, at most 1; case_id is
-    compared as stored. Returns dataset_name, case_id, from_month, hash. Rows with a null case_id or time are left out.
+    spark = selection.sparkSession
+    key = ["run_id", "series", "round"]
+    runs = _runs(selection, default_seed).withColumn("series", F.struct("dataset_name", "fold", "seed")).select(*key, "cumulative_full_case_ids")
+    held = runs.select(*key, F.explode("cumulative_full_case_ids").alias("case_id")).where("case_id is not null").distinct()
+    held = materialize(held.withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(BUCKETS)).cast("int")), "held")
+    state = update_state(spark, new_table_path(spark, "sampler-state"), held.withColumn("weight", F.lit(1.0)), ["series", "bucket"], "case_id", "round", "weight")
+    members = materialize(selected_from(state, ["series", "bucket"], "case_id", "round", F.col("series.seed"), 1.0), "members")
+    starts = members.groupBy("series", "bucket", "from_round").agg(F.count(F.lit(1)).alias("new"))
+    every = runs.select(*key).distinct()
+    ticks = starts.select("series", F.col("from_round").alias("round"), "new").unionByName(every.select("series", "round", F.lit(0).cast("bigint").alias("new")))
+    upto = Window.partitionBy("series").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    due = ticks.groupBy("series", "round").agg(F.sum("new").alias("new")).select("series", "round", F.sum("new").over(upto).alias("due"))
+    sizes = held.groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy(*key).agg(F.sum("n").alias("n"))
+    short = materialize(every.join(whole, key, "left").join(due, ["series", "round"]).where(F.coalesce("n", F.lit(0)) < F.col("due")).select(*key), "short")
+    wanted = short.join(starts, "series").where("from_round <= round").groupBy(*key, "bucket").agg(F.sum("new").alias("due"))
+    lacking = wanted.join(sizes, [*key, "bucket"], "left").where(F.coalesce("n", F.lit(0)) < F.col("due")).select(*key, "bucket")
+    missing = lacking.join(members, ["series", "bucket"]).where("from_round <= round")
+    return missing.join(held, [*key, "bucket", "case_id"], "left_anti").select("run_id", "case_id").distinct()
+
+
+def case_weights(manifest: DataFrame, full_weight: int = 50) -> DataFrame:
+    """dataset_name, case_id, month, weight: the slices of a case at the end of a month over ``full_weight``, at most 1.
+
+    A slice counts from the month of ingested_at until that of deleted_at; so weights rise and fall. case_id is compared
+    as stored. Rows with a null case_id or ingested_at are left out; a case without slices at a month has weight 0.
     """
-    month = F.date_format("ingested_at", "yyyy-MM")
-    per = manifest.where("case_id is not null and ingested_at is not null").groupBy("dataset_name", "case_id", month.alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    good = manifest.where("case_id is not null and ingested_at is not null")
+    came = good.select("dataset_name", "case_id", F.date_format("ingested_at", "yyyy-MM").alias("month"), F.lit(1).alias("d"))
+    went = good.where("deleted_at is not null").select("dataset_name", "case_id", F.date_format(F.greatest("deleted_at", "ingested_at"), "yyyy-MM").alias("month"), F.lit(-1).alias("d"))
+    per = came.unionByName(went).groupBy("dataset_name", "case_id", "month").agg(F.sum("d").alias("n"))
     sofar = F.sum("n").over(Window.partitionBy("dataset_name", "case_id").orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    weighed = per.withColumn("weight", F.least(F.lit(1.0), sofar / F.lit(float(full_weight))))
-    state = weight_rises(weighed, ["dataset_name"], "case_id", "month", "weight")
+    return per.select("dataset_name", "case_id", "month", F.least(F.lit(1.0), sofar / F.lit(float(full_weight))).alias("weight"))
+
+
+def growing_case_sample(manifest: DataFrame, seed: int, rate: float, full_weight: int = 50, path: str | None = None) -> DataFrame:
+    """Cases sampled with a weight that follows their number of slices (``case_weights``), as deliveries come in by month.
+
+    With ``path`` the state is kept there from one delivery to the next; else it begins anew. Returns dataset_name,
+    case_id, from_month, hash.
+    """
+    spark = manifest.sparkSession
+    state = update_state(spark, path or new_table_path(spark, "sampler-state"), case_weights(manifest, full_weight), ["dataset_name"], "case_id", "month", "weight")
     chosen = selected_from(state, ["dataset_name"], "case_id", "month", F.lit(seed), rate)
     return chosen.select("dataset_name", "case_id", F.col("from_round").alias("from_month"), "hash")

@@ -25,12 +25,12 @@ def test_lost_members_against_brute_force(spark):
 
 def test_empty(spark):
     assert S.lost_members(spark.createDataFrame([], SCHEMA), 7).count() == 0
-    m = spark.createDataFrame([], "dataset_name string, case_id string, ingested_at timestamp_ntz")
+    m = spark.createDataFrame([], "dataset_name string, case_id string, ingested_at timestamp_ntz, deleted_at timestamp_ntz")
     assert S.growing_case_sample(m, 1, 0.5).count() == 0
 
 
 def manifest(spark, n):
-    df = spark.range(n).selectExpr("'d' AS dataset_name", "concat('c', id % 400) AS case_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id div 40 AS int)) AS ingested_at", "'w' AS hash", "1 AS month")
+    df = spark.range(n).selectExpr("'d' AS dataset_name", "concat('c', id % 400) AS case_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id div 40 AS int)) AS ingested_at", "timestamp_ntz '2024-06-01 00:00:00' + make_dt_interval(cast(id div 10 AS int)) AS deleted_at", "'w' AS hash", "1 AS month")
     return df.unionByName(df.limit(1).withColumn("case_id", F.lit(None).cast("string")))
 
 
@@ -48,3 +48,21 @@ def test_running_maximum(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.2), ("a", 3, 0.9), ("a", 3, 0.1), ("b", 1, None), (None, 1, 1.0), ("c", None, 1.0)], "_weight string, r int, w double")
     got = {tuple(r) for r in S.weight_rises(df.withColumnRenamed("_weight", "i"), [], "i", "r", "w").collect()}
     assert got == {("a", 1, 0.5), ("a", 3, 0.9), ("b", 1, 0.0)}
+
+
+def test_the_state_outlives_its_deliveries(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    take = lambda df: {(r.case_id, r.from_month) for r in S.growing_case_sample(df, 42, 0.5, 20, path).collect()}
+    old = manifest(spark, 3000)
+    first = take(old)
+    late = manifest(spark, 9000).where("ingested_at >= timestamp_ntz '2024-04-01 00:00:00'")  # the old rows are gone, weights fall
+    second = take(late)
+    assert first and first <= second
+    assert take(late.limit(0)) == second == take(old)
+    assert first - {(r.case_id, r.from_month) for r in S.growing_case_sample(late, 42, 0.5, 20).collect()}  # without the state some are lost
+
+
+def test_weights_fall_with_withdrawn_slices(spark):
+    df = spark.createDataFrame([("d", "c", "2024-01-03", None), ("d", "c", "2024-01-05", "2024-03-01"), ("d", "c", "2024-01-06", "2023-01-01"), ("d", None, "2024-01-03", None)], "dataset_name string, case_id string, i string, e string")
+    df = df.selectExpr("dataset_name", "case_id", "cast(i AS timestamp_ntz) AS ingested_at", "cast(e AS timestamp_ntz) AS deleted_at")
+    assert {(r.month, r.weight) for r in S.case_weights(df, 4).collect()} == {("2024-01", 0.5), ("2024-03", 0.25)}
