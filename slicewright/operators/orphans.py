@@ -4,13 +4,13 @@ Each table of a foreign-key graph may refer to one parent by key, at a time, and
 parent whose rows are there from a begin (inclusive) until an end (exclusive; null: for good).
 
 A reference is a *direct* orphan if no parent row of its key is there at its time, an *inherited* one
-if some are, but each of those is an orphan itself. The cascade goes down the graph level by level:
-the orphans of a level are written, and the rows behind them are taken out of the sound parents of the
-next level by a semi-join.
+if some are, but each of those is an orphan itself. The cascade goes down the graph level by level until
+no table refers to one of the level before: the orphans of a level are written, and the rows behind them are
+found by a semi-join and taken off the counts of sound parents of the next level.
 
 Whether a parent is there is no join between references and intervals, which would be quadratic in a
-hot key, but one ordered pass per key over begins, ends and references with running counts. Keys that
-hold 1 % of the rows or more are cut into months, each started with the counts of the months before.
+hot key, but one ordered pass per key over begins, ends and references with running counts (``slots``): a
+key is cut into slots of bounded row count, each started with the counts before it.
 
 Null rules: a row with a null key or null time refers to nothing and is left out; a parent row with a
 null begin is never there, but its key exists; an end at or before its begin: never there either.
@@ -20,13 +20,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicewright.operators.hotkeys import hot_keys
+from slicewright.operators.slots import SLOT_ROWS, slot_running_sums
 from slicewright.session import materialize
 
-COUNTS = ("d_all", "d_sound", "d_begun", "d_rows")
+COUNTS = ("d_all", "d_sound", "d_begun")
 
 
 @dataclass
@@ -69,53 +69,43 @@ def _references(node: Node) -> DataFrame:
     return out.where(F.col("key").isNotNull() & F.col("t").isNotNull())
 
 
-def _targets(node: Node, orphans: DataFrame | None) -> DataFrame:
+def _targets(node: Node) -> DataFrame:
     rows = node.rows.where(F.col(node.serves)) if node.serves else node.rows
     end = F.col(node.end) if node.end else F.lit(None).cast(rows.schema[node.begin].dataType)
     out = rows.select(F.col(node.key).alias("key"), F.col(node.begin).alias("b"), end.alias("e"), (F.col(node.refers) if node.refers else F.lit(node.parent is not None)).alias("refers"))
-    out = out.where(F.col("key").isNotNull())
-    if orphans is None:
-        return out.withColumn("sound", F.lit(1))
-    bad = orphans.where(F.col("ref_table") == node.name).select("key", F.col("t").alias("b")).distinct().withColumn("bad", F.lit(1))
-    return out.join(bad, ["key", "b"], "left").withColumn("sound", F.when(F.col("refers") & F.col("bad").isNotNull(), 0).otherwise(1)).drop("bad")
+    return out.where(F.col("key").isNotNull())
 
 
-def _events(refs: DataFrame, targets: DataFrame) -> DataFrame:
+def _turns(targets: DataFrame, counted: dict[str, int]) -> DataFrame:
+    """key, t, pri and counts of the begins and ends of targets; ``counted`` tells what a target that is there adds to d_all and d_sound."""
     there = F.col("b").isNotNull() & (F.col("e").isNull() | (F.col("e") > F.col("b")))
     one = F.when(there, 1).otherwise(0)
-    zero, none = F.lit(0), F.lit(None).cast("string")
-    begins = targets.select("key", F.col("b").alias("t"), zero.alias("pri"), none.alias("ref_table"), one.alias("d_all"), (one * F.col("sound")).alias("d_sound"), F.when(F.col("b").isNotNull(), 1).otherwise(0).alias("d_begun"), F.lit(1).alias("d_rows"))
-    ends = targets.where(there & F.col("e").isNotNull()).select("key", F.col("e").alias("t"), zero.alias("pri"), none.alias("ref_table"), F.lit(-1).alias("d_all"), (-F.col("sound")).alias("d_sound"), zero.alias("d_begun"), zero.alias("d_rows"))
-    asks = refs.select("key", "t", F.lit(1).alias("pri"), "ref_table", *(zero.alias(c) for c in COUNTS))
-    return begins.unionByName(ends).unionByName(asks)
-
-
-def _judge(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """ref_table, key, t, state and kind of each reference that is an orphan."""
-    events = _events(refs, targets)
-    hot = hot_keys(refs.select("key").unionByName(targets.select("key")), "key")
-    if hot:
-        slot = F.when(F.col("key").isin(hot), F.coalesce(F.year("t") * 12 + F.month("t"), F.lit(0))).otherwise(F.lit(-1))
-        events = events.withColumn("slot", slot)
-        months = events.where(F.col("slot") >= 0).groupBy("key", "slot").agg(*(F.sum(c).alias(c) for c in COUNTS))
-        before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-        carry = months.select("key", "slot", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"c_{c}") for c in COUNTS[:3]), F.sum("d_rows").over(Window.partitionBy("key")).alias("c_rows"))
-        by = ["key", "slot"]
-    else:
-        by = ["key"]
-    running = Window.partitionBy(*by).orderBy("t", "pri").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    judged = events.select("*", *(F.sum(c).over(running).alias(f"n_{c}") for c in COUNTS[:3]), F.sum("d_rows").over(Window.partitionBy(*by)).alias("n_rows")).where("pri = 1")
-    if hot:
-        judged = judged.join(carry, by, "left")
-        for c in COUNTS[:3]:
-            judged = judged.withColumn(f"n_{c}", F.col(f"n_{c}") + F.coalesce(f"c_{c}", F.lit(0)))
-        judged = judged.withColumn("n_rows", F.coalesce("c_rows", "n_rows"))
-    state = F.when(F.col("n_rows") == 0, "absent").when(F.col("n_d_begun") == 0, "late").when(F.col("n_d_all") == 0, "deleted").otherwise("unsound")
+    begun = F.when(F.col("b").isNotNull(), 1).otherwise(0) if counted["d_all"] else F.lit(0)
+    begins = targets.select("key", F.col("b").alias("t"), F.lit(0).alias("pri"), *((one * k).alias(c) for c, k in counted.items()), begun.alias("d_begun"))
+    ends = targets.where(there & F.col("e").isNotNull()).select("key", F.col("e").alias("t"), F.lit(0).alias("pri"), *(F.lit(-k).alias(c) for c, k in counted.items()), F.lit(0).alias("d_begun"))
+    return begins.unionByName(ends)
+
+
+def _judge(refs: DataFrame, up: Node, orphans: DataFrame | None, slot_rows: int) -> DataFrame:
+    """ref_table, key, t, state and kind of each reference to ``up`` that is an orphan; ``orphans`` has those of its own level."""
+    targets = _targets(up)
+    events = _turns(targets, {"d_all": 1, "d_sound": 1})
+    if orphans is not None:
+        bad = orphans.where(F.col("ref_table") == up.name).select("key", F.col("t").alias("b"))
+        events = events.unionByName(_turns(targets.where("refers").join(bad, ["key", "b"], "left_semi"), {"d_all": 0, "d_sound": -1}))
+    events = events.withColumn("ref_table", F.lit(None).cast("string"))
+    events = events.unionByName(refs.select("key", "t", F.lit(1).alias("pri"), *(F.lit(0).alias(c) for c in COUNTS), "ref_table"))
+    judged = slot_running_sums(events, "key", "t", ["pri"], list(COUNTS), slot_rows).where("pri = 1 and n_d_sound = 0")
     kind = F.when(F.col("n_d_all") == 0, "direct").otherwise("inherited")
-    return judged.where("n_d_sound = 0").select("ref_table", "key", "t", state.alias("ref_state"), kind.alias("kind"))
+    known = F.when(F.col("n_d_all") > 0, "unsound").when(F.col("n_d_begun") > 0, "deleted")
+    found = materialize(judged.select("ref_table", "key", "t", known.alias("state"), kind.alias("kind")), "judged")
+    # of the rest no target began: late if the key has one at all; only these few names are met with the targets again
+    open_names = found.where("state is null").select("key").distinct()
+    late = targets.select("key").join(open_names, "key", "left_semi").distinct().withColumn("late", F.lit("late"))
+    return found.join(late, "key", "left").select("ref_table", "key", "t", F.coalesce("state", "late", F.lit("absent")).alias("ref_state"), "kind")
 
 
-def orphan_cascade(tables: list[Node]) -> DataFrame:
+def orphan_cascade(tables: list[Node], slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Orphan references as ``ref_table, key, t, ref_state, kind``.
 
     ``ref_state``: ``absent`` (no parent row has the key), ``late`` (all begin later), ``deleted`` (some
@@ -130,8 +120,7 @@ def orphan_cascade(tables: list[Node]) -> DataFrame:
             refs = _references(children[0])
             for n in children[1:]:
                 refs = refs.unionByName(_references(n))
-            up = nodes[parent]
-            orphans = materialize(_judge(refs, _targets(up, found.get(parent))), "orphans")
+            orphans = materialize(_judge(refs, nodes[parent], found.get(parent), slot_rows), "orphans")
             for n in children:
                 found[n.name] = orphans
     distinct = list({id(x): x for x in found.values()}.values())

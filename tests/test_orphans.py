@@ -48,8 +48,8 @@ def brute(m, g, p):
     return out
 
 
-def found(nodes):
-    return {(r.ref_table, r.key, (r.t - T0).days, r.ref_state, r.kind) for r in O.orphan_cascade(nodes).collect()}
+def found(nodes, **k):
+    return {(r.ref_table, r.key, (r.t - T0).days, r.ref_state, r.kind) for r in O.orphan_cascade(nodes, **k).collect()}
 
 
 @pytest.mark.parametrize("hot", [False, True])
@@ -61,7 +61,10 @@ def test_against_brute_force(spark, hot):
     g = [(rng.choice(names), day(), rng.random() < 0.8) for _ in range(120)]
     p = [(rng.choice(names), day()) for _ in range(120)]
     m, g, p = m + m[:5], g + g[:5], p + p[:5]  # repeated rows
-    assert found(build(spark, m, g, p)) == brute(m, g, p)
+    want = brute(m, g, p)
+    assert found(build(spark, m, g, p)) == want
+    if hot:
+        assert found(build(spark, m, g, p), slot_rows=7) == want == found(build(spark, m, g, p), slot_rows=1)
 
 
 def test_extra_columns_with_clashing_names(spark):
