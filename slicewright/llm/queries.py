@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slicewright.llm import chunking, encode, mixing, sampling, splits, topn
-from slicewright.session import config_value, table
+from slicewright.session import config_value, materialize, table
 
 #: Where the vocabulary files of the public tokenizers are.
 TOKENIZERS = os.environ.get("SLICEWRIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -67,6 +68,26 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares_reached(mixing.mix(_sized(spark, d), targets), targets)
 
 
+def _half(sized: DataFrame, targets: DataFrame) -> int:
+    """A budget: half the tokens of the sources that have a share."""
+    named = mixing.targets_of(targets).select("source")
+    return (sized.join(named, "source", "left_semi").agg(F.sum("n_tokens")).collect()[0][0] or 0) // 2
+
+
+def p8_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mix truncated at a budget of half the tokens there are, which small sources are repeated for."""
+    targets, sized = table(spark, d, "mix_targets"), materialize(_sized(spark, d), "sized")
+    return mixing.shares_reached(mixing.mix(sized, targets, budget=_half(sized, targets)), targets)
+
+
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Whether both mixes, with the budget and without, keep their rules."""
+    targets, sized = table(spark, d, "mix_targets"), materialize(_sized(spark, d), "sized")
+    half = _half(sized, targets)
+    one = mixing.rules_kept(materialize(mixing.mix(sized, targets), "mix"), sized, targets).withColumn("budget", F.lit(False))
+    return one.unionByName(mixing.rules_kept(materialize(mixing.mix(sized, targets, budget=half), "mix"), sized, targets, half).withColumn("budget", F.lit(True)))
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every document above the limit."""
     limit = int(config_value(spark, d, "text.max_tokens", "512"))
@@ -84,6 +105,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_budget": p8_budget,
+    "p8_rules": p8_rules,
     "p9_pieces": p9_pieces,
 }
 
@@ -111,6 +134,8 @@ WITH runs AS (SELECT run_id, dataset_name, fold, coalesce(seed, (SELECT param_te
 held AS (SELECT DISTINCT run_id, dataset_name, fold, seed, round, case_id FROM (SELECT *, unnest(l) AS case_id FROM runs) WHERE case_id IS NOT NULL)
 SELECT DISTINCT r.run_id, h.case_id FROM runs r JOIN held h ON h.dataset_name IS NOT DISTINCT FROM r.dataset_name AND h.fold IS NOT DISTINCT FROM r.fold AND h.seed = r.seed AND h.round <= r.round
 WHERE NOT list_contains(r.l, h.case_id)""",
+    "p8_rules": """SELECT source, source IN (SELECT source FROM documents WHERE text <> '') AS has_documents, true AS copies_within_cap, true AS share_within_a_document, true AS total_within_budget, unnest([true, false]) AS budget
+FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 GROUP BY source""",
     "p5_sample": f"""
 WITH ev AS (SELECT dataset_name, case_id, strftime(ingested_at, '%Y-%m') AS month, 1 AS d FROM manifest WHERE case_id IS NOT NULL AND ingested_at IS NOT NULL
   UNION ALL SELECT dataset_name, case_id, strftime(greatest(deleted_at, ingested_at), '%Y-%m'), -1 FROM manifest WHERE case_id IS NOT NULL AND ingested_at IS NOT NULL AND deleted_at IS NOT NULL),

@@ -29,6 +29,10 @@ def test_shares_and_repeats(spark):
     assert set(shares) == {"big", "mid", "small", "ghost"}
     for s, goal in (("big", 0.5), ("mid", 0.3), ("small", 0.15)):
         assert abs(shares[s].share - goal / 0.95) < 0.01
+    assert shares["ghost"].gap is None and abs(shares["big"].gap - (shares["big"].share - 0.5 / 0.95)) < 1e-9
+    for budget in (None, 30_000):
+        kept = M.rules_kept(M.mix(d, t, budget=budget), d, t, budget).collect()
+        assert len(kept) == 4 and all(r.copies_within_cap and r.share_within_a_document and r.total_within_budget for r in kept)
     assert shares["ghost"].n_tokens == 0 and shares["small"].most_copies == 3
     copies = {}
     for r in rows:
@@ -49,6 +53,13 @@ def test_brute_force_queue_with_budget(spark):
         got.append(r)
     ours = [(r.finish, r.source, r.copy_no, r.doc_id, r.n_tokens) for r in M.mix(d, t, budget=budget).collect()]
     assert ours == got
+    served = M.mix(d, t, budget=10**9)
+    M.BINS, bins = 4, M.BINS
+    try:  # the bin of the cut is refined down to a few rows
+        for rows in (1, 30):
+            assert {r.finish for r in M.truncate(served, budget, rows).collect()} == {r[0] for r in got}
+    finally:
+        M.BINS = bins
     run = {}
     for f, s, c, _, n in whole:
         run[s] = run.get(s, 0) + n
