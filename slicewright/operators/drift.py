@@ -1,21 +1,23 @@
-"""Schemas that drift between files: profile, compare, match renames, unify.
+"""Schemas that drift between files: profile, match, unify.
 
 Input: one row per raw line with file_id, dataset_name, fold, file_seq and payload (one JSON object).
 
 * ``profile_fields``: per file and top-level field the set of value kinds, and min-hash sketches of its values
   and of their shapes;
-* ``field_changes``: added, removed and changed type between consecutive files of a series;
-* ``match_renames``: bipartite matching of the removed and added fields of a pair of files, by name
-  similarity, kinds and value sketches;
-* ``canonical_names`` and ``unify``: one consistent table over all files.
+* ``match_columns``: the columns of each file matched with those of the file before it in its series: columns
+  of the same name with each other, the others by bipartite matching over name likeness, kinds and sketches;
+* ``field_changes`` and ``match_renames`` read added, removed, changed type and renames from the matching;
+* ``canonical_names`` and ``wide``: one consistent table over all files.
 
 Lines that are no valid JSON object (null payloads included) are skipped; a file with only such lines has
-no fields. JSON null values have no kind. Everything but the matching of a single pair of files, whose
-size is the number of fields of a file, runs in the JVM.
+no fields. JSON null values have no kind. Everything but the matching of columns left over in a pair of files, whose
+number is that of the fields of a file, runs in the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,15 @@ from pyspark.sql import functions as F
 VALUE_BUCKETS, SHAPE_BUCKETS = 16, 8
 #: What a JSON value can be.
 KINDS = ("array", "array of numbers", "array of strings", "boolean", "number", "object", "string")
+#: Weights of what makes two columns alike: their names, a kind in common, their values, the shapes of these. None is
+#: enough alone; how well they tell planted renames is in the README and the tests.
+WEIGHTS = (0.2, 0.2, 0.3, 0.3)
+#: Renames below this likeness are taken for a removed and an added column.
+LEAST_SCORE = 0.45
+#: Likeness, added up over the files a rename is seen in, from which two names are one column: one clear rename, or two faint ones.
+LEAST_EVIDENCE = 0.7
+#: Renames that may be brought to the driver as a map of names; checked.
+MOST_NAMES = 100_000
 #: Files in one slot of a series; the windows over files hold at most this many.
 SLOT_FILES = 1024
 
@@ -48,33 +59,32 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     return raw.withColumn("fields", F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>"))
 
 
-def cells(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, field_name, kind and value (JSON text) of every field of every valid line."""
-    out = parse_lines(lines).select(*keep, F.explode("fields").alias("field_name", "v"))
-    out = out.select(*keep, "field_name", F.schema_of_variant("v").alias("t"), F.to_json("v").alias("value"))
-    return out.select(*keep, "field_name", kind_of(F.col("t")).alias("kind"), "value")
-
-
 def _least(h: Column, buckets: int) -> Column:
     return F.array(*(F.min(F.when(F.pmod(h, F.lit(buckets)) == b, h)) for b in range(buckets)))
 
 
+def shape_of(value: Column) -> Column:
+    """A value with its runs of digits and of letters levelled, so that alike ids agree."""
+    return F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a")
+
+
 def profile_fields(raw: DataFrame) -> DataFrame:
     """file_id, field_name, kinds (sorted), n_lines, n_values, sketch and shapes.
 
     A sketch keeps the least hash in each of a fixed number of buckets, so a group of any size is folded before
-    the shuffle. The shape of a value has its digits and letters levelled, so that alike ids agree.
+    the shuffle.
     """
-    rows = cells(raw, ["file_id"])
-    shape = F.regexp_replace(F.regexp_replace("value", "[0-9]+", "9"), "[A-Za-z]+", "a")
-    rows = rows.select("file_id", "field_name", "kind", F.when(F.col("kind").isNotNull(), F.xxhash64("value")).alias("h"), F.when(F.col("kind").isNotNull(), F.xxhash64(shape)).alias("s"))
-    return rows.groupBy("file_id", "field_name").agg(
-        F.array_compact(F.array(*(F.max(F.when(F.col("kind") == k, k)) for k in KINDS))).alias("kinds"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count("kind").alias("n_values"),
-        _least(F.col("h"), VALUE_BUCKETS).alias("sketch"),
-        _least(F.col("s"), SHAPE_BUCKETS).alias("shapes"),
+    rows = parse_lines(raw).select("file_id", F.explode("fields").alias("field_name", "v"))
+    rows = rows.select("file_id", "field_name", kind_of(F.schema_of_variant("v")).alias("kind"), F.to_json("v").alias("value"))
+    bit = F.coalesce(*(F.when(F.col("kind") == k, 1 << i) for i, k in enumerate(KINDS)), F.lit(0))
+    there = F.col("kind").isNotNull()
+    rows = rows.select("file_id", "field_name", bit.alias("bit"), there.alias("there"), F.when(there, F.xxhash64("value")).alias("h"), F.when(there, F.xxhash64(shape_of(F.col("value")))).alias("s"))
+    # all of the buffers are numbers, so the rows are hashed, not sorted
+    folded = rows.groupBy("file_id", "field_name").agg(
+        F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("n_lines"), F.count_if("there").alias("n_values"), _least(F.col("h"), VALUE_BUCKETS).alias("sketch"), _least(F.col("s"), SHAPE_BUCKETS).alias("shapes")
     )
+    kinds = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(1 << i) != 0, k) for i, k in enumerate(KINDS))))
+    return folded.select("file_id", "field_name", kinds.alias("kinds"), "n_lines", "n_values", "sketch", "shapes")
 
 
 def file_pairs(raw: DataFrame) -> DataFrame:
@@ -94,18 +104,6 @@ def file_pairs(raw: DataFrame) -> DataFrame:
     return joined.select(ordered.file_id, F.when(F.col("first"), F.col("b")).otherwise(F.col("p")).alias("prev_id"))
 
 
-def field_changes(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """file_id, field_name, change_kind (added, removed, type), with kinds and sketches before and after."""
-    pairs = pairs.where(F.col("prev_id").isNotNull())
-    side = lambda p: [F.col("kinds").alias(f"{p}_kinds"), F.col("sketch").alias(f"{p}_sketch"), F.col("shapes").alias(f"{p}_shapes")]
-    new = pairs.select("file_id").join(profiles, "file_id").select("file_id", "field_name", *side("new"))
-    old = pairs.join(profiles.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "field_name", *side("old"))
-    both = new.join(old, ["file_id", "field_name"], "full")
-    differs = (F.size("new_kinds") > 0) & (F.size("old_kinds") > 0) & (F.col("new_kinds") != F.col("old_kinds"))
-    kind = F.when(F.col("old_kinds").isNull(), "added").when(F.col("new_kinds").isNull(), "removed").when(differs, "type")
-    return both.withColumn("change_kind", kind).where(F.col("change_kind").isNotNull())
-
-
 def _name_likeness(a: str, b: str) -> float:
     """Half shared words, half shared letter pairs: 0 to 1."""
     wa, wb = set(a.lower().split("_")), set(b.lower().split("_"))
@@ -120,7 +118,7 @@ def _alike(a, b) -> float:
 
 
 def best_assignment(gain: list[list[float]]) -> list[tuple[int, int]]:
-    """The matching of rows to columns with the largest total gain (shortest augmenting paths, O(n^2 m))."""
+    """The matching of rows to columns with the largest total gain: the Hungarian method by shortest augmenting paths, O(n^2 m)."""
     if not gain or not gain[0]:
         return []
     n, m = len(gain), len(gain[0])
@@ -157,83 +155,173 @@ def best_assignment(gain: list[list[float]]) -> list[tuple[int, int]]:
     return sorted((match[j] - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
-def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    gone, come = pdf[pdf.change_kind == "removed"], pdf[pdf.change_kind == "added"]
-    gone, come = gone.sort_values("field_name"), come.sort_values("field_name")
-    rows = []
-    gain = []
-    for g in gone.itertuples():
-        line = []
-        for c in come.itertuples():
-            kinds = float(bool(set(g.old_kinds) & set(c.new_kinds)))
-            line.append(0.25 * _name_likeness(g.field_name, c.field_name) + 0.25 * kinds + 0.25 * _alike(g.old_sketch, c.new_sketch) + 0.25 * _alike(g.old_shapes, c.new_shapes))
-        gain.append(line)
-    for i, j in best_assignment(gain):
-        rows.append((pdf.file_id.iloc[0], gone.field_name.iloc[i], come.field_name.iloc[j], gain[i][j]))
-    return pd.DataFrame(rows, columns=["file_id", "old_name", "new_name", "score"])
-
-
-def match_renames(changes: DataFrame, least_score: float = 0.45) -> DataFrame:
-    """file_id, old_name, new_name, score: the best one-to-one matching of removed with added fields of each file."""
-    side = changes.where(F.col("change_kind").isin("added", "removed"))
-    both = side.groupBy("file_id").agg(F.count_distinct("change_kind").alias("n")).where("n = 2").select("file_id")
-    lists = [F.transform(F.coalesce(n, F.array().cast("array<bigint>")), lambda x: F.coalesce(x, F.lit(0))).alias(n) for n in ("old_sketch", "new_sketch", "old_shapes", "new_shapes")]
-    kinds = [F.coalesce(n, F.array().cast("array<string>")).alias(n) for n in ("old_kinds", "new_kinds")]
-    rows = side.join(both, "file_id", "left_semi").select("file_id", "field_name", "change_kind", *kinds, *lists)
-    out = rows.groupBy("file_id").applyInPandas(_match, "file_id long, old_name string, new_name string, score double")
-    return out.where(F.col("score") >= least_score)
-
-
-def canonical_names(renames: DataFrame, profiles: DataFrame, schema: list[str] = (), least_files: int = 2) -> DataFrame:
-    """field_name, canonical, n_files, score: the renames seen in at least ``least_files`` files, each name going to its most frequent partner.
-
-    Names of ``schema`` stay what they are; other names go to a partner of the schema, else to the more frequent
-    of the two. The result has at most one row per field name. A rename of fewer files is taken for chance: its field
-    stays under its own name, which ``wide`` keeps in ``other_fields``.
+def likeness(old: dict, new: dict) -> float:
+    """How alike two columns are, 0 to 1. A column: field_name, kinds, sketch, shapes (0 for an empty bucket)."""
+    parts = (_name_likeness(old["field_name"], new["field_name"]), float(bool(set(old["kinds"]) & set(new["kinds"]))), _alike(old["sketch"], new["sketch"]), _alike(old["shapes"], new["shapes"]))
+    return sum(w * p for w, p in zip(WEIGHTS, parts))
+
+
+def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for file_id, gone, come in zip(pdf["file_id"], pdf["gone"], pdf["come"]):
+            gone, come = sorted(gone, key=lambda c: c["field_name"]), sorted(come, key=lambda c: c["field_name"])
+            gain = [[likeness(g, c) for c in come] for g in gone]
+            met = best_assignment(gain)
+            rows += [(file_id, gone[i]["field_name"], come[j]["field_name"], gain[i][j]) for i, j in met]
+            rows += [(file_id, g["field_name"], None, None) for i, g in enumerate(gone) if i not in {i for i, _ in met}]
+            rows += [(file_id, None, c["field_name"], None) for j, c in enumerate(come) if j not in {j for _, j in met}]
+        yield pd.DataFrame(rows, columns=["file_id", "old_name", "new_name", "score"]).astype({"score": float})
+
+
+def match_columns(profiles: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(same, other) for each file with one before it: its columns that kept their name, and the matching of all others.
+
+    ``same``: file_id, field_name, old_kinds, new_kinds. ``other``: file_id, old_name, new_name, score: the one-to-one
+    matching of largest total likeness; a column without a partner has a null on the other side and no score.
+    Columns of the same name are matched first: that is part of a largest matching, as no two other pairs are
+    more alike together.
     """
-    back = renames.select("file_id", F.col("new_name").alias("old_name"), F.col("old_name").alias("new_name"), "score")
-    seen = renames.select(back.columns).unionByName(back).groupBy("old_name", "new_name").agg(F.count_distinct("file_id").alias("n_files"), F.avg("score").alias("score")).where(F.col("n_files") >= least_files)
-    names = profiles.groupBy("field_name").agg(F.count(F.lit(1)).alias("n"))
-    sized = seen.join(names.select(F.col("field_name").alias("old_name"), F.col("n").alias("n_old")), "old_name").join(names.select(F.col("field_name").alias("new_name"), F.col("n").alias("n_new")), "new_name")
-    known = F.array(*(F.lit(x) for x in schema)).cast("array<string>")
-    target = F.array_contains(known, F.col("new_name"))
-    rarer = (F.col("n_old") < F.col("n_new")) | ((F.col("n_old") == F.col("n_new")) & (F.col("old_name") > F.col("new_name")))
-    good = sized.where(~F.array_contains(known, F.col("old_name")) & (target | rarer))
-    best = Window.partitionBy("old_name").orderBy(F.when(target, 0).otherwise(1), F.desc("n_files"), F.desc("score"), "new_name")
-    return good.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("old_name").alias("field_name"), F.col("new_name").alias("canonical"), "n_files", "score")
-
-
-def unify(raw: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """One row per field of each distinct valid line: file_id, line_no, field_name (canonical), source_name, kind, value (JSON text).
-
-    A repeated line of a file counts once, with its least line_no. The long form stays stable whatever
-    fields come; ``wide`` makes columns of the names asked for and a map of the rest.
+    full = lambda n: F.transform(n, lambda x: F.coalesce(x, F.lit(0))).alias(n)
+    of_file = profiles.groupBy("file_id").agg(F.collect_list(F.struct("field_name", "kinds", full("sketch"), full("shapes"))).alias("columns"))
+    both = pairs.where(F.col("prev_id").isNotNull()).join(of_file.withColumnRenamed("columns", "new"), "file_id", "left")
+    both = both.join(of_file.select(F.col("file_id").alias("prev_id"), F.col("columns").alias("old")), "prev_id", "left")
+    none = F.array().cast(of_file.schema["columns"].dataType)
+    both = both.select("file_id", F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"))
+    but = lambda a, b: F.filter(a, lambda x: ~F.array_contains(F.transform(b, lambda y: y["field_name"]), x["field_name"]))
+    kept = F.filter("new", lambda x: F.array_contains(F.transform("old", lambda y: y["field_name"]), x["field_name"]))
+    same = both.select("file_id", "old", F.explode(kept).alias("n")).select(
+        "file_id", F.col("n.field_name").alias("field_name"), F.get(F.filter("old", lambda y: y["field_name"] == F.col("n.field_name")), F.lit(0))["kinds"].alias("old_kinds"), F.col("n.kinds").alias("new_kinds")
+    )
+    rest = both.select("file_id", but("old", "new").alias("gone"), but("new", "old").alias("come")).where("size(gone) + size(come) > 0")
+    return same, rest.mapInPandas(_matched, "file_id long, old_name string, new_name string, score double")
+
+
+def field_changes(same: DataFrame, other: DataFrame) -> DataFrame:
+    """file_id, field_name, change_kind (added, removed, type), old_kinds, new_kinds; a rename is one removed and one added."""
+    differs = (F.size("new_kinds") > 0) & (F.size("old_kinds") > 0) & (F.col("new_kinds") != F.col("old_kinds"))
+    types = same.where(differs).select("file_id", "field_name", F.lit("type").alias("change_kind"), "old_kinds", "new_kinds")
+    sides = F.array(F.struct(F.col("old_name").alias("field_name"), F.lit("removed").alias("change_kind")), F.struct(F.col("new_name").alias("field_name"), F.lit("added").alias("change_kind")))
+    moved = other.select("file_id", F.explode(sides).alias("c")).select("file_id", "c.field_name", "c.change_kind").where("field_name is not null")
+    none = F.lit(None).cast("array<string>")
+    return types.unionByName(moved.withColumn("old_kinds", none).withColumn("new_kinds", none))
+
+
+def match_renames(other: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """file_id, old_name, new_name, score of the matched pairs that are alike enough."""
+    return other.where(F.col("old_name").isNotNull() & F.col("new_name").isNotNull() & (F.col("score") >= least_score))
+
+
+def name_groups(evidence: list[tuple[str, str, float]], files: dict[str, int], schema: list[str], least: float = LEAST_EVIDENCE) -> dict[str, str]:
+    """The canonical name of each name that has another one, from (name, name, evidence).
+
+    Pairs are taken by falling evidence, and names joined by them are one column, so renames are followed through any
+    chain; but two names of ``schema`` never become one. A group is called by its name in the schema, else by the most frequent.
+    """
+    parent: dict[str, str] = {}
+    known: dict[str, str | None] = {}
+
+    def root(x: str) -> str:
+        parent.setdefault(x, x)
+        known.setdefault(x, x if x in schema else None)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b, weight in sorted(evidence, key=lambda r: (-r[2], r[0], r[1])):
+        a, b = root(a), root(b)
+        if weight >= least and a != b and (known[a] is None or known[b] is None):
+            parent[b] = a
+            known[a] = known[a] or known[b]
+    groups: dict[str, list[str]] = {}
+    for x in parent:
+        groups.setdefault(root(x), []).append(x)
+    out = {}
+    for top, names in groups.items():
+        called = known[top] or min(names, key=lambda n: (-files.get(n, 0), n))
+        out |= {n: called for n in names if n != called}
+    return out
+
+
+def canonical_names(renames: DataFrame, profiles: DataFrame, schema: list[str] = (), least: float = LEAST_EVIDENCE) -> dict[str, str]:
+    """The canonical name of each renamed field (see ``name_groups``).
+
+    The evidence of two names is the likeness of their renames added up over files. A rename with too little evidence is
+    taken for chance: its field stays under its own name, which ``wide`` keeps in ``other_fields``. Only pairs with
+    enough evidence reach the driver, at most MOST_NAMES.
+    """
+    pair = renames.select(F.least("old_name", "new_name").alias("a"), F.greatest("old_name", "new_name").alias("b"), "score")
+    sure = pair.groupBy("a", "b").agg(F.sum("score").alias("w")).where(F.col("w") >= least)
+    rows = sure.limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} pairs of renamed fields")
+    ends = sure.select(F.explode(F.array("a", "b")).alias("field_name")).distinct()
+    files = {r[0]: r[1] for r in profiles.join(ends, "field_name", "left_semi").groupBy("field_name").agg(F.count(F.lit(1))).collect()}
+    return name_groups([tuple(r) for r in rows], files, list(schema), least)
+
+
+def unify(raw: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """One row for each distinct valid line: file_id, line_no, cells: array of (name, source, kind, value), sorted by name, its own first.
+
+    A repeated line of a file counts once, with its least line_no. ``name`` is the canonical name of the field
+    ``source``, ``value`` its JSON text. JSON null values are left out. Nothing is exploded or shuffled but the lines.
     """
-    lines = raw.groupBy("file_id", "payload").agg(F.min("line_no").alias("line_no"))
-    found = cells(lines, ["file_id", "line_no"]).withColumnRenamed("field_name", "source_name")
-    if names is None:
-        return found.withColumn("field_name", F.col("source_name"))
-    found = found.join(names.select(F.col("field_name").alias("source_name"), "canonical"), "source_name", "left")
-    return found.select("file_id", "line_no", F.coalesce("canonical", "source_name").alias("field_name"), "source_name", "kind", "value")
+    lines = parse_lines(raw.groupBy("file_id", "payload").agg(F.min("line_no").alias("line_no"))).where("fields is not null")
+    called = F.create_map(*(F.lit(x) for pair in sorted((names or {}).items()) for x in pair)) if names else None
+    canonical = lambda k: F.coalesce(F.try_element_at(called, k), k) if called is not None else k
+    cell = lambda x: F.struct(canonical(x["key"]).alias("name"), (canonical(x["key"]) != x["key"]).alias("other"), x["key"].alias("source"), kind_of(F.schema_of_variant(x["value"])).alias("kind"), F.to_json(x["value"]).alias("value"))
+    found = F.array_sort(F.filter(F.transform(F.map_entries("fields"), cell), lambda c: c["kind"].isNotNull()))
+    return lines.select("file_id", "line_no", F.transform(found, lambda c: F.struct(c["name"], c["source"], c["kind"], c["value"])).alias("cells"))
+
+
+def _text(cell: Column) -> Column:
+    return F.when(cell["kind"] == "string", F.get_json_object(F.concat(F.lit('{"x":'), cell["value"], F.lit("}")), "$.x")).otherwise(cell["value"])
 
 
-def wide(found: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per line with a text column for each of ``fields``, and ``other_fields``, a map of all its other values.
+#: Texts that stand for true and false.
+TRUE, FALSE = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
 
-    Strings come as they are, all else as JSON text. Of several source fields of one name that with the field's
-    own name is taken first, then the first by name; the others stay under their source name, so every value of
-    the line is in exactly one place. JSON null values are in none.
+
+def typed(cell: Column, kind: str, name: str = "") -> Column:
+    """The value of a cell as ``kind``: string, int, boolean or array<double>; null if it can't be read so.
+
+    An object with an ``id`` stands for it where a string is asked for. Numbers may come as texts. A list of numbers may
+    be one of texts, a text such as ``1 x 1 x 3``, a single number, or an object of x, y and z, which come in the order
+    that ``name`` ends in (xyz unless it ends in zyx).
+    """
+    text = F.trim(_text(cell))
+    if kind == "string":
+        return F.when(cell["kind"] == "object", F.get_json_object(cell["value"], "$.id")).otherwise(text)
+    if kind == "int":
+        return text.try_cast("int")
+    if kind == "boolean":
+        return F.when(F.lower(text).isin(*TRUE), True).when(F.lower(text).isin(*FALSE), False)
+    order = "zyx" if name.endswith("zyx") else "xyz"
+    at = F.array(*(F.get_json_object(cell["value"], f"$.{axis}").try_cast("double") for axis in order))
+    plain_list = F.regexp_extract_all(text, F.lit(r"([-+]?[0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?)"), 1).cast("array<double>")
+    # only separators beside the numbers
+    clean = text.rlike(r"^[\[\]\s\",;xX*+\-0-9.eE]*$") & (F.size(plain_list) > 0)
+    return F.when(cell["kind"] == "object", F.when(~F.exists(at, lambda x: x.isNull()), at)).when(clean, plain_list)
+
+
+def wide(found: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """One row per line with a typed column for each of ``fields`` (name: kind), and ``other_fields``, a map of all its other values as text.
+
+    Of several source fields of one name that with the field's own name is taken first, then the first by name; the
+    others stay in ``other_fields`` under their source name, as do values that can't be read as the kind of their
+    column. So every value of the line is in exactly one place. JSON null values are in none.
     """
-    plain = F.when(F.col("kind") == "string", F.get_json_object(F.concat(F.lit('{"x":'), "value", F.lit("}")), "$.x")).otherwise(F.col("value"))
-    entry = F.struct(F.col("field_name").alias("name"), (F.col("source_name") != F.col("field_name")).alias("other"), F.col("source_name").alias("source"), plain.alias("plain"))
-    lines = found.where(F.col("kind").isNotNull()).groupBy("file_id", "line_no").agg(F.array_sort(F.collect_list(entry)).alias("e"))
 
     def placed(x: Column, i: Column) -> Column:
-        first = ~F.get("e", i - 1)["name"].eqNullSafe(x["name"])
+        first = ~F.get("cells", i - 1)["name"].eqNullSafe(x["name"])
         # a name that another field of the line was given stays its own: no two fields of a line share a key
-        free = ~F.exists("e", lambda y: (y["source"] == x["name"]) & (y["source"] != x["source"]))
-        return F.struct(F.when(first & free, x["name"]).otherwise(x["source"]).alias("key"), x["plain"].alias("value"))
-
-    lines = lines.select("file_id", "line_no", F.map_from_entries(F.transform("e", placed)).alias("m"))
-    known = F.array(*(F.lit(f) for f in fields)).cast("array<string>")
-    return lines.select("file_id", "line_no", *(F.try_element_at("m", F.lit(f)).alias(f) for f in fields), F.map_filter("m", lambda k, v: ~F.array_contains(known, k)).alias("other_fields"))
+        free = ~F.exists("cells", lambda y: (y["source"] == x["name"]) & (y["source"] != x["source"]))
+        return F.struct(F.when(first & free, x["name"]).otherwise(x["source"]).alias("key"), x.alias("cell"))
+
+    lines = found.select("file_id", "line_no", F.map_from_entries(F.transform("cells", placed)).alias("m"))
+    at = lambda f: F.try_element_at("m", F.lit(f))
+    lines = lines.select("file_id", "line_no", "m", *(typed(at(f), k, f).alias(f"_v_{i}") for i, (f, k) in enumerate(fields.items())))
+    read = F.array_compact(F.array(*(F.when(F.col(f"_v_{i}").isNotNull(), F.lit(f)) for i, f in enumerate(fields)))).cast("array<string>")
+    lines = lines.withColumn("_read", read)
+    rest = F.map_filter("m", lambda k, v: ~F.array_contains("_read", k))
+    return lines.select("file_id", "line_no", *(F.col(f"_v_{i}").alias(f) for i, f in enumerate(fields)), F.transform_values(rest, lambda k, v: _text(v)).alias("other_fields"))

@@ -66,40 +66,50 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_p3(spark, d).distinct())
 
 
-def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    share_package(spark)
     raw = table(spark, d, "manifest_raw")
     profiles = materialize(drift.profile_fields(raw), "profiles")
-    return raw, profiles, drift.field_changes(profiles, drift.file_pairs(raw))
+    return raw, profiles, *drift.match_columns(profiles, drift.file_pairs(raw))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p6(spark, d)[2].select("file_id", "field_name", "change_kind")
+    """The changes that the matching of each file's columns with those of the file before it shows."""
+    return drift.field_changes(*_p6(spark, d)[2:]).select("file_id", "field_name", "change_kind")
 
 
 def p6_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every change; a removed and an added field that match are told as one rename."""
-    share_package(spark)
-    _, _, changes = _p6(spark, d)
-    changes = materialize(changes, "changes")
-    renames = drift.match_renames(changes)
-    plain = changes.select("file_id", "field_name", "change_kind", F.array_join("old_kinds", ", ").alias("old_kinds"), F.array_join("new_kinds", ", ").alias("new_kinds"))
-    told = renames.select("file_id", F.concat_ws(" > ", "old_name", "new_name").alias("field_name"), F.lit("rename").alias("change_kind"), F.lit(None).cast("string").alias("old_kinds"), F.lit(None).cast("string").alias("new_kinds"))
-    part = renames.select("file_id", F.explode(F.array("old_name", "new_name")).alias("field_name"))
-    rest = plain.where("change_kind = 'type'").unionByName(plain.where("change_kind <> 'type'").join(part, ["file_id", "field_name"], "left_anti").select(plain.columns))
-    return rest.unionByName(told)
+    _, _, same, other = _p6(spark, d)
+    other = materialize(other, "matched")
+    kinds = lambda n: F.array_join(n, ", ").alias(n)
+    told = F.col("old_name").isNotNull() & F.col("new_name").isNotNull() & (F.col("score") >= drift.LEAST_SCORE)
+    renames = other.where(told).select("file_id", F.concat_ws(" > ", "old_name", "new_name").alias("field_name"), F.lit("rename").alias("change_kind"), F.lit(None).cast("string").alias("old_kinds"), F.lit(None).cast("string").alias("new_kinds"))
+    rest = drift.field_changes(same, other.where(~F.coalesce(told, F.lit(False)))).select("file_id", "field_name", "change_kind", kinds("old_kinds"), kinds("new_kinds"))
+    return rest.unionByName(renames)
 
 
-MANIFEST_FIELDS = ["slice_name", "dataset_name", "case_id", "patient_id", "split", "slice_idx", "has_fg", "native_gt", "orig_h", "orig_w", "spacing", "spacing_xyz", "spacing_zyx"]
+MANIFEST_FIELDS = {
+    "slice_name": "string", "dataset_name": "string", "case_id": "string", "patient_id": "string", "split": "string", "slice_idx": "int", "has_fg": "boolean", "native_gt": "string", "orig_h": "int", "orig_w": "int",
+    "spacing": "array<double>", "spacing_xyz": "array<double>", "spacing_zyx": "array<double>",
+}
 
 
 def p6_manifest(spark: SparkSession, d: str) -> DataFrame:
     """The raw lines as one consistent manifest, renamed fields under their canonical name; ``other_fields`` holds all that have no column."""
-    share_package(spark)
-    raw, profiles, changes = _p6(spark, d)
-    names = materialize(drift.canonical_names(drift.match_renames(materialize(changes, "changes")), profiles, MANIFEST_FIELDS), "names")
+    raw, profiles, _, other = _p6(spark, d)
+    names = drift.canonical_names(drift.match_renames(other), profiles, list(MANIFEST_FIELDS))
     return drift.wide(drift.unify(raw, names), MANIFEST_FIELDS)
 
 
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per file the lines of the unified manifest, and the values of all its columns and of ``other_fields``: as many as the raw lines have."""
+    out = p6_manifest(spark, d)
+    held = sum((F.when(F.col(f).isNotNull(), 1).otherwise(0) for f in MANIFEST_FIELDS), F.size("other_fields"))
+    same = F.col("slice_name").isNotNull() & (F.col("slice_name") != "")
+    return out.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(held).cast("bigint").alias("n_values"), F.count_if(same).alias("n_named"), F.count_if(F.col("has_fg")).alias("n_foreground"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_partitions": p2_partitions,
@@ -110,6 +120,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_changes": p6_changes,
     "p6_manifest": p6_manifest,
+    "p6_kept": p6_kept,
 }
 
 #: Canonical masks in SQL: the offsets at which the value flips an odd number of times.
@@ -179,4 +190,8 @@ old AS (SELECT q.file_id, field_name, kinds FROM pairs q JOIN prof f ON f.file_i
 both_sides AS (SELECT coalesce(n.file_id, o.file_id) AS file_id, coalesce(n.field_name, o.field_name) AS field_name, n.kinds AS nk, o.kinds AS ok FROM new n FULL JOIN old o ON n.file_id = o.file_id AND n.field_name = o.field_name),
 told AS (SELECT file_id, field_name, CASE WHEN ok IS NULL THEN 'added' WHEN nk IS NULL THEN 'removed' WHEN len(nk) > 0 AND len(ok) > 0 AND nk <> ok THEN 'type' END AS change_kind FROM both_sides)
 SELECT file_id, field_name, change_kind FROM told WHERE change_kind IS NOT NULL""",
+    "p6_kept": """WITH ok AS (SELECT DISTINCT file_id, payload FROM manifest_raw WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+n AS (SELECT file_id, payload, len(list_filter(json_keys(payload), lambda k: json_type(json_extract(payload, '$."' || k || '"')) <> 'NULL')) AS n FROM ok)
+SELECT file_id, count(*) AS n_lines, sum(n)::BIGINT AS n_values, count(*) FILTER (WHERE payload ->> '$.slice_name' <> '') AS n_named,
+  count(*) FILTER (WHERE lower(payload ->> '$.has_fg') IN ('true', 'yes', 'y', '1')) AS n_foreground FROM n GROUP BY file_id""",
 }

@@ -19,7 +19,7 @@ def raw(spark, files, extra=False):
 
 
 def changes(df):
-    got = D.field_changes(D.profile_fields(df), D.file_pairs(df))
+    got = D.field_changes(*D.match_columns(D.profile_fields(df), D.file_pairs(df)))
     return {(r.file_id, r.field_name, r.change_kind) for r in got.collect()}
 
 
@@ -66,11 +66,11 @@ def test_renames_and_unified_table(spark):
     files |= {5: ("a", 5, [{"patient_id": "PV-1", "n": 3}] * 2)}
     df = raw(spark, files)
     prof = D.profile_fields(df)
-    ren = D.match_renames(D.field_changes(prof, D.file_pairs(df)))
+    ren = D.match_renames(D.match_columns(prof, D.file_pairs(df))[1])
     assert {(r.file_id, r.old_name, r.new_name) for r in ren.collect()} == {(3, "patient_id", "subject"), (5, "subject", "patient_id")}
     names = D.canonical_names(ren, prof, ["patient_id", "n"])
-    assert [(r.field_name, r.canonical) for r in names.collect()] == [("subject", "patient_id")]
-    out = D.wide(D.unify(df, names), ["patient_id", "n"])
+    assert names == {"subject": "patient_id"}
+    out = D.wide(D.unify(df, names), {"patient_id": "string", "n": "int"})
     assert out.count() == 21  # the repeated line counts once
     assert out.where("patient_id is null or n is null").count() == 0
     assert {r.patient_id for r in out.where("file_id = 3").collect()} == {f"PV-3{i}" for i in range(5)}
@@ -79,8 +79,7 @@ def test_renames_and_unified_table(spark):
 def test_every_value_has_a_place(spark):
     files = {1: ("a", 1, [{"a": "A", "b": 1, "c": [2], "d": None, "e": "E"}, {"b": 3, "c": 4}, {"c": 5}]), 2: ("a", 2, [{"t": 6, "s": 7, "b": 8}, {"t": 9, "s": 10}, {"t": 11}])}
     renames = [("b", "a"), ("c", "a"), ("s", "b"), ("t", "s")]
-    names = spark.createDataFrame(renames, "field_name string, canonical string")
-    got = {(r.file_id, r.line_no): (r.a, r.other_fields) for r in D.wide(D.unify(raw(spark, files), names), ["a"]).collect()}
+    got = {(r.file_id, r.line_no): (r.a, r.other_fields) for r in D.wide(D.unify(raw(spark, files), dict(renames)), {"a": "string"}).collect()}
     assert got == {
         (1, 0): ("A", {"b": "1", "c": "[2]", "e": "E"}),
         (1, 1): ("3", {"c": "4"}),
@@ -95,9 +94,84 @@ def test_one_off_rename_loses_no_value(spark):
     files = {1: ("a", 1, [{"patient_id": f"PV-{i}"} for i in range(5)]), 2: ("a", 2, [{"subject": f"PV-{i}"} for i in range(5)])}
     df = raw(spark, files)
     prof = D.profile_fields(df)
-    ren = D.match_renames(D.field_changes(prof, D.file_pairs(df)))
+    ren = D.match_renames(D.match_columns(prof, D.file_pairs(df))[1])
     assert ren.count() == 1
     names = D.canonical_names(ren, prof, ["patient_id"])
-    assert names.count() == 0
-    got = D.wide(D.unify(df, names), ["patient_id"]).where("file_id = 2").collect()
-    assert sorted(r.other_fields["subject"] for r in got) == [f"PV-{i}" for i in range(5)]
+    assert names == {"subject": "patient_id"}  # the values are the same, so once is enough
+    got = D.wide(D.unify(df, names), {"patient_id": "string"}).where("file_id = 2").collect()
+    assert sorted(r.patient_id for r in got) == [f"PV-{i}" for i in range(5)] and all(r.other_fields == {} for r in got)
+
+
+def test_faint_one_off_rename_loses_no_value(spark):
+    files = {1: ("a", 1, [{"patient_id": f"PV-{i}"} for i in range(5)]), 2: ("a", 2, [{"site_id": f"PV-1{i}"} for i in range(5)])}
+    df = raw(spark, files)
+    prof = D.profile_fields(df)
+    names = D.canonical_names(D.match_renames(D.match_columns(prof, D.file_pairs(df))[1]), prof, ["patient_id"])
+    assert names == {}
+    got = D.wide(D.unify(df, names), {"patient_id": "string"}).where("file_id = 2").collect()
+    assert sorted(r.other_fields["site_id"] for r in got) == [f"PV-1{i}" for i in range(5)]
+
+
+def test_renames_are_followed_through(spark):
+    lines = lambda name: [{name: f"PV-{i}", "n": i} for i in range(6)]
+    files = {k: ("a", k, lines(name)) for k, name in enumerate(["a_ref", "b_ref", "c_ref", "c_ref"])}
+    df = raw(spark, files)
+    prof = D.profile_fields(df)
+    names = D.canonical_names(D.match_renames(D.match_columns(prof, D.file_pairs(df))[1]), prof, ["n"])
+    assert names == {"a_ref": "c_ref", "b_ref": "c_ref"}
+    assert D.wide(D.unify(df, names), {"c_ref": "string"}).where("c_ref is null").count() == 0
+
+
+def test_names_of_the_schema_stay_apart():
+    assert D.name_groups([("x", "a", 2.0), ("x", "b", 1.0), ("y", "b", 0.9), ("p", "q", 0.1)], {"x": 3}, ["a", "b"]) == {"x": "a", "y": "b"}
+    assert D.name_groups([("p", "q", 0.9), ("q", "r", 0.8)], {"q": 2, "r": 2}, []) == {"p": "q", "r": "q"}
+
+
+def test_typed_columns(spark):
+    values = ["[1, 2.5, 3]", '["1.0", "2.50", "3"]', '"1 x 2.5 x 3"', '{"z": 3, "y": 2.5, "x": 1}', "7", '"abc"', "null", '{"x": 1}', '"007"', '"Yes"', "0", "true", '{"id": "p7", "site": "s"}', '"two 3"']
+    df = raw(spark, {1: ("a", 1, [f'{{"l": {v}, "spacing_zyx": {v}, "i": {v}, "b": {v}, "s": {v}}}' for v in values])})
+    out = {r.line_no: r for r in D.wide(D.unify(df), {"l": "array<double>", "spacing_zyx": "array<double>", "i": "int", "b": "boolean", "s": "string"}).collect()}
+    three = [1.0, 2.5, 3.0]
+    assert [out[k].l for k in range(14) if k in out and k not in (4, 8, 10)] == [three, three, three, three] + [None] * 7
+    assert out[4].l == [7.0] and out[3].spacing_zyx == three[::-1] and out[0].spacing_zyx == three
+    assert [(out[k].i, out[k].b) for k in (4, 8, 9, 10, 11, 5)] == [(7, None), (7, None), (None, True), (0, False), (None, True), (None, None)]
+    assert out[12].s == "p7" and out[5].s == "abc" and out[6].other_fields == {}
+    assert out[5].other_fields == {"l": "abc", "spacing_zyx": "abc", "i": "abc", "b": "abc"}  # what can't be read stays
+
+
+def planted(files, rng):
+    """Consecutive files of a series, other lines in each, with some of their common fields renamed and decoys added: (files, true renames)."""
+    alias = {"patient_id": "subj", "case_id": "study_key", "spacing": "px_size", "orig_h": "rows", "orig_w": "n_columns", "slice_name": "file", "native_gt": "label_path", "slice_idx": "z", "split": "part", "has_fg": "foreground"}
+    out, truth = {}, set()
+    filled = lambda objects: {n for o in objects for n, v in o.items() if v is not None}
+    for (series, _, old), (same, _, new) in zip(files, files[1:]):
+        if series != same:
+            continue
+        k = len(out)
+        common = filled(old) & filled(new)
+        moved = rng.sample(sorted(common & set(alias)), min(2, len(common & set(alias))))
+        gone = [{n: v for n, v in o.items() if n in common} | {"legacy_flag": rng.choice(["A", "B"])} for o in old]
+        come = [{alias[n] if n in moved else n: v for n, v in o.items() if n in common} for o in new]
+        for o in come:
+            o[f"{moved[0]}_note"] = rng.choice(["", "checked", f"by {rng.randrange(9)}"])  # named like the old one
+            o["batch_no"] = [rng.randrange(1000)]
+        out[k], out[k + 1] = (f"d{k}", 1, gone), (f"d{k}", 2, come)
+        truth |= {(k + 1, n, alias[n]) for n in moved}
+    return out, truth
+
+
+def test_planted_renames_are_found(spark):
+    by_file = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/manifest_raw.parquet").collect():
+        try:
+            o = json.loads(r.payload)
+        except ValueError:
+            continue
+        if isinstance(o, dict):
+            by_file.setdefault((r.dataset_name, r.fold, r.file_seq), []).append(o)
+    files, truth = planted([(k[:2], k[2], v) for k, v in sorted(by_file.items())], random.Random(7))
+    df = raw(spark, files)
+    found = {(r.file_id, r.old_name, r.new_name) for r in D.match_renames(D.match_columns(D.profile_fields(df), D.file_pairs(df))[1]).collect()}
+    recall, precision = len(found & truth) / len(truth), len(found & truth) / len(found)
+    print(f"planted {len(truth)}, recall {recall:.3f}, precision {precision:.3f}", sorted(truth - found)[:12], sorted(found - truth)[:12])
+    assert len(truth) > 100 and recall >= 0.95 and precision >= 0.95
