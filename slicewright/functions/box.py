@@ -32,16 +32,16 @@ def clip_points(points: Column, w: Column, h: Column) -> Column:
     return F.transform(points, lambda p: F.array(_within(_at(p, 0), w.cast("double")), _within(_at(p, 1), h.cast("double"))))
 
 
-def map_box(box: Column, transform: Column) -> Column:
-    """A box moved by a transform struct (scale_x, scale_y, falling back on scale where it has one; offsets), not clipped."""
-    sx, sy = transform["scale_x"], transform["scale_y"]
+def map_box(box: Column, transform: Column, fallback: str | None = None) -> Column:
+    """A box moved by a transform struct (scale_x, scale_y, or where they are null the field ``fallback``; offsets), not clipped."""
+    sx, sy = (F.coalesce(transform[n], transform[fallback]) if fallback else transform[n] for n in ("scale_x", "scale_y"))
     ox, oy = F.coalesce(transform["offset_x"], F.lit(0)), F.coalesce(transform["offset_y"], F.lit(0))
     return make_box(_at(box, 0) * sx + ox, _at(box, 1) * sy + oy, _at(box, 2) * sx + ox, _at(box, 3) * sy + oy)
 
 
 def native_to_teacher(box: Column, transform: Column) -> Column:
     """A native box on the teacher canvas, clipped to it."""
-    return clip_box(map_box(box, transform), transform["target_w"], transform["target_h"])
+    return clip_box(map_box(box, transform, "scale"), transform["target_w"], transform["target_h"])
 
 
 def geometry_sizes(native_hw: Column, inverse: Column, teacher_hw: Column) -> Column:
@@ -64,7 +64,7 @@ def canvas_geometry(h: Column, w: Column, target_h: Column, target_w: Column) ->
     return F.struct(
         h.alias("orig_h"), w.alias("orig_w"), target_h.alias("target_h"), target_w.alias("target_w"),
         new_h.alias("new_h"), new_w.alias("new_w"), F.lit(0).alias("offset_x"), F.lit(0).alias("offset_y"),
-        (target_w - new_w).alias("pad_right"), (target_h - new_h).alias("pad_bottom"), scale.alias("scale"),
+        (target_w - new_w).alias("pad_right"), (target_h - new_h).alias("pad_bottom"), scale.alias("scale"), scale.alias("scale_x"), scale.alias("scale_y"), F.lit("top_left").alias("canvas_origin"),
     )
 
 
@@ -77,7 +77,7 @@ def inverse_geometry(g: Column) -> Column:
     )
 
 
-PAIR_FIELDS = ("orig_h", "orig_w", "target_h", "target_w", "new_h", "new_w", "scale", "offset_x", "offset_y", "pad_right", "pad_bottom")
+PAIR_FIELDS = ("orig_h", "orig_w", "target_h", "target_w", "new_h", "new_w", "scale", "scale_x", "scale_y", "offset_x", "offset_y", "pad_right", "pad_bottom", "canvas_origin")
 
 
 def geometry_mismatch(a: Column, b: Column, fields: tuple[str, ...] = PAIR_FIELDS) -> Column:
@@ -123,6 +123,11 @@ def uncrop_box(box: Column, crop: Column) -> Column:
     return make_box(_at(box, 0) + _at(crop, 0), _at(box, 1) + _at(crop, 1), _at(box, 2) + _at(crop, 0), _at(box, 3) + _at(crop, 1))
 
 
+def uncrop_points(points: Column, crop: Column) -> Column:
+    """An array of (x, y) of a crop in the whole image."""
+    return F.transform(points, lambda p: F.array(_at(p, 0) + _at(crop, 0), _at(p, 1) + _at(crop, 1)))
+
+
 def to_side(box: Column, w: Column, h: Column, side: int = 1024) -> Column:
     """A box scaled to a square image."""
     return make_box(_at(box, 0) / w * side, _at(box, 1) / h * side, _at(box, 2) / w * side, _at(box, 3) / h * side)

@@ -101,6 +101,12 @@ def resample(
     return picked.mapInArrow(run, f"{key} {kind}, mask_hw array<int>, counts array<int>")
 
 
+def uncrop_masks(df: DataFrame, key: str, crop: Column, image_h: Column, image_w: Column, hw: str = "mask_hw", counts: str = "counts") -> DataFrame:
+    """key, mask_hw, counts of the masks of crops (x1, y1, x2, y2; half-open) in their whole images, zero around them."""
+    at = lambda i: F.get(crop, F.lit(i)).cast("int")
+    return resample(df, key, at(3) - at(1), at(2) - at(0), image_h, image_w, at(1), at(0), hw=hw, counts=counts)
+
+
 def long_pixels(df: DataFrame, keep: list[str], values: str, w: int) -> DataFrame:
     """keep, y, x, value of dense rows."""
     return df.select(*keep, F.posexplode(values).alias("pos", "value")).select(*keep, F.floor(F.col("pos") / w).cast("int").alias("y"), (F.col("pos") % w).alias("x"), "value")
