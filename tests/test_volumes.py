@@ -88,7 +88,7 @@ def test_connected_graph(spark):
 def test_propagation(spark):
     rng = np.random.default_rng(3)
     v = rng.random((9, 10, 10)) < 0.5
-    v[4] = v[5] = v[7] = False
+    v[4] = v[5] = v[6] = False
     boxes = {1: [1.0, 1.0, 7.0, 7.0], 3: [0.0, 0.0, 8.0, 9.0], 8: [2.0, 0.0, 9.0, 8.0]}
     rows = [("s", z, boxes.get(z), [10, 10], encode_runs(v[z]).tolist()) for z in range(9)] + [("none", 0, None, [1, 1], [0, 1])]
     df = spark.createDataFrame(rows, "s string, z int, b array<double>, mask_hw array<int>, counts array<int>")
