@@ -158,3 +158,31 @@ def test_masks_of_pairs(spark):
     df = spark.createDataFrame(rows + [(99, None, 1, 1), (98, "0 1", None, 1)], "i int, t string, h int, w int")
     got = {r.i: decode_runs(np.array(r.counts), *r.mask_hw) for r in codecs.mask_of_pairs(df, "i", "t", "h", "w").collect()}
     assert set(got) == set(want) and all((got[i] == want[i]).all() for i in want)
+
+
+def test_surface_of_cells():
+    from slicewright.operators import surfaces
+
+    a = surfaces.cell_areas((1.0, 1.0, 1.0))
+    assert a[0] == a[255] == 0 and all(x > 0 for x in a[1:255])
+    assert a[128] == a[1] == pytest.approx(np.sqrt(3) / 8)  # one corner cut off
+    assert a[0b11110000] == pytest.approx(1) == a[0b11001100] == a[0b10101010]  # a plane through the cell
+    assert a[0b11000000] == pytest.approx(np.sqrt(2) / 2)  # one edge cut off
+    assert surfaces.cell_areas((3.0, 1.0, 2.0))[0b11110000] == pytest.approx(2)
+    assert a[0b10000001] == pytest.approx(np.sqrt(3) / 4)  # two corners far apart
+    # turned and mirrored cells have the same area
+    for axis in range(3):
+        for code in range(256):
+            inside = [c for c in surfaces.CORNERS if code & surfaces.CORNER_WEIGHTS[c]]
+            other = sum(surfaces.CORNER_WEIGHTS[tuple(1 - v if i == axis else v for i, v in enumerate(c))] for c in inside)
+            assert a[code] == pytest.approx(a[other])
+
+
+def test_surface_of_a_cube():
+    from slicewright.operators import morphology, surfaces
+
+    v = np.zeros((6, 6, 6), bool)
+    v[1:5, 1:5, 1:5] = True
+    codes = morphology.corner_codes(v)
+    total = surfaces.cell_areas((1.0, 1.0, 1.0))[codes].sum()
+    assert 6 * 3 * 3 < total < 6 * 4 * 4  # a cube of four voxels with its edges cut off
