@@ -161,26 +161,30 @@ def likeness(old: dict, new: dict) -> float:
     return sum(w * p for w, p in zip(WEIGHTS, parts))
 
 
+MATCHED = "file_id long, old_name string, new_name string, score double, old_kinds array<string>, new_kinds array<string>"
+
+
 def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for file_id, gone, come in zip(pdf["file_id"], pdf["gone"], pdf["come"]):
+        for file_id, retyped, gone, come in zip(pdf["file_id"], pdf["retyped"], pdf["gone"], pdf["come"]):
+            rows += [(file_id, r["field_name"], r["field_name"], None, list(r["old_kinds"]), list(r["new_kinds"])) for r in retyped]
             gone, come = sorted(gone, key=lambda c: c["field_name"]), sorted(come, key=lambda c: c["field_name"])
             gain = [[likeness(g, c) for c in come] for g in gone]
             met = best_assignment(gain)
-            rows += [(file_id, gone[i]["field_name"], come[j]["field_name"], gain[i][j]) for i, j in met]
-            rows += [(file_id, g["field_name"], None, None) for i, g in enumerate(gone) if i not in {i for i, _ in met}]
-            rows += [(file_id, None, c["field_name"], None) for j, c in enumerate(come) if j not in {j for _, j in met}]
-        yield pd.DataFrame(rows, columns=["file_id", "old_name", "new_name", "score"]).astype({"score": float})
+            rows += [(file_id, gone[i]["field_name"], come[j]["field_name"], gain[i][j], list(gone[i]["kinds"]), list(come[j]["kinds"])) for i, j in met]
+            rows += [(file_id, g["field_name"], None, None, list(g["kinds"]), None) for i, g in enumerate(gone) if i not in {i for i, _ in met}]
+            rows += [(file_id, None, c["field_name"], None, None, list(c["kinds"])) for j, c in enumerate(come) if j not in {j for _, j in met}]
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHED.split(", ")]).astype({"score": float})
 
 
-def match_columns(profiles: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(same, other) for each file with one before it: its columns that kept their name, and the matching of all others.
+def match_columns(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """file_id, old_name, new_name, score, old_kinds, new_kinds: the columns of each file matched with those of the file before it.
 
-    ``same``: file_id, field_name, old_kinds, new_kinds. ``other``: file_id, old_name, new_name, score: the one-to-one
-    matching of largest total likeness; a column without a partner has a null on the other side and no score.
-    Columns of the same name are matched first: that is part of a largest matching, as no two other pairs are
-    more alike together.
+    Columns of the same name are matched first, which is part of a largest matching, as no two other pairs are more
+    alike together; those whose kinds didn't change, or have none on a side, are not in the result, the others come without a score.
+    All other columns are matched one to one with the largest total likeness, their score; a column without a partner has
+    nulls on the other side.
     """
     full = lambda n: F.transform(n, lambda x: F.coalesce(x, F.lit(0))).alias(n)
     of_file = profiles.groupBy("file_id").agg(F.collect_list(F.struct("field_name", "kinds", full("sketch"), full("shapes"))).alias("columns"))
@@ -188,28 +192,28 @@ def match_columns(profiles: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Dat
     both = both.join(of_file.select(F.col("file_id").alias("prev_id"), F.col("columns").alias("old")), "prev_id", "left")
     none = F.array().cast(of_file.schema["columns"].dataType)
     both = both.select("file_id", F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"))
-    but = lambda a, b: F.filter(a, lambda x: ~F.array_contains(F.transform(b, lambda y: y["field_name"]), x["field_name"]))
-    kept = F.filter("new", lambda x: F.array_contains(F.transform("old", lambda y: y["field_name"]), x["field_name"]))
-    same = both.select("file_id", "old", F.explode(kept).alias("n")).select(
-        "file_id", F.col("n.field_name").alias("field_name"), F.get(F.filter("old", lambda y: y["field_name"] == F.col("n.field_name")), F.lit(0))["kinds"].alias("old_kinds"), F.col("n.kinds").alias("new_kinds")
-    )
-    rest = both.select("file_id", but("old", "new").alias("gone"), but("new", "old").alias("come")).where("size(gone) + size(come) > 0")
-    return same, rest.mapInPandas(_matched, "file_id long, old_name string, new_name string, score double")
+    names = lambda a: F.transform(a, lambda y: y["field_name"])
+    but = lambda a, b: F.filter(a, lambda x: ~F.array_contains(names(b), x["field_name"]))
+    kinds = lambda a, n: F.get(F.filter(a, lambda y: y["field_name"] == n), F.lit(0))["kinds"]
+    kept = F.transform(F.array_intersect(names("new"), names("old")), lambda n: F.struct(n.alias("field_name"), kinds("old", n).alias("old_kinds"), kinds("new", n).alias("new_kinds")))
+    differ = lambda k: (F.size(k["old_kinds"]) > 0) & (F.size(k["new_kinds"]) > 0) & (k["old_kinds"] != k["new_kinds"])
+    rest = both.select("file_id", F.filter(kept, differ).alias("retyped"), but("old", "new").alias("gone"), but("new", "old").alias("come"))
+    return rest.where("size(retyped) + size(gone) + size(come) > 0").mapInPandas(_matched, MATCHED)
 
 
-def field_changes(same: DataFrame, other: DataFrame) -> DataFrame:
+def field_changes(matched: DataFrame) -> DataFrame:
     """file_id, field_name, change_kind (added, removed, type), old_kinds, new_kinds; a rename is one removed and one added."""
-    differs = (F.size("new_kinds") > 0) & (F.size("old_kinds") > 0) & (F.col("new_kinds") != F.col("old_kinds"))
-    types = same.where(differs).select("file_id", "field_name", F.lit("type").alias("change_kind"), "old_kinds", "new_kinds")
-    sides = F.array(F.struct(F.col("old_name").alias("field_name"), F.lit("removed").alias("change_kind")), F.struct(F.col("new_name").alias("field_name"), F.lit("added").alias("change_kind")))
-    moved = other.select("file_id", F.explode(sides).alias("c")).select("file_id", "c.field_name", "c.change_kind").where("field_name is not null")
     none = F.lit(None).cast("array<string>")
-    return types.unionByName(moved.withColumn("old_kinds", none).withColumn("new_kinds", none))
+    side = lambda name, kind, old, new: F.struct(F.col(name).alias("field_name"), F.lit(kind).alias("change_kind"), old.alias("old_kinds"), new.alias("new_kinds"))
+    same = F.array(side("new_name", "type", F.col("old_kinds"), F.col("new_kinds")))
+    moved = F.array(side("old_name", "removed", F.col("old_kinds"), none), side("new_name", "added", none, F.col("new_kinds")))
+    told = F.explode(F.when(F.col("old_name") == F.col("new_name"), same).otherwise(moved))
+    return matched.select("file_id", told.alias("c")).select("file_id", "c.*").where("field_name is not null")
 
 
-def match_renames(other: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """file_id, old_name, new_name, score of the matched pairs that are alike enough."""
-    return other.where(F.col("old_name").isNotNull() & F.col("new_name").isNotNull() & (F.col("score") >= least_score))
+def match_renames(matched: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """file_id, old_name, new_name, score of the matched pairs of different names that are alike enough."""
+    return matched.where((F.col("old_name") != F.col("new_name")) & (F.col("score") >= least_score)).select("file_id", "old_name", "new_name", "score")
 
 
 def name_groups(evidence: list[tuple[str, str, float]], files: dict[str, int], schema: list[str], least: float = LEAST_EVIDENCE) -> dict[str, str]:

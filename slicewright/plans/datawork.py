@@ -66,27 +66,25 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_p3(spark, d).distinct())
 
 
-def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     share_package(spark)
     raw = table(spark, d, "manifest_raw")
     profiles = materialize(drift.profile_fields(raw), "profiles")
-    return raw, profiles, *drift.match_columns(profiles, drift.file_pairs(raw))
+    return raw, profiles, drift.match_columns(profiles, drift.file_pairs(raw))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The changes that the matching of each file's columns with those of the file before it shows."""
-    return drift.field_changes(*_p6(spark, d)[2:]).select("file_id", "field_name", "change_kind")
+    return drift.field_changes(_p6(spark, d)[2]).select("file_id", "field_name", "change_kind")
 
 
 def p6_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every change; a removed and an added field that match are told as one rename."""
-    _, _, same, other = _p6(spark, d)
-    other = materialize(other, "matched")
+    matched = materialize(_p6(spark, d)[2], "matched")
     kinds = lambda n: F.array_join(n, ", ").alias(n)
-    told = F.col("old_name").isNotNull() & F.col("new_name").isNotNull() & (F.col("score") >= drift.LEAST_SCORE)
-    renames = other.where(told).select("file_id", F.concat_ws(" > ", "old_name", "new_name").alias("field_name"), F.lit("rename").alias("change_kind"), F.lit(None).cast("string").alias("old_kinds"), F.lit(None).cast("string").alias("new_kinds"))
-    rest = drift.field_changes(same, other.where(~F.coalesce(told, F.lit(False)))).select("file_id", "field_name", "change_kind", kinds("old_kinds"), kinds("new_kinds"))
-    return rest.unionByName(renames)
+    told = F.coalesce((F.col("old_name") != F.col("new_name")) & (F.col("score") >= drift.LEAST_SCORE), F.lit(False))
+    renames = matched.where(told).select("file_id", F.concat_ws(" > ", "old_name", "new_name").alias("field_name"), F.lit("rename").alias("change_kind"), kinds("old_kinds"), kinds("new_kinds"))
+    return drift.field_changes(matched.where(~told)).select("file_id", "field_name", "change_kind", kinds("old_kinds"), kinds("new_kinds")).unionByName(renames)
 
 
 MANIFEST_FIELDS = {
@@ -97,8 +95,8 @@ MANIFEST_FIELDS = {
 
 def p6_manifest(spark: SparkSession, d: str) -> DataFrame:
     """The raw lines as one consistent manifest, renamed fields under their canonical name; ``other_fields`` holds all that have no column."""
-    raw, profiles, _, other = _p6(spark, d)
-    names = drift.canonical_names(drift.match_renames(other), profiles, list(MANIFEST_FIELDS))
+    raw, profiles, matched = _p6(spark, d)
+    names = drift.canonical_names(drift.match_renames(matched), profiles, list(MANIFEST_FIELDS))
     return drift.wide(drift.unify(raw, names), MANIFEST_FIELDS)
 
 

@@ -19,7 +19,7 @@ def raw(spark, files, extra=False):
 
 
 def changes(df):
-    got = D.field_changes(*D.match_columns(D.profile_fields(df), D.file_pairs(df)))
+    got = D.field_changes(D.match_columns(D.profile_fields(df), D.file_pairs(df)))
     return {(r.file_id, r.field_name, r.change_kind) for r in got.collect()}
 
 
@@ -66,7 +66,7 @@ def test_renames_and_unified_table(spark):
     files |= {5: ("a", 5, [{"patient_id": "PV-1", "n": 3}] * 2)}
     df = raw(spark, files)
     prof = D.profile_fields(df)
-    ren = D.match_renames(D.match_columns(prof, D.file_pairs(df))[1])
+    ren = D.match_renames(D.match_columns(prof, D.file_pairs(df)))
     assert {(r.file_id, r.old_name, r.new_name) for r in ren.collect()} == {(3, "patient_id", "subject"), (5, "subject", "patient_id")}
     names = D.canonical_names(ren, prof, ["patient_id", "n"])
     assert names == {"subject": "patient_id"}
@@ -94,7 +94,7 @@ def test_one_off_rename_loses_no_value(spark):
     files = {1: ("a", 1, [{"patient_id": f"PV-{i}"} for i in range(5)]), 2: ("a", 2, [{"subject": f"PV-{i}"} for i in range(5)])}
     df = raw(spark, files)
     prof = D.profile_fields(df)
-    ren = D.match_renames(D.match_columns(prof, D.file_pairs(df))[1])
+    ren = D.match_renames(D.match_columns(prof, D.file_pairs(df)))
     assert ren.count() == 1
     names = D.canonical_names(ren, prof, ["patient_id"])
     assert names == {"subject": "patient_id"}  # the values are the same, so once is enough
@@ -106,7 +106,7 @@ def test_faint_one_off_rename_loses_no_value(spark):
     files = {1: ("a", 1, [{"patient_id": f"PV-{i}"} for i in range(5)]), 2: ("a", 2, [{"site_id": f"PV-1{i}"} for i in range(5)])}
     df = raw(spark, files)
     prof = D.profile_fields(df)
-    names = D.canonical_names(D.match_renames(D.match_columns(prof, D.file_pairs(df))[1]), prof, ["patient_id"])
+    names = D.canonical_names(D.match_renames(D.match_columns(prof, D.file_pairs(df))), prof, ["patient_id"])
     assert names == {}
     got = D.wide(D.unify(df, names), {"patient_id": "string"}).where("file_id = 2").collect()
     assert sorted(r.other_fields["site_id"] for r in got) == [f"PV-1{i}" for i in range(5)]
@@ -117,7 +117,7 @@ def test_renames_are_followed_through(spark):
     files = {k: ("a", k, lines(name)) for k, name in enumerate(["a_ref", "b_ref", "c_ref", "c_ref"])}
     df = raw(spark, files)
     prof = D.profile_fields(df)
-    names = D.canonical_names(D.match_renames(D.match_columns(prof, D.file_pairs(df))[1]), prof, ["n"])
+    names = D.canonical_names(D.match_renames(D.match_columns(prof, D.file_pairs(df))), prof, ["n"])
     assert names == {"a_ref": "c_ref", "b_ref": "c_ref"}
     assert D.wide(D.unify(df, names), {"c_ref": "string"}).where("c_ref is null").count() == 0
 
@@ -171,7 +171,7 @@ def test_planted_renames_are_found(spark):
             by_file.setdefault((r.dataset_name, r.fold, r.file_seq), []).append(o)
     files, truth = planted([(k[:2], k[2], v) for k, v in sorted(by_file.items())], random.Random(7))
     df = raw(spark, files)
-    found = {(r.file_id, r.old_name, r.new_name) for r in D.match_renames(D.match_columns(D.profile_fields(df), D.file_pairs(df))[1]).collect()}
+    found = {(r.file_id, r.old_name, r.new_name) for r in D.match_renames(D.match_columns(D.profile_fields(df), D.file_pairs(df))).collect()}
     recall, precision = len(found & truth) / len(truth), len(found & truth) / len(found)
     print(f"planted {len(truth)}, recall {recall:.3f}, precision {precision:.3f}", sorted(truth - found)[:12], sorted(found - truth)[:12])
     assert len(truth) > 100 and recall >= 0.95 and precision >= 0.95
