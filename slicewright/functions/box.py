@@ -39,9 +39,9 @@ def map_box(box: Column, transform: Column, fallback: str | None = None) -> Colu
     return make_box(_at(box, 0) * sx + ox, _at(box, 1) * sy + oy, _at(box, 2) * sx + ox, _at(box, 3) * sy + oy)
 
 
-def native_to_teacher(box: Column, transform: Column) -> Column:
+def native_to_teacher(box: Column, transform: Column, fallback: str | None = None) -> Column:
     """A native box on the teacher canvas, clipped to it."""
-    return clip_box(map_box(box, transform, "scale"), transform["target_w"], transform["target_h"])
+    return clip_box(map_box(box, transform, fallback), transform["target_w"], transform["target_h"])
 
 
 def geometry_sizes(native_hw: Column, inverse: Column, teacher_hw: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewright.functions import text
+from slicewright.operators.prefix import hash_running_sum, slot_bits
+from slicewright.session import materialize
 
 
 def plain(c: Column | str) -> Column:
@@ -97,19 +99,29 @@ def unit_order(seed: int, ident: Column) -> Column:
 def split_fixed(items: DataFrame, ident: str, n_train: int, seed: int) -> DataFrame:
     """ident and split: the first n by hash train, the others test."""
     ids = items.select(ident).where(F.col(ident).isNotNull()).distinct()
-    first = ids.orderBy(unit_order(seed, F.col(ident)), ident).limit(n_train).withColumn("split", F.lit("train"))
-    return ids.join(first, ident, "left").select(ident, F.coalesce("split", F.lit("test")).alias("split"))
+    return _placed(ids, [], ident, seed).select(ident, F.when(F.col("_place") <= n_train, "train").otherwise("test").alias("split"))
+
+
+def _placed(ids: DataFrame, by: list[str], ident: str, seed: int) -> DataFrame:
+    """``ids`` with ``_place``, their number in their group by hash: a running sum by slots of the hash range, so no task sorts a group.
+
+    The hash is a text of hex digits; its first 15 as a number go before all of it, so the order is that of the text.
+    """
+    hexed = ids.withColumn("_hex", unit_order(seed, F.col(ident))).withColumn("_one", F.lit(1))
+    # sixty bits as a signed number in the same order, moved up to the top bits that make the slots
+    number = F.shiftleft(F.conv(F.substring("_hex", 1, 15), 16, 10).cast("bigint") - F.lit(1 << 59), 4)
+    return hash_running_sum(hexed, by, number, ["_hex", ident], "_one", "_place", slot_bits(ids.count())).drop("_hex", "_one")
 
 
 def split_stratified(items: DataFrame, ident: str, label: str, ratio: float, seed: int) -> DataFrame:
     """ident, label, split: per label a rounded part (half-even), at least one on each side of two or more."""
-    ids = items.select(ident, label).where(F.col(ident).isNotNull()).distinct()
-    by = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(by)
+    ids = items.select(ident, F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("")).alias("_label"), label).where(F.col(ident).isNotNull()).distinct()
+    n = F.col("_n")
     want = F.rint(n * ratio).cast("bigint")
     want = F.when(n > 1, F.greatest(F.lit(1), F.least(n - 1, want))).otherwise(want)
-    place = F.row_number().over(by.orderBy(unit_order(seed, F.col(ident)), ident))
-    return ids.select(ident, label, F.when(place <= want, "train").otherwise("test").alias("split"))
+    sizes = ids.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
+    placed = _placed(ids, ["_label"], ident, seed).join(sizes, "_label")
+    return placed.select(ident, label, F.when(F.col("_place") <= want, "train").otherwise("test").alias("split"))
 
 
 def take_per_group(items: DataFrame, ident: str, group: str, k: int, seed: int) -> DataFrame:
@@ -119,7 +131,8 @@ def take_per_group(items: DataFrame, ident: str, group: str, k: int, seed: int)
     return ids.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
 
 
-#: Identifiers that an exact split may bring to the driver.
+#: Identifiers that an exact split may bring to the driver: the shuffle of the generator it has to agree with goes
+#: through all of them in turn. Beyond it there is the hash form, which splits the same numbers in another order.
 EXACT_LIMIT = 1_000_000
 
 
@@ -172,8 +185,10 @@ def violations(**checks: DataFrame) -> DataFrame:
 
 def violation_counts(found: DataFrame, head: int = 10) -> DataFrame:
     """check, n and the first examples in order."""
-    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("check").orderBy("key")))
-    return ranked.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("_r") <= head, F.col("key")))), ",").alias("examples"))
+    # a rank filter keeps ``head`` rows a check on each side of its shuffle
+    first = found.select("check", "key").withColumn("_r", F.row_number().over(Window.partitionBy("check").orderBy("key"))).where(F.col("_r") <= head)
+    some = first.groupBy("check").agg(F.array_join(F.sort_array(F.collect_set("key")), ",").alias("examples"))
+    return found.groupBy("check").agg(F.count(F.lit(1)).alias("n")).join(some, "check")
 
 
 def content_hash(files: DataFrame) -> DataFrame:
@@ -181,8 +196,54 @@ def content_hash(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+#: Children of a node of the hash tree: what one task folds at most, on average.
+FAN_OUT = 4096
+
+
 def tree_hash(files: DataFrame) -> DataFrame:
-    """One hash of a tree: over the sorted paths with their hashes, by folder, then over the folders."""
-    one = content_hash(files).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    folder = one.groupBy("folder").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "path", "sha256"))), "\n"), 256).alias("h"))
-    return folder.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "folder", "h"))), "\n"), 256).alias("sha256"))
+    """One hash of a tree of files (path, content), ``sha256``; of an empty tree that of an empty text.
+
+    A Merkle tree over the hashes of paths: the files are cut by the hash of their path into as many leaves as a fixed
+    fan-out asks for, each leaf hashes its sorted paths and contents, and leaves are folded in turn. The shape depends on
+    the number of files alone, so the same tree gives the same hash however it is stored.
+    """
+    level = content_hash(files).select(F.sha2("path", 256).alias("k"), F.concat_ws(":", "path", "sha256").alias("v"))
+    level = materialize(level, "hashes")
+    n = level.count()
+    while True:
+        bits = max(0, (max(0, n - 1) // FAN_OUT).bit_length())
+        node = F.substring(F.lpad(F.conv(F.substring("k", 1, 8), 16, 2), 32, "0"), 1, bits) if bits else F.lit("")
+        folded = level.groupBy(node.alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("v")), "\n"), 256).alias("h"))
+        if not bits:
+            break
+        level = materialize(folded.select(F.sha2("node", 256).alias("k"), F.concat_ws(":", "node", "h").alias("v")), "hashes")
+        n = 1 << bits
+    return folded.agg(F.coalesce(F.first("h"), F.sha2(F.lit(""), 256)).alias("sha256"))
+
+
+def label_audit_summary(audits: DataFrame) -> DataFrame:
+    """Per dataset_name: num_cases, binarize_modes and cleanup_modes (sorted, distinct, without nulls), cases_with_removed, max_unique.
+
+    ``audits``: dataset_name, binarize_mode, cleanup_mode, removed_components, source_unique_count, a row a case.
+    """
+    return audits.groupBy("dataset_name").agg(
+        F.count(F.lit(1)).alias("num_cases"), F.sort_array(F.collect_set("binarize_mode")).alias("binarize_modes"), F.sort_array(F.collect_set(F.nullif("cleanup_mode", F.lit("")))).alias("cleanup_modes"),
+        F.count_if(F.coalesce("removed_components", F.lit(0)) > 0).alias("cases_with_removed"), F.coalesce(F.max("source_unique_count"), F.lit(0)).alias("max_unique"),
+    )
+
+
+def tiny_totals(verdicts: DataFrame, key: str) -> DataFrame:
+    """One row: samples with a removed component, removed components and removed pixels (``components.tiny_verdicts``)."""
+    gone = verdicts.where("removed")
+    return gone.agg(F.count_distinct(key).alias("samples"), F.count(F.lit(1)).alias("components"), F.coalesce(F.sum("area"), F.lit(0)).alias("pixels"))
+
+
+def known_names(chosen: str, there: list[str]) -> list[str]:
+    """The names that a comma list chooses, ``all`` standing for all there are, sorted; an unknown one is an error."""
+    if chosen.strip().lower() == "all":
+        return sorted(there)
+    names = [x.strip() for x in chosen.split(",") if x.strip()]
+    unknown = [x for x in names if x not in there]
+    if unknown:
+        raise ValueError(f"unknown: {', '.join(unknown)}; known: {', '.join(sorted(there))}")
+    return names

@@ -97,6 +97,22 @@ def unpack_runs(df: DataFrame, key: str, packed: str = "packed") -> DataFrame:
     return df.where(F.col(packed).isNotNull()).select(key, F.col(packed).alias("_p")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, counts array<int>")
 
 
+def pairs_of_mask(df: DataFrame, key: str, counts: str = "counts") -> DataFrame:
+    """key, pairs: run lengths as a text of alternating starts and lengths of their foreground; null counts are left out."""
+    share_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, size = _flat(b.column(1))
+            texts = []
+            for c in np.split(flat.astype(np.int64), np.cumsum(size)[:-1]) if len(size) else []:
+                both = np.stack([(np.cumsum(c) - c)[1::2], c[1::2]], 1)
+                texts.append(" ".join(map(str, both[both[:, 1] > 0].ravel().tolist())))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "pairs"])
+
+    return df.where(F.col(counts).isNotNull()).select(key, F.col(counts).alias("_c")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, pairs string")
+
+
 def mask_of_pairs(df: DataFrame, key: str, text: str, h: str, w: str) -> DataFrame:
     """key, mask_hw, counts of texts of alternating starts and lengths over an image read row by row, transposed: the mask has w rows and h columns.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slicewright.plans import catalogue, datawork, masks, scalars, supervise
+from slicewright.plans import catalogue, datawork, files, masks, scalars, supervise
 
-MODULES = [masks, scalars, catalogue, supervise, datawork]
+MODULES = [masks, scalars, catalogue, supervise, datawork, files]
 
 
 def queries() -> dict:

@@ -11,9 +11,61 @@ from pyspark.sql import functions as F
 from slicewright.sources import schemas
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of sample rows. A row without a usable name is kept, with null; see ``duplicate_keys`` for the check of uniqueness."""
-    return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON list of sample rows, or with ``lines`` one row a line, which can be split among tasks. A row without a usable name is kept, with null; see ``duplicate_keys`` for the check of uniqueness."""
+    return spark.read.schema(schemas.MANIFEST).option("multiLine", not lines).json(path)
+
+
+#: Data sets that are volumes with several classes, whatever their metadata say.
+VOLUME_DATASETS = ("acdc", "btcv", "prostate158", "synapse")
+
+
+def read_split_meta(spark: SparkSession, folds: DataFrame) -> DataFrame:
+    """``folds`` (dataset_name, root) with teacher_target_size, is_multiclass, is_3d and split_protocol from ``meta/split_meta.json`` below each root.
+
+    Where the document is missing, is no object or lacks a field: size 1024, several classes or volumes by the name of the
+    data set, and no protocol. The documents are read together; a root that isn't there is one without a document.
+    """
+    docs = spark.createDataFrame([], "root string, m map<string,variant>")
+    named = [r[0] for r in folds.select("root").distinct().collect()]  # folds are few: they are folders
+    there = [p for p in (f"{r}/meta/split_meta.json" for r in named) if first_existing(spark, [p])]
+    if there:
+        raw = spark.read.text(there, wholetext=True).select(F.regexp_extract(F.input_file_name(), "^(.*)/meta/split_meta[.]json$", 1).alias("root"), "value")
+        docs = raw.select(_plain_path("root").alias("root"), F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").alias("m"))
+    got = folds.select("*", _plain_path("root").alias("_root")).join(docs.withColumnRenamed("root", "_root"), "_root", "left")
+    field = lambda n, kind: F.try_variant_get(F.try_element_at("m", F.lit(n)), "$", kind)
+    known = F.lower(F.trim("dataset_name")).isin(*VOLUME_DATASETS)
+    flags = F.coalesce(*(F.when(F.coalesce(field(n, "boolean"), F.lit(False)), True) for n in ("is_3d", "volume_level_split", "has_volume")), F.lit(False))
+    return got.select(
+        *folds.columns, F.coalesce(field("teacher_target_size", "int"), F.lit(1024)).alias("teacher_target_size"), F.coalesce(field("multi_class_preserved", "boolean"), known, F.lit(False)).alias("is_multiclass"),
+        (F.coalesce(known, F.lit(False)) | flags).alias("is_3d"), field("split_protocol", "string").alias("split_protocol"),
+    )
+
+
+def _plain_path(c: Column | str) -> Column:
+    """A path without its scheme, so that the ways to write one agree."""
+    return F.regexp_replace(c, "^[a-z0-9]+:/*(?=/)", "")
+
+
+def read_case_index(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "test")) -> DataFrame:
+    """split, case_id, patient_id, case_dir of the index documents of a data set; a split without an index has no cases."""
+    schema = "case_id string, patient_id string, case_dir string"
+    out = spark.createDataFrame([], f"split string, {schema}")
+    for split in splits:
+        path = first_existing(spark, [f"{root}/{split}/index.json"])
+        if path:
+            out = out.unionByName(spark.read.schema(schema).option("multiLine", True).json(path).select(F.lit(split).alias("split"), "*"))
+    return out.where("case_id is not null")
+
+
+def read_case_meta(spark: SparkSession, root: str, index: DataFrame) -> DataFrame:
+    """``index`` with ``meta``, the metadata document of each case as a map of texts; null where it is missing."""
+    docs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "case_meta.json").text(root, wholetext=True)
+    base = _plain_path(F.lit(root.rstrip("/")))
+    place = F.regexp_replace(_plain_path(F.col("_metadata.file_path")), "/case_meta[.]json$", "")
+    meta = docs.select(place.alias("_p"), base.alias("_b"), F.from_json("value", "map<string,string>").alias("meta"))
+    meta = meta.select(F.substring("_p", F.length("_b") + 2, F.length("_p")).alias("case_dir"), "meta")
+    return index.join(meta, "case_dir", "left").select(*index.columns, "meta")
 
 
 def read_keyed(spark: SparkSession, path: str, value: T.StructType, key: str = "slice_name") -> DataFrame:

@@ -17,6 +17,46 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_keyed(df: DataFrame, path: str, key: str = "slice_name", per_file: int = 10_000) -> None:
+    """JSON objects of records by key, about ``per_file`` records in each file, none twice; rows with a null key are left out.
+
+    Of rows with the same key one is written, the first by its JSON text. A single document can't grow without bound, so
+    there are as many files as the rows ask for; ``documents.read_keyed`` reads them all.
+    """
+    record = F.to_json(F.struct(*(c for c in df.columns if c != key)))
+    rows = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k")).agg(F.min(record).alias("r"))
+    files = max(1, -(-rows.count() // per_file))
+    name = F.substring(F.to_json(F.create_map(F.col("k"), F.lit(0))), 2, 1 << 30)  # the key as a JSON text, and ":0}"
+    entry = F.concat(F.regexp_replace(name, ":0[}]$", ":"), "r")
+    docs = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(files)).alias("f")).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ","), F.lit("}")).alias("value"))
+    docs.write.mode("overwrite").partitionBy("f").text(path)
+
+
+def write_prompts(df: DataFrame, root: str, split: str, alias: bool = False, remove_stale: bool = True) -> dict[str, str]:
+    """Prompts of a split under ``prompts/``; with ``alias`` also at the root, else one left there from before is removed. Returns what was done."""
+    name = f"prompts_{split}.json"
+    done = {"canonical": f"{root}/prompts/{name}"}
+    write_keyed(df, done["canonical"])
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    fs = place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if alias:
+        write_keyed(df, f"{root}/{name}")
+        done["alias"] = f"{root}/{name}"
+    elif remove_stale and fs.exists(place):
+        fs.delete(place, True)
+        done["removed"] = f"{root}/{name}"
+    return done
+
+
+def write_metadata(root: str, **tables: DataFrame) -> list[str]:
+    """The metadata bundle of a fold: each table as JSON lines below ``meta/``, in the order of their names. Returns the paths."""
+    paths = []
+    for name, df in sorted(tables.items()):
+        paths.append(f"{root}/meta/{name}.json")
+        write_json(df, paths[-1])
+    return paths
+
+
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     """Exactly ``fields``, in order; missing ones and nulls are empty, others are left out."""
     cols = [(F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string")).alias(f) for f in fields]
@@ -58,11 +98,12 @@ def quarantine(df: DataFrame, bad, reason) -> tuple[DataFrame, DataFrame]:
 
 
 def dashboard(states: DataFrame, refresh_seconds: int = 5, most: int = 1000) -> str:
-    """A self-refreshing page over the latest states, at most ``most`` rows."""
-    rows = states.limit(most).collect()
+    """A self-refreshing page over the latest states, in the order of their columns: the first ``most``, and how many there are."""
+    total = states.count()
+    rows = states.orderBy(*states.columns).limit(most).collect()
     head = "".join(f"<th>{html.escape(c)}</th>" for c in states.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    return f'<!doctype html><meta charset="utf-8"><meta http-equiv="refresh" content="{refresh_seconds}"><title>Progress</title><table><tr>{head}</tr>{body}</table>'
+    return f'<!doctype html><meta charset="utf-8"><meta http-equiv="refresh" content="{refresh_seconds}"><title>Progress</title><p>{len(rows)} of {total}</p><table><tr>{head}</tr>{body}</table>'
 
 
 @contextlib.contextmanager
