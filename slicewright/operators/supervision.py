@@ -65,7 +65,7 @@ def synonym(label: Column, words: dict[int, list[str]], seed: int, ident: Column
     """A word for a label, picked by a hash of the identifier; null for labels without words."""
     table = F.create_map(*(x for k, v in sorted(words.items()) for x in (F.lit(k), F.array(*(F.lit(w) for w in v)))))
     choice = F.try_element_at(table, label)
-    return F.get(choice, F.pmod(F.xxhash64(F.lit(seed), ident), F.size(choice)).cast("int"))
+    return F.get(choice, F.floor(unit_number(seed, ident) * F.size(choice)).cast("int"))
 
 
 def unit_number(seed: int, ident: Column) -> Column:
@@ -97,7 +97,7 @@ def jitter_box(box: Column, shift: int, w: Column, h: Column, seed: int, ident:
 
 def inner_point(pixels: DataFrame, key: list[str], seed: int) -> DataFrame:
     """key, y, x of one pixel of each object, picked by hash: a row of it, so the point is always inside."""
-    order = F.struct(F.xxhash64(F.lit(seed), *key, "y", "x").alias("h"), "y", "x")
+    order = F.struct(unit_order(seed, F.concat_ws(":", *key, "y", "x")).alias("h"), "y", "x")
     best = pixels.groupBy(*key).agg(F.min(order).alias("p"))
     return best.select(*key, F.col("p.y").alias("y"), F.col("p.x").alias("x"))
 

@@ -321,6 +321,9 @@ _FIN = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0.0::DOUBLE ELSE {0} END"
 _H = f"md5('{SEED}:' || case_id)"
 
 ORACLES = {
+    "throttled": """WITH k AS (SELECT user_id, list([ts] ORDER BY ts) AS l FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1),
+r AS (SELECT user_id, list_reduce(l, lambda a, x: CASE WHEN x[1] - a[-1] >= INTERVAL 1 HOUR THEN list_concat(a, x) ELSE a END) AS kept FROM k)
+SELECT user_id, unnest(kept) AS ts FROM r""",
     "duplicate_keys": f"WITH {_LIVE} SELECT slice_name, count(*) AS n FROM live GROUP BY 1 HAVING n > 1",
     "sample_keys": rf"SELECT split, count(DISTINCT key) AS n, count(*) FILTER (WHERE key IS NULL) AS unnamed FROM (SELECT lower(trim(split)) AS split, coalesce(nullif(trim(slice_name), ''), nullif({_BASE.format('native_gt')}, ''), nullif({_BASE.format('teacher_img')}, '')) AS key FROM manifest) GROUP BY split",
     "counters": f"WITH {_LIVE} SELECT dataset_name, count(*) AS n, count(*) FILTER (WHERE sp = 'train') AS n_train, count(*) FILTER (WHERE sp = 'test') AS n_test, count(*) FILTER (WHERE has_fg) AS n_fg, count(*) FILTER (WHERE NOT has_fg) AS n_empty FROM live GROUP BY 1",

@@ -379,7 +379,26 @@ cand AS (SELECT vec_id // 3 AS inst, (vec_id % 3)::INTEGER AS candidate_index, (
   count(*) FILTER (WHERE v > 0 AND NOT (pos % 8 BETWEEN 1 AND 5 AND pos // 8 BETWEEN 1 AND 6)) AS outside FROM px GROUP BY vec_id)
 """
 
+def _parts(name: str, fg: str) -> str:
+    """CTEs of the 8-connected components of pixels: ``name`` has vec_id, root, n and pos."""
+    return f"""{name}0 AS (SELECT vec_id, pos, pos // 8 AS y, pos % 8 AS x FROM px WHERE {fg}),
+{name}a AS (SELECT a.vec_id, a.pos AS p, b.pos AS q FROM {name}0 a JOIN {name}0 b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.pos <> b.pos),
+{name}r AS (SELECT vec_id, pos, pos AS root FROM {name}0 UNION SELECT r.vec_id, {name}a.q, r.root FROM {name}r r JOIN {name}a ON {name}a.vec_id = r.vec_id AND {name}a.p = r.pos),
+{name}g AS (SELECT vec_id, pos, min(root) AS root FROM {name}r GROUP BY vec_id, pos),
+{name} AS (SELECT vec_id, root, count(*) AS n FROM {name}g GROUP BY vec_id, root)"""
+
+
 ORACLES = {
+    "small_regions": f"""WITH RECURSIVE {_PX}, {_parts("isl", "v > 0")}, {_parts("hol", "v <= 0")},
+e AS (SELECT vec_id FROM embeddings),
+i AS (SELECT e.vec_id, coalesce(sum(n), 0) AS a, coalesce(sum(n) FILTER (WHERE n >= 4), 0) AS big, coalesce(max(n), 0) AS top, count(*) FILTER (WHERE n < 4) AS small FROM e LEFT JOIN isl USING (vec_id) GROUP BY 1),
+h AS (SELECT e.vec_id, coalesce(sum(n) FILTER (WHERE n < 4), 0) AS fill, count(*) FILTER (WHERE n < 4) AS small FROM e LEFT JOIN hol USING (vec_id) GROUP BY 1)
+SELECT vec_id, (CASE WHEN big > 0 THEN big ELSE top END)::BIGINT AS area, small > 0 AS changed, 'islands' AS mode FROM i UNION ALL SELECT vec_id, (i.a + fill)::BIGINT, h.small > 0, 'holes' FROM h JOIN i USING (vec_id)""",
+    "interpolated": f"""WITH {_PX}, m AS (SELECT label, vec_id, pos // 8 AS y, pos % 8 AS x, v > 0 AS f FROM px),
+sd AS (SELECT a.label, a.vec_id, a.y, a.x, least(coalesce(min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) FILTER (WHERE NOT b.f), 16.0), 16.0) - least(coalesce(min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) FILTER (WHERE b.f), 16.0), 16.0) AS d FROM m a JOIN m b ON b.vec_id = a.vec_id GROUP BY ALL),
+n AS (SELECT label, vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings),
+t AS (SELECT label, vec_id, nxt, vec_id * 3 AS z1, nxt * 3 AS z2, unnest(range(vec_id * 3 + 1, nxt * 3)) AS z FROM n WHERE nxt IS NOT NULL)
+SELECT t.label, z::INTEGER AS z, count(*) FILTER (WHERE (1 - (z - z1)::DOUBLE / (z2 - z1)) * a.d + (z - z1)::DOUBLE / (z2 - z1) * b.d > 0) AS area FROM t JOIN sd a ON a.vec_id = t.vec_id JOIN sd b ON b.vec_id = t.nxt AND b.y = a.y AND b.x = a.x GROUP BY ALL""",
     "overlaps": f"WITH {_PAIR} SELECT vec_id, i AS inter, a AS gt_pixels, b AS pred_pixels, CASE WHEN a + b - i = 0 THEN 'nan'::DOUBLE ELSE round(i::DOUBLE / (a + b - i) + {_N}, 6) END AS iou, CASE WHEN a + b = 0 THEN 'nan'::DOUBLE ELSE round(2 * i::DOUBLE / (a + b) + {_N}, 6) END AS dice, round((2.0::DOUBLE * i + 1) / (a + b + 1) + {_N}, 6) AS smooth FROM o",
     "soft_dice": f"""WITH {_PX}, p AS (SELECT a.vec_id, CASE WHEN a.v > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS t, 1.0 / (1.0 + exp(-greatest(-40.0::DOUBLE, least(40.0::DOUBLE, (b.v::FLOAT * 20)::DOUBLE)))) AS p FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.pos = a.pos)
 SELECT vec_id, round(1.0 - (2.0 * sum(p * t) + 1e-6::DOUBLE) / (sum(p) + sum(t) + 1e-6::DOUBLE) + {_N}, 4) AS loss FROM p GROUP BY vec_id""",

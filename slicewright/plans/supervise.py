@@ -39,6 +39,12 @@ def guards(spark, d):
     return supervision.guards(table(spark, d, "prompts_train"), live, "slice_name", ["split", "fold", "dataset_name", "case_id", "patient_id"])
 
 
+def guards_by_patient(spark, d):
+    """Patients whose prompts and samples are of different cases, folds or splits: there are some, as a patient may have several."""
+    live = table(spark, d, "manifest").where("deleted_at is null")
+    return supervision.guards(table(spark, d, "prompts_train"), live, "patient_id", ["split", "fold", "case_id"])
+
+
 def hybrid_check(spark, d):
     """Resolved labels as hybrid supervision: slices that hold class 3 as if they were full, which they aren't."""
     at = lambda df: df.select("slice", F.floor(c("pos") / 8).cast("int").alias("y"), (c("pos") % 8).alias("x"), *(n for n in ("value",) if n in df.columns))
@@ -85,7 +91,7 @@ def epoch_means(spark, d):
     return supervision.epoch_mean(e, ["user_id", "event_type"], "cents").select("user_id", "event_type", F.round(c("mean") + 1e-7, 4).alias("mean"), F.round(c("legacy_mean") + 1e-7, 4).alias("legacy_mean"))
 
 
-NAMES = (training_pairs, pair_problems, guards, hybrid_check, point_labels, share_split, jittered, inner_points, synonyms, epoch_means)
+NAMES = (training_pairs, pair_problems, guards, guards_by_patient, hybrid_check, point_labels, share_split, jittered, inner_points, synonyms, epoch_means)
 QUERIES = {f"sup_{f.__name__}": f for f in NAMES}
 
 _IN = """
@@ -115,6 +121,14 @@ ORACLES = {
     "guards": """WITH m AS (SELECT DISTINCT slice_name, lower(trim(split)) AS a, lower(trim(fold)) AS b, lower(trim(dataset_name)) AS c, lower(trim(case_id)) AS d, lower(trim(patient_id)) AS e FROM manifest WHERE deleted_at IS NULL AND slice_name IS NOT NULL),
 j AS (SELECT p.slice_name, unnest([CASE WHEN lower(trim(p.split)) <> a THEN 'split' END, CASE WHEN lower(trim(p.fold)) <> b THEN 'fold' END, CASE WHEN lower(trim(p.dataset_name)) <> c THEN 'dataset_name' END, CASE WHEN lower(trim(p.case_id)) <> d THEN 'case_id' END, CASE WHEN lower(trim(p.patient_id)) <> e THEN 'patient_id' END]) AS field FROM prompts_train p JOIN m USING (slice_name))
 SELECT field, count(DISTINCT slice_name) AS n FROM j WHERE field IS NOT NULL GROUP BY field""",
+    "guards_by_patient": """WITH m AS (SELECT DISTINCT patient_id, lower(trim(split)) AS a, lower(trim(fold)) AS b, lower(trim(case_id)) AS d FROM manifest WHERE deleted_at IS NULL AND patient_id IS NOT NULL),
+j AS (SELECT patient_id, unnest([CASE WHEN lower(trim(p.split)) <> a THEN 'split' END, CASE WHEN lower(trim(p.fold)) <> b THEN 'fold' END, CASE WHEN lower(trim(p.case_id)) <> d THEN 'case_id' END]) AS field FROM prompts_train p JOIN m USING (patient_id))
+SELECT field, count(DISTINCT patient_id) AS n FROM j WHERE field IS NOT NULL GROUP BY field""",
+    "inner_points": f"""WITH {masks._PX}, o AS (SELECT vec_id, pos // 8 AS y, pos % 8 AS x, md5('{SEED}:' || vec_id || ':' || (pos // 8) || ':' || (pos % 8)) AS h FROM px WHERE v > 0)
+SELECT vec_id, y::INTEGER AS y, x::INTEGER AS x FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY h, y, x) AS r FROM o) WHERE r = 1""",
+    "synonyms": f"""WITH i AS (SELECT DISTINCT slice_name, label_id FROM (SELECT slice_name, unnest(instances).label_id AS label_id FROM prompts_train)),
+w AS (SELECT *, CASE label_id {" ".join(f"WHEN {k} THEN {v!r}" for k, v in sorted(WORDS.items()))} END AS words FROM i)
+SELECT slice_name, label_id, words[1 + floor({_unit(SEED, "slice_name")} * len(words))::INTEGER] AS word FROM w""",
     "hybrid_check": f"""WITH {_AT} SELECT slice, problem, count(*) AS n FROM (SELECT slice, unnest(['full differs from truth', 'full with ignore']) AS problem FROM pxl WHERE slice IN (SELECT slice FROM pxl WHERE value = 3) AND value = 255) GROUP BY ALL""",
     "point_labels": f"""WITH {_AT}, s AS (SELECT DISTINCT slice FROM u), f AS (SELECT * FROM pxl WHERE value <> 255), n AS (SELECT slice, value, count(*) AS n FROM f WHERE x < 4 GROUP BY ALL), b AS (SELECT slice, value AS most FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY n DESC, value) AS r FROM n) WHERE r = 1)
 SELECT s.slice, (s.slice % 8)::INTEGER AS y, (s.slice % 7)::INTEGER AS x, coalesce(f.value, 0) AS value, most FROM s LEFT JOIN f ON f.slice = s.slice AND f.y = s.slice % 8 AND f.x = s.slice % 7 LEFT JOIN b ON b.slice = s.slice""",
