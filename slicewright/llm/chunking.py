@@ -125,7 +125,7 @@ def split_oversized(
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be below half the limit")
-    batched(docs)
+    batched(docs, vocabulary)
     names = [id_col, "piece_no", "token_start", "token_end", "n_tokens", "shared_tokens", "cut", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,22 +193,28 @@ class PairIndexEncoder:
 
 
 def encoder(path: str) -> PairIndexEncoder:
-    """The encoder of a vocabulary file, one per worker process."""
+    """The encoder of a vocabulary file, one per worker process; a file that a worker lacks is the one sent with the job."""
     cache = _cache()
     if path not in cache:
-        cache[path] = PairIndexEncoder(path)
+        cache[path] = PairIndexEncoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return cache[path]
 
 
-def batched(df: DataFrame) -> None:
-    """Small Arrow batches and importable workers for the Python stages over texts."""
+def batched(df: DataFrame, vocabulary: str) -> None:
+    """Importable workers that have the vocabulary, and small Arrow batches, for the Python stages over texts.
+
+    The batch size is a setting of the session and stays for its later queries: texts may be long, and a stage
+    that is run later reads the setting then.
+    """
     share_package(df.sparkSession)
+    if not df.sparkSession.sparkContext.master.startswith("local"):
+        df.sparkSession.sparkContext.addFile(vocabulary)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """id_col and ``ids`` (array<int>) of each row; repeated rows repeat, other columns are not read."""
-    batched(docs)
+    batched(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -226,7 +234,7 @@ def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def with_token_counts(docs: DataFrame, text_col: str = "text", name: str = "n_tokens", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``docs`` without its text and with the number of tokens of each text (0 for null and empty)."""
-    batched(docs)
+    batched(docs, vocabulary)
     rest = [c for c in docs.columns if c not in (text_col, name)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewright.llm import chunking, encode, mixing, sampling, splits, topn
+from slicewright.operators.catalog import plain
 from slicewright.session import config_value, materialize, table
 
 #: Where the vocabulary files of the public tokenizers are.
@@ -29,6 +30,15 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.keep_together(table(spark, d, "manifest").select("slice_name", "patient_id", "case_id"), shares)
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of related rows of each slice, called by its least id, and over how many splits the new assignment spreads it: one."""
+    placed = materialize(p1_splits(spark, d), "placed")
+    ident = F.coalesce(F.concat(F.lit("c:"), plain("case_id")), F.concat(F.lit("p:"), plain("patient_id")))
+    named = placed.withColumn("_id", ident).where("_id is not null and slice_name is not null")
+    groups = named.groupBy("component").agg(F.min("_id").alias("related"), F.count_distinct("new_split").alias("n_splits"))
+    return named.join(groups, "component").select("slice_name", "related", "n_splits").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     keep = int(config_value(spark, d, "selection.per_case_keep", "3"))
     return topn.hardest_images(table(spark, d, "score_box_pool"), keep).select("case_id", "round", "slice_name")
@@ -98,6 +108,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
+    "p1_groups": p1_groups,
     "p4_found": p4_found,
     "p4_hardest": p4_hardest,
     "p5_found": p5_found,
@@ -116,16 +127,21 @@ ranked AS (SELECT case_id, round, slice_name, image_min_iou, row_number() OVER (
   FROM once WHERE k = 1 AND case_id IS NOT NULL AND image_min_iou IS NOT NULL AND NOT isnan(image_min_iou))
 """
 
-ORACLES = {
-    "p1_found": """
+_P1 = """
 WITH RECURSIVE n AS (SELECT slice_name, 'p:' || lower(trim(patient_id)) AS p, 'c:' || lower(trim(case_id)) AS c, lower(trim(split)) AS s FROM manifest),
 e AS (SELECT DISTINCT p AS a, c AS b FROM n WHERE p IS NOT NULL AND c IS NOT NULL UNION SELECT DISTINCT c, p FROM n WHERE p IS NOT NULL AND c IS NOT NULL),
 v AS (SELECT DISTINCT coalesce(c, p) AS x FROM n WHERE coalesce(c, p) IS NOT NULL UNION SELECT a FROM e),
 r AS (SELECT x AS node, x AS label FROM v UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node),
 comp AS (SELECT node, min(label) AS component FROM r GROUP BY node),
-rows_in AS (SELECT n.slice_name, n.s, comp.component FROM n JOIN comp ON comp.node = coalesce(n.c, n.p)),
+rows_in AS (SELECT n.slice_name, n.s, comp.component FROM n JOIN comp ON comp.node = coalesce(n.c, n.p))"""
+
+ORACLES = {
+    "p1_found": f"""{_P1},
 bad AS (SELECT component FROM rows_in WHERE s IS NOT NULL GROUP BY component HAVING count(DISTINCT s) > 1)
 SELECT DISTINCT slice_name FROM rows_in JOIN bad USING (component) WHERE slice_name IS NOT NULL""",
+    "p1_groups": f"""{_P1}, nodes AS (SELECT DISTINCT comp.component, comp.node FROM n JOIN comp ON comp.node = coalesce(n.c, n.p) WHERE n.slice_name IS NOT NULL),
+g AS (SELECT component, min(node) AS related FROM nodes GROUP BY 1)
+SELECT DISTINCT slice_name, related, 1::BIGINT AS n_splits FROM rows_in JOIN g USING (component) WHERE slice_name IS NOT NULL""",
     "p4_found": f"WITH {_P4} SELECT case_id, round, slice_name FROM ranked WHERE rank <= 3",
     "p4_hardest": f"WITH {_P4} SELECT * FROM ranked WHERE rank <= 3",
     "p5_found": """
@@ -134,7 +150,7 @@ WITH runs AS (SELECT run_id, dataset_name, fold, coalesce(seed, (SELECT param_te
 held AS (SELECT DISTINCT run_id, dataset_name, fold, seed, round, case_id FROM (SELECT *, unnest(l) AS case_id FROM runs) WHERE case_id IS NOT NULL)
 SELECT DISTINCT r.run_id, h.case_id FROM runs r JOIN held h ON h.dataset_name IS NOT DISTINCT FROM r.dataset_name AND h.fold IS NOT DISTINCT FROM r.fold AND h.seed = r.seed AND h.round <= r.round
 WHERE NOT list_contains(r.l, h.case_id)""",
-    "p8_rules": """SELECT source, source IN (SELECT source FROM documents WHERE text <> '') AS has_documents, true AS copies_within_cap, true AS share_within_a_document, true AS total_within_budget, unnest([true, false]) AS budget
+    "p8_rules": """SELECT source, source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS has_documents, true AS copies_within_cap, true AS share_within_a_document, true AS total_within_budget, unnest([true, false]) AS budget
 FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 GROUP BY source""",
     "p5_sample": f"""
 WITH ev AS (SELECT dataset_name, case_id, strftime(ingested_at, '%Y-%m') AS month, 1 AS d FROM manifest WHERE case_id IS NOT NULL AND ingested_at IS NOT NULL
