@@ -1,16 +1,23 @@
 """From competing evidence to one label per pixel.
 
-Evidence is long: slice, label, pos, probability, support. All steps are DataFrame aggregations by pixel, with
-map-side combine; what is gathered per pixel is at most one entry a class.
+``resolve_slices`` takes dense evidence, a row an instance, and works through the few instances of a slice at once: pixels
+never become rows. The long forms (slice, label, pos, probability, support) are for evidence that comes by pixel;
+they are DataFrame aggregations with map-side combine, and gather at most one entry a class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewright.functions import mask as M
 from slicewright.functions import number
+from slicewright.session import share_package
 
 IGNORE = 255
 TIE = 1e-6
@@ -40,6 +47,47 @@ def resolve(union: DataFrame, evidence: DataFrame, tie: float = TIE) -> DataFram
     return df.select("slice", "pos", n.alias("n_support"), gap.alias("gap"), value.cast("int").alias("value"))
 
 
+def resolve_slices(evidence: DataFrame, union: DataFrame, tie: float = TIE) -> DataFrame:
+    """slice, n_support, value: arrays over the pixels of a slice, by the rules of ``resolve`` and ``same_class_evidence``.
+
+    ``evidence``: slice, label, probability (array<double>), support (array<boolean>), a row an instance; ``union``: slice,
+    inside (array<boolean>, the pixels in any prompt). Values are 0 outside of the union. A label other than 1 to 254 is
+    an error. Rows with a null slice or array are left out. What is gathered are the instances of one slice.
+    """
+    share_package(evidence.sparkSession)
+    good = evidence.where(F.col("probability").isNotNull() & F.col("support").isNotNull() & F.col("label").isNotNull())
+    held = good.groupBy("slice").agg(F.collect_list(F.struct(F.col("label").cast("int").alias("label"), F.col("probability").cast("array<double>").alias("p"), F.col("support").alias("s"))).alias("e"))
+    rows = union.where(F.col("inside").isNotNull()).select("slice", "inside").join(held, "slice", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a slice at a time: dense evidence is large
+                inside = b.column(1).slice(i, 1).flatten().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+                one = b.column(2).slice(i, 1).flatten()
+                labels = one.field("label").to_numpy(zero_copy_only=False)
+                if ((labels <= 0) | (labels >= IGNORE)).any():
+                    raise ValueError(f"labels are 1 to {IGNORE - 1}")
+                classes = np.unique(labels)
+                best = np.full((len(classes), len(inside)), -1.0)
+                if len(labels):
+                    wide = lambda f, null: one.field(f).flatten().fill_null(null).to_numpy(zero_copy_only=False).reshape(len(labels), -1)
+                    p, s = np.nan_to_num(wide("p", 0.0), nan=0.0, posinf=1.0, neginf=0.0).clip(0.0, 1.0), wide("s", False).astype(bool)
+                    np.maximum.at(best, np.searchsorted(classes, labels), np.where(s, p, -1.0))
+                n = (best >= 0).sum(0)
+                value = np.full(len(inside), IGNORE)
+                if len(classes):
+                    top = best.argmax(0)  # of equals the least label; they are tied below
+                    first = best.max(0)
+                    second = np.partition(best, -2, axis=0)[-2] if len(classes) > 1 else np.full(len(inside), -1.0)
+                    sure = (n == 1) | ((n >= 2) & (first - second > tie))
+                    value = np.where(sure, classes[top], IGNORE)
+                value, n = np.where(inside, value, 0), np.where(inside, n, 0)
+                whole = lambda v, kind: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), whole(n, pa.int32()), whole(value, pa.int16())], names=["slice", "n_support", "value"])
+
+    return rows.mapInArrow(run, f"slice {union.schema['slice'].dataType.simpleString()}, n_support array<int>, value array<smallint>")
+
+
 def resolver_statistics(resolved: DataFrame) -> DataFrame:
     """Per slice: pixels of the union, without support, with one class, contested, tied, confirmed, ignored."""
     n, v = F.col("n_support"), F.col("value")

@@ -252,6 +252,35 @@ def resolved(spark, d):
     return _resolved(spark, d).select("slice", "pos", "n_support", "value")
 
 
+def resolved_slices(spark, d):
+    """The same from dense evidence, slice by slice; only the result is told by pixel."""
+    e = _emb(spark, d).select(F.floor(c("vec_id") / 4).alias("slice"), (F.least(c("vec_id") % 4, F.lit(2)) + 1).cast("int").alias("label"), "embedding")
+    e = e.select("slice", "label", F.transform("embedding", lambda v: F.round(number.sigmoid(F.round(v * 20)), 6)).alias("probability"), F.transform("embedding", lambda v: v > 0).alias("support"), F.transform("embedding", lambda v: v > -0.1).alias("near"))
+    union = e.groupBy("slice").agg(F.collect_list("near").alias("n"))  # four rasters a slice
+    union = union.select("slice", F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.exists("n", lambda m: F.get(m, i))).alias("inside"))
+    out = resolve.resolve_slices(e, union)
+    px = out.select("slice", F.posexplode(F.arrays_zip("n_support", "value")).alias("pos", "r")).join(union.select("slice", F.posexplode("inside").alias("pos", "inside")).where("inside"), ["slice", "pos"])
+    return px.select("slice", "pos", c("r.n_support").alias("n_support"), c("r.value").cast("int").alias("value"))
+
+
+def contradictions(spark, d):
+    """Per slice the confirmed pixels, and those whose class has no support there: none."""
+    e = resolve.same_class_evidence(_evidence(spark, d))
+    r = _resolved(spark, d)
+    bad = resolve.contradictions(r, e).groupBy("slice").agg(F.count(F.lit(1)).alias("contradictions"))
+    return r.groupBy("slice").agg(F.count_if(c("value") != 255).alias("confirmed")).join(bad, "slice", "left").na.fill(0, ["contradictions"])
+
+
+def automatic(spark, d):
+    """Masks of a grid of prompts from end to end: candidates that are sure and stable, their boxes, suppression within an image, and a record of each."""
+    e = _emb(spark, d).select("vec_id", c("label").alias("image"), c("embedding").alias("logits"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: F.greatest(s, v.cast("double"))), 4).alias("model_score"))
+    good = detection.quality_filter(e, 0.2, 0.3)
+    boxed = good.withColumn("box", F.transform(M.dense_bbox(c("logits"), SIDE), lambda v: v.cast("double"))).where("box is not null").select("image", "vec_id", "logits", "box", c("model_score").alias("score"))
+    kept = detection.non_maximum_suppression(boxed, "image", "vec_id", 0.7)
+    runs = raster.to_rle(kept, "vec_id", "logits", SIDE, SIDE)
+    return kept.join(runs, "vec_id").select("image", "vec_id", F.array_join("counts", ",").alias("counts"), M.rle_area(c("counts")).alias("area"), F.array_join(F.transform("box", lambda v: v.cast("int")), ",").alias("box"), "score")
+
+
 def resolver_stats(spark, d):
     return resolve.resolver_statistics(_resolved(spark, d))
 
@@ -333,7 +362,7 @@ def nms(spark, d):
 NAMES = (
     overlaps, soft_dice, dense_boxes, stability, quality, rle_encode, rle_roundtrip, rle_measures, rotated, resized, resized_rle, box_pixels, box_cover, percentile_clip, audit, intensity, minmax, tile_grid, crop_grid,
     point_grids, batch_numbers, neighbour_codes, components, component_summary, component_top8, component_largest, component_area_filter, component_tiny, component_artefacts, raster_components,
-    small_regions, same_class, resolved, resolver_stats, rebuilt, best_of_three, proposals, reweighted, overwritten, surface_distance, volume_distance, interpolated, nms,
+    small_regions, same_class, resolved, resolved_slices, contradictions, automatic, resolver_stats, rebuilt, best_of_three, proposals, reweighted, overwritten, surface_distance, volume_distance, interpolated, nms,
 )
 QUERIES = {"hard_case_ranking": hard_case_ranking} | {f"mask_{f.__name__}": f for f in NAMES}
 
@@ -388,7 +417,28 @@ def _parts(name: str, fg: str) -> str:
 {name} AS (SELECT vec_id, root, count(*) AS n FROM {name}g GROUP BY vec_id, root)"""
 
 
+_IOU = "CASE WHEN least(k[3], x[1][3]) > greatest(k[1], x[1][1]) AND least(k[4], x[1][4]) > greatest(k[2], x[1][2]) THEN (least(k[3], x[1][3]) - greatest(k[1], x[1][1])) * (least(k[4], x[1][4]) - greatest(k[2], x[1][2])) ELSE 0.0::DOUBLE END"
+
+
+def _greedy(boxes: str, threshold: float) -> str:
+    """CTEs of greedy suppression: ``boxes`` has image, key (a number), box (list of four doubles), score; ``kept`` has image and key."""
+    area = lambda b: f"(({b}[3] - {b}[1]) * ({b}[4] - {b}[2]))"
+    over = f"coalesce({_IOU} / nullif({area('k')} + {area('x[1]')} - {_IOU}, 0), 0.0) > {threshold}::DOUBLE"
+    return f"""lists AS (SELECT image, list([list_append(box, key::DOUBLE)] ORDER BY score DESC, key) AS l FROM {boxes} GROUP BY image),
+nms AS (SELECT image, list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda k: {over})) = 0 THEN list_concat(a, x) ELSE a END) AS k FROM lists),
+kept AS (SELECT image, unnest(k)[5]::BIGINT AS key FROM nms)"""
+
+
 ORACLES = {
+    "resolved_slices": f"WITH {_EV} SELECT slice, pos::INTEGER AS pos, n_support, value FROM res",
+    "contradictions": f"WITH {_EV} SELECT slice, count(*) FILTER (WHERE value <> 255) AS confirmed, 0::BIGINT AS contradictions FROM res GROUP BY slice",
+    "automatic": f"""WITH {_PX}, s AS (SELECT vec_id, any_value(label) AS image, round(greatest(0.0::DOUBLE, max(v)), 4) AS score, count(*) FILTER (WHERE v > 0.1::DOUBLE)::DOUBLE / nullif(count(*) FILTER (WHERE v > -0.1::DOUBLE), 0) AS st,
+  [min(pos % 8) FILTER (WHERE v > 0), min(pos // 8) FILTER (WHERE v > 0), max(pos % 8) FILTER (WHERE v > 0), max(pos // 8) FILTER (WHERE v > 0)]::DOUBLE[] AS box, count(*) FILTER (WHERE v > 0) AS area FROM px GROUP BY vec_id),
+b AS (SELECT image, vec_id AS key, box, score, area FROM s WHERE score > 0.2::DOUBLE AND st >= 0.3::DOUBLE AND area > 0), {_greedy("b", 0.7)},
+f AS (SELECT vec_id, (pos % 8) * 8 + pos // 8 AS k, (v > 0)::INTEGER AS b FROM px UNION ALL SELECT vec_id, -1, 0 FROM embeddings),
+ch AS (SELECT *, b <> lag(b, 1, 0) OVER (PARTITION BY vec_id ORDER BY k) AS flip FROM f), isl AS (SELECT *, sum(flip::INTEGER) OVER (PARTITION BY vec_id ORDER BY k) AS g FROM ch),
+runs AS (SELECT vec_id, string_agg(n::VARCHAR, ',' ORDER BY g) AS counts FROM (SELECT vec_id, g, count(*) FILTER (WHERE k >= 0) AS n FROM isl GROUP BY vec_id, g) GROUP BY vec_id)
+SELECT b.image, b.key AS vec_id, counts, area, array_to_string(list_transform(box, lambda z: z::INTEGER), ',') AS box, score FROM b JOIN kept ON kept.image = b.image AND kept.key = b.key JOIN runs ON runs.vec_id = b.key""",
     "small_regions": f"""WITH RECURSIVE {_PX}, {_parts("isl", "v > 0")}, {_parts("hol", "v <= 0")},
 e AS (SELECT vec_id FROM embeddings),
 i AS (SELECT e.vec_id, coalesce(sum(n), 0) AS a, coalesce(sum(n) FILTER (WHERE n >= 4), 0) AS big, coalesce(max(n), 0) AS top, count(*) FILTER (WHERE n < 4) AS small FROM e LEFT JOIN isl USING (vec_id) GROUP BY 1),

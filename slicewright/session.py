@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 _CLAIMED: set[str] = set()
+_SENT: set[str] = set()
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -104,13 +105,38 @@ def discard(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers import this package even when the driver found it by ``sys.path`` alone."""
-    env = spark.sparkContext.environment
+    """Let Python workers import this package: on one machine from where the driver found it, on a cluster from a zip sent with the jobs."""
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return _send_package(spark)
+    env = sc.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if REPO_ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, have) if x)
 
 
+def _send_package(spark: SparkSession) -> None:
+    """Write the package as a zip to the shared folder, once an application, and add it to the path of the workers."""
+    if spark.sparkContext.applicationId in _SENT:
+        return
+    import io
+    import zipfile
+
+    package, raw = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), REPO_ROOT))
+    path = new_table_path(spark, "package") + ".zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(raw.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path)
+    _SENT.add(spark.sparkContext.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

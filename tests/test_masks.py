@@ -258,3 +258,25 @@ def test_overlap_measures(spark, m, rng):
         assert np.isnan(r.j) and np.isnan(r.d) and not m.any() and not any(other)
     else:
         assert r.i == r.j and 0 <= r.i <= 1 and r.d == pytest.approx(2 * r.i / (1 + r.i))
+
+
+def test_slices_are_resolved_like_pixels(spark):
+    rng = random.Random(5)
+    ev, long, un = [], [], []
+    for s in range(6):
+        for label in (1, 2, 2, 7):
+            p = [rng.choice([0.2, 0.5, 0.5 + 5e-7, 0.5 + 3e-6, float("nan"), 1.5]) for _ in range(20)]
+            on = [rng.random() < 0.6 for _ in range(20)]
+            ev.append((s, label, p, on))
+            long += [(s, label, k, p[k], on[k]) for k in range(20)]
+        un.append((s, [rng.random() < 0.8 for _ in range(20)]))
+    un.append((9, [True, False]))  # without evidence
+    u = spark.createDataFrame([(s, k) for s, m in un for k, x in enumerate(m) if x], "slice int, pos int")
+    want = {(r.slice, r.pos): (r.n_support, r.value) for r in resolve.resolve(u, resolve.same_class_evidence(spark.createDataFrame(long, "slice int, label int, pos int, probability double, support boolean"))).collect()}
+    e = spark.createDataFrame(ev, "slice int, label int, probability array<double>, support array<boolean>")
+    union = spark.createDataFrame(un, "slice int, inside array<boolean>")
+    out = {r.slice: r for r in resolve.resolve_slices(e, union).collect()}
+    assert {(s, k): (out[s].n_support[k], out[s].value[k]) for s, m in un for k, x in enumerate(m) if x} == want
+    assert all(out[s].value[k] == 0 for s, m in un for k, x in enumerate(m) if not x)
+    with pytest.raises(Exception, match="labels are 1 to 254"):
+        resolve.resolve_slices(e.withColumn("label", F.lit(255)), union).collect()
