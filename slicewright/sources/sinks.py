@@ -13,8 +13,17 @@ from pyspark.sql import functions as F
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON document a line; the committer makes it all or nothing."""
-    df.write.mode("overwrite").json(path)
+    """One JSON document a line. What was there stays until all of the new is written; then the folders are exchanged.
+
+    A reader that comes between the two moves finds nothing; who needs more writes a table of ``versions``.
+    """
+    spark, fresh = df.sparkSession, f"{path}.new"
+    df.write.mode("overwrite").json(fresh)
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(place(path), True)
+    if not fs.rename(place(fresh), place(path)):
+        raise OSError(f"{fresh} can't be moved to {path}")
 
 
 def write_keyed(df: DataFrame, path: str, key: str = "slice_name", per_file: int = 10_000) -> None:
@@ -69,9 +78,14 @@ def union_sorted(frames: list[DataFrame]) -> DataFrame:
     return whole.select(*sorted(whole.columns))
 
 
-def write_samples(df: DataFrame, path: str, by: tuple[str, ...] = ("dataset_name", "fold", "split")) -> None:
-    """Samples as Parquet, partitioned for pruning; rows are brought together first, so a partition has few files."""
-    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_samples(df: DataFrame, path: str, by: tuple[str, ...] = ("dataset_name", "fold", "split"), rows_a_file: int = 1_000_000) -> None:
+    """Samples as Parquet, partitioned for pruning: a partition has a file for about each ``rows_a_file`` rows, each written by a task of its own."""
+    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_a_file).cast("int").alias("_files"))
+    same = reduce(lambda a, b: a & b, (F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by))
+    # by content, so a task that runs again deals its rows the same way; maps can't be hashed
+    told = [F.col(f"d.{c}") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    cut = df.alias("d").join(sizes.alias("s"), same).select("d.*", F.pmod(F.xxhash64(*told), F.col("_files")).alias("_file"))
+    cut.repartition(*by, "_file").drop("_file").write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -112,3 +112,21 @@ def test_points_are_inside(spark):
     df = spark.createDataFrame([("a", y, x) for y, x in ((0, 0), (5, 5), (9, 1))] + [("b", 2, 2)], "k string, y int, x int")
     got = inner_point(df, ["k"], 1)
     assert got.join(df, ["k", "y", "x"]).count() == 2 == got.count()
+
+
+def test_names_by_list_or_all():
+    assert catalog.known_names(" ALL ", ["b", "a"]) == ["a", "b"] and catalog.known_names("b, a,", ["b", "a"]) == ["b", "a"]
+    with pytest.raises(ValueError, match="unknown: x"):
+        catalog.known_names("a,x", ["a"])
+
+
+def test_tree_hash_has_the_same_shape_everywhere(spark):
+    df = spark.createDataFrame([(f"d{i % 7}/f{i}", str(i).encode()) for i in range(60)], "path string, content binary")
+    catalog.FAN_OUT, fan = 4, catalog.FAN_OUT
+    try:
+        one = catalog.tree_hash(df).first()[0]
+        assert one == catalog.tree_hash(df.repartition(5)).first()[0]
+        assert one != catalog.tree_hash(df.where("path <> 'd3/f3'")).first()[0]
+    finally:
+        catalog.FAN_OUT = fan
+    assert catalog.tree_hash(df.limit(0)).first()[0] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"

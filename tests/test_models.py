@@ -68,3 +68,20 @@ def test_series_and_pairs(spark):
     v = spark.createDataFrame([("k", [1, 2], [1.0, 2.0], [0]), ("l", [1, 1], [3.0], [0])], "k string, shape array<int>, image array<float>, label array<int>")
     lab = spark.createDataFrame([("k", [1, 2], [0.0, 1.0]), ("l", [2, 1], [0.0, 1.0])], "k string, shape array<int>, image array<float>")
     assert [(r.k, r.label) for r in volumes.volume_pairs(v, lab, "k").collect()] == [("k", [0.0, 1.0])]
+
+
+def test_a_failed_row_stops_nothing(spark):
+    from slicewright.operators.driver import run_fold
+
+    df = spark.createDataFrame([(i, None if i == 3 else 6 // max(i, 1) if i else 0) for i in range(5)], "i int, v int")
+
+    def work(row):
+        if row["i"] == 4:
+            raise KeyError("no image")
+        return {"w": int(row["v"]) + 1}
+
+    good, bad, counts = run_fold(df, ["i"], work, "w int, note string")
+    assert {(r.i, r.w, r.note) for r in good.collect()} == {(0, 1, None), (1, 7, None), (2, 4, None)}
+    assert {r.i for r in bad.collect()} == {3, 4} and any("KeyError" in r.reason for r in bad.collect())
+    assert tuple(counts.first()) == (5, 3, 2)
+    assert tuple(run_fold(df.limit(0), ["i"], work, "w int")[2].first()) == (0, 0, 0)
