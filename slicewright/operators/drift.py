@@ -59,8 +59,8 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     return raw.withColumn("fields", F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>"))
 
 
-def _least(h: Column, buckets: int) -> Column:
-    return F.array(*(F.min(F.when(F.pmod(h, F.lit(buckets)) == b, h)) for b in range(buckets)))
+def _least(h: str, bucket: str, buckets: int) -> Column:
+    return F.array(*(F.min(F.when(F.col(bucket) == b, F.col(h))) for b in range(buckets)))
 
 
 def shape_of(value: Column) -> Column:
@@ -74,14 +74,17 @@ def profile_fields(raw: DataFrame) -> DataFrame:
     A sketch keeps the least hash in each of a fixed number of buckets, so a group of any size is folded before
     the shuffle.
     """
-    rows = parse_lines(raw).select("file_id", F.explode("fields").alias("field_name", "v"))
-    rows = rows.select("file_id", "field_name", kind_of(F.schema_of_variant("v")).alias("kind"), F.to_json("v").alias("value"))
+    # an inner explode would be given a filter on its map, which parses each line twice more
+    rows = parse_lines(raw).select("file_id", F.explode_outer("fields").alias("field_name", "v")).where("field_name is not null")
+    rows = rows.select("file_id", "field_name", F.schema_of_variant("v").alias("t"), F.to_json("v").alias("value"))
+    rows = rows.select("file_id", "field_name", kind_of(F.col("t")).alias("kind"), "value")
     bit = F.coalesce(*(F.when(F.col("kind") == k, 1 << i) for i, k in enumerate(KINDS)), F.lit(0))
     there = F.col("kind").isNotNull()
     rows = rows.select("file_id", "field_name", bit.alias("bit"), there.alias("there"), F.when(there, F.xxhash64("value")).alias("h"), F.when(there, F.xxhash64(shape_of(F.col("value")))).alias("s"))
+    rows = rows.select("*", F.pmod("h", F.lit(VALUE_BUCKETS)).cast("int").alias("hb"), F.pmod("s", F.lit(SHAPE_BUCKETS)).cast("int").alias("sb"))
     # all of the buffers are numbers, so the rows are hashed, not sorted
     folded = rows.groupBy("file_id", "field_name").agg(
-        F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("n_lines"), F.count_if("there").alias("n_values"), _least(F.col("h"), VALUE_BUCKETS).alias("sketch"), _least(F.col("s"), SHAPE_BUCKETS).alias("shapes")
+        F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("n_lines"), F.count_if("there").alias("n_values"), _least("h", "hb", VALUE_BUCKETS).alias("sketch"), _least("s", "sb", SHAPE_BUCKETS).alias("shapes")
     )
     kinds = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(1 << i) != 0, k) for i, k in enumerate(KINDS))))
     return folded.select("file_id", "field_name", kinds.alias("kinds"), "n_lines", "n_values", "sketch", "shapes")
