@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from slicewright.functions import mask as M
 from slicewright.functions import number
 from slicewright.operators import components as C
-from slicewright.operators import detection, metrics, morphology, raster, resolve, scoring
+from slicewright.operators import detection, metrics, morphology, raster, resolve, scoring, surfaces
+from slicewright.operators import volumes as C3
 from slicewright.session import table
 
 c = F.col
@@ -359,10 +360,56 @@ def nms(spark, d):
     return detection.non_maximum_suppression(boxes, "image", "key", 0.5).select("image", "key", "score")
 
 
+def _slice_masks(spark, d) -> DataFrame:
+    """slice_name, mask_hw, counts: of the files of a slice the first by id."""
+    g = table(spark, d, "gts").where("slice_name is not null and mask_hw is not null and counts is not null")
+    return g.groupBy("slice_name").agg(F.min_by(F.struct("mask_hw", "counts"), "file_id").alias("m")).select("slice_name", "m.*")
+
+
+def _series(spark, d) -> DataFrame:
+    """case_id, z, slice_name, mask_hw, counts of the slices of volumes; of slices at one place the first by name."""
+    m = table(spark, d, "manifest").where("slice_name is not null and case_id is not null and slice_idx is not null and deleted_at is null")
+    placed = m.groupBy("case_id", c("slice_idx").alias("z")).agg(F.min("slice_name").alias("slice_name"))
+    return placed.join(_slice_masks(spark, d), "slice_name")
+
+
+def volume_components(spark, d):
+    """Components of cases in three dimensions of at least a thousand voxels."""
+    return C3.volume_components(_series(spark, d), "case_id", "z", min_voxels=1000, min_pixels=100)[0]
+
+
+def _boxes(spark, d) -> DataFrame:
+    i = table(spark, d, "prompts_train").where("slice_name is not null").select("slice_name", F.explode("instances.bbox_native").alias("box"))
+    return i.where("box is not null and size(box) = 4").distinct()
+
+
+def propagated(spark, d):
+    """The largest box of each prompted slice of a case carried to the slices between: where each box came from, and the area in it."""
+    size = (c("box")[2] - c("box")[0]) * (c("box")[3] - c("box")[1])
+    best = _boxes(spark, d).groupBy("slice_name").agg(F.max_by("box", F.struct(size, "box")).alias("box"))
+    out = C3.propagate(_series(spark, d).join(best, "slice_name", "left"), "case_id", "z", "box")
+    return out.select("case_id", "z", "used", M.rle_area(c("counts")).alias("area"))
+
+
+def refined(spark, d):
+    """The mask of each prompted slice refined by each of its boxes: its area."""
+    keyed = _boxes(spark, d).join(_slice_masks(spark, d), "slice_name").withColumn("key", F.concat_ws("#", "slice_name", F.array_join(F.transform("box", lambda v: v.cast("string")), ",")))
+    return morphology.refined_runs(keyed, "key", "box").select("key", M.rle_area(c("counts")).alias("area"))
+
+
+SPACING = (2.0, 1.0, 1.5)
+
+
+def surface_area(spark, d):
+    """The surface of volumes of eight rasters, by the codes of their cells."""
+    codes = neighbour_codes(spark, d).where("code <> 255")
+    return codes.groupBy("vol").agg(F.round(F.sum(c("n") * surfaces.area_of(c("code"), SPACING)), 6).alias("area"))
+
+
 NAMES = (
     overlaps, soft_dice, dense_boxes, stability, quality, rle_encode, rle_roundtrip, rle_measures, rotated, resized, resized_rle, box_pixels, box_cover, percentile_clip, audit, intensity, minmax, tile_grid, crop_grid,
     point_grids, batch_numbers, neighbour_codes, components, component_summary, component_top8, component_largest, component_area_filter, component_tiny, component_artefacts, raster_components,
-    small_regions, same_class, resolved, resolved_slices, contradictions, automatic, resolver_stats, rebuilt, best_of_three, proposals, reweighted, overwritten, surface_distance, volume_distance, interpolated, nms,
+    small_regions, same_class, resolved, resolved_slices, contradictions, automatic, resolver_stats, rebuilt, best_of_three, proposals, reweighted, overwritten, surface_distance, volume_distance, interpolated, nms, volume_components, propagated, refined, surface_area,
 )
 QUERIES = {"hard_case_ranking": hard_case_ranking} | {f"mask_{f.__name__}": f for f in NAMES}
 
@@ -430,6 +477,9 @@ kept AS (SELECT image, unnest(k)[5]::BIGINT AS key FROM nms)"""
 
 
 ORACLES = {
+    "surface_area": f"""WITH {_PX}, vox AS (SELECT vec_id // 8 AS vol, vec_id % 8 AS z, pos // 8 AS y, pos % 8 AS x FROM px WHERE v > 0),
+k AS (SELECT unnest(range(8)) AS b), cells AS (SELECT vol, z - (b // 4) AS z, y - (b // 2 % 2) AS y, x - (b % 2) AS x, sum(128 >> b)::INTEGER AS code FROM vox, k GROUP BY ALL), n AS (SELECT vol, code, count(*) AS n FROM cells WHERE code <> 255 GROUP BY ALL)
+SELECT vol, round(sum(n * ({[float(a) for a in surfaces.cell_areas(SPACING)]}::DOUBLE[])[code + 1]), 6) AS area FROM n GROUP BY vol""",
     "resolved_slices": f"WITH {_EV} SELECT slice, pos::INTEGER AS pos, n_support, value FROM res",
     "contradictions": f"WITH {_EV} SELECT slice, count(*) FILTER (WHERE value <> 255) AS confirmed, 0::BIGINT AS contradictions FROM res GROUP BY slice",
     "automatic": f"""WITH {_PX}, s AS (SELECT vec_id, any_value(label) AS image, round(greatest(0.0::DOUBLE, max(v)), 4) AS score, count(*) FILTER (WHERE v > 0.1::DOUBLE)::DOUBLE / nullif(count(*) FILTER (WHERE v > -0.1::DOUBLE), 0) AS st,
