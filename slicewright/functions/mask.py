@@ -11,11 +11,6 @@ def rle_area(counts: Column) -> Column:
     return F.aggregate(F.filter(counts, lambda v, i: i % 2 == 1), F.lit(0).cast("bigint"), lambda s, v: s + F.coalesce(v, F.lit(0)))
 
 
-def rle_ends(counts: Column) -> Column:
-    """Offsets after each run."""
-    return F.transform(counts, lambda v, i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda s, x: s + x))
-
-
 def threshold(values: Column, at: float = 0.0) -> Column:
     """A dense mask of 0 and 1: where the value is above ``at``."""
     return F.transform(values, lambda v: F.when(v > at, 1).otherwise(0))
@@ -122,16 +117,3 @@ def box_mask(box: Column, h: int, w: int, half_open: bool = False) -> Column:
         return (x >= x1) & (x <= x2 - far) & (y >= y1) & (y <= y2 - far)
 
     return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.when(inside(i), 1).otherwise(0))
-
-
-def long_pixels_of_rle(df, counts: str, h: Column, keep: list[str]):
-    """One row per run of foreground: keep, start, length (column-major offsets); linear in the runs of a mask.
-
-    ``df`` rows are exploded to runs and offsets come from a window per mask, named by ``keep``.
-    """
-    from pyspark.sql import Window
-
-    runs = df.select(*keep, h.alias("_h"), F.posexplode(counts).alias("i", "length"))
-    order = Window.partitionBy(*keep).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = runs.withColumn("end", F.sum("length").over(order))
-    return ends.where((F.col("i") % 2 == 1) & (F.col("length") > 0)).select(*keep, "_h", (F.col("end") - F.col("length")).alias("start"), "length")
