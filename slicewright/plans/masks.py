@@ -355,7 +355,7 @@ def interpolated(spark, d):
 
 def nms(spark, d):
     """Greedy suppression of the boxes of components on each mask size, as if of one image."""
-    comp = _comps(spark, d).withColumn("key", F.concat_ws(":", "file_id", "component")).withColumn("image", F.concat_ws("x", "mask_h", "mask_w"))
+    comp = _comps(spark, d).withColumn("key", c("file_id") * 1_000_000 + c("component")).withColumn("image", F.concat_ws("x", "mask_h", "mask_w"))
     boxes = comp.select("image", "key", F.array(*(c(x).cast("double") for x in ("x1", "y1", "x2", "y2"))).alias("box"), c("area").cast("double").alias("score"))
     return detection.non_maximum_suppression(boxes, "image", "key", 0.5).select("image", "key", "score")
 
@@ -477,6 +477,8 @@ kept AS (SELECT image, unnest(k)[5]::BIGINT AS key FROM nms)"""
 
 
 ORACLES = {
+    "nms": f"""WITH RECURSIVE {_COMPS}, b AS (SELECT h || 'x' || w AS image, file_id * 1000000 + component AS key, [x1, y1, x2, y2]::DOUBLE[] AS box, area::DOUBLE AS score FROM comp), {_greedy("b", 0.5)}
+SELECT b.image, b.key, b.score FROM b JOIN kept ON kept.image = b.image AND kept.key = b.key""",
     "surface_area": f"""WITH {_PX}, vox AS (SELECT vec_id // 8 AS vol, vec_id % 8 AS z, pos // 8 AS y, pos % 8 AS x FROM px WHERE v > 0),
 k AS (SELECT unnest(range(8)) AS b), cells AS (SELECT vol, z - (b // 4) AS z, y - (b // 2 % 2) AS y, x - (b % 2) AS x, sum(128 >> b)::INTEGER AS code FROM vox, k GROUP BY ALL), n AS (SELECT vol, code, count(*) AS n FROM cells WHERE code <> 255 GROUP BY ALL)
 SELECT vol, round(sum(n * ({[float(a) for a in surfaces.cell_areas(SPACING)]}::DOUBLE[])[code + 1]), 6) AS area FROM n GROUP BY vol""",
