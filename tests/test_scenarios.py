@@ -22,7 +22,7 @@ def test_toy_fold(spark):
     g = box.canvas_geometry(side, side, F.lit(32), F.lit(32))
     transform = F.struct(g["scale"].alias("scale_x"), g["scale"].alias("scale_y"), g["offset_x"].alias("offset_x"), g["offset_y"].alias("offset_y"), g["target_h"].alias("target_h"), g["target_w"].alias("target_w"))
     native = F.array(*(F.col(x).cast("double") for x in ("x1", "y1", "x2", "y2")))
-    boxes = comp.select("slice_name", "component", native.alias("native")).withColumn("teacher", box.native_to_teacher(F.col("native"), transform))
+    boxes = comp.select("slice_name", "component", native.alias("native")).withColumn("t", transform).withColumn("teacher", box.native_to_teacher(F.col("native"), F.col("t")))
     rows = boxes.collect()
     assert len(rows) == 8 and all(r.native == [4.0, 3.0, 11.0, 9.0] and r.teacher == [8.0, 6.0, 22.0, 18.0] for r in rows)
     quota = spark.range(1).select(number.quota_2d(F.lit(8))).first()[0]
