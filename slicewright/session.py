@@ -105,10 +105,10 @@ def discard(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers import this package: on one machine from where the driver found it, on a cluster from a zip sent with the jobs."""
+    """Let Python workers import this package: from where the driver found it, and on a cluster also from a zip sent with the jobs."""
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
-        return _send_package(spark)
+        _send_package(spark)
     env = sc.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if REPO_ROOT not in have.split(os.pathsep):
