@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicewright.operators.components import join_segments
+from slicewright.operators.components import join_segments, segments
 from slicewright.session import share_package
 
 
@@ -47,16 +47,30 @@ def erode(m: np.ndarray, size: int) -> np.ndarray:
     return _swept(m.reshape(-1, *m.shape[-2:]), size, False).reshape(m.shape)
 
 
+def _runs(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of the runs down the columns of a stack of masks, and the place behind each; a column has one place more than rows."""
+    n, h, w = stack.shape
+    edge = np.zeros((n, w, h + 1), np.int8)
+    edge[..., :h] = stack.transpose(0, 2, 1)
+    edge[..., 1:] -= edge[..., :h].copy()
+    flat = edge.ravel()
+    return np.flatnonzero(flat == 1), np.flatnonzero(flat == -1)
+
+
+def _painted(first: np.ndarray, after: np.ndarray, n: int, h: int, w: int) -> np.ndarray:
+    """The stack of masks of such runs."""
+    steps = np.zeros(n * w * (h + 1), np.int8)
+    steps[first] = 1
+    steps[after] -= 1
+    return np.cumsum(steps.reshape(n, w, h + 1), axis=-1, dtype=np.int8)[..., :h].astype(bool).transpose(0, 2, 1)
+
+
 class Regions:
     """The components of a stack of masks: runs down the columns, the component of each, and per component its area and mask."""
 
     def __init__(self, stack: np.ndarray, connectivity: int):
         self.shape = n, h, w = stack.shape
-        edge = np.zeros((n, w, h + 1), np.int8)
-        edge[..., :h] = stack.transpose(0, 2, 1)
-        edge[..., 1:] -= edge[..., :h].copy()
-        flat = edge.ravel()
-        self.first, after = np.flatnonzero(flat == 1), np.flatnonzero(flat == -1)
+        self.first, after = _runs(stack)
         self.length = after - self.first
         line, self.top = np.divmod(self.first, h + 1)
         self.who, self.col = np.divmod(line, w)
@@ -80,33 +94,118 @@ class Regions:
 
     def paint(self, chosen: np.ndarray) -> np.ndarray:
         """The stack with only the chosen components."""
-        n, h, w = self.shape
-        steps = np.zeros(n * w * (h + 1), np.int8)
         take = chosen[self.of_run]
-        steps[self.first[take]] = 1
-        steps[(self.first + self.length)[take]] -= 1
-        return np.cumsum(steps.reshape(n, w, h + 1), axis=-1, dtype=np.int8)[..., :h].astype(bool).transpose(0, 2, 1)
+        return _painted(self.first[take], (self.first + self.length)[take], *self.shape)
 
 
 def fill_holes(m: np.ndarray) -> np.ndarray:
     """Background that doesn't reach the border (by sides) becomes foreground; for a mask or a stack."""
     stack = m.reshape(-1, *m.shape[-2:])
-    back = Regions(~stack, 4)
-    return (stack | back.paint(~back.touching_border())).reshape(m.shape)
+    # a hole has foreground above and below, so only masks with two runs in a column can have one
+    runs = stack[:, :1].sum(axis=1) + (stack[:, 1:] & ~stack[:, :-1]).sum(axis=1)
+    some = np.flatnonzero((runs > 1).any(axis=1))
+    if not len(some):
+        return m
+    back = Regions(~stack[some], 4)
+    out = stack.copy()
+    out[some] |= back.paint(~back.touching_border())
+    return out.reshape(m.shape)
 
 
-def refine(m: np.ndarray, box: np.ndarray, multiclass: bool, keep_largest: bool = False) -> np.ndarray:
-    """Masks clipped to the prompt's box, closed and filled; binary data also opened and filled again; clipped once more."""
+def refine(m: np.ndarray, box: np.ndarray, multiclass: bool, keep_largest: bool = False, within: np.ndarray | None = None) -> np.ndarray:
+    """Masks clipped to the prompt's box, closed and filled; binary data also opened and filled again; clipped once more.
+
+    ``within``: where the masks are frames of larger images, which of their pixels lie in the image; the others don't count.
+    """
     stack, inside = (x.reshape(-1, *x.shape[-2:]) for x in (m, box))
-    work = fill_holes(erode(dilate(stack & inside, 5), 5))
+    if within is None:
+        spread, shrink = dilate, erode
+    else:
+        beyond = ~within.reshape(stack.shape)
+        spread = lambda s, size: dilate(s, size) & ~beyond
+        shrink = lambda s, size: erode(s | beyond, size) & ~beyond
+    work = fill_holes(shrink(spread(stack & inside, 5), 5))
     if not multiclass:
-        work = fill_holes(dilate(erode(work, 3), 3))
+        work = fill_holes(spread(shrink(work, 3), 3))
     if keep_largest:
         parts = Regions(work, 8)
         work = parts.paint(parts.largest())
     return (work & inside).reshape(m.shape)
 
 
+#: Pixels around what a mask holds in its box: closing by 5 reaches two beyond it, and the next is background.
+MARGIN = 3
+#: Sides of frames that share a stack: up to 8, 12, 16, 24, 32 pixels and so on.
+ROOMS = np.sort([k << i for i in range(28) for k in (8, 12)])
+
+
+def box_pixels(corners: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First and last column and row of the whole pixels that boxes (x1, y1, x2, y2) touch in images; none has a last before its first."""
+    x1, y1, x2, y2 = corners.T
+    good = (x1 <= x2) & (y1 <= y2)
+    low = lambda v, side: np.clip(np.floor(np.where(good, v, 0)), 0, side).astype(np.int64)
+    high = lambda v, side: np.clip(np.ceil(np.where(good, v, -1)), -1, side - 1).astype(np.int64)
+    return low(x1, w), high(x2, w), low(y1, h), high(y2, h)
+
+
+def refine_runs(counts: np.ndarray, size: np.ndarray, h: np.ndarray, w: np.ndarray, box: tuple[np.ndarray, ...], multiclass: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Run lengths of masks, one after the other, refined by their boxes (``box_pixels``), and how many each has.
+
+    Only a frame around what a mask holds in its box is painted: beyond ``MARGIN`` nothing changes. Frames of about one size go
+    through ``refine`` as a stack of about four million pixels at most, so the work is linear in the pixels of the frames, not of the images.
+    """
+    if (counts < 0).any():
+        raise ValueError("a run length is negative")
+    n, total = len(size), h * w
+    x1, x2, y1, y2 = box
+    wide = np.maximum(x2 - x1 + 1, 0)
+    # the runs within the columns of the box
+    mask = np.repeat(np.arange(n), size)
+    first = np.append(True, mask[1:] != mask[:-1])[: len(mask)]
+    run = np.append(0, np.cumsum(counts))
+    end = run[1:] - run[np.cumsum(size) - size][mask]
+    end = np.clip(end, (x1 * h)[mask], ((x1 + wide) * h)[mask]) - (x1 * h)[mask]
+    who, col, top, low = segments(end - np.where(first, 0, np.append(0, end[:-1])[: len(end)]), size, h, wide)
+    keep = (low >= y1[who]) & (top <= y2[who])
+    who, col, top, low = who[keep], col[keep] + x1[who[keep]], np.maximum(top, y1[who])[keep], np.minimum(low, y2[who])[keep]
+    base = np.cumsum(total + 1) - (total + 1)  # a number for each place of each mask, and for its end
+    flips = [base + total]
+    if len(who):
+        at = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        owner, many = who[at], np.diff(np.append(at, len(who)))
+        left, up = col[at] - MARGIN, np.minimum.reduceat(top, at) - MARGIN
+        fw, fh = col[at + many - 1] - left + MARGIN + 1, np.maximum.reduceat(low, at) - up + MARGIN + 1
+        kind = np.searchsorted(ROOMS, fw) * len(ROOMS) + np.searchsorted(ROOMS, fh)
+        order = np.argsort(kind, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+            wid, hei = int(fw[group].max()), int(fh[group].max())
+            most = max(1, 4_000_000 // (wid * hei))
+            for k in (group[i : i + most] for i in range(0, len(group), most)):
+                of, m = owner[k], many[k]
+                i = np.repeat(np.arange(len(k)), m)
+                s = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + at[k][i]
+                start = (i * wid + col[s] - left[k][i]) * (hei + 1) + top[s] - up[k][i]
+                area = lambda xa, xb, ya, yb: _between(ya - up[k], yb - up[k], hei)[:, :, None] & _between(xa - left[k], xb - left[k], wid)[:, None, :]  # noqa: B023, E731
+                done = refine(_painted(start, start + low[s] - top[s] + 1, len(k), hei, wid), area(x1[of], x2[of], y1[of], y2[of]), multiclass, within=area(0, w[of] - 1, 0, h[of] - 1))
+                begin, after = _runs(done)
+                line, y = np.divmod(begin, hei + 1)
+                i, x = np.divmod(line, wid)
+                begin, length, of = (left[k][i] + x) * h[of[i]] + up[k][i] + y, after - begin, of[i]
+                inner = begin + length < total[of]  # a run up to the end of the image has no flip there
+                flips += [base[of] + begin, (base[of] + begin + length)[inner]]
+    place = np.sort(np.concatenate(flips))
+    twice = np.append(False, place[1:] == place[:-1])  # a run down to the bottom of a column goes on at the top of the next
+    place = place[~(twice | np.append(twice[1:], False)[: len(twice)])] if len(place) else place
+    bound = np.searchsorted(place, base)
+    out = np.diff(place, prepend=0)
+    out[bound] = place[bound] - base
+    return out, np.diff(np.append(bound, len(place)))
+
+
+def _between(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    return (np.arange(n) >= np.reshape(a, (-1, 1))) & (np.arange(n) <= np.reshape(b, (-1, 1)))
+
+
 def clear_specks(stack: np.ndarray, area: int) -> np.ndarray:
     """Masks without their components below ``area``; where no component reaches it, the largest stays."""
     parts = Regions(stack, 8)
@@ -177,24 +276,22 @@ def refined_runs(df: DataFrame, key: str, box: str, multiclass: bool = False, hw
 
     Rows with a null mask, size or box are left out; a box with swapped corners holds no pixel.
     """
-    from slicewright.operators.raster import _lists, decode_runs, encode_runs
-
     share_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists, flat = b.column(2), b.column(2).flatten().fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
-            out, sizes = [], []
-            for i, ((h, w), corners) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist())):
-                m = decode_runs(flat[at[i] : at[i + 1]].astype(np.int64), h, w)
-                inside = np.zeros((h, w), bool)
-                x1, y1, x2, y2 = corners
-                if x1 <= x2 and y1 <= y2:
-                    inside[max(0, int(np.floor(y1))) : max(0, int(np.ceil(y2)) + 1), max(0, int(np.floor(x1))) : max(0, int(np.ceil(x2)) + 1)] = True
-                out.append(encode_runs(refine(m, inside, multiclass)))
-                sizes.append(np.array([h, w]))
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sizes, pa.int32()), _lists(out, pa.int32())], names=[key, "mask_hw", "counts"])
+        for batch in batches:
+            h, w = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2).T
+            box = box_pixels(batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 4), h, w)
+            size = np.diff(batch.column(2).offsets.to_numpy())
+            # at most about two million runs and columns of boxes at a time
+            part = np.cumsum(size + np.maximum(box[1] - box[0] + 1, 0)) // 2_000_000
+            for rows in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                if not len(rows):
+                    continue
+                b, k = batch.slice(rows[0], len(rows)), slice(rows[0], rows[-1] + 1)
+                out, many = refine_runs(b.column(2).flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), size[k], h[k], w[k], tuple(v[k] for v in box), multiclass)
+                counts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.array(out, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.int32())), counts], names=[key, "mask_hw", "counts"])
 
     kind = df.schema[key].dataType.simpleString()
     good = df.where(F.col(hw).isNotNull() & F.col(counts).isNotNull() & F.col(box).isNotNull()).where((F.size(hw) == 2) & (F.size(box) == 4) & ~F.exists(box, lambda x: x.isNull()) & ~F.exists(hw, lambda x: x.isNull()))

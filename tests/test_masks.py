@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -137,6 +138,41 @@ def test_refinement_of_runs(spark):
     assert got.pop(93) == [4] and got == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(masks, st.tuples(*[st.floats(-2, 9)] * 4), st.integers(0, 9), st.integers(0, 9), st.integers(0, 2)), min_size=1, max_size=6), st.booleans())
+def test_refinement_in_frames(rows, multiclass):
+    """Masks of several sizes at once, at and away from the border, with runs left out, against whole images."""
+    counts, sizes, boxes, want = [], [], [], []
+    for m, (x1, y1, x2, y2), dy, dx, cut in rows:
+        m = np.pad(m, ((dy, 9 - dy), (dx, 3)))
+        runs = raster.encode_runs(m)[: -cut or None]
+        m, inside = raster.decode_runs(runs, *m.shape), np.zeros(m.shape, bool)
+        if x1 <= x2 and y1 <= y2:
+            inside[max(0, int(np.floor(y1 + dy))) : max(0, int(np.ceil(y2 + dy)) + 1), max(0, int(np.floor(x1 + dx))) : max(0, int(np.ceil(x2 + dx)) + 1)] = True
+        counts.append(runs)
+        sizes.append(m.shape)
+        boxes.append([x1 + dx, y1 + dy, x2 + dx, y2 + dy] if x1 <= x2 and y1 <= y2 else [x1, y1, x2, y2])
+        want.append(raster.encode_runs(morphology.refine(m, inside, multiclass)).tolist())
+    h, w = np.array(sizes).T
+    out, many = morphology.refine_runs(np.concatenate(counts), np.array([len(c) for c in counts]), h, w, morphology.box_pixels(np.array(boxes), h, w), multiclass)
+    assert [v.tolist() for v in np.split(out, np.cumsum(many)[:-1])] == want
+
+
+def test_refinement_costs_the_frame_not_the_image(spark, monkeypatch):
+    """What is painted is what a mask holds in its box, however large its image is and whatever lies beside the box."""
+    side, painted, whole = 2000, [], morphology.refine
+    m = np.zeros((side, side), bool)
+    m[100:110, 200:212] = m[1500:1900, 300:1900] = m[:5, -4:] = True
+    runs, boxes = raster.encode_runs(m).tolist(), [[195.0, 90.0, 215.0, 120.0], [1990.0, 0.0, 2500.0, 8.0], [500.0, 10.0, 600.0, 20.0]]
+    df = spark.createDataFrame([(i, [side, side], runs, b) for i, b in enumerate(boxes)], "i int, mask_hw array<int>, counts array<int>, box array<double>")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3), pa.int32()), pa.array([[side, side]] * 3, pa.list_(pa.int32())), pa.array([runs] * 3, pa.list_(pa.int32())), pa.array(boxes)], names=["i", "_hw", "_c", "_b"])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, work, schema: work)
+    monkeypatch.setattr(morphology, "refine", lambda m, *rest, **kept: painted.append(m.size) or whole(m, *rest, **kept))
+    got = [c for b in morphology.refined_runs(df, "i", "box")(iter([batch])) for c in b.column(2).to_pylist()]
+    assert [sum(c[1::2]) for c in got] == [120, 20, 0] and [sum(c) for c in got] == [side * side] * 3
+    assert sum(painted) < 2000
+
+
 def test_geometry_round_trip(spark):
     """A mask doubled in size and brought back is the same."""
     rng = np.random.default_rng(0)
